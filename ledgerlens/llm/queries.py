@@ -1,9 +1,11 @@
 """Driver queries of the corpus operators, and the SQL that gives the same rows where SQL can."""
 
-from . import exact_dedup, simhash_dedup
+from . import exact_dedup, simhash_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op3_simhash_dedup": simhash_dedup.op3_simhash_dedup,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
