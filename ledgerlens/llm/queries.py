@@ -1,14 +1,18 @@
 """Driver queries of the corpus operators, and the SQL that gives the same rows where SQL can."""
 
-from . import exact_dedup, simhash_dedup, substring_dedup, suffix_dedup
+from . import exact_dedup, packing, pii, secret_scan, simhash_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.op1_secret_scan,
     "op3_simhash_dedup": simhash_dedup.op3_simhash_dedup,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+    "op7_pii": pii.op7_pii,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_packing": packing.op9_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 SQL = {
+    "op1_secret_scan": secret_scan.OP1_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
