@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,42 @@ def n_parts(rows: int, per: int, least: int = 1) -> int:
     return max(least, -(-rows // per))
 
 
+def packed(rows: DataFrame, *others: str) -> DataFrame:
+    """rows with ``text`` as a compressed UTF-8 binary ``z`` (null stays null): what text joins shuffle."""
+    names = [*others, "z"]
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            z = [t if t is None else squeeze.compress(t) for t in b.column(len(others)).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(z, pa.binary())], names=names)
+
+    slim = rows.select(*others, "text")
+    return slim.mapInArrow(run, slim.select(*others).schema.add("z", "binary"))
+
+
+def unpacked(column) -> list[bytes]:
+    """Texts of an Arrow column that ``packed`` made, null as empty."""
+    expand = zstandard.ZstdDecompressor()
+    return [b"" if z is None else expand.decompress(z) for z in column.to_pylist()]
+
+
+def window_argmin(h: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least of each ``width`` consecutive values (uint64), by their high 40 bits, leftmost on ties.
+
+    Fewer than 2^24 values at a time.
+    """
+    n = len(h)
+    low = np.uint64((1 << 24) - 1)
+    padded = np.full(-(-n // width) * width, np.uint64(0xFFFFFFFFFFFFFFFF))
+    padded[:n] = (h & ~low) | np.arange(n, dtype=np.uint64)
+    blocks = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+    return (least & low).astype(np.int64)
+
+
 def match_spans(text: Column, pattern: str, ok=None) -> Column:
     """Native ``array<struct<start,end>>`` of leftmost non-overlapping matches, in code points.
 

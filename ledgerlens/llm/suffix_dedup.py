@@ -7,14 +7,16 @@ distance to the trigger) followed by the parse from there on; two positions star
 both parts agree. The parts are ordered in two steps, as in the combination of the suffix arrays of
 dictionary and parse:
 
-1. parse order: triggers are ordered by the 128-bit digest of what every string with this trigger must
-   hold after it (its core). A trigger whose core is unique in the corpus starts nothing repeated.
-2. dictionary order: within a core, equal whole phrases (with their 400-byte outlook) are one dictionary
-   entry: if it occurs twice, every position in it is repeated. Only where entries of one core differ are
-   the single suffixes put in order, one representative for each entry that is already settled.
+1. parse order: occurrences are sorted by the digest of what every string with this trigger must hold
+   after it (its core), then by the digest of the whole phrase with its 400-byte outlook (its entry in
+   the dictionary). An occurrence whose core is alone starts nothing repeated; an entry that occurs
+   twice is repeated in every position.
+2. dictionary order: where entries of one core differ, one representative of each comes together with
+   the others of its core, and their suffixes are compared byte by byte. A core with more than
+   ``HOT_CORE`` entries is not gathered: its suffixes travel one by one under their own digests.
 
-Order is by digests and not by bytes: only equality over 400 bytes is asked for, a digest order groups
-equal strings just as the lexicographic one does, and it spreads evenly over partitions.
+Order is by digests of 128 bits and not by bytes: only equality over 400 bytes is asked for, a digest
+order groups equal strings just as the lexicographic one does, and it spreads evenly over partitions.
 
 Defined results: null or empty text has no bytes; texts under 400 bytes keep everything; repeated rows are
 separate documents; an empty table gives no rows; other columns are ignored.
@@ -23,6 +25,7 @@ separate documents; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, keyed, materialize, small_batches
+from .common import RID, keyed, materialize, packed, small_batches, unpacked, window_argmin
 
 LENGTH = 400
 #: Positions in a window that has at least one trigger.
-TRIGGER = 160
+TRIGGER = 192
+#: Entries of a core that are compared in one task.
+HOT_CORE = 4096
 _GRAM = 8
 #: Positions that are parsed at a time: bounds the memory for very long texts.
 _BLOCK = 1 << 20
@@ -47,15 +52,7 @@ def triggers(data: bytes, starts: int, trigger: int) -> np.ndarray:
         h = grams * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-    n = len(h)
-    h = (h & ~np.uint64((1 << 24) - 1)) | np.arange(n, dtype=np.uint64)  # leftmost on ties
-    padded = np.full(-(-n // trigger) * trigger, np.uint64(0xFFFFFFFFFFFFFFFF))
-    padded[:n] = h
-    blocks = padded.reshape(-1, trigger)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(behind[:starts], ahead[trigger - 1 : trigger - 1 + starts])
-    return (least & np.uint64((1 << 24) - 1)).astype(np.int64)
+    return window_argmin(h, trigger)
 
 
 def phrases(text: bytes, length: int = LENGTH, trigger: int = TRIGGER):
@@ -74,57 +71,150 @@ def _arrays(out: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
+def _sorted_classes(batches):
+    """Rows sorted by (known, core, entry): tell apart what is repeated (0) and what is to be compared (1).
+
+    Works on runs with a row or two of look-behind, so a hot core or entry is never gathered.
+    """
+
+    def told_rows(rid, place, core, kind):
+        return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(place), pa.array(core), pa.array(np.full(len(rid), kind), pa.int32())], names=names)
+
+    names = [RID, "place", "core", "open"]
+    held, before = None, False
+    for b in itertools.chain(batches, [None]):
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns] if b is not None else [np.zeros(0, np.int64)] * 5
+        known = cols.pop().astype(bool)
+        if known.any():
+            yield told_rows(cols[2][known], cols[3][known], cols[0][known], 0)
+            cols = [c[~known] for c in cols]
+        cols.append(np.zeros(len(cols[0]), bool))  # told already
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        core, entry, rid, place, told = cols
+        if not len(core):
+            continue
+        start = np.flatnonzero(np.concatenate(([True], (core[1:] != core[:-1]) | (entry[1:] != entry[:-1]))))
+        size = np.diff(np.append(start, len(core)))
+        same = core[start][1:] == core[start][:-1]
+        prior, later = np.concatenate(([before], same)), np.concatenate((same, [False]))
+        complete = len(start) - (b is not None)
+        whole = np.flatnonzero(np.repeat(size > 1, size) & ~told)
+        open_ = start[:complete][(prior | later)[:complete]]
+        for rows, kind in ((whole, 0), (open_, 1)):
+            if len(rows):
+                yield told_rows(rid[rows], place[rows], core[rows], kind)
+        if b is not None:
+            last = [start[-1]] if size[-1] == 1 else [start[-1], len(core) - 1]
+            held = [c[last] for c in cols]
+            held[4][:] = size[-1] > 1
+            before = bool(prior[-1])
+
+
+def equal_suffixes(group: list[tuple[int, int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
+    """(rid, start, end) of the positions in the entries of one core whose next ``length`` bytes come twice.
+
+    An entry is (rid, first start, trigger's place after it, bytes). Suffixes can be equal only at the same
+    distance to the trigger, so one distance is compared at a time.
+    """
+    if len(group) < 2:
+        return []
+    twice = [np.zeros(len(t) - length + 1, bool) for *_, t in group]
+    for distance in range(max(back for _, _, back, _ in group) + 1):
+        first: dict[bytes, int] = {}
+        for i, (_, _, back, text) in enumerate(group):
+            o = back - distance
+            if 0 <= o < len(twice[i]):
+                j = first.setdefault(text[o : o + length], i)
+                if j != i:
+                    twice[i][o] = twice[j][group[j][2] - distance] = True
+    out = []
+    for (rid, lo, *_), flags in zip(group, twice):
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).astype(np.int8)))
+        out += [(rid, lo + int(a), lo + int(e) - 1 + length) for a, e in zip(edge[::2], edge[1::2])]
+    return out
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
-    """(RID, marks): per document the sorted (start, end) ranges that repeated strings cover. Rows: RID, text."""
-    small_batches(rows.sparkSession)
+    """(RID, marks): per document the sorted (lo, end) ranges that repeated strings cover. Rows: RID, text."""
+    spark = rows.sparkSession
+    small_batches(spark)
     rest = length - trigger + 1  # what every string with a trigger holds from the trigger on
-    digest = xxhash.xxh3_128_digest
 
     def parse(batches):
-        names = ["core", "entry", RID, "lo", "hi", "at"]
-        types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        names, types, digest = ["core", "entry", RID, "place", "known"], [*[pa.int64()] * 4, pa.bool_()], xxhash.xxh3_64_intdigest
+        met: dict[tuple[int, int], int] = {}
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
         for b in batches:
             out = []
             for rid, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                if t is None:
-                    continue
-                for lo, hi, at in phrases(t, length, trigger):
-                    core = int.from_bytes(digest(t[at : at + rest])[:8], "little", signed=True)
-                    # the entry digest has the trigger's place in it: equal entries agree in every suffix
-                    out.append((core, digest(t[lo : hi + length] + (at - lo).to_bytes(4, "little")), rid, lo, hi, at))
+                for lo, hi, at in phrases(t or b"", length, trigger):
+                    # seeded with the trigger's place in it: equal entries agree in every suffix
+                    entry, core = signed(digest(t[lo : hi + length], at - lo)), signed(digest(t[at : at + rest]))
+                    # two witnesses of an entry leave a task under its core; more are known to be repeated
+                    # and go anywhere, so that a hot entry does not pile up in one place
+                    n = met[core, entry] = met.get((core, entry), 0) + 1
+                    out.append((core if n < 3 else core ^ rid * 0x9E3779B97F4A7C1 & (1 << 63) - 1, entry, rid, lo << 20 | (hi - lo) << 10 | (at - lo), n > 2))
                 if len(out) > 50_000:
                     yield _arrays(out, types, names)
                     out = []
+                if len(met) > 500_000:
+                    met.clear()
+            yield _arrays(out, types, names)
+
+    parsed = rows.select(RID, "text").mapInArrow(parse, f"core long, entry long, {RID} long, place long, known boolean")
+    in_order = parsed.repartition("core").sortWithinPartitions("known", "core", "entry", RID, "place")
+    classes = materialize(in_order.mapInArrow(_sorted_classes, f"{RID} long, place long, core long, open int"), "classes")
+    lo, hi = F.expr("shiftright(place, 20)"), F.expr("shiftright(place, 20) + (shiftright(place, 10) & 1023)")
+    whole = classes.filter("open = 0").select(RID, lo.cast("int").alias("lo"), (hi + length).cast("int").alias("end"))
+    open_ = classes.filter("open = 1")
+    hot = open_.groupBy("core").count().filter(F.col("count") > HOT_CORE).select("core", F.lit(True).alias("hot"))
+    back = F.expr("cast(place & 1023 as int)").alias("back")
+    item = F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), back, "core", F.coalesce("hot", F.lit(False)).alias("hot"))
+    wanted = open_.join(hot, "core", "left").groupBy(RID).agg(F.collect_list(item).alias("open"))
+
+    def outlooks(batches):
+        names, types = ["key", "single", RID, "lo", "back", "data"], [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        digest = xxhash.xxh3_128_digest
+        for b in batches:
+            out = []
+            for rid, t, items in zip(b.column(0).to_pylist(), unpacked(b.column(1)), b.column(2).to_pylist()):
+                for x in items:
+                    if x["hot"]:
+                        for s in range(x["lo"], x["hi"] + 1):
+                            d = digest(t[s : s + length])
+                            out.append((int.from_bytes(d[:8], "little", signed=True), True, rid, s, 0, d))
+                    else:
+                        out.append((x["core"], False, rid, x["lo"], x["back"], t[x["lo"] : x["hi"] + length]))
+                if len(out) > 20_000:
+                    yield _arrays(out, types, names)
+                    out = []
             yield _arrays(out, types, names)
 
-    parsed = materialize(rows.select(RID, "text").mapInArrow(parse, f"core long, entry binary, {RID} long, lo int, hi int, at int"), "parse")
-    # entries first: one row for each distinct one, so that a hot core or entry meets few rows
-    place = F.struct(RID, "lo", "hi")
-    entries = parsed.groupBy("core", "entry").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-    entries = materialize(entries, "entries")
-    cores = entries.groupBy("core").agg(F.sum("n").alias("of_core"), F.count(F.lit(1)).alias("kinds")).filter("of_core > 1")
-    entries = materialize(entries.join(cores, "core"), "settled")
-    whole = parsed.join(entries.filter("n > 1").select("core", "entry"), ["core", "entry"], "left_semi").select(RID, "lo", F.expr(f"hi + {length}").alias("end"))
-    # where entries of a core differ: every single one, and one representative of each repeated one
-    open_ = entries.filter("kinds > 1").select(F.col(f"first.{RID}").alias(RID), F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"))
-    wanted = open_.groupBy(RID).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("open"))
-
-    def suffixes(batches):
-        names, types = ["suffix", RID, "lo"], [pa.binary(), pa.int64(), pa.int32()]
+    def compare(batches):
+        """Rows sorted by (key, single, data): entries of a core together, single suffixes next to their equals."""
+        names, types = [RID, "lo", "end"], [pa.int64(), pa.int32(), pa.int32()]
+        key, group, held, told = None, [], None, False
         for b in batches:
             out = []
-            for rid, t, runs in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
-                for r in runs:
-                    out += [(digest(t[s : s + length]), rid, s) for s in range(r["lo"], r["hi"] + 1)]
-                    if len(out) > 100_000:
-                        yield _arrays(out, types, names)
-                        out = []
+            for k, single, rid, at, back, data in zip(*(c.to_pylist() for c in b.columns)):
+                if group and k != key:
+                    out += equal_suffixes(group, length)
+                    group = []
+                key = k
+                if not single:
+                    group.append((rid, at, back, data))
+                elif held and held[2] == data:
+                    out += [(rid, at, at + length)] if told else [(held[0], held[1], held[1] + length), (rid, at, at + length)]
+                    told = True
+                else:
+                    held, told = (rid, at, data), False
             yield _arrays(out, types, names)
+        yield _arrays(equal_suffixes(group, length), types, names)
 
-    single = rows.select(RID, "text").join(wanted, RID).select(RID, "text", "open").mapInArrow(suffixes, f"suffix binary, {RID} long, lo int")
-    single = materialize(single, "suffixes")
-    twice = single.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("suffix")
-    parts = single.join(twice, "suffix", "left_semi").select(RID, "lo", F.expr(f"lo + {length}").alias("end"))
+    z = packed(rows, RID)
+    compared = z.join(wanted, RID).select(RID, "z", "open").mapInArrow(outlooks, f"key long, single boolean, {RID} long, lo int, back int, data binary")
+    parts = compared.repartition("key").sortWithinPartitions("key", "single", "data").mapInArrow(compare, f"{RID} long, lo int, end int")
     # a document's ranges are bounded by its own length
     return whole.unionAll(parts).groupBy(RID).agg(F.array_sort(F.collect_list(F.struct("lo", "end"))).alias("marks"))
 
@@ -143,7 +233,8 @@ def merge_spans(marks) -> list[tuple[int, int]]:
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row for each document: RID, doc_id, n_bytes, n_removed, n_spans, removed, kept (binary), kept_sha256."""
     rows = keyed(docs, id_col, text_col)
-    marked = rows.join(repeated_spans(rows, length), RID, "left").select(RID, F.col("doc_id").cast("long"), "text", "marks")
+    z = packed(rows.withColumn("doc_id", F.col("doc_id").cast("long")), RID, "doc_id")
+    marked = z.join(repeated_spans(rows, length), RID, "left").select(RID, "doc_id", "z", "marks")
     schema = f"{RID} long, doc_id long, n_bytes long, n_removed long, n_spans long, removed array<array<int>>, kept binary, kept_sha256 string"
 
     def run(batches):
@@ -151,8 +242,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.binary(), pa.string()]
         for b in batches:
             out = []
-            for rid, doc, t, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist()):
-                t, runs, kept, at = t or b"", merge_spans(marks), [], 0
+            for rid, doc, t, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), unpacked(b.column(2)), b.column(3).to_pylist()):
+                runs, kept, at = merge_spans(marks), [], 0
                 for lo, end in runs:
                     kept.append(t[at:lo])
                     at = end
