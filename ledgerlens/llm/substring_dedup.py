@@ -1,10 +1,12 @@
 """Substring dedup over word windows with a count-min prefilter.
 
-Pass 1: every partition counts its windows in a count-min sketch; sketches travel as sorted cell lists,
-are merged cell by cell, and only the cells with a count of two or more go on, as one bitmap for each
-row of the sketch. A cell never counts less than a window it holds, so no repeated window is missed;
-the sketch width follows the number of windows up to ``MAX_CELLS`` (the broadcast bound), beyond which
-the filter only lets more through.
+Pass 1: every window of 20 words is represented by one of its 8-word grams, the one with the least
+digest: equal windows have equal representatives, and a representative stands for several windows in a
+row. Every partition counts its representatives in a count-min sketch; sketches travel as sorted cell
+lists and are merged cell by cell, and only the cells with a count of two or more go on, as one bitmap
+for each row of the sketch. A cell never counts less than a window that it represents, so no repeated
+window is missed; the sketch width follows the corpus up to ``MAX_CELLS`` (the broadcast bound: 8 MB a
+row), beyond which the filter only lets more through.
 
 Pass 2: windows that every row estimates repeated are grouped exactly, by 128-bit digests. Runs of them
 are first cut at content-defined places into chunks: all but the earliest of equal chunks consist of
@@ -24,9 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, keyed, materialize, small_batches
+from .common import RID, keyed, materialize, packed, small_batches, unpacked, window_argmin
 
 WINDOW = 20
+#: Words in a representative.
+GRAM = 8
 DEPTH = 2
 MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 26
 #: A chunk of repeated windows ends, on average, every so many windows.
@@ -48,38 +52,102 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 def _rolling(h: np.ndarray, width: int, k: int) -> np.ndarray:
     """Polynomial digests (mod 2^64) of all runs of ``width`` word hashes."""
     n = len(h)
+    power, inverse = _power(n)[k]
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, _MULT[k]))))
-        inverse = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - width, _INV[k]))))
-        prefix = np.concatenate(([np.uint64(0)], np.cumsum(h * power)))
-        return (prefix[width:] - prefix[:-width]) * inverse
-
-
-class WordHashes:
-    """128-bit word digests as two uint64 arrays; frequent words are remembered within a bound."""
-
-    def __init__(self, bound: int = 200_000):
-        self.known: dict[bytes, tuple[int, int]] = {}
-        self.bound = bound
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        known = self.known
-        if len(known) > self.bound:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                x = xxhash.xxh3_128_intdigest(w)
-                known[w] = (x >> 64, x & 0xFFFFFFFFFFFFFFFF)
-        both = np.array([known[w] for w in words], dtype=np.uint64)
-        return both[:, 0], both[:, 1]
-
-
-def windows(words: list[bytes], hashes: WordHashes, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray] | None:
-    """128-bit digests of the word windows of a text, or None if it is too short."""
-    if len(words) < width:
-        return None
-    a, b = hashes(words)
-    return _mix(_rolling(a, width, 0), 1), _mix(_rolling(b, width, 1), 2)
+        prefix = np.concatenate(([np.uint64(0)], np.cumsum(h * power[:n])))
+        return (prefix[width:] - prefix[:-width]) * inverse[: n - width + 1]
+
+
+#: Longer words are hashed one by one.
+_LONG = 64
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.array([[xxhash.xxh3_64_intdigest(bytes([b]), seed) for b in range(256)] for seed in (11, 12)], dtype=np.uint64)
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _power(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers 0..n-1 of the multipliers and of their inverses, remembered."""
+    if not _powers or len(_powers[0][0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        with np.errstate(over="ignore"):
+            _powers[:] = [tuple(np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, x)))) for x in pair) for pair in zip(_MULT, _INV)]
+    return _powers
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words of a UTF-8 text, and their 128-bit digests as an n x 2 array, without a loop over words."""
+    raw = np.frombuffer(data, np.uint8)
+    word = ~_SPACE[raw]
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    out = np.empty((len(starts), 2), np.uint64)
+    size = ends - starts
+    short = starts + np.minimum(size, _LONG)
+    step = 1 << 20
+    with np.errstate(over="ignore"):
+        for at in range(0, len(raw), step):
+            i, j = np.searchsorted(starts, (at, at + step))
+            if i == j:
+                continue
+            base = int(starts[i])
+            part = raw[base : int(short[i:j].max())]
+            a, e = starts[i:j] - base, short[i:j] - base
+            for k, (power, inverse) in enumerate(_power(len(part) + 1)):
+                prefix = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(_BYTE[k][part] * power[: len(part)], out=prefix[1:])
+                out[i:j, k] = _mix((prefix[e] - prefix[a]) * inverse[a] + (e - a).astype(np.uint64), 7 + k)
+    for i in np.flatnonzero(size > _LONG):
+        x = xxhash.xxh3_128_intdigest(data[starts[i] : ends[i]])
+        out[i] = x >> 64, x & 0xFFFFFFFFFFFFFFFF
+    return starts, out
+
+
+class Windows:
+    """The windows of some texts in a row: 128-bit digests, and for each the digest of its representative.
+
+    ``start[i]`` is the place of text i's first word among all words, ``count[i]`` its number of windows;
+    arrays are by the place of a window's first word, and places that start no window mean nothing.
+    """
+
+    def __init__(self, texts: list[bytes], width: int = WINDOW):
+        at, self.hashed = word_hashes(b"\n".join(texts))
+        self.start = np.searchsorted(at, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))))
+        sizes = np.diff(self.start)
+        self.count = np.maximum(0, sizes - width + 1)
+        self.n, self.width = max(0, int(self.start[-1]) - width + 1), width
+        if self.n:
+            gram = min(GRAM, width)
+            self.grams = _mix(_rolling(self.hashed[:, 0], gram, 0), 1)
+            # in blocks, so that a place fits the low bits beside the digest
+            step, out = 1 << 22, []
+            for at in range(0, self.n, step):
+                part = self.grams[at : min(self.n, at + step) + width - gram]
+                out.append(window_argmin(part, width - gram + 1) + at)
+            self.chosen = np.concatenate(out)
+            edge = np.zeros(self.n + 1, np.int32)
+            np.add.at(edge, self.start[:-1][self.count > 0], 1)
+            np.add.at(edge, (self.start[:-1] + self.count)[self.count > 0], -1)
+            self.real = np.cumsum(edge)[:-1] > 0
+
+    def representatives(self) -> np.ndarray:
+        return self.grams[np.unique(self.chosen[self.real])]
+
+    def digests(self) -> np.ndarray:
+        return np.stack([_mix(_rolling(self.hashed[:, k], self.width, k), 3 + k) for k in (0, 1)], axis=1)
+
+
+def _together(texts, limit: int = 1 << 20):
+    """(number of the first, texts) of consecutive texts with about ``limit`` bytes at a time; null is empty."""
+    held, first, size = [], 0, 0
+    for i, t in enumerate(texts):
+        held.append(t or b"")
+        size += len(held[-1])
+        if size > limit:
+            yield first, held
+            held, first, size = [], i + 1, 0
+    if held:
+        yield first, held
 
 
 def _cells(first: np.ndarray, row: int, cells: int) -> np.ndarray:
@@ -91,7 +159,7 @@ def merged_sketch(rows: DataFrame, cells: int, width: int = WINDOW) -> list[np.n
     spark = rows.sparkSession
 
     def sketch(batches):
-        hashes, held, size = WordHashes(), [], 0
+        held, size = [], 0
 
         def flush():
             first = np.concatenate(held)
@@ -114,12 +182,12 @@ def merged_sketch(rows: DataFrame, cells: int, width: int = WINDOW) -> list[np.n
                 )
 
         for b in batches:
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                w = windows((t or b"").split(), hashes, width)
-                if w is not None:
-                    held.append(w[0])
-                    size += len(w[0])
-                if size > 4_000_000:
+            for _, texts in _together(b.column(0).cast(pa.binary()).to_pylist()):
+                w = Windows(texts, width)
+                if w.n and w.real.any():
+                    held.append(w.representatives())
+                    size += len(held[-1])
+                if size > 1_000_000:
                     yield from flush()
                     held, size = [], 0
         if held:
@@ -153,52 +221,49 @@ def merged_sketch(rows: DataFrame, cells: int, width: int = WINDOW) -> list[np.n
     return out
 
 
-def _flags(w: tuple[np.ndarray, np.ndarray], bitmaps: list[np.ndarray], cells: int) -> np.ndarray:
-    flag = np.ones(len(w[0]), bool)
+def _flags(w: Windows, bitmaps: list[np.ndarray], cells: int) -> np.ndarray:
+    """Which windows the sketch estimates repeated."""
+    flag, grams = w.real.copy(), w.grams[w.chosen]
     for row, bits in enumerate(bitmaps):
-        at = _cells(w[0], row, cells)
+        at = _cells(grams, row, cells)
         flag &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
     return flag
 
 
-def _chunks(w: tuple[np.ndarray, np.ndarray], flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (exclusive) of the chunks of flagged windows; cuts depend on content only."""
-    inside = np.concatenate(([False], flag, [False]))
-    edge = np.diff(inside.astype(np.int8))
-    starts = edge[:-1] == 1
-    cut = np.concatenate(([False], (w[1][:-1] % np.uint64(CHUNK)) == 0)) & flag
-    starts = np.flatnonzero(starts | cut)
-    ends = np.flatnonzero(edge[1:] == -1) + 1
-    stop = np.sort(np.concatenate((ends, starts[np.isin(starts, np.flatnonzero(edge[:-1] == 1), invert=True)])))
-    return starts, stop
-
+def _chunks(digests: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the chunks of flagged windows; cuts depend on content only.
 
-def _digest(w: tuple[np.ndarray, np.ndarray], a: int, b: int) -> bytes:
-    return xxhash.xxh3_128_digest(w[0][a:b].tobytes() + w[1][a:b].tobytes())
+    Between two texts are places that start no window (``width`` is over 1), so no chunk joins texts.
+    """
+    edge = np.diff(np.concatenate(([False], flag, [False])).astype(np.int8))
+    first, ends = edge[:-1] == 1, np.flatnonzero(edge[1:] == -1) + 1
+    cut = np.concatenate(([False], digests[:-1, 1] % np.uint64(CHUNK) == 0)) & flag & ~first
+    return np.flatnonzero(first | cut), np.sort(np.concatenate((ends, np.flatnonzero(cut))))
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """RID, doc_id, text and ``spans``: binary of sorted disjoint (start, end) word ranges, int32 pairs,
-    that windows repeated from earlier cover."""
+    """RID, doc_id, z (compressed text) and ``marks``: sorted (start, n) runs of windows that start earlier elsewhere."""
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
-    n_words = rows.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n_bytes = rows.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     cells = MIN_CELLS
-    while cells < MAX_CELLS and cells < n_words // 2:  # a window is some six bytes: about three cells each
+    while cells < MAX_CELLS and cells < n_bytes // 8:  # a representative for some forty bytes: about five cells each
         cells *= 2
     small_batches(spark)
     bitmaps = spark.sparkContext.broadcast(merged_sketch(rows, cells, width))
 
     def cut(batches):
-        hashes = WordHashes()
         for b in batches:
-            out = []
-            for rid, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                w = windows((t or b"").split(), hashes, width)
-                if w is None:
+            out, rids = [], b.column(0).to_pylist()
+            for first, texts in _together(b.column(1).cast(pa.binary()).to_pylist()):
+                w = Windows(texts, width)
+                if not w.n or not (flag := _flags(w, bitmaps.value, cells)).any():
                     continue
-                for a, e in zip(*(x.tolist() for x in _chunks(w, _flags(w, bitmaps.value, cells)))):
-                    out.append((_digest(w, a, e), rid, a, e - a))
+                d = w.digests()
+                starts, ends = _chunks(d, flag)
+                owner = np.searchsorted(w.start, starts, "right") - 1
+                for i, a, e, base in zip((owner + first).tolist(), starts.tolist(), ends.tolist(), w.start[owner].tolist()):
+                    out.append((xxhash.xxh3_128_digest(d[a:e]), rids[i], a - base, e - a))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 4, (pa.binary(), pa.int64(), pa.int32(), pa.int32()))], names=["digest", RID, "start", "n"])
 
     chunks = materialize(rows.select(RID, "text").mapInArrow(cut, f"digest binary, {RID} long, start int, n int"), "chunks")
@@ -212,26 +277,36 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = heads.groupBy(RID).agg(pack(F.struct("start", "n")).alias("heads"))
 
     def expand(batches):
-        hashes = WordHashes()
         for b in batches:
-            digests, rids, starts = [], [], []
-            for rid, t, heads_ in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
-                w = windows((t or b"").split(), hashes, width)
-                both = np.stack(w, axis=1)
-                for h in heads_:
-                    part = both[h["start"] : h["start"] + h["n"]].tobytes()
-                    digests += [part[i : i + 16] for i in range(0, len(part), 16)]
-                    starts += range(h["start"], h["start"] + h["n"])
-                    rids += [rid] * h["n"]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(rids, pa.int64()), pa.array(starts, pa.int32())], names=["digest", RID, "start"])
-
-    singles = rows.select(RID, "text").join(wanted, RID).select(RID, "text", "heads").mapInArrow(expand, f"digest binary, {RID} long, start int")
-    singles = materialize(singles, "singles")
-    earliest = singles.groupBy("digest").agg(F.min(F.struct(RID, "start")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("digest", F.col(f"f.{RID}").alias("hr"), F.col("f.start").alias("hs"))
-    repeats = singles.join(earliest, "digest").filter(f"{RID} <> hr or start <> hs").select(RID, "start", F.lit(1).alias("n"))
+            rids, heads_ = b.column(0).to_pylist(), b.column(2).to_pylist()
+            for first, texts in _together(unpacked(b.column(1))):
+                w = Windows(texts, width)
+                d = w.digests()
+                mine = [(rids[first + i], int(w.start[i]), h["start"], h["n"]) for i in range(len(texts)) for h in heads_[first + i]]
+                rid, base, start, n = (np.array(x, np.int64) for x in zip(*mine))
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                start = np.repeat(start, n) + inner
+                part = d[np.repeat(base, n) + start].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(np.repeat(rid, n)), pa.array(start, pa.int32())], names=["h", "l", RID, "start"])
+
+    def later_ones(batches):
+        """Rows sorted by (h, l, RID, start): all but the first of each digest."""
+        before = None
+        for b in batches:
+            h, l, rid, start = (c.to_numpy() for c in b.columns)
+            if not len(h):
+                continue
+            same = np.concatenate(([before == (h[0], l[0])], (h[1:] == h[:-1]) & (l[1:] == l[:-1])))
+            before = (h[-1], l[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(rid[same]), pa.array(start[same]), pa.array(np.ones(same.sum()), pa.int32())], names=[RID, "start", "n"])
+
+    # equal chunks have one head each, so a window meets few rows here and they can be sorted as they are
+    singles = packed(rows, RID).join(wanted, RID).select(RID, "z", "heads").mapInArrow(expand, f"h long, l long, {RID} long, start int")
+    repeats = singles.repartition("h").sortWithinPartitions("h", "l", RID, "start").mapInArrow(later_ones, f"{RID} long, start int, n int")
     # a document has at most as many entries as words, so its list is bounded by the document
     marked = later.unionAll(repeats).groupBy(RID).agg(pack(F.struct("start", "n")).alias("marks"))
-    return rows.join(marked, RID, "left").select(RID, "doc_id", "text", "marks")
+    z = packed(rows.withColumn("doc_id", F.col("doc_id").cast("long")), RID, "doc_id")
+    return z.join(marked, RID, "left").select(RID, "doc_id", "z", "marks")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
@@ -241,8 +316,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         for b in batches:
             out = []
-            for t, marks in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist()):
-                words = (t or b"").split()
+            for t, marks in zip(unpacked(b.column(2)), b.column(3).to_pylist()):
+                words = t.split()
                 gone = np.zeros(len(words) + 1, np.int32)
                 if marks:
                     for m in marks:
@@ -258,7 +333,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     schema = f"{RID} long, doc_id long, kept_text binary, n_words long, n_removed long, kept_sha256 string"
-    return marked.select(RID, F.col("doc_id").cast("long"), "text", "marks").mapInArrow(run, schema)
+    return marked.mapInArrow(run, schema)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
