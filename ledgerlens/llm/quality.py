@@ -19,9 +19,7 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,54 +27,94 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
+from .substring_dedup import word_hashes
 
 DIMS = 1 << 16
 MAX_LABELS = 20_000
 ROUNDS = 2
 #: A pseudo-label needs this probability and counts this much.
 SURE, WEIGHT = 0.97, 0.5
-KEEP_AT = 0.5
+#: Below this score a document is rejected; low, so that clean documents stay.
+KEEP_AT = 0.3
 VIEWS = ("content", "metadata")
 
-_RUNS = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"[0-9]+"), "9"))
-
-
 #: ASCII letters and every byte of other letters.
-_LETTERS = bytes(b for b in range(256) if b >= 128 or chr(b).isalpha())
-
-
-class _Ids(dict):
-    """word -> (feature of the word, feature of its shape); emptied when it has grown too large."""
-
-    def __missing__(self, word: str) -> tuple[int, int]:
-        shape = word
-        for run, mark in _RUNS:
-            shape = run.sub(mark, shape)
-        if len(self) > 300_000:
-            self.clear()
-        got = self[word] = (zlib.crc32(word.encode(errors="replace")) % (DIMS - 1), zlib.crc32(b"#" + shape[:12].encode(errors="replace")) % (DIMS - 1))
-        return got
-
-
-def features(text: str, lang, source, n_chars, ids: _Ids) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct feature numbers of the two views."""
-    words = text.lower().split()
-    counts = Counter(words)
-    content = np.unique(np.array([ids[w] for w in counts], dtype=np.int64).ravel()) if counts else np.array([DIMS - 1])
-    n, lines = len(words), text.count("\n") + 1
-    data = text.encode(errors="replace")
-    others = len(data.translate(None, _LETTERS))
-    top = max(counts.values(), default=0)
-    layout = (
-        ("lang", lang),
-        ("source", source),
-        ("chars", None if n_chars is None else int(n_chars).bit_length()),
-        ("line", int(math.log2(1 + len(text) / lines) * 2)),
-        ("others", int(20 * others / max(1, len(data)))),
-        ("distinct", int(10 * len(counts) / n) if n else -1, n.bit_length()),
-        ("top", int(20 * top / n) if n else -1, n.bit_length()),
-    )
-    return content, np.array([zlib.crc32(repr(x).encode()) % DIMS for x in layout])
+_LETTERS = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
+#: Shape of a byte: letters are one, digits are one, the rest stands for itself.
+_SHAPE = bytes(97 if _LETTERS[b] else 57 if 48 <= b <= 57 else b for b in range(256))
+
+
+class Features:
+    """Distinct features of the two views for some texts: per view the texts' numbers and feature numbers."""
+
+    def __init__(self, texts: list[bytes], langs: list, sources: list, chars: list):
+        self.n = len(texts)
+        data = b"\n".join(texts).lower()
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        starts = np.concatenate(([0], ends[:-1]))
+        raw = np.frombuffer(data, np.uint8)
+        owner, words, counts = self._distinct(data, starts)
+        shape = np.frombuffer(data.translate(_SHAPE), np.uint8)
+        kept = np.concatenate(([True], (shape[1:] != shape[:-1]) | (shape[1:] != 97) & (shape[1:] != 57))) if len(shape) else np.zeros(0, bool)
+        before = np.concatenate(([0], np.cumsum(kept)))
+        shape_owner, shapes, _ = self._distinct(shape[kept].tobytes(), before[starts])
+        words_in = np.bincount(owner, counts, self.n).astype(np.int64)
+        distinct = np.bincount(owner, minlength=self.n)
+        top = np.zeros(self.n, np.int64)
+        np.maximum.at(top, owner, counts)
+        per = lambda flags: np.diff(np.concatenate(([0], np.cumsum(flags)))[np.append(starts, len(raw))])
+        lines, others, sizes = per(raw == 10), per(~_LETTERS[raw]), np.array([len(t) for t in texts])
+        empty = np.flatnonzero(words_in == 0)
+        pairs = np.unique(np.concatenate((owner * DIMS + (words % (DIMS - 1)).astype(np.int64), shape_owner * DIMS + (shapes % (DIMS - 1)).astype(np.int64), empty * DIMS + DIMS - 1)))
+        layout = []
+        for i, (lang, source, n_chars, n) in enumerate(zip(langs, sources, chars, words_in.tolist())):
+            values = (
+                ("lang", lang),
+                ("source", source),
+                ("chars", None if n_chars is None else int(n_chars).bit_length()),
+                ("line", int(math.log2(1 + sizes[i] / (1 + lines[i])) * 2)),
+                ("others", int(20 * others[i] / (1 + sizes[i]))),
+                ("distinct", int(10 * distinct[i] / n) if n else -1, n.bit_length()),
+                ("top", int(20 * top[i] / n) if n else -1, n.bit_length()),
+            )
+            layout.append([i * DIMS + zlib.crc32(repr(x).encode()) % DIMS for x in values])
+        self.pairs = pairs, np.unique(np.array(layout, np.int64).ravel())
+
+    @staticmethod
+    def _distinct(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, digest, count) of the distinct words of each text."""
+        at, h = word_hashes(data)
+        owner = np.searchsorted(starts, at, "right") - 1
+        with np.errstate(over="ignore"):
+            key = h[:, 0] ^ (owner.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        _, first, counts = np.unique(key, return_index=True, return_counts=True)
+        return owner[first], h[first, 0], counts
+
+    def add_to(self, counts: np.ndarray, view: int, classes: np.ndarray, weight: float = 1.0) -> None:
+        """Count the features of one view by the class of their text; texts of class -1 do not count."""
+        y = classes[self.pairs[view] // DIMS]
+        for c in (0, 1):
+            counts[view, c] += weight * np.bincount(self.pairs[view][y == c] % DIMS, minlength=DIMS)
+
+
+def _together(texts: list, limit: int = 1 << 20):
+    """Slices of consecutive texts of about ``limit`` bytes."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size > limit:
+            yield slice(first, i + 1)
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
+def _parts(batch):
+    """(slice, Features) of a batch whose first columns are text, lang, source, n_chars."""
+    texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
+    rest = [batch.column(i).to_pylist() for i in (1, 2, 3)]
+    for part in _together(texts):
+        yield part, Features(texts[part], *(x[part] for x in rest))
 
 
 class Model:
@@ -95,13 +133,18 @@ class Model:
         self.odds = (np.log(p[:, 1]) - np.log(p[:, 0])).astype(np.float32)
         return self
 
-    def raw(self, view: int, ids: np.ndarray) -> float:
-        x = self.odds[view][ids]
-        return float(x.sum() / math.sqrt(len(x)))
+    def raw(self, features: Features) -> np.ndarray:
+        """Per text the summed log odds of each view, over the root of their number."""
+        out = []
+        for view, pairs in enumerate(features.pairs):
+            text = pairs // DIMS
+            out.append(np.bincount(text, self.odds[view][pairs % DIMS], features.n) / np.sqrt(np.bincount(text, minlength=features.n)))
+        return np.stack(out, axis=1)
 
-    def probability(self, which: int, a: float, b: float) -> float:
-        z = self.fit[which] @ (1.0, a, b)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    def probabilities(self, raw: np.ndarray) -> np.ndarray:
+        """Per text the calibrated probability by content, by metadata and by both."""
+        z = np.concatenate((np.ones((len(raw), 1)), raw), axis=1) @ self.fit.T
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
@@ -147,24 +190,16 @@ def _add(model: Model, counted: DataFrame) -> None:
             model.counts[r["view"], r["y"], r["feature"]] += r["n"]
 
 
-def _rows(batch):
-    """(text, lang, source, n_chars) of the first four columns."""
-    return zip(*(batch.column(i).to_pylist() for i in range(4)))
-
-
 def _calibrate(model: Model, held: DataFrame) -> None:
     """Joint and single calibrations on the labelled rows that were kept out."""
     shared = held.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m, ids = shared.value, _Ids()
         for b in batches:
-            out = []
-            for (text, lang, source, n_chars), y in zip(_rows(b), b.column(4).to_pylist()):
-                c, d = features(text or "", lang, source, n_chars, ids)
-                out.append((m.raw(0, c), m.raw(1, d), y))
-            cols = list(zip(*out)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()) for x in cols], names=["a", "b", "y"])
+            for part, f in _parts(b):
+                raw = shared.value.raw(f)
+                y = b.column(4).to_numpy(zero_copy_only=False)[part].astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (raw[:, 0], raw[:, 1], y)], names=["a", "b", "y"])
 
     got = held.select("text", "lang", "source", "n_chars", "y").mapInArrow(run, "a double, b double, y double").collect()
     if not got or len({r["y"] for r in got}) < 2:
@@ -183,12 +218,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: in
     some = labelled(docs, labels, label, bound)
 
     def count(batches):
-        counts, n, ids = np.zeros((2, 2, DIMS)), np.zeros((2, 2)), _Ids()
+        counts, n = np.zeros((2, 2, DIMS)), np.zeros((2, 2))
         for b in batches:
-            for (text, lang, source, n_chars), y in zip(_rows(b), b.column(4).to_pylist()):
-                for view, f in enumerate(features(text or "", lang, source, n_chars, ids)):
-                    counts[view, y, f] += 1
-                    n[view, y] += 1
+            for part, f in _parts(b):
+                y = b.column(4).to_numpy(zero_copy_only=False)[part].astype(int)
+                for view in (0, 1):
+                    f.add_to(counts, view, y)
+                    n[view] += np.bincount(y, minlength=2)
         yield _emit(counts, n)
 
     _add(model, some.filter("fold > 0").select("text", "lang", "source", "n_chars", "y").mapInArrow(count, _COUNTED))
@@ -201,16 +237,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: in
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
         def exchange(batches):
-            m, counts, n, ids = shared.value, np.zeros((2, 2, DIMS)), np.zeros((2, 2)), _Ids()
+            m, counts, n = shared.value, np.zeros((2, 2, DIMS)), np.zeros((2, 2))
             for b in batches:
-                for text, lang, source, n_chars in _rows(b):
-                    both = features(text or "", lang, source, n_chars, ids)
-                    raw = m.raw(0, both[0]), m.raw(1, both[1])
-                    for view in (0, 1):
-                        p = m.probability(view, *raw)
-                        if max(p, 1 - p) >= SURE:
-                            counts[1 - view, int(p > 0.5), both[1 - view]] += WEIGHT
-                            n[1 - view, int(p > 0.5)] += WEIGHT
+                for _, f in _parts(b):
+                    p = m.probabilities(m.raw(f))
+                    for view in (0, 1):  # what one view is sure about teaches the other
+                        y = np.where(np.maximum(p[:, view], 1 - p[:, view]) >= SURE, p[:, view] > 0.5, -1).astype(int)
+                        f.add_to(counts, 1 - view, y, WEIGHT)
+                        n[1 - view] += WEIGHT * np.bincount(y[y >= 0], minlength=2)
             yield _emit(counts, n)
 
         # pseudo-labels are given anew in each round; together they weigh as much as the labelled rows
@@ -235,18 +269,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = schema.add("keep", "boolean")
 
     def run(batches):
-        m, ids = shared.value, _Ids()
         for b in batches:
-            out = []
-            for text, lang, source, n_chars in _rows(b):
-                if not ready:
-                    out.append((0.5, 0.5, 0.5))
-                    continue
-                f = features(text or "", lang, source, n_chars, ids)
-                raw = m.raw(0, f[0]), m.raw(1, f[1])
-                out.append(tuple(m.probability(i, *raw) for i in range(3)))
-            cols = [pa.array(c, pa.float64()) for c in (zip(*out) if out else [()] * 3)]
-            cols.append(pa.array([x[2] >= KEEP_AT for x in out], pa.bool_()))
+            if ready:
+                p = np.concatenate([shared.value.probabilities(shared.value.raw(f)) for _, f in _parts(b)] or [np.zeros((0, 3))])
+            else:
+                p = np.full((b.num_rows, 3), 0.5)
+            cols = [*(pa.array(p[:, i]) for i in range(3)), pa.array(p[:, 2] >= KEEP_AT)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "p_content", "p_metadata", "quality_score", "keep"])
 
     return docs.select(*needed, *names).mapInArrow(run, schema)
