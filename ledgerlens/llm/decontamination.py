@@ -138,23 +138,56 @@ def align(part: bytes, text: bytes, low: int, high: int, k: int) -> tuple[int, i
     return found
 
 
+def distances(tasks: list[tuple[bytes, bytes, int, int]], k: int) -> np.ndarray:
+    """Least edits of each (passage, text, low, high), as ``align`` finds them, for passages of one length.
+
+    All bands advance together, a passage byte at a time. Places outside a text hold a value that no byte
+    equals; to pass over one costs an edit, as leaving out the passage byte does, so they change nothing.
+    """
+    m, width = len(tasks[0][0]), tasks[0][3] - tasks[0][2] + 2 * k + 1
+    out = np.empty(len(tasks), np.int64)
+    ramp = np.arange(width, dtype=np.int16)
+    for at in range(0, len(tasks), 8192):
+        some = tasks[at : at + 8192]
+        around = np.full((len(some), width + m), 256, np.int16)
+        for row, (_, text, low, _) in zip(around, some):
+            a, e = max(0, low - k), min(len(text), low - k + width + m)
+            if a < e:
+                row[a - low + k : e - low + k] = np.frombuffer(text, np.uint8, e - a, a)
+        part = np.frombuffer(b"".join(t[0] for t in some), np.uint8).reshape(-1, m)
+        cells = np.zeros((len(some), width), np.int16)
+        for i in range(m):
+            new = cells + (around[:, i : i + width] != part[:, i : i + 1])
+            np.minimum(new[:, :-1], cells[:, 1:] + 1, out=new[:, :-1])
+            cells = np.minimum.accumulate(new - ramp, axis=1) + ramp
+        out[at : at + 8192] = cells.min(axis=1)
+    return out
+
+
 def matches(texts: list[bytes], index: Passages) -> list[tuple[int, int, int, int, int]]:
     """(text number, passage, edits, start byte, end byte), best per text and passage. Texts are lowered."""
     starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    open_: dict[tuple[int, int], list] = {}
     for part, low in bands(_GAP.join(texts), index) if texts else ():
         p, k = index.parts[part], index.budget[part]
         high = low + int(index.width[part])
         a = int(np.searchsorted(starts, max(low - k, 0), "right")) - 1
         while a < len(texts) and starts[a] <= high + len(p) + k:
-            text, base = texts[a], int(starts[a])
-            if best.get((a, part), (1,))[0] > 0:
-                from_, to = max(0, low - k - base), max(0, high + len(p) + k - base)
-                at = text.find(p, from_, to)
-                hit = (0, at, at + len(p)) if at >= 0 else align(p, text, low - base, high - base, k) if k else None
-                if hit and hit < best.get((a, part), (k + 1,)):
-                    best[a, part] = hit
+            base = int(starts[a])
+            if (a, part) not in best:
+                at = texts[a].find(p, max(0, low - k - base), max(0, high + len(p) + k - base))
+                if at >= 0:
+                    best[a, part] = (0, at, at + len(p))
+                elif k:
+                    open_.setdefault((len(p), k), []).append((a, part, low - base, high - base))
             a += 1
+    for (_, k), tasks in open_.items():
+        tasks = [t for t in tasks if best.get(t[:2], (1,))[0]]
+        near = distances([(index.parts[part], texts[a], low, high) for a, part, low, high in tasks], k) <= k if tasks else ()
+        for (a, part, low, high), ok in zip(tasks, near):
+            if ok and (hit := align(index.parts[part], texts[a], low, high, k)) and hit < best.get((a, part), (k + 1,)):
+                best[a, part] = hit
     for part in index.tiny:
         for a, text in enumerate(texts):
             if (at := text.find(index.parts[part])) >= 0:
