@@ -53,9 +53,9 @@ def tree_paths(nodes: DataFrame, best: int | None = 1) -> DataFrame:
             raise ValueError("a reply tree has a cycle")
         levels.append(left.select("tree", "node", "ptr"))
         far = state.select("tree", F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.col("depth").alias("d"), F.col("score").alias("s"))
-        grown = state.join(far, ["tree", "ptr"], "left")
-        new = grown.select("tree", "node", F.col("next").alias("ptr"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"))
-        state = materialize(new, "jump")
+        # only nodes that have not met their root are joined: one deep tree does not cost the others a round
+        jumped = left.join(far, ["tree", "ptr"]).select("tree", "node", F.col("next").alias("ptr"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("score") + F.col("s")).alias("score"))
+        state = materialize(jumped.unionAll(state.filter("ptr is null").select("tree", "node", "ptr", "depth", "score")), "jump")
     parents = levels[0].select("tree", F.col("ptr").alias("node")).distinct() if levels else state.select("tree", "node").limit(0)
     leaves = state.join(parents, ["tree", "node"], "left_anti")
     leaves = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node")))
