@@ -1,8 +1,446 @@
-"""Registered queries of the table question-answering operators."""
+"""Registered queries of the table question-answering operators, each beside the SQL with the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ledgerlens.functions import fuzzy, numbers, text
+from ledgerlens.operators import extract, joins, metrics, ranking, sampling
+from ledgerlens.plans import ir
 
 QUERIES = {}
 SQL = {}
 
 
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark, d, name) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def year(col: str):
+    return F.year(col).cast("long")
+
+
+def _revenue(spark, d) -> DataFrame:
+    """Long cells: nation, year, revenue, discount, tax (money), quantity."""
+    li, o = t(spark, d, "lineitem"), t(spark, d, "orders")
+    c, n = t(spark, d, "customer"), t(spark, d, "nation")
+    rows = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    money = lambda x: F.round(F.sum(x.cast("decimal(20,6)")), 2).cast("double")
+    return rows.groupBy(F.col("n_name").alias("entity"), year("o_orderdate").alias("year")).agg(
+        money(F.col("l_extendedprice")).alias("revenue"),
+        money(F.col("l_extendedprice") * F.col("l_discount")).alias("discount"),
+        money(F.col("l_extendedprice") * F.col("l_tax")).alias("tax"),
+        F.sum("l_quantity").alias("quantity"),
+    )
+
+
+_CELLS = """cells as (select n_name as entity, year(o_orderdate) as year,
+  cast(round(sum(cast(l_extendedprice as decimal(20,6))), 2) as double) as revenue,
+  cast(round(sum(cast(l_extendedprice * l_discount as decimal(20,6))), 2) as double) as discount,
+  cast(round(sum(cast(l_extendedprice * l_tax as decimal(20,6))), 2) as double) as tax, sum(l_quantity) as quantity
+  from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
+  join nation on c_nationkey = n_nationkey group by all)"""
+
+
+def _program_facts(spark, d, metric_names: list[str], years: int = 3) -> DataFrame:
+    """One row per entity: <metric>_<i> for its first years, as facts of a program."""
+    w = Window.partitionBy("entity").orderBy("year")
+    cells = _revenue(spark, d).withColumn("i", F.row_number().over(w)).filter(F.col("i") <= years)
+    slots = [f"{m}_{i}" for m in metric_names for i in range(1, years + 1)]
+    long = cells.select("entity", F.explode(F.array(*(F.struct(F.concat(F.lit(f"{m}_"), F.col("i").cast("string")).alias("slot"), F.col(m).alias("value")) for m in metric_names))).alias("c")).select("entity", "c.*")
+    return ir.pivot_facts(long, ["entity"], "slot", "value", slots)
+
+
+_FIRST = _CELLS + """, ranked as (select *, row_number() over (partition by entity order by year) as i from cells),
+  p as (select entity, """ + ", ".join(f"max({m}) filter (i = {i}) as {m}_{i}" for m in ("revenue", "discount", "tax") for i in (1, 2, 3)) + " from ranked group by entity)"
+
+
+def _facts(*names: str) -> dict:
+    return {n: {"type": "money"} for n in names}
+
+
+def f(name: str) -> dict:
+    return {"fact": name}
+
+
+def op(name: str, *args, **more) -> dict:
+    return {"op": name, "args": list(args), **more}
+
+
+def _status(x: str) -> str:
+    return f"select entity, round({x}, 2) + 0.0 as answer, case when ({x}) is null then 'execution_failed' else 'ok' end as status from p"
+
+
+GROWTH = {"facts": _facts("revenue_1", "revenue_2"), "root": op("growth_percent", f("revenue_1"), f("revenue_2")), "output": "percent"}
+
+
 def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """Growth of revenue between the first two years of each nation."""
+    return ir.answer(_program_facts(spark, sf_dir, ["revenue"], 2), GROWTH, ["entity"])
+
+
+def _program(name: str, program: dict, metric_names: list[str], sql: str):
+    def run(spark, d):
+        return ir.answer(_program_facts(spark, d, metric_names), program, ["entity"])
+
+    QUERIES[name] = run
+    SQL[name] = f"with {_FIRST} {_status(sql)}"
+
+
+_R, _D, _T = ([f(f"{m}_{i}") for i in (1, 2, 3)] for m in ("revenue", "discount", "tax"))
+_ratio = [op("divide", d_, r) for d_, r in zip(_D, _R)]
+_program("ir_growth", GROWTH, ["revenue"], "case when revenue_1 <> 0 then (revenue_2 - revenue_1) / abs(revenue_1) * 100 end")
+_program("ir_cagr", {"facts": _facts("revenue_1", "revenue_3"), "root": op("cagr", _R[0], _R[2], {"lit": 2}), "output": "percent"}, ["revenue"], "(pow(revenue_3 / revenue_1, 1.0 / 2) - 1) * 100")
+_program("ir_ratio_percent", {"facts": _facts("discount_1", "revenue_1"), "root": _ratio[0], "output": "percent"}, ["revenue", "discount"], "discount_1 / revenue_1 * 100")
+_program("ir_average_median", {"facts": _facts("revenue_1", "revenue_2", "revenue_3"), "bindings": {"m": op("median", *_R)}, "root": op("subtract", op("average", *_R), {"var": "m"}), "output": "money"}, ["revenue"], "(revenue_1 + revenue_2 + revenue_3) / 3 - list_median([revenue_1, revenue_2, revenue_3])".replace("list_median", "list_aggregate").replace("revenue_3])", "revenue_3], 'median')"))
+_program("ir_count_improving", {"facts": _facts(*(f"{m}_{i}" for m in ("revenue", "discount") for i in (1, 2, 3))), "root": op("count_true", op("gt", _ratio[1], _ratio[0]), op("gt", _ratio[2], _ratio[1])), "output": "count"}, ["revenue", "discount"], "cast((discount_2 / revenue_2 > discount_1 / revenue_1)::int + (discount_3 / revenue_3 > discount_2 / revenue_2)::int as double)")
+_program("ir_argmax_project_when", {"facts": _facts(*(f"{m}_{i}" for m in ("revenue", "discount", "tax") for i in (1, 2, 3))), "root": {"op": "argmax_project", "scores": _ratio, "results": _T, "when": [op("gt", r, x) for r, x in zip(_R, _T)]}, "output": "money"}, ["revenue", "discount", "tax"], "case when discount_1 / revenue_1 >= discount_2 / revenue_2 and discount_1 / revenue_1 >= discount_3 / revenue_3 then tax_1 when discount_2 / revenue_2 >= discount_3 / revenue_3 then tax_2 else tax_3 end")
+_program("ir_point_change", {"facts": _facts("revenue_1", "revenue_2", "discount_1", "discount_2"), "root": op("percentage_point", _ratio[1], _ratio[0]), "output": "percentage_point"}, ["revenue", "discount"], "(discount_2 / revenue_2 - discount_1 / revenue_1) * 100")
+_program("ir_scenario", {"facts": _facts("revenue_1"), "root": op("increase_percent", _R[0], {"lit": 7.3, "type": "percent"}), "output": "money"}, ["revenue"], "revenue_1 + revenue_1 * 7.3::double / 100")
+_program("ir_if_else", {"facts": _facts("revenue_1", "revenue_2"), "root": op("if_else", op("gt", _R[0], _R[1]), op("subtract", _R[0], _R[1]), {"lit": 0}), "output": "money"}, ["revenue"], "case when revenue_1 > revenue_2 then revenue_1 - revenue_2 else 0 end")
+
+
+@query("with " + _CELLS + """, r as (select *, discount / revenue as ratio from cells),
+m as (select entity, median(ratio) as m from r group by entity)
+select r.entity, round((avg(revenue) filter (ratio > m)) - (avg(revenue) filter (ratio <= m)), 4) as gap from r join m using (entity) group by r.entity""")
+def shape_median_partition(spark, d):
+    r = _revenue(spark, d).withColumn("ratio", F.col("discount") / F.col("revenue"))
+    m = r.groupBy("entity").agg(F.median("ratio").alias("m"))
+    above = F.col("ratio") > F.col("m")
+    return r.join(m, "entity").groupBy("entity").agg(F.round(F.avg(F.when(above, F.col("revenue"))) - F.avg(F.when(~above, F.col("revenue"))), 4).alias("gap"))
+
+
+@query("with " + _CELLS + """, r as (select entity, year, discount / revenue as ratio, lead(tax / revenue) over (partition by entity order by year) as next_tax from cells)
+select entity, round(arg_min(next_tax, ratio) filter (next_tax is not null), 6) as next_tax from r group by entity""")
+def shape_argmin_next_year(spark, d):
+    nxt = F.lead(F.col("tax") / F.col("revenue")).over(Window.partitionBy("entity").orderBy("year"))
+    r = _revenue(spark, d).select("entity", "year", (F.col("discount") / F.col("revenue")).alias("ratio"), nxt.alias("next_tax"))
+    return r.filter("next_tax is not null").groupBy("entity").agg(F.round(F.min_by("next_tax", F.struct("ratio", "year")), 6).alias("next_tax"))
+
+
+@query("with " + _CELLS + """, g as (select entity, year, revenue > lag(revenue) over (partition by entity order by year) as up, revenue from cells)
+select entity, cast(count(*) filter (up) as bigint) as rising_years, round(sum(revenue) filter (up), 2) as rising_revenue from g group by entity""")
+def shape_conditional_sum(spark, d):
+    up = F.col("revenue") > F.lag("revenue").over(Window.partitionBy("entity").orderBy("year"))
+    return _revenue(spark, d).withColumn("up", up).groupBy("entity").agg(F.count_if("up").alias("rising_years"), F.round(F.sum(F.when(F.col("up"), F.col("revenue"))), 2).alias("rising_revenue"))
+
+
+@query("with " + _CELLS + """, e as (select entity, bool_and(discount / revenue > 0.04) as always, sum(revenue) as total from cells group by entity)
+select round(sum(total) filter (always), 2) as held, cast(count(*) filter (always) as bigint) as n from e""")
+def shape_every_year(spark, d):
+    e = _revenue(spark, d).groupBy("entity").agg(F.bool_and(F.col("discount") / F.col("revenue") > 0.04).alias("always"), F.sum("revenue").alias("total"))
+    return e.agg(F.round(F.sum(F.when(F.col("always"), F.col("total"))), 2).alias("held"), F.count_if("always").alias("n"))
+
+
+@query("with " + _CELLS + """, m as (select year, median(revenue) as m from cells group by year)
+select c.year, round((sum(revenue) filter (revenue < m)) / sum(revenue) * 100, 4) as share from cells c join m using (year) group by c.year""")
+def shape_below_median_share(spark, d):
+    c = _revenue(spark, d)
+    m = c.groupBy("year").agg(F.median("revenue").alias("m"))
+    return c.join(m, "year").groupBy("year").agg(F.round(F.sum(F.when(F.col("revenue") < F.col("m"), F.col("revenue"))) / F.sum("revenue") * 100, 4).alias("share"))
+
+
+@query("with " + _CELLS + """, a as (select entity, year, revenue / ((quantity + lag(quantity) over (partition by entity order by year)) / 2) as turn from cells)
+select entity, round(max(turn), 4) as best, arg_max(year, turn) as best_year from a group by entity""")
+def shape_average_balance(spark, d):
+    w = Window.partitionBy("entity").orderBy("year")
+    turn = F.col("revenue") / ((F.col("quantity") + F.lag("quantity").over(w)) / 2)
+    a = _revenue(spark, d).select("entity", "year", turn.alias("turn"))
+    return a.groupBy("entity").agg(F.round(F.max("turn"), 4).alias("best"), F.max_by("year", F.struct("turn", -F.col("year"))).alias("best_year"))
+
+
+@query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderstatus = 'F' and o_totalprice > 100000")
+def scan_filter_project(spark, d):
+    return t(spark, d, "orders").filter("o_orderstatus = 'F' and o_totalprice > 100000").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("select cast(n_nationkey as varchar) as doc_key, 0::bigint as table_pos, n_name as label, cast(n_nationkey + 0.5 as double) as value from nation")
+def html_grid_roundtrip(spark, d):
+    html = F.format_string("<p>PAGE 1</p><table><tr><th>name</th><th>value</th></tr><tr><td>%s</td><td>%d,5</td></tr></table>", "n_name", "n_nationkey")
+    docs = t(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("doc_key"), html.alias("text"))
+    tables = extract.find_tables(docs).select("doc_key", F.col("table_pos").cast("long"), "grid")
+    return extract.cells(tables).select("doc_key", "table_pos", "label", "value")
+
+
+@query("select page_id, length(regexp_replace(html, '<[^>]+>', '', 'g')) as plain_chars, length(html) - length(replace(html, '<', '')) as marks from pages")
+def page_tag_strip(spark, d):
+    return t(spark, d, "pages").select("page_id", F.length(F.regexp_replace("html", "<[^>]+>", "")).cast("long").alias("plain_chars"), (F.length("html") - F.length(F.replace("html", F.lit("<")))).cast("long").alias("marks"))
+
+
+@query("select c_custkey, c_acctbal from customer where c_custkey % 10 <> 0 union all select c_custkey, 0.0 from customer where c_custkey % 10 = 0")
+def incremental_upsert(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", "c_acctbal")
+    return joins.upsert(c, c.filter("c_custkey % 10 = 0").withColumn("c_acctbal", F.lit(0.0)), "c_custkey")
+
+
+@query("select l_orderkey, cast(l_linenumber as bigint) as line, metric, value from (unpivot (select l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax from lineitem) on l_quantity, l_extendedprice, l_discount, l_tax into name metric value value)")
+def cell_unpivot(spark, d):
+    return t(spark, d, "lineitem").unpivot(["l_orderkey", F.col("l_linenumber").cast("long").alias("line")], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "metric", "value")
+
+
+@query("select p_brand, arg_min(p_retailprice, p_partkey) as price, min(p_partkey) as p_partkey from part where contains(lower(p_name), 'a') group by p_brand")
+def contains_first_match(spark, d):
+    p = t(spark, d, "part").filter(F.contains(F.lower("p_name"), F.lit("a")))
+    return p.groupBy("p_brand").agg(F.min_by("p_retailprice", "p_partkey").alias("price"), F.min("p_partkey").alias("p_partkey"))
+
+
+@query("select l_orderkey, l_partkey, l_quantity from lineitem qualify count(*) over (partition by l_orderkey, l_partkey) = 1")
+def verified_facts(spark, d):
+    w = Window.partitionBy("l_orderkey", "l_partkey")
+    return t(spark, d, "lineitem").withColumn("n", F.count(F.lit(1)).over(w)).filter("n = 1").select("l_orderkey", "l_partkey", "l_quantity")
+
+
+@query("select c_custkey, c_name, o_orderkey from customer left join orders on c_custkey = o_custkey")
+def left_metadata_join(spark, d):
+    c, o = t(spark, d, "customer"), t(spark, d, "orders")
+    return c.join(o, c.c_custkey == o.o_custkey, "left").select("c_custkey", "c_name", "o_orderkey")
+
+
+@query("""select o_custkey, o_orderkey, tier from (select *, min(tier) over (partition by o_custkey) as least from (
+select o_custkey, o_orderkey, cast(case o_orderstatus when 'F' then 1 when 'O' then 2 else 3 end as bigint) as tier from orders)) where tier = least""")
+def tiered_fallback_join(spark, d):
+    tier = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3).cast("long")
+    return joins.tiered(t(spark, d, "orders"), ["o_custkey"], tier).select("o_custkey", "o_orderkey", "tier")
+
+
+@query("""select a.entity, a.year, b.year as report_year, b.revenue from cells a join cells b on a.entity = b.entity and b.year between a.year and a.year + 1""".join(["with " + _CELLS + " ", ""]))
+def band_year_join(spark, d):
+    a = _revenue(spark, d)
+    b = a.select(F.col("entity").alias("e"), F.col("year").alias("report_year"), "revenue")
+    return a.select("entity", "year").join(b, (F.col("entity") == F.col("e")) & F.col("report_year").between(F.col("year"), F.col("year") + 1)).select("entity", "year", "report_year", "revenue")
+
+
+@query("select r_name, n_name, y as year from region cross join nation cross join (select unnest([2020, 2021])::bigint as y) where r_regionkey = n_regionkey")
+def facts_grid(spark, d):
+    r, n = t(spark, d, "region"), t(spark, d, "nation")
+    return n.join(r, n.n_regionkey == r.r_regionkey).select("r_name", "n_name", F.explode(F.array(F.lit(2020), F.lit(2021)).cast("array<bigint>")).alias("year"))
+
+
+@query("""with w as (select vec_id, embedding from embeddings where vec_id < 5),
+s as (select w.vec_id as query_id, e.vec_id, round(list_cosine_similarity(w.embedding::double[], e.embedding::double[]), 6) as score from w join embeddings e on true)
+select query_id, vec_id, score, cast(row_number() over (partition by query_id order by score desc, vec_id) as bigint) as rank from s qualify rank <= 10""")
+def cosine_topk(spark, d):
+    e = t(spark, d, "embeddings")
+    q = e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # the stated query set: five rows
+    s = e.join(F.broadcast(q)).select("query_id", "vec_id", F.round(ranking.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    return ranking.top_k(s, ["query_id"], [F.desc("score"), F.asc("vec_id")], 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(r"""with d as (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as terms from documents),
+q as (select item_id as query_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from benchmark),
+st as (select count(*) as n, avg(len(terms)) as a from d),
+tf as (select doc_id, len(terms) as dl, term, count(*) as tf from (select doc_id, terms, unnest(terms) as term from d) where term in (select term from q) group by all),
+df as (select term, count(*) as df from tf group by term),
+s as (select query_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))), 4) as score from tf join df using (term) join q using (term), st group by all)
+select query_id, doc_id, score from s qualify row_number() over (partition by query_id order by score desc, doc_id) <= 20""")
+def bm25_topk(spark, d):
+    terms = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
+    docs = t(spark, d, "documents").select("doc_id", terms("text").alias("terms"))
+    asked = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), terms("text").alias("terms"))
+    scored = ranking.bm25(docs, asked).withColumn("score", F.round("score", 4))
+    return ranking.top_k(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], 20).drop("rank")
+
+
+@query("""select event_id, coalesce(m, -1.0) as mark from (select event_id, last_value(case when event_type = 'view' then value end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as m from events)""")
+def sticky_last_value(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.last(F.when(F.col("event_type") == "view", F.col("value")), ignorenulls=True).over(w)
+    return t(spark, d, "events").select("event_id", F.coalesce(mark, F.lit(-1.0)).alias("mark"))
+
+
+@query("""with l as (select event_id, user_id, ts from events where event_type <> 'view'), r as (select user_id, ts, max(event_id) as page from events where event_type = 'view' group by all)
+select l.event_id, r.page from l asof left join r on l.user_id = r.user_id and l.ts >= r.ts""")
+def asof_page_lookup(spark, d):
+    e = t(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    r = e.filter("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("page"))
+    return joins.as_of(e.filter("event_type <> 'view'").select("event_id", "user_id", "ts"), r, ["user_id"], "ts", "page").select("event_id", "page")
+
+
+@query("select c_custkey, exists (select 1 from orders where o_custkey = c_custkey) as has_orders from customer")
+def semi_anti_mask(spark, d):
+    c, o = t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return c.join(o, "c_custkey", "left_semi").withColumn("has_orders", F.lit(True)).union(c.join(o, "c_custkey", "left_anti").withColumn("has_orders", F.lit(False)))
+
+
+@query("select o_orderkey, case when o_orderstatus = 'O' and o_orderkey % 2 = 0 then -1.0 else o_totalprice end as o_totalprice from orders")
+def coalesce_merge(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return joins.overlay(o, o.filter("o_orderkey % 2 = 0").withColumn("o_totalprice", F.lit(-1.0)), "o_orderkey", ["o_totalprice"], F.col("o_orderstatus") == "O").drop("o_orderstatus")
+
+
+@query("""with a as (select distinct c_custkey as k from customer), b as (select distinct o_custkey as k from orders)
+select count(*) filter (b.k is null) as only_left, count(*) filter (a.k is null) as only_right, count(*) filter (a.k is not null and b.k is not null) as in_both from a full join b on a.k = b.k""")
+def universe_gate(spark, d):
+    return joins.universe_gate(t(spark, d, "customer").select(F.col("c_custkey").alias("k")), t(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
+
+
+@query("""select a.o_orderkey, b.o_orderkey as other from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey and abs(a.o_totalprice - b.o_totalprice) <= greatest(1.0, abs(b.o_totalprice) * 0.01)""")
+def adjacent_equal_join(spark, d):
+    a = t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    b = a.select("o_custkey", F.col("o_orderkey").alias("other"), F.col("o_totalprice").alias("p"))
+    return a.join(b, "o_custkey").filter((F.col("o_orderkey") < F.col("other")) & joins.close_values(F.col("o_totalprice"), F.col("p"), 0.01)).select("o_orderkey", "other")
+
+
+@query("select l_returnflag, sum(l_quantity) as total, round(avg(l_quantity), 4) as mean, median(l_quantity) as middle, min(l_quantity) as low, max(l_quantity) as high from lineitem group by l_returnflag")
+def sum_avg_median(spark, d):
+    q = "l_quantity"
+    return t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.sum(q).alias("total"), F.round(F.avg(q), 4).alias("mean"), F.median(q).alias("middle"), F.min(q).alias("low"), F.max(q).alias("high"))
+
+
+@query("select o_custkey, count(*) filter (o_totalprice > 150000) as big, count(*) as n from orders group by o_custkey")
+def count_true(spark, d):
+    return t(spark, d, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_totalprice") > 150000).alias("big"), F.count(F.lit(1)).alias("n"))
+
+
+@query("select user_id, answer, votes from (select user_id, round(value, 0) as answer, count(*) as votes, min(event_id) as f from events group by all) qualify row_number() over (partition by user_id order by votes desc, f) = 1")
+def vote_mode(spark, d):
+    e = t(spark, d, "events")
+    counted = metrics.vote(e.withColumn("value", F.round("value", 0)), "user_id", "value", "event_id")
+    return counted
+
+
+@query("select o_custkey, min(o_orderpriority) as value, count(*) as support from orders group by o_custkey having count(distinct o_orderpriority) = 1")
+def consensus_cluster(spark, d):
+    return metrics.consensus(t(spark, d, "orders"), "o_custkey", F.col("o_orderpriority"))
+
+
+@query("""select l_returnflag, l_linestatus, sum(l_quantity) as total, count(*) as n from lineitem group by grouping sets ((l_returnflag), (l_linestatus), ())""")
+def grouping_sets_report(spark, d):
+    t(spark, d, "lineitem").createOrReplaceTempView("gs_lineitem")
+    return spark.sql("select l_returnflag, l_linestatus, sum(l_quantity) as total, count(*) as n from gs_lineitem group by grouping sets ((l_returnflag), (l_linestatus), ())")
+
+
+@query("""with g as (select c_mktsegment as s, count(*) as n from customer group by 1), b as (select s, n, n * 100 / sum(n) over () as q0, round(n * 100.0 / sum(n) over () - floor(n * 100.0 / sum(n) over ()), 9) as part, floor(n * 100.0 / sum(n) over ()) as quota from g)
+select s, n, cast(quota + (row_number() over (order by part desc, s) <= 100 - sum(quota) over ())::int as bigint) as quota from b""")
+def stratified_allocation(spark, d):
+    g = t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    return sampling.allocate(g, "s", "n", 100)
+
+
+@query("""select c_custkey, cast(('0x' || sha256('seed|' || c_custkey)[1:8])::bigint % 100 as bigint) as bucket from customer""")
+def hash_split(spark, d):
+    return t(spark, d, "customer").select("c_custkey", sampling.hash_percent("seed", "c_custkey").alias("bucket"))
+
+
+@query("""select c_custkey, c_mktsegment from customer qualify row_number() over (partition by c_mktsegment order by sha256('s|' || c_mktsegment || '|' || c_custkey), c_custkey) <= 12""")
+def quota_sample(spark, d):
+    return sampling.quota_sample(t(spark, d, "customer"), "c_mktsegment", "c_custkey", 12, "s").select("c_custkey", "c_mktsegment")
+
+
+@query("""with a as (select l_orderkey as q, l_suppkey % 3 as g, l_extendedprice as score, l_linenumber as pos from lineitem),
+n as (select q, count(distinct g) as groups from a group by q),
+r as (select a.*, groups, row_number() over (partition by a.q, g order by score desc, pos) as rn from a join n using (q)),
+f as (select *, (rn > greatest(1, 3 // groups))::int as fill from r)
+select q, cast(pos as bigint) as pos, score from f qualify row_number() over (partition by q order by fill, score desc, pos) <= 3""")
+def quota_topk(spark, d):
+    a = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("q"), (F.col("l_suppkey") % 3).alias("g"), F.col("l_extendedprice").alias("score"), F.col("l_linenumber").cast("long").alias("pos"))
+    return ranking.quota_top_k(a, "q", "g", "score", "pos", 3).select("q", "pos", "score")
+
+
+@query("""select o_custkey, o_orderkey, round(o_totalprice - second, 2) as gap from (select *, lead(o_totalprice) over w as second, row_number() over w as r from orders window w as (partition by o_custkey order by o_totalprice desc, o_orderkey)) where r = 1""")
+def runner_up_gap(spark, d):
+    return ranking.runner_up_gap(t(spark, d, "orders"), "o_custkey", "o_totalprice", "o_orderkey").select("o_custkey", "o_orderkey", F.round("gap", 2).alias("gap"))
+
+
+@query("""select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) <= 1 + o_custkey % 3""")
+def dynamic_budget_limit(spark, d):
+    return ranking.top_k(t(spark, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 1 + F.col("o_custkey") % 3).select("o_custkey", "o_orderkey")
+
+
+@query("""select l_orderkey, l_linenumber::bigint as line from lineitem qualify row_number() over (partition by l_orderkey order by (l_returnflag = 'N')::int desc, l_discount desc, l_linenumber) = 1""")
+def best_column_pick(spark, d):
+    keys = [F.desc(F.col("l_returnflag") == "N"), F.desc("l_discount"), F.asc("l_linenumber")]
+    return ranking.best_column(t(spark, d, "lineitem"), ["l_orderkey"], keys).select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"))
+
+
+@query("""with a as (select o_custkey as k from orders where o_orderstatus = 'F'), b as (select o_custkey as k from orders where o_orderstatus = 'O')
+select 'both' as kind, k from (select k from a intersect select k from b) union all select 'only_f', k from (select k from a except select k from b) union all select 'any', k from (select k from a union select k from b)""")
+def set_ops(spark, d):
+    o = t(spark, d, "orders")
+    a, b = (o.filter(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k")) for s in "FO")
+    tag = lambda kind, df: df.select(F.lit(kind).alias("kind"), "k")
+    return tag("both", a.intersect(b)).union(tag("only_f", a.subtract(b))).union(tag("any", a.union(b).distinct()))
+
+
+@query(r"""select doc_id, sha256(trim(regexp_replace(regexp_replace(lower(replace(replace(strip_accents(text), 'đ', 'd'), 'Đ', 'D')), '[^0-9a-z\s/%]', ' ', 'g'), '\s+', ' ', 'g'))) as norm_sha from documents where text is not null""")
+def text_normalize(spark, d):
+    return t(spark, d, "documents").filter("text is not null").select("doc_id", F.sha2(text.norm(F.col("text")), 256).alias("norm_sha"))
+
+
+@query("select l_orderkey, l_linenumber::bigint as line, l_extendedprice as value from lineitem where l_extendedprice >= 1000")
+def vn_number_parse(spark, d):
+    li = t(spark, d, "lineitem").filter("l_extendedprice >= 1000")
+    raw = F.translate(F.format_number("l_extendedprice", 2), ",.", ".,")
+    return li.select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), numbers.parse_number(raw).alias("value"))
+
+
+@query("select o_orderkey, case o_orderkey % 4 when 0 then 1e6 when 1 then 1e9 when 2 then 1e3 else null end::double as scale from orders")
+def unit_detect(spark, d):
+    words = F.element_at(F.array(*map(F.lit, ("Đơn vị tính: triệu đồng", "ĐVT: tỷ đồng", "Đơn vị: nghìn đồng", "Thuyết minh"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return t(spark, d, "orders").select("o_orderkey", numbers.detect_unit(text.norm(words)).alias("scale"))
+
+
+@query("select l_orderkey, l_linenumber::bigint as line, round(case when l_linenumber % 2 = 0 or abs(l_discount) > 1.5 then l_discount else l_discount * 100 end, 4) as percent from lineitem")
+def percent_from_cell(spark, d):
+    label = F.when(F.col("l_linenumber") % 2 == 0, "rate %").otherwise("rate")
+    return t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), F.round(numbers.percent_from_cell(F.col("l_discount"), label), 4).alias("percent"))
+
+
+@query("select n_nationkey::bigint as k, unnest(range(2015, 2015 + n_nationkey % 5 + 1)) as year from nation")
+def year_range_expand(spark, d):
+    q = F.format_string("revenue of %s in %d-%d", "n_name", F.lit(2015), (F.lit(2015) + F.col("n_nationkey") % 5).cast("int"))
+    return t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.explode(text.extract_years(q)).alias("year")).withColumn("year", F.col("year").cast("long"))
+
+
+@query("select o_orderkey, case when rule is null and model is null then 'none' when model is null then 'rule' when rule is null then 'model' when abs(rule - model) <= greatest(0.011, 1e-4 * greatest(abs(rule), abs(model))) then 'agree' when conf >= 78 then 'rule' else 'model' end as source from (select o_orderkey, case when o_orderkey % 5 <> 0 then o_totalprice end as rule, case when o_orderkey % 7 <> 0 then o_totalprice + (o_orderkey % 3) * 100 end as model, o_orderkey % 100 as conf from orders)")
+def arbitration(spark, d):
+    o = t(spark, d, "orders").selectExpr("o_orderkey", "case when o_orderkey % 5 <> 0 then o_totalprice end as rule", "case when o_orderkey % 7 <> 0 then o_totalprice + (o_orderkey % 3) * 100 end as model", "o_orderkey % 100 as conf")
+    return o.select("o_orderkey", metrics.arbitrate(F.col("rule"), F.col("conf"), F.col("model"), numbers.agrees(F.col("rule"), F.col("model"))).alias("source"))
+
+
+@query("select o_orderkey, case when kind = 'count' and v <> floor(v) then 'not_integer' when kind = 'percent' and abs(v) > 1e6 then 'out_of_range' when kind = 'percent' and v > 0 and v <= 1 then 'looks_like_ratio' else 'ok' end as status from (select o_orderkey, case when o_orderkey % 2 = 0 then 'percent' else 'count' end as kind, case when o_orderkey % 4 = 0 then o_totalprice / 1e6 else o_totalprice end as v from orders)")
+def answer_guards(spark, d):
+    o = t(spark, d, "orders").selectExpr("o_orderkey", "case when o_orderkey % 2 = 0 then 'percent' else 'count' end as kind", "case when o_orderkey % 4 = 0 then o_totalprice / 1e6 else o_totalprice end as v")
+    return o.select("o_orderkey", metrics.guard(F.col("v"), F.col("kind")).alias("status"))
+
+
+@query("""with g as (select lang, list(distinct doc_id order by doc_id) as gold from documents join labels using (doc_id) where quality = 1 group by lang), p as (select lang, list(distinct doc_id order by doc_id) as pred from documents where n_chars > 1000 group by lang),
+h as (select lang, len(list_intersect(pred, gold)) as h, len(pred) as p, len(gold) as g from g join p using (lang))
+select lang, round(case when h > 0 then 5 * (h / p) * (h / g) / (4 * (h / p) + h / g) else 0 end, 6) as f2 from h""")
+def macro_f2(spark, d):
+    docs, labels = t(spark, d, "documents").select("doc_id", "lang", "n_chars"), t(spark, d, "labels")
+    # per language, hits and sizes are counts: no list of ids is gathered
+    gold = labels.filter("quality = 1").select("doc_id").distinct().withColumn("gold", F.lit(1))
+    rows = docs.join(gold, "doc_id", "left").withColumn("pred", (F.col("n_chars") > 1000).cast("int"))
+    c = rows.groupBy("lang").agg(F.count_if((F.col("gold") == 1) & (F.col("pred") == 1)).alias("h"), F.sum("pred").alias("p"), F.count("gold").alias("g")).filter("p > 0 and g > 0")
+    p, r = F.col("h") / F.col("p"), F.col("h") / F.col("g")
+    return c.select("lang", F.round(F.when(F.col("h") > 0, 5 * p * r / (4 * p + r)).otherwise(0.0), 6).alias("f2"))
+
+
+@query("select event_id, json_extract_string(props, '$.k') as k, length(props) as n from events")
+def json_extract(spark, d):
+    return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.length("props").cast("long").alias("n"))
+
+
+@query("""with s as (select o_orderpriority as s, avg((o_orderstatus = 'F')::int) as rate, count(*) as n from orders group by 1) select round(sum(rate * n) / sum(n), 6) as weighted, count(*) as strata from s""")
+def post_stratified(spark, d):
+    s = t(spark, d, "orders").groupBy("o_orderpriority").agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("rate"), F.count(F.lit(1)).alias("n"))
+    return s.agg(F.round(F.sum(F.col("rate") * F.col("n")) / F.sum("n"), 6).alias("weighted"), F.count(F.lit(1)).alias("strata"))
+
+
+@query()
+def fuzzy_label_match(spark, d):
+    labels = t(spark, d, "part").select(F.col("p_name").alias("label")).distinct()
+    wanted = t(spark, d, "part").filter("p_partkey <= 20").select(F.col("p_name").alias("metric")).distinct()  # the asked metrics
+    return fuzzy.similar_labels(labels, wanted, 70.0)
