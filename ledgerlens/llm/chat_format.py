@@ -46,10 +46,10 @@ def tree_paths(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     """
     ids = materialize(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0)).cast("double").alias("score")), "nodes")
     known = ids.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    state = ids.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("ptr"), F.lit(1).alias("depth"), "score")
-    state, levels = materialize(state, "jump"), []
+    state = ids.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("ptr"), F.lit(1).cast("long").alias("depth"), "score")
+    state, levels, most = materialize(state, "jump"), [], 2 * ids.count()
     while (left := state.filter("ptr is not null")).limit(1).count():
-        if len(levels) > 62:
+        if 1 << len(levels) > most:  # a pointer has passed more ancestors than there are nodes
             raise ValueError("a reply tree has a cycle")
         levels.append(left.select("tree", "node", "ptr"))
         far = state.select("tree", F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.col("depth").alias("d"), F.col("score").alias("s"))
