@@ -36,14 +36,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = config.BM25_K1, b: flo
     below Spark's own size limit.
     """
     stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
-    asked = queries.select("query_id", F.explode("terms").alias("term"))
+    asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     postings = docs.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
     tf = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     joined = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return joined.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    return joined.groupBy("query_id", "doc_id").agg(F.sum(part * F.col("times")).alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import fuzzy, numbers, text
-from ledgerlens.operators import extract, joins, metrics, ranking, sampling
+from ledgerlens.operators import assign, extract, joins, metrics, ranking, router, sampling, shortlist
 from ledgerlens.plans import ir
 
 QUERIES = {}
@@ -444,3 +444,69 @@ def fuzzy_label_match(spark, d):
     labels = t(spark, d, "part").select(F.col("p_name").alias("label")).distinct()
     wanted = t(spark, d, "part").filter("p_partkey <= 20").select(F.col("p_name").alias("metric")).distinct()  # the asked metrics
     return fuzzy.similar_labels(labels, wanted, 70.0)
+
+
+_ASKED = ("Tốc độ tăng trưởng doanh thu của %s năm 2021 là bao nhiêu phần trăm?", "Doanh thu của %s năm 2020 là bao nhiêu tỷ đồng?", "Năm nào %s có lợi nhuận cao nhất trong 2019-2021?", "Trung bình tài sản của %s năm 2020 và 2021 là bao nhiêu triệu đồng?")
+
+
+def _questions(spark, d):
+    words = F.element_at(F.array(*(F.format_string(q, "n_name") for q in _ASKED)), F.col("n_nationkey") % 4 + 1)
+    return t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("qid"), "n_name", words.alias("question"))
+
+
+@query("""select n_nationkey::bigint as qid, case n_nationkey % 4 when 0 then 'growth_pct' when 1 then 'lookup' when 2 then 'ranking' else 'average' end as op,
+case n_nationkey % 4 when 0 then 'percent' when 2 then 'year' else 'number' end as output_type,
+case n_nationkey % 4 when 1 then 1e9 when 3 then 1e6 else 1.0 end::double as unit_scale,
+case n_nationkey % 4 when 0 then '2021' when 1 then '2020' when 2 then '2019,2020,2021' else '2020,2021' end as years from nation""")
+def question_route(spark, d):
+    r = router.route(_questions(spark, d))
+    return r.select("qid", "op", "output_type", "unit_scale", F.array_join(F.col("years").cast("array<string>"), ",").alias("years"))
+
+
+@query("""select n_nationkey::bigint as qid, n_name as ticker from nation""")
+def containment_join(spark, d):
+    names = t(spark, d, "nation").select(text.norm(F.col("n_name")).alias("alias"), F.col("n_name").alias("ticker"))
+    return router.find_entities(router.route(_questions(spark, d)), names, "qid").select("qid", "ticker")
+
+
+@query("""select n_nationkey::bigint as qid, n_name as ticker, unnest(case n_nationkey % 4 when 0 then [2021, 2020] when 1 then [2020] when 2 then [2019, 2020, 2021] else [2020, 2021] end)::bigint as year, 'value' as role from nation""")
+def fact_plan(spark, d):
+    r = router.route(_questions(spark, d)).withColumn("tickers", F.array("n_name")).withColumn("metric", F.lit("doanh thu"))
+    return router.plan_facts(r, "qid").select("qid", "ticker", F.col("year").cast("long").alias("year"), "role")
+
+
+@query("""select o_custkey, count(*) as n, cast(least(12, 4 + 2 * greatest(count(*) - 1, 0)) as bigint) as budget from orders group by o_custkey""")
+def evidence_budget(spark, d):
+    o = t(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return o.select("o_custkey", "n", router.evidence_budget(F.col("n")).cast("long").alias("budget"))
+
+
+@query("""select o_orderkey, case when o_orderkey % 3 = 0 then 'date' when o_orderkey % 3 = 1 then 'note' else 'prior' end as role, (case when o_orderkey % 3 = 0 then (case when year(o_orderdate) = 2023 then 10 else -30 end) else -6 end)::bigint as bonus,
+(case when o_orderkey % 3 = 0 then 2023 when o_orderkey % 3 = 2 then year(o_orderdate) - 1 else year(o_orderdate) end)::bigint as grounded from orders""")
+def column_role_case(spark, d):
+    header = F.element_at(F.array(F.lit("31/12/2023"), F.lit("thuyet minh"), F.lit("so dau nam nam truoc")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    o = t(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), header.alias("h"))
+    return o.select("o_orderkey", shortlist.column_role(F.col("h")).alias("role"), shortlist.year_bonus(F.col("h"), F.col("y")).cast("long").alias("bonus"), shortlist.year_grounding(F.col("h"), F.lit(""), F.col("y")).cast("long").alias("grounded"))
+
+
+@query("""select o_custkey, o_orderkey from (select *, max(o_shippriority) over (partition by o_custkey) as best from (select o_custkey, o_orderkey, o_orderpriority as o_shippriority from orders)) where o_shippriority = best qualify count(*) over (partition by o_custkey) = 1""")
+def unique_best(spark, d):
+    return shortlist.unique_best(t(spark, d, "orders"), ["o_custkey"], "o_orderpriority").select("o_custkey", "o_orderkey")
+
+
+@query("""with f as (select l_orderkey as qid, row_number() over (partition by l_orderkey order by l_linenumber) - 1 as i, l_extendedprice as v from lineitem where l_linenumber <= 2),
+p as (select qid, max(v) filter (i = 0) as a, max(v) filter (i = 1) as b from f group by qid having count(*) = 2),
+s as (select qid, a > b as straight from p where a <> b)
+select qid, i::bigint as fact, (case when straight then i else 1 - i end)::bigint as leaf from s cross join (select unnest([0, 1]) as i)""")
+def optimal_assignment(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    f_ = t(spark, d, "lineitem").filter("l_linenumber <= 2").select(F.col("l_orderkey").alias("qid"), (F.row_number().over(w) - 1).alias("i"), F.col("l_extendedprice").alias("v"))
+    two = f_.groupBy("qid").agg(F.max(F.when(F.col("i") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("i") == 1, F.col("v"))).alias("b"), F.count(F.lit(1)).alias("n")).filter("n = 2")
+    # both facts may take both leaves; the straight assignment scores a + a, the crossed one b + b
+    pairs = two.select("qid", F.explode(F.expr("array(struct(0 as fact, 0 as leaf, a as score), struct(1 as fact, 1 as leaf, a as score), struct(0 as fact, 1 as leaf, b as score), struct(1 as fact, 0 as leaf, b as score))")).alias("x")).select("qid", "x.*")
+    return assign.assign(pairs)
+
+
+@query("""select p_partkey, least(18, 3 * greatest(0, len(list_filter(list_distinct(string_split(lower(p_name), ' ')), lambda x: x <> '' and x <> 'part')) - 1))::bigint as penalty from part""")
+def extra_token_penalty(spark, d):
+    return t(spark, d, "part").select("p_partkey", shortlist.extra_penalty(F.col("p_name"), F.lit("part")).cast("long").alias("penalty"))
