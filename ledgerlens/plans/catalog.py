@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import fuzzy, numbers, text
-from ledgerlens.operators import assign, extract, joins, metrics, ranking, router, sampling, shortlist
+from ledgerlens.operators import assign, extract, joins, metrics, ranking, router, sampling, shortlist, solve
 from ledgerlens.plans import ir
 
 QUERIES = {}
@@ -494,12 +494,12 @@ def unique_best(spark, d):
     return shortlist.unique_best(t(spark, d, "orders"), ["o_custkey"], "o_orderpriority").select("o_custkey", "o_orderkey")
 
 
-@query("""with f as (select l_orderkey as qid, row_number() over (partition by l_orderkey order by l_linenumber) - 1 as i, l_extendedprice as v from lineitem where l_linenumber <= 2),
+@query("""with f as (select l_orderkey as qid, row_number() over (partition by l_orderkey order by l_linenumber, l_extendedprice) - 1 as i, l_extendedprice as v from lineitem where l_linenumber <= 2),
 p as (select qid, max(v) filter (i = 0) as a, max(v) filter (i = 1) as b from f group by qid having count(*) = 2),
 s as (select qid, a > b as straight from p where a <> b)
 select qid, i::bigint as fact, (case when straight then i else 1 - i end)::bigint as leaf from s cross join (select unnest([0, 1]) as i)""")
 def optimal_assignment(spark, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice")
     f_ = t(spark, d, "lineitem").filter("l_linenumber <= 2").select(F.col("l_orderkey").alias("qid"), (F.row_number().over(w) - 1).alias("i"), F.col("l_extendedprice").alias("v"))
     two = f_.groupBy("qid").agg(F.max(F.when(F.col("i") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("i") == 1, F.col("v"))).alias("b"), F.count(F.lit(1)).alias("n")).filter("n = 2")
     # both facts may take both leaves; the straight assignment scores a + a, the crossed one b + b
@@ -510,3 +510,20 @@ def optimal_assignment(spark, d):
 @query("""select p_partkey, least(18, 3 * greatest(0, len(list_filter(list_distinct(string_split(lower(p_name), ' ')), lambda x: x <> '' and x <> 'part')) - 1))::bigint as penalty from part""")
 def extra_token_penalty(spark, d):
     return t(spark, d, "part").select("p_partkey", shortlist.extra_penalty(F.col("p_name"), F.lit("part")).cast("long").alias("penalty"))
+
+
+@query("with " + _CELLS + """, r as (select entity, min(year) as y0, max(year) as y1, arg_min(revenue, year) as b, arg_max(revenue, year) as e, sum(revenue) as s, count(*) as n from cells group by entity)
+select n_nationkey::bigint as qid, op, round(case op when 'growth_pct' then (e - b) / abs(b) * 100 when 'difference' then e - b when 'average' then s / n else (pow(e / b, 1.0 / (y1 - y0)) - 1) * 100 end, 2) + 0.0 as answer, 'ok' as status
+from (select *, case n_nationkey % 4 when 0 then 'growth_pct' when 1 then 'difference' when 2 then 'average' else 'cagr' end as op from nation join r on entity = n_name)""")
+def rule_solve(spark, d):
+    cells = _revenue(spark, d).select("entity", "year", F.lit("revenue").alias("metric"), F.col("revenue").alias("value"))
+    op_ = F.element_at(F.array(*map(F.lit, ("growth_pct", "difference", "average", "cagr"))), F.col("n_nationkey") % 4 + 1)
+    asked = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("qid"), F.col("n_name").alias("entity"), op_.alias("op"))
+    facts = asked.join(cells.select("entity", "year", "metric"), "entity").withColumn("role", F.lit("value"))
+    return solve.rule_answers(facts, cells)
+
+
+@query("""select a.o_orderstatus as status, least(a.o_orderkey, b.o_orderkey) as k, greatest(a.o_orderkey, b.o_orderkey) as other from orders a join orders b on a.o_orderstatus = b.o_orderstatus and a.o_orderkey < b.o_orderkey and abs(a.o_totalprice - b.o_totalprice) <= 1.0""")
+def silver_supports(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("k"), "o_totalprice")
+    return solve.supports(o, ["status"], "k", "o_totalprice")
