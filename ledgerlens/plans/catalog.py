@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import fuzzy, numbers, text
+from ledgerlens.functions import fuzzy, metric, numbers, text
 from ledgerlens.operators import assign, extract, joins, metrics, ranking, router, sampling, shortlist, solve
 from ledgerlens.plans import ir
 
@@ -527,3 +527,9 @@ def rule_solve(spark, d):
 def silver_supports(spark, d):
     o = t(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("k"), "o_totalprice")
     return solve.supports(o, ["status"], "k", "o_totalprice")
+
+
+@query("""select n_nationkey::bigint as qid, case n_nationkey % 4 when 0 then 'doanh thu' when 1 then 'doanh thu' when 3 then 'tai san' end as metric from nation where n_nationkey % 4 <> 2""")
+def metric_phrase(spark, d):
+    q = _questions(spark, d).filter("qid % 4 <> 2")
+    return q.select("qid", metric.metric_phrase(F.col("question"), text.norm(F.col("n_name"))).alias("metric"))
