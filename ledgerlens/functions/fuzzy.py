@@ -43,4 +43,7 @@ def similar_labels(labels: DataFrame, metrics: DataFrame, threshold: float = 62.
     b = metrics.withColumn("wanted", F.size(F.array_distinct(tokens(F.col("metric"))))).withColumn("token", F.explode(F.array_distinct(tokens(F.col("metric")))))
     pairs = a.join(b, "token").groupBy("label", "metric", "wanted").agg(F.count(F.lit(1)).alias("shared"))
     pairs = pairs.filter(F.col("shared") / F.col("wanted") >= least)
+    # the ratio is at most 2 min / (a + b) of the lengths: exact, and cheaper than the ratio
+    m, n = (F.length(_sorted(F.col(c), False)) for c in ("label", "metric"))
+    pairs = pairs.filter(60 * F.col("shared") / F.col("wanted") + 80 * F.least(m, n) / F.greatest(m + n, F.lit(1)) >= threshold)
     return pairs.withColumn("score", label_score(F.col("label"), F.col("metric"))).filter(F.col("score") >= threshold).select("label", "metric", "score")

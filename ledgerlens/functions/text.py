@@ -62,3 +62,17 @@ def extract_years(text: Column, first: int = 2010, last: int = 2026) -> Column:
 def canonical_code(code: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(F.trim(code), "\\.0$", ""), "^0+", "")
     return F.when(out == "", F.lit("0")).otherwise(out)
+
+
+#: Unit words of amounts in a question.
+MONEY_UNITS = {"nghin ty": 1e12, "tram ty": 1e11, "ty": 1e9, "trieu": 1e6, "nghin": 1e3}
+
+
+def money_literals(question: Column) -> Column:
+    """Amounts named in a question ("1,5 nghin ty" is 1.5e12), in order."""
+    unit = "(nghin\\s+ty|tram\\s+ty|ty|trieu|nghin)"
+    amount = rf"(?<![0-9.,])([-+]?[0-9]+(?:[.,][0-9]+)?)\s*{unit}(?:\s*(?:dong|vnd))?(?![0-9a-z])"
+    plain = F.lower(strip_diacritics(F.coalesce(question, F.lit(""))))
+    scale = F.create_map(*(F.lit(x) for kv in MONEY_UNITS.items() for x in kv))
+    numbers, units = (F.regexp_extract_all(plain, F.lit(amount), F.lit(i)) for i in (1, 2))
+    return F.zip_with(numbers, units, lambda n, u: F.replace(n, F.lit(","), F.lit(".")).cast("double") * F.element_at(scale, F.regexp_replace(u, r"\s+", " ")))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,5 +55,58 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def _blocks(rows, size: int):
+    """Lists of at most ``size`` rows of an iterator."""
+    rows = iter(rows)
+    while block := list(islice(rows, size)):
+        yield block
+
+
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, decimals: int = 6, block_bytes: int = 8 << 20) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k nearest vectors of each query by cosine, ties to the smaller id.
+
+    queries and vectors: vec_id, embedding. Queries are sent out in blocks of at most ``block_bytes``; a
+    task keeps k rows for each query of a block, so what is shuffled is tasks x queries x k thin rows.
+    Null and zero vectors have no neighbours.
+    """
+    schema = "query_id long, vec_id long, score double"
+    sc = vectors.sparkSession.sparkContext
+    slim = vectors.filter("embedding is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+
+    def search(shared):
+        def run(batches):
+            ids, q = shared.value
+            best_s, best_v = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):  # bounds the score matrix
+                    part = b.slice(at, 1024)
+                    v = np.array(part.column(1).to_pylist(), dtype=np.float64)
+                    norm = np.linalg.norm(v, axis=1, keepdims=True)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        s = np.round(q @ (v / norm).T, decimals)
+                    s[:, ~(norm[:, 0] > 0)] = -np.inf
+                    best_s = np.concatenate((best_s, s), axis=1)
+                    best_v = np.concatenate((best_v, np.broadcast_to(part.column(0).to_numpy(), s.shape)), axis=1)
+                    order = np.lexsort((best_v, -best_s), axis=1)[:, :k]
+                    best_s, best_v = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_v, order, 1)
+            kept = np.isfinite(best_s)
+            cols = (np.broadcast_to(ids[:, None], best_s.shape)[kept], best_v[kept], best_s[kept] + 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["query_id", "vec_id", "score"])
+
+        return run
+
+    found = None
+    asked = queries.filter("embedding is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    size = len((asked.first() or (0, [0.0]))[1])
+    for block in _blocks(asked.toLocalIterator(), max(1, block_bytes // (8 * max(size, 1)))):
+        q = np.array([r[1] for r in block])
+        norm = np.linalg.norm(q, axis=1, keepdims=True)
+        keep = norm[:, 0] > 0
+        part = slim.mapInArrow(search(sc.broadcast((np.array([r[0] for r in block])[keep], q[keep] / norm[keep]))), schema)
+        found = part if found is None else found.unionByName(part)
+    found = vectors.sparkSession.createDataFrame([], schema) if found is None else found
+    return top_k(found, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+
+
 def best_column(df: DataFrame, by: list[str], keys: list[Column]) -> DataFrame:
     return top_k(df, by, keys, 1).drop("rank")

@@ -5,16 +5,121 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import tokens
+from ledgerlens.functions.text import norm, tokens
+
+
+#: Words that tell near-identical line items apart.
+QUALIFIERS = ("ngan han", "dai han", "hop nhat", "rieng")
+#: Wording of a line item -> its standard codes; the longest wording in a metric counts.
+CODES = (
+    ("luu chuyen tien thuan tu hoat dong kinh doanh", "20"),
+    ("dong tien thuan tu hoat dong kinh doanh", "20"),
+    ("doanh thu thuan", "10"),
+    ("doanh thu ban hang va cung cap dich vu", "01 1"),
+    ("gia von hang ban", "11"),
+    ("loi nhuan gop", "20"),
+    ("chi phi tai chinh", "22"),
+    ("chi phi ban hang", "25"),
+    ("chi phi quan ly doanh nghiep", "26"),
+    ("loi nhuan thuan tu hoat dong kinh doanh", "30"),
+    ("loi nhuan truoc thue", "50"),
+    ("loi nhuan sau thue", "60"),
+    ("lai co ban tren co phieu", "70"),
+    ("tien va cac khoan tuong duong tien", "110"),
+    ("hang ton kho", "140 141"),
+    ("tai san ngan han", "100"),
+    ("tai san dai han", "200"),
+    ("tong tai san", "270"),
+    ("tong cong tai san", "270"),
+    ("no phai tra", "300"),
+    ("no ngan han", "310"),
+    ("no dai han", "330"),
+    ("von chu so huu", "400 410"),
+    ("von gop cua chu so huu", "411"),
+    ("loi nhuan sau thue chua phan phoi", "421"),
+)
+#: Words that say nothing about which metric is meant.
+GROUNDING_STOP = "cua tai vao den ngay nam cuoi dau trong cho theo tinh ghi nhan so tien muc la co cac va bao nhieu lon nho cao thap it hon khong bang tu tren".split()
+_YEARS = r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"
+
+
+def qualifier_bonus(label: Column, metric: Column, qualifiers: tuple[str, ...] = QUALIFIERS) -> Column:
+    """A shared qualifier +8; different ones -25; one that only the metric has -3; else 0."""
+    label, metric = norm(label), norm(metric)
+    have = F.filter(F.array(*map(F.lit, qualifiers)), lambda q: F.contains(label, q))
+    want = F.filter(F.array(*map(F.lit, qualifiers)), lambda q: F.contains(metric, q))
+    return F.when(F.arrays_overlap(have, want), 8).when(F.size(want) == 0, 0).when(F.size(have) > 0, -25).otherwise(-3)
+
+
+def expected_codes(metric: Column) -> Column:
+    """Codes of the longest wording that the metric contains, first of ties; empty if there is none."""
+    plain = norm(metric)
+    out = F.array().cast("array<string>")
+    for wording, codes in sorted(reversed(CODES), key=lambda x: len(x[0])):  # the longest is asked first
+        out = F.when(plain.contains(wording), F.array(*map(F.lit, codes.split()))).otherwise(out)
+    return out
 
 
-def qualifier_bonus(label: Column, metric: Column, qualifiers: list[str]) -> Column:
-    """Both have a qualifier +8, only the label -25, only the metric -3."""
-    out = F.lit(0)
-    for q in qualifiers:
-        a, b = label.contains(q), metric.contains(q)
-        out = out + F.when(a & b, 8).when(a & ~b, -25).when(b & ~a, -3).otherwise(0)
-    return out
+def content_terms(text: Column, stop: list[str] | None = None) -> Column:
+    """Distinct tokens without stop words, single characters and numbers."""
+    words = F.array_except(tokens(text), F.array(*map(F.lit, GROUNDING_STOP if stop is None else stop)))
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.rlike("^[0-9]+$"))
+
+
+def period_role(text: Column) -> Column:
+    """ending, beginning, mixed or same_period."""
+    plain = norm(text)
+    end, start = plain.rlike(r"so du cuoi|cuoi nam|cuoi ky|31\s*/\s*12"), plain.rlike(r"so du dau|dau nam|dau ky|(?<![0-9])0?1\s*/\s*0?1(?![0-9])")
+    return F.when(end & start, "mixed").when(end, "ending").when(start, "beginning").otherwise("same_period")
+
+
+def year_reason(header: Column, context: Column, report_year: Column, year: Column) -> Column:
+    """Why a cell does or does not belong to ``year``; the reasons of success do not hold a colon."""
+    header, context = norm(header), norm(context)
+    own = F.transform(F.regexp_extract_all(header, F.lit(_YEARS), F.lit(1)), lambda y: y.cast("int"))
+    around = F.array_distinct(F.transform(F.regexp_extract_all(context, F.lit(_YEARS), F.lit(1)), lambda y: y.cast("int")))
+    said = F.when(header.rlike("nam nay|ky nay"), report_year).when(header.rlike("nam truoc|ky truoc|so du dau|dau nam|dau ky"), report_year - 1)
+    either = lambda ok, good, bad: F.when(ok, good).otherwise(bad)
+    return (
+        F.when(year.isNull(), "year_not_requested")
+        .when(F.size(own) > 0, either(F.array_contains(own, year), "explicit_column_year", "year_mismatch:column"))
+        .when(said.isNotNull(), either(said == year, "relative_column_year", "year_mismatch:relative"))
+        .when(F.size(around) == 1, either(F.array_contains(around, year), "explicit_context_year", "year_mismatch:context"))
+        .when(F.size(around) > 1, "year_ambiguous:context")
+        .when(report_year != year, "year_mismatch:report")
+        .otherwise("report_year_match")
+    )
+
+
+def metric_grounding(label: Column, header: Column, code: Column, metric: Column, period: Column, score: Column) -> Column:
+    """Reason why a cell is or is not the metric of a fact; ``score`` is its direct label score (0 to 100).
+
+    The reasons of success are exact_vas_code, metric_match:ending_balance_column_layout and metric_match:direct.
+    """
+    direct = F.concat_ws(" ", label, header)
+    plain, label_plain, metric_plain = norm(direct), norm(label), norm(metric)
+    terms, expected = content_terms(metric), expected_codes(metric)
+    share = F.size(F.array_intersect(terms, tokens(direct))) / F.greatest(F.size(terms), F.lit(1))
+    code = F.regexp_replace(F.trim(F.coalesce(code, F.lit(""))), r"\.0$", "")
+    digits, seen = code.rlike("^[0-9]+$"), period_role(direct)
+    provision = metric_plain.contains("chi phi du phong rui ro tin dung")
+    matched = F.when(F.size(terms) == 1, (F.length(F.get(terms, F.lit(0))) >= 4) & (share == 1)).when(F.size(terms) == 2, share == 1).otherwise((share >= 0.75) & (score >= 35))
+    return (
+        F.when(F.size(terms) == 0, "metric_has_no_content_terms")
+        .when((period == "ending") & (seen == "beginning"), "period_contradiction:expected_ending")
+        .when((period == "beginning") & (seen == "ending"), "period_contradiction:expected_beginning")
+        .when(metric_plain.contains("no vay") & plain.rlike("tien tra no goc vay|tra no vay|luu chuyen tien"), "metric_domain_mismatch:cashflow_not_debt")
+        .when(norm(header).rlike("so da trinh bay|so trinh bay lai|dieu chinh"), "presentation_state_ambiguous")
+        .when(provision & label_plain.contains("loi nhuan"), "metric_domain_mismatch:profit_not_provision")
+        .when(provision & ~label_plain.contains("chi phi"), "metric_domain_mismatch:stock_not_expense")
+        .when(provision & norm(header).rlike("mien bac|mien trung|mien nam"), "metric_scope_mismatch:segment_not_total")
+        .when((F.size(expected) > 0) & digits & ~F.array_contains(expected, code), "vas_code_mismatch")
+        .when((F.size(expected) > 0) & ~digits & (share < 0.8), "vas_code_missing_with_weak_metric_match")
+        .when(F.array_contains(expected, code) & (share >= 0.35), "exact_vas_code")
+        .when(metric_plain.startswith("con lai cua ") & label_plain.contains("so du cuoi") & (share >= 0.6), "metric_match:ending_balance_column_layout")
+        .when(matched, "metric_match:direct")
+        .otherwise("metric_mismatch:direct")
+    )
 
 
 def extra_penalty(label: Column, metric: Column) -> Column:
