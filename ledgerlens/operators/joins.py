@@ -41,6 +41,23 @@ def close_values(a: Column, b: Column, relative: float = 1e-9) -> Column:
     return F.abs(a - b) <= F.greatest(F.lit(1.0), relative * F.abs(b))
 
 
+def near_pairs(df: DataFrame, by: list[str], key: str, value: str, relative: float) -> DataFrame:
+    """(key, other), key < other: pairs of a group whose values differ by at most max(1, relative x |value of other|).
+
+    relative is below 0.1. Values are placed on a scale on which such a pair is less than 1 apart: linear
+    up to 1 / relative, logarithmic beyond. Each value meets its own bucket of the scale and the two beside
+    it, so no pair is lost and none is compared outside its buckets. Null values have no partners.
+    """
+    size, flat = F.abs(value), 1.0 / relative
+    # slope 1/2 where the bound is 1, and 1 / (2 relative x) beyond: over a pair the scale moves under 0.6
+    place = F.signum(value) * F.when(size <= flat, size / 2).otherwise(flat / 2 + F.log(F.greatest(size, F.lit(flat)) / flat) / (2 * relative))
+    rows = df.select(*by, key, value, F.floor(place).alias("__at")).filter(F.col(value).isNotNull())
+    asked = rows.withColumn("__at", F.explode(F.array(*(F.col("__at") + i for i in (-1, 0, 1)))))
+    there = rows.select(*by, F.col(key).alias("other"), F.col(value).alias("__v"), "__at")
+    hits = asked.join(there, [*by, "__at"]).filter((F.col(key) < F.col("other")) & close_values(F.col(value), F.col("__v"), relative))
+    return hits.select(key, "other")
+
+
 def upsert(previous: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of ``new`` replace those of the same key."""
     return previous.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

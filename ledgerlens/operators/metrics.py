@@ -33,3 +33,38 @@ def guard(value: Column, kind: Column) -> Column:
     """ok or the reason why an answer of this output type is not plausible."""
     limit = F.when(kind == "percent", 1e6).when(kind == "percentage_point", 1e4).when(kind == "ratio", 1e6)
     return F.when(value.isNull() | F.isnan(value), "missing").when(kind.isin("year", "count") & (value != F.floor(value)), "not_integer").when(F.abs(value) > limit, "out_of_range").when((kind == "percent") & (value > 0) & (value <= 1), "looks_like_ratio").otherwise("ok")
+
+
+def post_stratified(items: DataFrame, population: DataFrame, stratum: str, flags: list[str]) -> DataFrame:
+    """One row: rates of the flags weighted by the population (stratum, population) of the strata that occur.
+
+    represented is the share of the population in those strata, missing the number of strata without items.
+    """
+    rates = items.groupBy(stratum).agg(*(F.avg(F.coalesce(F.col(f), F.lit(False)).cast("int")).alias(f) for f in flags), F.count(F.lit(1)).alias("__n"))
+    both = population.join(rates, stratum, "left")
+    there = F.sum(F.when(F.col("__n").isNotNull(), F.col("population")))
+    weighted = [F.round(F.try_divide(F.sum(F.col(f) * F.col("population")), there), 6).alias(f) for f in flags]
+    return both.agg(*weighted, F.round(F.try_divide(there, F.sum("population")), 6).alias("represented"), F.count_if(F.col("__n").isNull()).alias("missing"))
+
+
+def acceptance(items: DataFrame, accepted: Column, cell_right: Column, answer_right: Column) -> DataFrame:
+    """One row: n, coverage, accuracy of cells and answers over all rows, precision of what was accepted."""
+    share = lambda x: F.avg(F.coalesce(x, F.lit(False)).cast("int"))
+    precision = F.try_divide(F.count_if(accepted & answer_right).cast("double"), F.count_if(accepted).cast("double"))
+    return items.agg(F.count(F.lit(1)).alias("n"), F.round(share(accepted), 6).alias("coverage"), F.round(share(accepted & cell_right), 6).alias("cell_accuracy"), F.round(share(accepted & answer_right), 6).alias("answer_accuracy"), F.round(F.coalesce(precision, F.lit(0.0)), 6).alias("precision"))
+
+
+def describe_answers(items: DataFrame, by: str, answer: str) -> DataFrame:
+    """Counts, extremes, mean, exact median, and numbers of negative and zero answers of each kind."""
+    a = F.col(answer)
+    return items.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(a).alias("low"), F.max(a).alias("high"), F.round(F.avg(a), 4).alias("mean"), F.median(a).alias("middle"), F.count_if(a < 0).alias("negative"), F.count_if(a == 0).alias("zero"))
+
+
+def mask_audit(output: DataFrame, universe: DataFrame, mask: DataFrame, key: str, attempted: Column) -> DataFrame:
+    """(key, problem): ids that are missing, unknown, repeated, or attempted outside the mask; empty if all is well."""
+    n = output.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce(attempted, F.lit(False))).alias("tried"))
+    known = universe.select(key).distinct().withColumn("known", F.lit(True))
+    allowed = mask.select(key).distinct().withColumn("allowed", F.lit(True))
+    both = known.join(n, key, "full_outer").join(allowed, key, "left")
+    problem = F.when(F.col("n").isNull(), "missing").when(F.col("known").isNull(), "unknown").when(F.col("n") > 1, "repeated").when(F.col("tried") & F.col("allowed").isNull(), "outside_mask")
+    return both.select(key, problem.alias("problem")).filter("problem is not null")

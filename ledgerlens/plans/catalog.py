@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import fuzzy, metric, numbers, text
-from ledgerlens.operators import assign, extract, joins, metrics, ranking, router, sampling, selection, shortlist, slots, solve
+from ledgerlens.operators import assign, extract, joins, metrics, ranking, repair, router, sampling, selection, shortlist, slots, solve
 from ledgerlens.plans import expressions, ir
+from ledgerlens.sources import submission
 
 QUERIES = {}
 SQL = {}
@@ -287,8 +288,7 @@ def universe_gate(spark, d):
 @query("""select a.o_orderkey, b.o_orderkey as other from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey and abs(a.o_totalprice - b.o_totalprice) <= greatest(1.0, abs(b.o_totalprice) * 0.01)""")
 def adjacent_equal_join(spark, d):
     a = t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    b = a.select("o_custkey", F.col("o_orderkey").alias("other"), F.col("o_totalprice").alias("p"))
-    return a.join(b, "o_custkey").filter((F.col("o_orderkey") < F.col("other")) & joins.close_values(F.col("o_totalprice"), F.col("p"), 0.01)).select("o_orderkey", "other")
+    return joins.near_pairs(a, ["o_custkey"], "o_orderkey", "o_totalprice", 0.01)
 
 
 @query("select l_returnflag, sum(l_quantity) as total, round(avg(l_quantity), 4) as mean, median(l_quantity) as middle, min(l_quantity) as low, max(l_quantity) as high from lineitem group by l_returnflag")
@@ -432,10 +432,12 @@ def json_extract(spark, d):
     return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.length("props").cast("long").alias("n"))
 
 
-@query("""with s as (select o_orderpriority as s, avg((o_orderstatus = 'F')::int) as rate, count(*) as n from orders group by 1) select round(sum(rate * n) / sum(n), 6) as weighted, count(*) as strata from s""")
+@query("""with s as (select o_orderpriority as s, avg((o_orderstatus = 'F')::int) filter (o_orderstatus <> 'P') as rate, count(*) as n, count(*) filter (o_orderstatus <> 'P') as m from orders group by 1)
+select round((sum(rate * n) filter (m > 0)) / (sum(n) filter (m > 0)), 6) as weighted, round((sum(n) filter (m > 0)) / sum(n), 6) as represented, count(*) filter (m = 0) as missing from s""")
 def post_stratified(spark, d):
-    s = t(spark, d, "orders").groupBy("o_orderpriority").agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("rate"), F.count(F.lit(1)).alias("n"))
-    return s.agg(F.round(F.sum(F.col("rate") * F.col("n")) / F.sum("n"), 6).alias("weighted"), F.count(F.lit(1)).alias("strata"))
+    items = t(spark, d, "orders").filter("o_orderstatus <> 'P'").select("o_orderpriority", (F.col("o_orderstatus") == "F").alias("weighted"))
+    population = t(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("population"))
+    return metrics.post_stratified(items, population, "o_orderpriority", ["weighted"])
 
 
 @query()
@@ -598,3 +600,43 @@ def reply_parsing(spark, d):
     reply = F.element_at(F.array(F.lit('So {"x": 1}:\n```json\n{"op": "Ratio", "operands": [2, 1]}\n```'), F.format_string('{"op": "lookup", "idx": %d}', F.col("o_orderkey") % 5), F.lit("no idea {}")), (F.col("o_orderkey") % 3 + 1).cast("int"))
     found = selection.parse_selection(reply)
     return t(spark, d, "orders").select("o_orderkey", found["op"].alias("op"), F.array_join(found["operands"].cast("array<string>"), ",").alias("operands"))
+
+
+@query("""select count(*) as n, round(avg((o_orderstatus = 'F')::int), 6) as coverage, round(avg((o_orderstatus = 'F' and o_orderkey % 2 = 0)::int), 6) as cell_accuracy, round(avg((o_orderstatus = 'F' and o_orderkey % 3 = 0)::int), 6) as answer_accuracy,
+round((count(*) filter (o_orderstatus = 'F' and o_orderkey % 3 = 0)) / (count(*) filter (o_orderstatus = 'F')), 6) as precision from orders""")
+def acceptance_report(spark, d):
+    return metrics.acceptance(t(spark, d, "orders"), F.col("o_orderstatus") == "F", F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 3 == 0)
+
+
+@query("""select c_mktsegment, count(*) as n, min(c_acctbal) as low, max(c_acctbal) as high, round(avg(c_acctbal), 4) as mean, median(c_acctbal) as middle, count(*) filter (c_acctbal < 0) as negative, count(*) filter (c_acctbal = 0) as zero from customer group by 1""")
+def answer_description(spark, d):
+    return metrics.describe_answers(t(spark, d, "customer"), "c_mktsegment", "c_acctbal")
+
+
+@query("""select coalesce(k, ck) as k, case when n is null then 'missing' when n > 1 then 'repeated' else 'outside_mask' end as problem from (select c_custkey as ck from customer) full join (select o_custkey as k, count(*) as n, bool_or(o_orderstatus = 'F') as f from orders group by 1) on k = ck
+where n is null or n > 1 or (f and k % 2 = 1)""")
+def mask_audit(spark, d):
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    return metrics.mask_audit(t(spark, d, "orders").withColumnRenamed("o_custkey", "k"), c, c.filter("k % 2 = 0"), "k", F.col("o_orderstatus") == "F")
+
+
+@query("""with o as (select o_custkey as id, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_orderkey) as rank from orders),
+l as (select id, string_agg('R' || (o_orderkey % 50) || '|' || o_orderkey, ',' order by rank) filter (rank <= 5) as first, max('R' || (o_orderkey % 50) || '|' || o_orderkey) filter (rank = 7) as used, max(o_totalprice) filter (rank = 1) as answer from o group by id)
+select c_custkey as id, round(answer, 2) as answer, coalesce(first, '') || case when used is not null then ',' || used else '' end as tables, case when answer is null then 'missing_answer' else 'ok' end as status from customer left join l on id = c_custkey""")
+def submission_entries(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    ranked = t(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.row_number().over(w).alias("rank"), F.concat(F.lit("R"), (F.col("o_orderkey") % 50).cast("string")).alias("report_id"), F.col("o_orderkey").alias("table_pos"), "o_totalprice")
+    used = ranked.filter("rank = 7").withColumn("variable", F.lit("df7"))
+    answers = ranked.filter("rank = 1").select("id", F.col("o_totalprice").alias("answer"), F.lit("0.0").alias("pandas_query"))
+    questions = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("question"))
+    positions = ranked.select("report_id", "table_pos", F.col("table_pos").alias("line_no"))
+    out = submission.entries(questions, ranked, answers, used, positions)
+    return out.select("id", "answer", F.array_join("relevant_tables", ",").alias("tables"), "status")
+
+
+@query("""with f as (select c_custkey as qid, count(distinct round(o_totalprice / 1000, 2)) as clusters, count(o_orderkey) as support, max(o_totalprice) as amount from customer left join orders on o_custkey = c_custkey group by 1)
+select qid, case clusters when 0 then 'missing_metric_cell' when 1 then 'accepted' else 'competing_answer_clusters' end as status, support, case when clusters = 1 then amount end as amount from f""")
+def fact_consensus(spark, d):
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("qid"), F.lit(0).alias("fact"), F.col("c_custkey").cast("string").alias("ticker"), F.lit(2020).alias("year"), F.lit("separate").alias("doc_type"), F.lit("doanh thu thuần").alias("metric"), F.lit(1000.0).alias("question_scale"))
+    cells = t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("ticker"), F.lit("separate").alias("doc_type"), F.lit(2020).alias("year"), F.col("o_orderkey").cast("string").alias("report_id"), F.lit(0).alias("table_pos"), F.lit(1).alias("row"), F.lit(1).alias("col"), F.lit("Doanh thu thuần").alias("label"), F.lit("").alias("context"), F.col("o_totalprice").alias("value"), F.lit(1.0).alias("unit_scale"), F.lit(4).alias("confidence"))
+    return repair.resolve(c, cells).select("qid", "status", "support", "amount")
