@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerlens import config
+from ledgerlens.functions.text import strip_diacritics
 
 
 def parse_number(raw: Column) -> Column:
@@ -68,3 +69,30 @@ def cagr_percent(base: Column, end: Column, years: Column) -> Column:
 def agrees(a: Column, b: Column) -> Column:
     """Two answers are the same within the tolerance."""
     return F.abs(a - b) <= F.greatest(F.lit(config.ANSWER_TOLERANCE), config.AGREE_RELATIVE * F.greatest(F.abs(a), F.abs(b)))
+
+
+_MULTIPLES = "nghin ty|ngan ty|tram ty|ty|trieu|nghin|ngan|trillion|billion|million|thousand"
+
+
+def terminal_vnd(context: Column) -> Column:
+    """The context of a table ends in VND without a multiple before it."""
+    plain = F.trim(F.regexp_replace(F.lower(strip_diacritics(F.coalesce(context, F.lit("")))), r"\s+", " "))
+    tail = r"vnd\s*[\]\[(){}.,:;_-]*\s*$"
+    return plain.rlike(rf"\b{tail}") & ~plain.rlike(rf"\b(?:{_MULTIPLES}) {tail}")
+
+
+def resolve_unit(scale: Column, source: Column, context: Column) -> Column:
+    """Struct scale, source, changed: a scale that is only carried on gives way to VND at the end of the context.
+
+    A missing, not finite or not positive scale counts as 1.
+    """
+    stored = F.when(F.isnan(scale) | (scale <= 0) | (scale == float("inf")), 1.0).otherwise(F.coalesce(scale, F.lit(1.0)))
+    source = F.coalesce(source, F.lit("none"))
+    over = (source == "sticky") & terminal_vnd(context)
+    return F.struct(F.when(over, 1.0).otherwise(stored).alias("scale"), F.when(over, "terminal_vnd").otherwise(source).alias("source"), (over & (stored != 1.0)).alias("changed"))
+
+
+def scalar(text: Column) -> Column:
+    """Number of an answer written as text (thousands commas are dropped); null for NaN, infinities and words."""
+    value = F.replace(F.trim(text), F.lit(",")).try_cast("double")
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)

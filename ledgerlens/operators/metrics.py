@@ -68,3 +68,15 @@ def mask_audit(output: DataFrame, universe: DataFrame, mask: DataFrame, key: str
     both = known.join(n, key, "full_outer").join(allowed, key, "left")
     problem = F.when(F.col("n").isNull(), "missing").when(F.col("known").isNull(), "unknown").when(F.col("n") > 1, "repeated").when(F.col("tried") & F.col("allowed").isNull(), "outside_mask")
     return both.select(key, problem.alias("problem")).filter("problem is not null")
+
+
+def weakest_link(facts: DataFrame, by: str, score: str, year_sure: str, cell: list[str]) -> DataFrame:
+    """(by, confidence): the least score of a group's facts, +8 if all years are sure, else -10, within 0 to 99.
+
+    Facts that share a cell hold it to 35; a fact without a score makes it 0.
+    """
+    key = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cell))
+    g = facts.groupBy(by).agg(F.min(score).alias("s"), F.bool_and(F.coalesce(F.col(year_sure), F.lit(False))).alias("sure"), (F.count(F.lit(1)) > F.count_distinct(key)).alias("shared"), F.count_if(F.col(score).isNull()).alias("lost"))
+    c = F.least(F.lit(99.0), F.col("s") + F.when(F.col("sure"), 8.0).otherwise(-10.0))
+    c = F.when(F.col("shared"), F.least(c, F.lit(35.0))).otherwise(c)
+    return g.select(by, F.when(F.col("lost") > 0, 0.0).otherwise(F.greatest(c, F.lit(0.0))).alias("confidence"))

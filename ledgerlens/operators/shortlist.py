@@ -171,3 +171,42 @@ def unique_best(df: DataFrame, by: list[str], confidence: str) -> DataFrame:
     w = Window.partitionBy(*by)
     top = df.withColumn("best", F.max(confidence).over(w)).filter(F.col(confidence) == F.col("best"))
     return top.withColumn("n", F.count(F.lit(1)).over(w)).filter("n = 1").drop("best", "n")
+
+
+def date_year(header: Column) -> Column:
+    """Year that a balance date stands for: 31/12/Y is Y, 1/1/Y is the year before; else null."""
+    end = F.regexp_extract(header, r"(?:31 ?/ ?12 ?/ ?|31 thang 12 nam )((?:19|20)[0-9]{2})", 1)
+    start = F.regexp_extract(header, r"(?:1 ?/ ?0?1 ?/ ?|1 thang 1 nam )((?:19|20)[0-9]{2})", 1)
+    return F.when(end != "", end.try_cast("int")).when(start != "", start.try_cast("int") - 1)
+
+
+def period_column(header: Column, report_year: Column, year: Column, first: Column) -> Column:
+    """Struct role, year, confidence of a value column for the year asked for; ``first``: it is the first of its row.
+
+    role: target_value, other_period, ambiguous or unknown; confidence 4 for dates and years, 3 for wording,
+    1 for the place alone, else 0.
+    """
+    plain = norm(header)
+    years = F.array_distinct(F.regexp_extract_all(plain, F.lit(_YEARS), F.lit(1)))
+    dated = F.coalesce(date_year(plain), F.when(F.size(years) == 1, F.get(years, F.lit(0)).try_cast("int")))
+    several = date_year(plain).isNull() & (F.size(years) > 1)
+    worded = F.when(plain.rlike("nam nay|ky nay|cuoi (?:nam|ky)|so cuoi"), report_year).when(plain.rlike("nam truoc|ky truoc|dau (?:nam|ky)|so dau"), report_year - 1)
+    mapped = F.coalesce(dated, worded)
+    placed = first & (report_year == year)
+    role = F.when(several, "ambiguous").when(mapped.isNotNull(), F.when(mapped == year, "target_value").otherwise("other_period")).when(placed, "target_value").otherwise("unknown")
+    sure = F.when(several, 0).when(dated.isNotNull(), 4).when(worded.isNotNull(), 3).when(placed, 1).otherwise(0)
+    return F.struct(role.alias("role"), F.when(~several, F.coalesce(mapped, F.when(placed, year))).alias("year"), sure.alias("confidence"))
+
+
+def fill_missing(strict: DataFrame, rescue: DataFrame, slots: DataFrame, by: str, slot: str, cell: list[str], score: str, most: int) -> DataFrame:
+    """strict and, for slots (by, slot) that it lacks, the rescued rows by score, up to ``most`` rows a question.
+
+    A cell that is in strict already, or comes twice, is not added again. Strict rows come first.
+    """
+    lacking = slots.select(by, slot).distinct().join(strict.select(by, slot), [by, slot], "left_anti")
+    once = Window.partitionBy(by, *cell).orderBy(F.desc(score), slot)
+    more = rescue.join(lacking, [by, slot], "left_semi").join(strict.select(by, *cell), [by, *cell], "left_anti")
+    more = more.withColumn("__once", F.row_number().over(once)).filter("__once = 1").drop("__once")
+    both = strict.withColumn("rescue", F.lit(False)).unionByName(more.withColumn("rescue", F.lit(True)))
+    w = Window.partitionBy(by).orderBy("rescue", F.desc(score), slot, *cell)
+    return both.withColumn("rank", F.row_number().over(w)).filter(~F.col("rescue") | (F.col("rank") <= most))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import fuzzy, metric, numbers, text
-from ledgerlens.operators import assign, extract, joins, metrics, ranking, repair, router, sampling, selection, shortlist, slots, solve
+from ledgerlens.operators import assign, entities, extract, joins, metrics, ranking, repair, router, sampling, selection, shortlist, slots, solve
 from ledgerlens.plans import expressions, ir
 from ledgerlens.sources import submission
 
@@ -640,3 +640,31 @@ def fact_consensus(spark, d):
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("qid"), F.lit(0).alias("fact"), F.col("c_custkey").cast("string").alias("ticker"), F.lit(2020).alias("year"), F.lit("separate").alias("doc_type"), F.lit("doanh thu thuần").alias("metric"), F.lit(1000.0).alias("question_scale"))
     cells = t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("ticker"), F.lit("separate").alias("doc_type"), F.lit(2020).alias("year"), F.col("o_orderkey").cast("string").alias("report_id"), F.lit(0).alias("table_pos"), F.lit(1).alias("row"), F.lit(1).alias("col"), F.lit("Doanh thu thuần").alias("label"), F.lit("").alias("context"), F.col("o_totalprice").alias("value"), F.lit(1.0).alias("unit_scale"), F.lit(4).alias("confidence"))
     return repair.resolve(c, cells).select("qid", "status", "support", "amount")
+
+
+@query("""with n as (select n_nationkey::bigint as qid, n_name, 'N' || chr((65 + n_nationkey)::int) as ticker from nation)
+select qid, ticker, case when qid % 3 = 1 and length(n_name) >= 5 then 'explicit_name' else 'explicit' end as source from n""")
+def find_tickers(spark, d):
+    n = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("qid"), "n_name", F.concat(F.lit("N"), F.chr(F.col("n_nationkey") + 65)).alias("ticker"))
+    named = F.when(F.length("n_name") >= 5, F.concat(F.lit("Doanh thu của "), F.col("n_name"))).otherwise(F.concat(F.lit("Doanh thu của "), F.col("ticker")))
+    asked = F.when(F.col("qid") % 3 == 0, F.concat("n_name", F.lit(" ("), "ticker", F.lit(") năm 2020"))).when(F.col("qid") % 3 == 1, named).otherwise(F.concat(F.lit("Mã "), F.lower("ticker"), F.lit(" lãi bao nhiêu")))
+    out = entities.find_tickers(n.select("qid", asked.alias("question")), n.select("ticker", F.col("n_name").alias("name")), "qid")
+    return out.select("qid", F.get("tickers", F.lit(0)).alias("ticker"), "source")
+
+
+@query("""select o_orderkey, case o_orderkey % 4 when 0 then 'target_value' when 1 then (case when year(o_orderdate) = 2020 then 'target_value' else 'other_period' end) when 2 then 'ambiguous' else 'target_value' end as role,
+(case o_orderkey % 4 when 0 then 4 when 1 then 4 when 2 then 0 else 1 end)::bigint as confidence, case when o_orderkey % 3 = 0 then 1.0 else 1e6 end::double as scale from orders""")
+def period_and_unit(spark, d):
+    one = lambda *items: F.element_at(F.array(*map(F.lit, items)), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    o = t(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), one("", "Năm 2020", "2019 2020", "").alias("h"))
+    header = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("31/12/"), F.col("y").cast("string"))).otherwise(F.col("h"))
+    p = shortlist.period_column(header, F.col("y"), F.col("y"), F.lit(True))
+    context = F.when(F.col("o_orderkey") % 3 == 0, "Số cuối năm VND").otherwise("Đơn vị: triệu VND")
+    return o.select("o_orderkey", p["role"].alias("role"), p["confidence"].cast("long").alias("confidence"), numbers.resolve_unit(F.lit(1e6), F.lit("sticky"), context)["scale"].alias("scale"))
+
+
+@query("""with l as (select o_custkey as q, min(o_totalprice / 10000) as s, bool_and(o_orderstatus = 'F') as sure, count(*) > count(distinct o_orderkey % 4) as shared from orders group by 1)
+select q, round(greatest(0.0, least(case when shared then 35.0 else 99.0 end, s + case when sure then 8.0 else -10.0 end)), 6) as confidence from l""")
+def weakest_link(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("q"), (F.col("o_totalprice") / 10000).alias("s"), (F.col("o_orderstatus") == "F").alias("sure"), (F.col("o_orderkey") % 4).alias("cell"))
+    return metrics.weakest_link(o, "q", "s", "sure", ["cell"]).select("q", F.round("confidence", 6).alias("confidence"))

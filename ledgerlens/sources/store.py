@@ -34,6 +34,21 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+TIDY_SCHEMA = "row int, label string, code string, col int, col_name string, value double, unit_scale double"
+
+
+def read_companies(spark: SparkSession, path: str) -> DataFrame:
+    """(ticker, name): the first two columns of a CSV file with a header, by place."""
+    df = spark.read.csv(path, header=True)
+    return df.select(F.upper(F.trim(df.columns[0])).alias("ticker"), F.trim(df.columns[1]).alias("name"))
+
+
+def read_tidy(spark: SparkSession, path: str) -> DataFrame:
+    """A tidy table as written by the package: an empty label is null, codes stay text without ".0"."""
+    df = spark.read.schema(TIDY_SCHEMA).csv(path, header=True)
+    return df.withColumn("code", F.regexp_replace("code", r"\.0$", ""))
+
+
 def unique_by(df: DataFrame, key: str) -> DataFrame:
     """Rows with a status: ok, missing or duplicate key."""
     n = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
@@ -41,4 +56,4 @@ def unique_by(df: DataFrame, key: str) -> DataFrame:
     return n.select(key, "n", status.alias("status"))
 
 
-__all__ = ["scan_reports", "write_store", "read_store", "read_jsonl", "unique_by", "upsert"]
+__all__ = ["scan_reports", "write_store", "read_store", "read_jsonl", "read_companies", "read_tidy", "unique_by", "upsert"]
