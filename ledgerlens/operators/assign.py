@@ -6,6 +6,8 @@ from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 MOST = 6
 
@@ -21,12 +23,27 @@ def best_assignment(scores: dict[tuple[int, int], float], n: int) -> tuple[int,
     return winners[0] if len(winners) == 1 else None
 
 
-def assign(pairs: DataFrame) -> DataFrame:
-    """(qid, fact, leaf, score) -> (qid, fact, leaf); questions without a unique best assignment drop out."""
+@F.pandas_udf(ArrayType(LongType()))
+def _best(facts: pd.Series, leaves: pd.Series, scores: pd.Series) -> pd.Series:
+    """Leaf of each fact for many questions at once; null where there is no unique best."""
+
+    def one(f, x, s):
+        n = int(max(max(f), max(x))) + 1
+        best = best_assignment(dict(zip(zip(map(int, f), map(int, x)), s)), n) if n <= MOST else None
+        return list(best) if best else None
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(max(pdf["fact"].max(), pdf["leaf"].max())) + 1
-        best = best_assignment({(int(f), int(x)): s for f, x, s in zip(pdf["fact"], pdf["leaf"], pdf["score"])}, n) if n <= MOST else None
-        return pd.DataFrame({"qid": [pdf["qid"].iloc[0]] * n, "fact": range(n), "leaf": best} if best else {"qid": [], "fact": [], "leaf": []})
+    return pd.Series([one(*row) for row in zip(facts, leaves, scores)], dtype=object)
 
-    return pairs.groupBy("qid").applyInPandas(one, "qid long, fact long, leaf long")
+
+def assign(pairs: DataFrame) -> DataFrame:
+    """(qid, fact, leaf, score) -> (qid, fact, leaf); questions without a unique best assignment drop out.
+
+    Of repeated pairs the largest score counts; questions with more than six facts or leaves drop out. At
+    most 49 pairs of a question are gathered, and Python sees batches of questions, not one at a time.
+    """
+    least = lambda c: F.least(F.col(c).cast("int"), F.lit(MOST)).alias(c)
+    known = pairs.groupBy("qid", least("fact"), least("leaf")).agg(F.max(F.col("score").cast("double")).alias("score"))
+    lists = known.groupBy("qid").agg(F.collect_list(F.struct("fact", "leaf", "score")).alias("p"))
+    p = F.col("p")
+    found = lists.select("qid", _best(p["fact"], p["leaf"], p["score"]).alias("best")).filter("best is not null")
+    return found.select(F.col("qid").cast("long").alias("qid"), F.posexplode("best").alias("fact", "leaf")).withColumn("fact", F.col("fact").cast("long"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import numbers
-from ledgerlens.operators import entities, metrics, shortlist
+from ledgerlens.operators import assign, entities, metrics, shortlist
 from ledgerlens.sources import store
 
 COMPANIES = [("FPT", "CTCP FPT"), ("FTS", "CTCP Chứng khoán FPT"), ("VNM", "Công ty Cổ phần Sữa Việt Nam"), ("GAS", "Tổng Công ty Khí Việt Nam - CTCP"), ("SAM", "CTCP SAM Holdings"), ("MBB", "Ngân hàng TMCP Quân đội")]
@@ -67,3 +67,9 @@ def test_csv_sources(spark, tmp_path):
     (tmp_path / "t.csv").write_text("row,label,code,col,col_name,value,unit_scale\n1,,60.0,2,2023,5,1\n")
     assert [tuple(r) for r in store.read_companies(spark, str(tmp_path / "c.csv")).collect()] == [("FPT", "CTCP FPT")]
     assert [tuple(r) for r in store.read_tidy(spark, str(tmp_path / "t.csv")).collect()] == [(1, None, "60", 2, "2023", 5.0, 1.0)]
+
+
+def test_assignment(spark):
+    rows = [(1, 0, 0, 5.0), (1, 0, 1, 1.0), (1, 1, 0, 4.0), (1, 1, 1, 3.0), (1, 1, 1, 2.0), (2, 0, 0, 1.0), (2, 0, 1, 1.0), (2, 1, 0, 1.0), (2, 1, 1, 1.0), (3, 0, 0, 1.0), (3, 7, 7, 1.0), (4, 0, 1, 1.0)]
+    got = assign.assign(spark.createDataFrame(rows, "qid int, fact int, leaf int, score double")).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 0), (1, 1, 1)]
