@@ -1,9 +1,7 @@
-"""One-to-one assignment of facts to expression leaves: the unique best of all permutations, at most six a side."""
+"""One-to-one assignment of facts to expression leaves: the unique best of all, at most six a side."""
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,13 +12,20 @@ MOST = 6
 
 def best_assignment(scores: dict[tuple[int, int], float], n: int) -> tuple[int, ...] | None:
     """Leaf of each fact 0..n-1 with the largest total; None if a pair is impossible or two tie."""
-    totals = {}
-    for p in permutations(range(n)):
-        if all((i, j) in scores for i, j in enumerate(p)):
-            totals[p] = sum(scores[i, j] for i, j in enumerate(p))
-    best = max(totals.values(), default=None)
-    winners = [p for p, v in totals.items() if v == best]
-    return winners[0] if len(winners) == 1 else None
+    states = {0: (0.0, 1, ())}  # leaves taken -> best total, number of ways, the first way
+    for i in range(n):
+        following = {}
+        for taken, (total, ways, way) in states.items():
+            for j in range(n):
+                if not taken >> j & 1 and (i, j) in scores:
+                    new, old = total + scores[i, j], following.get(taken | 1 << j)
+                    if old is None or new > old[0]:
+                        following[taken | 1 << j] = (new, ways, (*way, j))
+                    elif new == old[0]:
+                        following[taken | 1 << j] = (new, old[1] + ways, old[2])
+        states = following
+    _, ways, way = states.get((1 << n) - 1, (0.0, 0, None))
+    return way if ways == 1 else None
 
 
 @F.pandas_udf(ArrayType(LongType()))

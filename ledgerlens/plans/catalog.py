@@ -495,17 +495,17 @@ def unique_best(spark, d):
     return shortlist.unique_best(t(spark, d, "orders"), ["o_custkey"], "o_orderpriority").select("o_custkey", "o_orderkey")
 
 
-@query("""with f as (select l_orderkey as qid, row_number() over (partition by l_orderkey order by l_linenumber, l_extendedprice) - 1 as i, l_extendedprice as v from lineitem where l_linenumber <= 2),
-p as (select qid, max(v) filter (i = 0) as a, max(v) filter (i = 1) as b from f group by qid having count(*) = 2),
-s as (select qid, a > b as straight from p where a <> b)
-select qid, i::bigint as fact, (case when straight then i else 1 - i end)::bigint as leaf from s cross join (select unnest([0, 1]) as i)""")
+@query("""with f as (select l_orderkey as qid, row_number() over (partition by l_orderkey order by l_linenumber, l_extendedprice, l_partkey) - 1 as i, l_extendedprice as v, count(*) over (partition by l_orderkey) as n from lineitem),
+one as (select qid from f group by qid having count(distinct v) = count(*) and count(*) <= 6)
+select qid, i::bigint as fact, row_number() over (partition by qid order by v desc) - 1 as leaf from f join one using (qid)""")
 def optimal_assignment(spark, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice")
-    f_ = t(spark, d, "lineitem").filter("l_linenumber <= 2").select(F.col("l_orderkey").alias("qid"), (F.row_number().over(w) - 1).alias("i"), F.col("l_extendedprice").alias("v"))
-    two = f_.groupBy("qid").agg(F.max(F.when(F.col("i") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("i") == 1, F.col("v"))).alias("b"), F.count(F.lit(1)).alias("n")).filter("n = 2")
-    # both facts may take both leaves; the straight assignment scores a + a, the crossed one b + b
-    pairs = two.select("qid", F.explode(F.expr("array(struct(0 as fact, 0 as leaf, a as score), struct(1 as fact, 1 as leaf, a as score), struct(0 as fact, 1 as leaf, b as score), struct(1 as fact, 0 as leaf, b as score))")).alias("x")).select("qid", "x.*")
-    return assign.assign(pairs)
+    # leaf j weighs n - j, so the best assignment gives the leaves in falling order of price
+    lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("qid"), "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("v"))
+    w = Window.partitionBy("qid")
+    lines = lines.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("fact", F.row_number().over(w.orderBy("l_linenumber", "v", "l_partkey")) - 1)
+    few = lines.filter(F.col("n") <= assign.MOST)  # what the operator answers; no pairs are made for the others
+    pairs = few.select("qid", "fact", "v", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("leaf"))
+    return assign.assign(pairs.select("qid", "fact", "leaf", (F.col("v") * (F.col("n") - F.col("leaf"))).alias("score")))
 
 
 @query("""select p_partkey, least(18, 3 * greatest(0, len(list_filter(list_distinct(string_split(lower(p_name), ' ')), lambda x: x <> '' and x <> 'part')) - 1))::bigint as penalty from part""")
