@@ -1,31 +1,73 @@
-"""One-to-one assignment of facts to expression leaves: the unique best of all, at most six a side."""
+"""One-to-one assignment of facts to expression leaves: the unique best of all, for any number a side."""
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-MOST = 6
-
 
-def best_assignment(scores: dict[tuple[int, int], float], n: int) -> tuple[int, ...] | None:
-    """Leaf of each fact 0..n-1 with the largest total; None if a pair is impossible or two tie."""
-    states = {0: (0.0, 1, ())}  # leaves taken -> best total, number of ways, the first way
+def _hungarian(cost: list[list[int]]) -> tuple[list[int], list[int], list[int]]:
+    """Column of each row with the least total, and the prices of rows and columns; integers, so exact."""
+    n = len(cost)
+    row_price, col_price, owner = [0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)  # column n starts each search
     for i in range(n):
-        following = {}
-        for taken, (total, ways, way) in states.items():
+        owner[n], at = i, n
+        least, back, seen = [None] * n, [n] * n, [False] * (n + 1)
+        while owner[at] >= 0:
+            seen[at] = True
+            row, step, following = owner[at], None, -1
             for j in range(n):
-                if not taken >> j & 1 and (i, j) in scores:
-                    new, old = total + scores[i, j], following.get(taken | 1 << j)
-                    if old is None or new > old[0]:
-                        following[taken | 1 << j] = (new, ways, (*way, j))
-                    elif new == old[0]:
-                        following[taken | 1 << j] = (new, old[1] + ways, old[2])
-        states = following
-    _, ways, way = states.get((1 << n) - 1, (0.0, 0, None))
-    return way if ways == 1 else None
+                if not seen[j]:
+                    new = cost[row][j] - row_price[row] - col_price[j]
+                    if least[j] is None or new < least[j]:
+                        least[j], back[j] = new, at
+                    if step is None or least[j] < step:
+                        step, following = least[j], j
+            for j in range(n + 1):
+                if seen[j]:
+                    row_price[owner[j]] += step
+                    col_price[j] -= step
+                elif least[j] is not None:
+                    least[j] -= step
+            at = following
+        while at != n:
+            owner[at] = owner[back[at]]
+            at = back[at]
+    way = [0] * n
+    for j in range(n):
+        way[owner[j]] = j
+    return way, row_price[:n], col_price[:n]
+
+
+def best_assignment(scores: dict[tuple[int, int], float], n: int) -> tuple[int, ...] | None:
+    """Leaf of each fact 0..n-1 with the largest total; None if none is possible or two totals agree to 8 decimals."""
+    ratios = {p: float(s).as_integer_ratio() for p, s in scores.items() if s is not None and math.isfinite(s)}
+    if len({i for i, _ in ratios}) < n or len({j for _, j in ratios}) < n:
+        return None
+    unit = max(d for _, d in ratios.values())  # powers of two
+    exact = {p: a * (unit // d) for p, (a, d) in ratios.items()}
+    never = (max(exact.values()) - min(exact.values()) + 1) * (n + 1) - min(exact.values())
+    way, rows, cols = _hungarian([[-exact[i, j] if (i, j) in exact else never for j in range(n)] for i in range(n)])
+    if any((i, j) not in exact for i, j in enumerate(way)):
+        return None
+    # the second best moves some facts in a ring, each to the leaf of the next; a move costs its reduced cost
+    ring = [[-exact[i, way[k]] - rows[i] - cols[way[k]] if i != k and (i, way[k]) in exact else None for k in range(n)] for i in range(n)]
+    for k in range(n):
+        for i in range(n):
+            if (first := ring[i][k]) is not None:
+                for j in range(n):
+                    if ring[k][j] is not None and (ring[i][j] is None or first + ring[k][j] < ring[i][j]):
+                        ring[i][j] = first + ring[k][j]
+    total = sum(exact[i, j] for i, j in enumerate(way))
+    gaps = [ring[i][i] for i in range(n) if ring[i][i] is not None]
+    if gaps and round(Fraction(total, unit), 8) == round(Fraction(total - min(gaps), unit), 8):
+        return None
+    return tuple(way)
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -34,7 +76,7 @@ def _best(facts: pd.Series, leaves: pd.Series, scores: pd.Series) -> pd.Series:
 
     def one(f, x, s):
         n = int(max(max(f), max(x))) + 1
-        best = best_assignment(dict(zip(zip(map(int, f), map(int, x)), s)), n) if n <= MOST else None
+        best = best_assignment(dict(zip(zip(map(int, f), map(int, x)), s)), n)
         return list(best) if best else None
 
     return pd.Series([one(*row) for row in zip(facts, leaves, scores)], dtype=object)
@@ -43,11 +85,10 @@ def _best(facts: pd.Series, leaves: pd.Series, scores: pd.Series) -> pd.Series:
 def assign(pairs: DataFrame) -> DataFrame:
     """(qid, fact, leaf, score) -> (qid, fact, leaf); questions without a unique best assignment drop out.
 
-    Of repeated pairs the largest score counts; questions with more than six facts or leaves drop out. At
-    most 49 pairs of a question are gathered, and Python sees batches of questions, not one at a time.
+    Of repeated pairs the largest score counts. The pairs of one question are gathered, and Python sees
+    batches of questions, not one at a time; a question of n facts takes some n^3 steps.
     """
-    least = lambda c: F.least(F.col(c).cast("int"), F.lit(MOST)).alias(c)
-    known = pairs.groupBy("qid", least("fact"), least("leaf")).agg(F.max(F.col("score").cast("double")).alias("score"))
+    known = pairs.groupBy("qid", F.col("fact").cast("long").alias("fact"), F.col("leaf").cast("long").alias("leaf")).agg(F.max(F.col("score").cast("double")).alias("score"))
     lists = known.groupBy("qid").agg(F.collect_list(F.struct("fact", "leaf", "score")).alias("p"))
     p = F.col("p")
     found = lists.select("qid", _best(p["fact"], p["leaf"], p["score"]).alias("best")).filter("best is not null")

@@ -503,8 +503,7 @@ def optimal_assignment(spark, d):
     lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("qid"), "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("v"))
     w = Window.partitionBy("qid")
     lines = lines.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("fact", F.row_number().over(w.orderBy("l_linenumber", "v", "l_partkey")) - 1)
-    few = lines.filter(F.col("n") <= assign.MOST)  # what the operator answers; no pairs are made for the others
-    pairs = few.select("qid", "fact", "v", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("leaf"))
+    pairs = lines.select("qid", "fact", "v", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("leaf"))
     return assign.assign(pairs.select("qid", "fact", "leaf", (F.col("v") * (F.col("n") - F.col("leaf"))).alias("score")))
 
 
