@@ -80,34 +80,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def pattern_before(text: str, start: int) -> str | None:
-    """The two words before a place, in lower case; None at the start of a text."""
-    words = _WORD.findall(text[max(0, start - 64) : start])[-2:]
-    return " ".join(words).lower() if words else None
+class _Words:
+    """The two words before a place, in lower case; places are asked in rising order, so a text is read once."""
+
+    def __init__(self, text: str):
+        self.text, self.coming, self.last = text, _WORD.finditer(text), []
+        self.next = next(self.coming, None)
+
+    def before(self, at: int) -> str | None:
+        """None at the start of a text."""
+        while self.next and self.next.end() <= at:
+            self.last = [*self.last[-1:], self.next[0]]
+            self.next = next(self.coming, None)
+        words = self.last
+        if self.next and self.next.start() < at:  # the place is inside a word: its first part counts
+            words = [*words[-1:], self.text[self.next.start() : at]]
+        return " ".join(words).lower() if words else None
 
 
 def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int, bool]]:
     """(pattern, instance, start, end, seed): the seeds and the identifier-like tokens outside them."""
     out, taken = [], sorted((a, b) for _, a, b in base)
+    words = _Words(text)
     for a, b in taken:
-        if p := pattern_before(text, a):
+        if p := words.before(a):
             out.append((p, text[a:b].lower(), a, b, True))
-    i = done = 0
-    for d in _DIGIT.finditer(text):
-        if d.start() < done:
-            continue
-        a = d.start()  # the token around this digit
-        while a and d.start() - a < 64 and (text[a - 1].isascii() and text[a - 1].isalnum() or text[a - 1] in "_.@+-"):
-            a -= 1
-        m = _TOKEN.search(text, a)
-        done = m.end()
-        if not m.start() <= d.start() < m.end() or not 5 <= len(m[0]) <= 64:
+    i, words = 0, _Words(text)
+    for m in _TOKEN.finditer(text):
+        if not 5 <= len(m[0]) <= 64 or not _DIGIT.search(m[0]):
             continue
         while i < len(taken) and taken[i][1] <= m.start():
             i += 1
         if i < len(taken) and taken[i][0] < m.end() or i and taken[i - 1][1] > m.start():
             continue
-        if p := pattern_before(text, m.start()):
+        if p := words.before(m.start()):
             out.append((p, m[0].lower(), m.start(), m.end(), False))
     return out
 
