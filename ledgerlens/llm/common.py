@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,13 +17,15 @@ RID = "__rid"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only where none is configured."""
+    """The folder that driver and executors share. Where none is set, local mode gets a fresh one; a cluster fails."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlens-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -35,9 +38,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches small: one batch of whole texts must fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small(batches, rows: int = 256):
+    """Slices of Arrow batches: what is made of whole texts at a time must fit a Python worker."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,14 +51,13 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Ids that are null, repeated or not integers are numbered once, in (id, text) order, nulls first,
     and written to the shared folder, so that later reads see the same numbers.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):
         n, distinct = slim.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
         if n == distinct:
             return slim.select(F.col("doc_id").cast("long").alias(RID), F.col("doc_id").cast("long"), "text")
-    numbered = slim.orderBy("doc_id", "text").select(F.monotonically_increasing_id().alias(RID), "doc_id", "text")
+    # the draw lets equal rows, such as null ids with null texts, fall in several ranges
+    numbered = slim.orderBy("doc_id", "text", F.rand(0)).select(F.monotonically_increasing_id().alias(RID), "doc_id", "text")
     return materialize(numbered, "keyed")
 
 
@@ -68,7 +72,7 @@ def packed(rows: DataFrame, *others: str) -> DataFrame:
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in small(batches):
             z = [t if t is None else squeeze.compress(t) for t in b.column(len(others)).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(z, pa.binary())], names=names)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, keyed
+from .common import RID, keyed, small
 
 PASSAGE = 80
 #: Edits allowed, as a share of the passage's bytes.
@@ -205,7 +205,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def search(index):
         def run(batches):
-            for b in batches:
+            for b in small(batches):
                 raw = [t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()]
                 found: dict[tuple[int, int], list] = {}
                 for a, part, edits, start, end in matches([t.lower() for t in raw], index.value):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, keyed, materialize, n_parts
+from .common import RID, keyed, materialize, n_parts, small
 
 #: Digests in a shard, on average: bounds what one task holds.
 SHARD_KEYS = 8192
@@ -34,7 +34,7 @@ def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = keyed(docs, id_col, text_col)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             texts = b.column(2).cast(pa.binary()).to_pylist()
             out = [hashlib.sha256((t or b"").lower()).digest() for t in texts]  # bytes.lower() is ASCII only
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=[RID, "doc_id", "digest"])

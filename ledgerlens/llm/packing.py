@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RID, keyed, materialize, n_parts
+from .common import RID, keyed, materialize, n_parts, small
 
 WINDOW = 1024
 END = 0
@@ -75,7 +75,7 @@ def tokenize(rows: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
 
     def run(batches):
         encode = encoder(path)
-        for b in batches:
+        for b in small(batches):
             out = []
             for t in b.column(2).to_pylist():
                 ids = np.array([*encode(t or ""), END], dtype="<u4")
@@ -173,7 +173,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         r = p["ranges"]
         first = {int(m): (int(np.searchsorted(r[:, 0], m)), int(np.searchsorted(r[:, 0], m, "right"))) for m in np.unique(r[:, 0])}
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        for b in batches:
+        for b in small(batches):
             out = []
             for doc, n, full, rest_n, rest, nth, nth_full in zip(*(c.to_pylist() for c in b.columns)):
                 out += [(doc, i * window, window, c, n, p["full_seq"] + nth_full + i, 0) for i, c in enumerate(full)]

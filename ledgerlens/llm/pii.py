@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, keyed, materialize
+from .common import RID, keyed, materialize, small
 
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = "context"
@@ -131,7 +131,7 @@ def scan(rows: DataFrame) -> DataFrame:
     seen = pa.list_(pa.struct([("pattern", pa.int64()), ("inst", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_())]))
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             base, found = [], []
             for t in b.column(2).to_pylist():
                 spans = base_spans(t or "")

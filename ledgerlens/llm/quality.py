@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small
 from .substring_dedup import word_hashes
 
 DIMS = 1 << 16
@@ -195,7 +195,7 @@ def _calibrate(model: Model, held: DataFrame) -> None:
     shared = held.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             for part, f in _parts(b):
                 raw = shared.value.raw(f)
                 y = b.column(4).to_numpy(zero_copy_only=False)[part].astype(float)
@@ -213,13 +213,12 @@ def _calibrate(model: Model, held: DataFrame) -> None:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = ROUNDS, bound: int = MAX_LABELS) -> Model:
     """Co-trained and calibrated model. docs: doc_id, text, lang, source, n_chars."""
-    small_batches(docs.sparkSession)
     model = Model()
     some = labelled(docs, labels, label, bound)
 
     def count(batches):
         counts, n = np.zeros((2, 2, DIMS)), np.zeros((2, 2))
-        for b in batches:
+        for b in small(batches):
             for part, f in _parts(b):
                 y = b.column(4).to_numpy(zero_copy_only=False)[part].astype(int)
                 for view in (0, 1):
@@ -238,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: in
 
         def exchange(batches):
             m, counts, n = shared.value, np.zeros((2, 2, DIMS)), np.zeros((2, 2))
-            for b in batches:
+            for b in small(batches):
                 for _, f in _parts(b):
                     p = m.probabilities(m.raw(f))
                     for view in (0, 1):  # what one view is sure about teaches the other
@@ -259,7 +258,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: in
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of docs with p_content, p_metadata, quality_score and keep."""
-    small_batches(docs.sparkSession)
     shared, ready = docs.sparkSession.sparkContext.broadcast(model), model.ready()
     needed = ["text", "lang", "source", "n_chars"]
     names = [c for c in docs.columns if c not in needed]
@@ -269,7 +267,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = schema.add("keep", "boolean")
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             if ready:
                 p = np.concatenate([shared.value.probabilities(shared.value.raw(f)) for _, f in _parts(b)] or [np.zeros((0, 3))])
             else:

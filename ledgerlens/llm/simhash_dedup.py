@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, keyed, materialize
+from .common import RID, keyed, materialize, small
 from .components import components
 
 SEED = 42
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(RID, doc_id, fp): fp is the fingerprint as a signed long."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             texts = b.column(2).cast(pa.binary()).to_pylist()
             fp = np.array([fingerprint(t, words_in) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=[RID, "doc_id", "fp"])
@@ -144,7 +144,6 @@ def _links(batches):
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """(u, v): edges that connect the distinct fingerprints as links of at most 3 bits do."""
     spark = fps.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     tables = []
     for seg, value in enumerate(("(fp & 4294967295L)", "shiftrightunsigned(fp, 32)")):
         tag = f"{seg << 32}L"

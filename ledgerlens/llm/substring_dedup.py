@@ -2,15 +2,17 @@
 
 Pass 1: every window of 20 words is represented by one of its 8-word grams, the one with the least
 digest: equal windows have equal representatives, and a representative stands for several windows in a
-row. Every partition counts its representatives in a count-min sketch; sketches travel as sorted cell
-lists and are merged cell by cell, and only the cells with a count of two or more go on, as one bitmap
-for each row of the sketch. A cell never counts less than a window that it represents, so no repeated
-window is missed; the sketch width follows the corpus up to ``MAX_CELLS`` (the broadcast bound: 8 MB a
-row), beyond which the filter only lets more through.
-
-Pass 2: windows that every row estimates repeated are grouped exactly, by 128-bit digests. Runs of them
-are first cut at content-defined places into chunks: all but the earliest of equal chunks consist of
-repeats, so only the earliest goes on to the exact count of single windows.
+row. The count-min sketch is dealt into shards by ranges of the digest, so its width follows the corpus
+(some five cells for each representative, at any size) while a task holds one shard of ``SHARD_CELLS`` cells
+a row. Every partition of the corpus counts its representatives in sketches of its own, as sorted cell
+lists; these are merged shard by shard, and each shard then tells which of the representatives sent to it
+are estimated repeated. What a partition has met twice itself it need not ask for. A cell never counts
+less than a representative in it, so no repeated window is missed.
+
+Pass 2: windows whose representative is estimated repeated are grouped exactly, by 128-bit digests. Runs
+of them are first cut at content-defined places into chunks: all but the earliest of equal chunks consist
+of repeats, so only the earliest goes on to the exact count of single windows. A task sends on only chunks
+of which it has met no earlier one, so a hot chunk travels a few times from each task.
 
 Defined results: null or empty text has no words; ids order documents, nulls first and repeated rows in
 text order; an empty table gives no rows; other columns are ignored.
@@ -26,13 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, keyed, materialize, packed, small_batches, unpacked, window_argmin
+from .common import RID, keyed, materialize, n_parts, packed, small, unpacked, window_argmin
 
 WINDOW = 20
 #: Words in a representative.
 GRAM = 8
 DEPTH = 2
-MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 26
+#: Cells a row of the sketch: at least, and in one shard.
+MIN_CELLS, SHARD_CELLS = 1 << 16, 1 << 22
+#: Bytes of text for one cell: a representative stands for some forty.
+CELL_BYTES = 8
 #: A chunk of repeated windows ends, on average, every so many windows.
 CHUNK = 16
 #: Cells in one piece of the merged bitmap.
@@ -130,8 +135,11 @@ class Windows:
             np.add.at(edge, (self.start[:-1] + self.count)[self.count > 0], -1)
             self.real = np.cumsum(edge)[:-1] > 0
 
-    def representatives(self) -> np.ndarray:
-        return self.grams[np.unique(self.chosen[self.real])]
+    def representatives(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Digest, text number and place in the text of each representative."""
+        at = np.unique(self.chosen[self.real])
+        owner = np.searchsorted(self.start, at, "right") - 1
+        return self.grams[at], owner, at - self.start[owner]
 
     def digests(self) -> np.ndarray:
         return np.stack([_mix(_rolling(self.hashed[:, k], self.width, k), 3 + k) for k in (0, 1)], axis=1)
@@ -150,84 +158,117 @@ def _together(texts, limit: int = 1 << 20):
         yield first, held
 
 
-def _cells(first: np.ndarray, row: int, cells: int) -> np.ndarray:
-    return (_mix(first, 0x1234 + row) & np.uint64(cells - 1)).astype(np.int64)
-
-
-def merged_sketch(rows: DataFrame, cells: int, width: int = WINDOW) -> list[np.ndarray]:
-    """For each row of the sketch a bitmap of the cells that count two or more, merged over all partitions."""
-    spark = rows.sparkSession
-
-    def sketch(batches):
-        held, size = [], 0
-
-        def flush():
-            first = np.concatenate(held)
-            for row in range(DEPTH):
-                at = np.sort(_cells(first, row, cells))
-                start = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-                count = np.minimum(np.diff(np.concatenate((start, [len(at)]))), 2).astype(np.uint8)
-                at = at[start]
-                piece = at // _PIECE
-                cut = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
-                ends = np.concatenate((cut[1:], [len(at)]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(cut), row), pa.int32()),
-                        pa.array(piece[cut]),
-                        pa.array([(at[a:b] % _PIECE).astype("<u2").tobytes() for a, b in zip(cut, ends)], pa.binary()),
-                        pa.array([np.packbits(count[a:b] > 1).tobytes() for a, b in zip(cut, ends)], pa.binary()),
-                    ],
-                    names=["row", "piece", "at", "twice"],
-                )
+def _cells(digest: np.ndarray, row: int, cells: int) -> np.ndarray:
+    return (_mix(digest, 0x1234 + row) & np.uint64(cells - 1)).astype(np.int64)
 
-        for b in batches:
-            for _, texts in _together(b.column(0).cast(pa.binary()).to_pylist()):
+
+def _cut(of: np.ndarray):
+    """(start, end) of the runs of equal values."""
+    cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    return zip(cut.tolist(), np.append(cut[1:], len(of)).tolist())
+
+
+def sketch_size(n_bytes: int) -> tuple[int, int]:
+    """Shards, and cells of one shard in each row of the sketch."""
+    wanted, cells = max(MIN_CELLS, n_bytes // CELL_BYTES), MIN_CELLS
+    while cells < min(wanted, SHARD_CELLS):
+        cells *= 2
+    return n_parts(wanted, cells), cells
+
+
+_ASKED = f"shard long, kind int, row int, piece int, a binary, b binary, c binary, {RID} long"
+
+
+def estimated_repeated(rows: DataFrame, shards: int, cells: int, width: int = WINDOW) -> DataFrame:
+    """(RID, places): uint32 places of representatives that the merged sketch counts twice or more. Rows: RID, text."""
+    names = ["shard", "kind", "row", "piece", "a", "b", "c", RID]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+
+    def table(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * len(types), types)], names=names)
+
+    def flush(rids, held):
+        """Kind 0: a partition's own sketch. Kind 1: representatives to be told. Kind 2: those met twice here."""
+        digest, owner, place = (np.concatenate(x) for x in zip(*held))
+        one, inverse, count = np.unique(digest, return_inverse=True, return_counts=True)
+        shard = ((one >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+        out = []
+        for row in range(DEPTH):
+            key = shard * cells + _cells(one, row, cells)
+            order = np.argsort(key)
+            key, n = key[order], count[order]
+            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            twice = np.add.reduceat(n, edge) > 1
+            key = key[edge]
+            for a, e in _cut(key // _PIECE):
+                at = key[a] % cells
+                out.append((int(key[a] // cells), 0, row, int(at // _PIECE), (key[a:e] % _PIECE).astype("<u2").tobytes(), np.packbits(twice[a:e]).tobytes(), None, None))
+        yield table(out)
+        known = count[inverse] > 1
+        order = np.argsort(owner[known], kind="stable")
+        mine, at = owner[known][order], place[known][order]
+        # these need no shard: they are dealt by their document
+        yield table([(-1 - rids[mine[a]], 2, 0, 0, at[a:e].astype("<u4").tobytes(), None, None, rids[mine[a]]) for a, e in (_cut(mine) if len(mine) else ())])
+        ask = np.flatnonzero(~known)
+        ask = ask[np.argsort(shard[inverse[ask]], kind="stable")]
+        out, to = [], shard[inverse[ask]]
+        for a, e in _cut(to) if len(to) else ():
+            docs, which = np.unique(owner[ask[a:e]], return_inverse=True)
+            body = np.concatenate((which.astype("<u4"), place[ask[a:e]].astype("<u4")))
+            out.append((int(to[a]), 1, 0, 0, digest[ask[a:e]].tobytes(), body.tobytes(), np.array([rids[i] for i in docs], "<i8").tobytes(), None))
+        yield table(out)
+
+    def ask(batches):
+        rids, held, size = [], [], 0
+        for b in small(batches, 4096):
+            ids = b.column(0).to_pylist()
+            for first, texts in _together(b.column(1).cast(pa.binary()).to_pylist()):
                 w = Windows(texts, width)
                 if w.n and w.real.any():
-                    held.append(w.representatives())
-                    size += len(held[-1])
+                    digest, owner, place = w.representatives()
+                    held.append((digest, owner + len(rids), place))
+                    rids += ids[first : first + len(texts)]
+                    size += len(digest)
                 if size > 1_000_000:
-                    yield from flush()
-                    held, size = [], 0
+                    yield from flush(rids, held)
+                    rids, held, size = [], [], 0
         if held:
-            yield from flush()
+            yield from flush(rids, held)
 
-    def merge(batches):
-        """Rows sorted by (row, piece): one bitmap each; only one piece is held."""
-        key, count = None, None
+    def tell(batches):
+        """Rows sorted by (shard, kind): merge the sketches of a shard, then answer; one shard is held."""
+        shard, count = None, None
+        for b in batches:
+            out = []
+            for to, kind, row, piece, a, c, who, rid in zip(*(c.to_pylist() for c in b.columns)):
+                if kind == 2:
+                    out.append((rid, a))
+                    continue
+                if to != shard:
+                    shard, count = to, np.zeros((DEPTH, cells), np.uint8)
+                if kind == 0:
+                    at = np.frombuffer(a, "<u2").astype(np.int64) + piece * _PIECE
+                    count[row, at] = np.minimum(count[row, at] + 1 + np.unpackbits(np.frombuffer(c, np.uint8), count=len(at)), 2)
+                    continue
+                digest, docs = np.frombuffer(a, "<u8"), np.frombuffer(who, "<i8")
+                which, place = np.frombuffer(c, "<u4").reshape(2, -1)
+                full = np.all([count[r, _cells(digest, r, cells)] > 1 for r in range(DEPTH)], axis=0)
+                order = np.argsort(which[full], kind="stable")
+                mine, at = which[full][order], place[full][order]
+                out += [(int(docs[mine[a]]), at[a:e].tobytes()) for a, e in (_cut(mine) if len(mine) else ())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((), ()), (pa.int64(), pa.binary()))], names=[RID, "places"])
 
-        def done():
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]]), pa.array([np.packbits(count > 1).tobytes()], pa.binary())], names=["row", "piece", "bits"])
+    asked = rows.select(RID, "text").mapInArrow(ask, _ASKED).repartition("shard").sortWithinPartitions("shard", "kind")
+    return materialize(asked.mapInArrow(tell, f"{RID} long, places binary"), "places")
 
-        for b in batches:
-            for row, piece, at, twice in zip(*(c.to_pylist() for c in b.columns)):
-                if (row, piece) != key:
-                    if key is not None:
-                        yield done()
-                    key, count = (row, piece), np.zeros(_PIECE, np.uint8)
-                at = np.frombuffer(at, "<u2")
-                count[at] = np.minimum(count[at] + 1 + np.unpackbits(np.frombuffer(twice, np.uint8), count=len(at)), 2)
-        if key is not None:
-            yield done()
-
-    partial = rows.select("text").mapInArrow(sketch, "row int, piece long, at binary, twice binary")
-    merged = partial.repartition("row", "piece").sortWithinPartitions("row", "piece").mapInArrow(merge, "row int, piece long, bits binary")
-    out = [np.zeros(cells // 8, np.uint8) for _ in range(DEPTH)]
-    for r in materialize(merged, "sketch").toLocalIterator():  # at most DEPTH * MAX_CELLS / 8 bytes
-        at = r["piece"] * _PIECE // 8
-        got = np.frombuffer(r["bits"], np.uint8)
-        out[r["row"]][at : at + len(got)] = got[: cells // 8 - at]
-    return out
-
-
-def _flags(w: Windows, bitmaps: list[np.ndarray], cells: int) -> np.ndarray:
-    """Which windows the sketch estimates repeated."""
-    flag, grams = w.real.copy(), w.grams[w.chosen]
-    for row, bits in enumerate(bitmaps):
-        at = _cells(grams, row, cells)
-        flag &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-    return flag
+
+def _flags(w: Windows, places: list) -> np.ndarray:
+    """Which windows have one of their text's ``places`` (lists of packed uint32) as representative."""
+    flag = np.zeros(len(w.hashed) + 1, bool)
+    for base, parts in zip(w.start.tolist(), places):
+        for p in parts:
+            flag[np.frombuffer(p, "<u4") + base] = True
+    return w.real & flag[w.chosen]
 
 
 def _chunks(digests: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,33 +284,41 @@ def _chunks(digests: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
     """RID, doc_id, z (compressed text) and ``marks``: sorted (start, n) runs of windows that start earlier elsewhere."""
-    spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
     n_bytes = rows.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    cells = MIN_CELLS
-    while cells < MAX_CELLS and cells < n_bytes // 8:  # a representative for some forty bytes: about five cells each
-        cells *= 2
-    small_batches(spark)
-    bitmaps = spark.sparkContext.broadcast(merged_sketch(rows, cells, width))
+    found = estimated_repeated(rows, *sketch_size(n_bytes), width)
+    # a document has fewer representatives than words, so its lists are bounded by the document
+    places = found.groupBy(RID).agg(F.collect_list("places").alias("places"))
 
     def cut(batches):
-        for b in batches:
-            out, rids = [], b.column(0).to_pylist()
-            for first, texts in _together(b.column(1).cast(pa.binary()).to_pylist()):
+        """Chunks of the windows estimated repeated; without a digest where this task has met an earlier equal one."""
+        met: dict[bytes, tuple[int, int]] = {}
+        for b in small(batches):
+            out, rids, told = [], b.column(0).to_pylist(), b.column(2).to_pylist()
+            for first, texts in _together(unpacked(b.column(1))):
                 w = Windows(texts, width)
-                if not w.n or not (flag := _flags(w, bitmaps.value, cells)).any():
+                if not w.n or not (flag := _flags(w, told[first : first + len(texts)])).any():
                     continue
                 d = w.digests()
                 starts, ends = _chunks(d, flag)
                 owner = np.searchsorted(w.start, starts, "right") - 1
                 for i, a, e, base in zip((owner + first).tolist(), starts.tolist(), ends.tolist(), w.start[owner].tolist()):
-                    out.append((xxhash.xxh3_128_digest(d[a:e]), rids[i], a - base, e - a))
+                    digest, here = xxhash.xxh3_128_digest(d[a:e]), (rids[i], a - base)
+                    earlier = met.get(digest, here) < here
+                    if not earlier:
+                        met[digest] = here
+                    out.append((None if earlier else digest, *here, e - a))
+            if len(met) > 500_000:
+                met.clear()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 4, (pa.binary(), pa.int64(), pa.int32(), pa.int32()))], names=["digest", RID, "start", "n"])
 
-    chunks = materialize(rows.select(RID, "text").mapInArrow(cut, f"digest binary, {RID} long, start int, n int"), "chunks")
-    first = chunks.groupBy("digest").agg(F.min(F.struct(RID, "start", "n")).alias("f"))
+    z = packed(rows, RID)
+    chunks = materialize(z.join(places, RID).select(RID, "z", "places").mapInArrow(cut, f"digest binary, {RID} long, start int, n int"), "chunks")
+    open_ = chunks.filter("digest is not null")
+    first = open_.groupBy("digest").agg(F.min(F.struct(RID, "start", "n")).alias("f"))
     heads = materialize(first.select("digest", f"f.{RID}", "f.start", "f.n"), "heads")
-    later = chunks.join(heads.select("digest", F.col(RID).alias("hr"), F.col("start").alias("hs")), "digest").filter(f"{RID} <> hr or start <> hs").select(RID, "start", "n")
+    later = open_.join(heads.select("digest", F.col(RID).alias("hr"), F.col("start").alias("hs")), "digest").filter(f"{RID} <> hr or start <> hs").select(RID, "start", "n")
+    later = later.unionAll(chunks.filter("digest is null").select(RID, "start", "n"))
 
     def pack(c):
         return F.array_sort(F.collect_list(c))
@@ -277,7 +326,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = heads.groupBy(RID).agg(pack(F.struct("start", "n")).alias("heads"))
 
     def expand(batches):
-        for b in batches:
+        for b in small(batches):
             rids, heads_ = b.column(0).to_pylist(), b.column(2).to_pylist()
             for first, texts in _together(unpacked(b.column(1))):
                 w = Windows(texts, width)
@@ -301,7 +350,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(rid[same]), pa.array(start[same]), pa.array(np.ones(same.sum()), pa.int32())], names=[RID, "start", "n"])
 
     # equal chunks have one head each, so a window meets few rows here and they can be sorted as they are
-    singles = packed(rows, RID).join(wanted, RID).select(RID, "z", "heads").mapInArrow(expand, f"h long, l long, {RID} long, start int")
+    singles = z.join(wanted, RID).select(RID, "z", "heads").mapInArrow(expand, f"h long, l long, {RID} long, start int")
     repeats = singles.repartition("h").sortWithinPartitions("h", "l", RID, "start").mapInArrow(later_ones, f"{RID} long, start int, n int")
     # a document has at most as many entries as words, so its list is bounded by the document
     marked = later.unionAll(repeats).groupBy(RID).agg(pack(F.struct("start", "n")).alias("marks"))
@@ -314,7 +363,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = repeated_words(docs, id_col, text_col, width)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             out = []
             for t, marks in zip(unpacked(b.column(2)), b.column(3).to_pylist()):
                 words = t.split()

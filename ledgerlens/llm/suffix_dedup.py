@@ -3,20 +3,21 @@
 A rolling hash of 8 bytes triggers phrase ends: every window of ``TRIGGER`` positions has its least hash
 as trigger, so phrases are cut by content alone, are never longer than ``TRIGGER``, and a 400-byte string
 has the same first trigger wherever it stands. A position of the corpus is thus a phrase suffix (its
-distance to the trigger) followed by the parse from there on; two positions start the same 400 bytes if
-both parts agree. The parts are ordered in two steps, as in the combination of the suffix arrays of
-dictionary and parse:
-
-1. parse order: occurrences are sorted by the digest of what every string with this trigger must hold
-   after it (its core), then by the digest of the whole phrase with its 400-byte outlook (its entry in
-   the dictionary). An occurrence whose core is alone starts nothing repeated; an entry that occurs
-   twice is repeated in every position.
-2. dictionary order: where entries of one core differ, one representative of each comes together with
-   the others of its core, and their suffixes are compared byte by byte. A core with more than
-   ``HOT_CORE`` entries is not gathered: its suffixes travel one by one under their own digests.
-
-Order is by digests of 128 bits and not by bytes: only equality over 400 bytes is asked for, a digest
-order groups equal strings just as the lexicographic one does, and it spreads evenly over partitions.
+distance to the trigger) followed by the parse from there on, and corpus order is the order of these two:
+
+1. dictionary: a phrase with its 400-byte outlook is one entry, known by 128 bits of digest. An entry that
+   occurs twice is repeated in every position. An entry shares its core, what every string with its trigger
+   holds after it, with others or starts nothing that is repeated. Of the entries that share a core but
+   differ, one representative each goes on, with its bytes.
+2. parse order: the suffixes of the corpus at these triggers are sorted by their bytes, over all
+   partitions (ranges of the core, so that equal cores stay together). Neighbours' common prefixes cut
+   the order into runs with one core, and give each suffix its class at every depth.
+3. dictionary order: the phrases of a run are sorted backwards from the trigger, which orders their
+   suffixes of every length; neighbours' common ends give the classes by length.
+4. corpus order: at each distance to the trigger, positions are ordered by the class of their phrase suffix
+   and the class of the parse suffix at the depth left to 400 bytes; neighbours that agree in both are
+   repeated. A run with more than ``HOT_RUN`` suffixes is not gathered: its positions travel one by one under
+   their parse class and are sorted by phrase suffix.
 
 Defined results: null or empty text has no bytes; texts under 400 bytes keep everything; repeated rows are
 separate documents; an empty table gives no rows; other columns are ignored.
@@ -30,16 +31,17 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, keyed, materialize, packed, small_batches, unpacked, window_argmin
+from .common import RID, keyed, materialize, packed, small, unpacked, window_argmin
 
 LENGTH = 400
 #: Positions in a window that has at least one trigger.
 TRIGGER = 192
-#: Entries of a core that are compared in one task.
-HOT_CORE = 4096
+#: Suffixes of a run of the parse order that are combined in memory.
+HOT_RUN = 4096
 _GRAM = 8
 #: Positions that are parsed at a time: bounds the memory for very long texts.
 _BLOCK = 1 << 20
@@ -111,41 +113,131 @@ def _sorted_classes(batches):
             before = bool(prior[-1])
 
 
-def equal_suffixes(group: list[tuple[int, int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
-    """(rid, start, end) of the positions in the entries of one core whose next ``length`` bytes come twice.
+def common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low, high = 0, n - 1  # the first ``low`` bytes agree, not so the first ``high`` + 1
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
 
-    An entry is (rid, first start, trigger's place after it, bytes). Suffixes can be equal only at the same
-    distance to the trigger, so one distance is compared at a time.
+def _classes(shared: list[int], depths: np.ndarray) -> np.ndarray:
+    """For members of an order (rows) and depths (columns) the first member whose prefix of that depth is the same.
+
+    ``shared[i]`` is the common prefix of members i and i + 1.
     """
-    if len(group) < 2:
-        return []
-    twice = [np.zeros(len(t) - length + 1, bool) for *_, t in group]
-    for distance in range(max(back for _, _, back, _ in group) + 1):
-        first: dict[bytes, int] = {}
-        for i, (_, _, back, text) in enumerate(group):
-            o = back - distance
-            if 0 <= o < len(twice[i]):
-                j = first.setdefault(text[o : o + length], i)
-                if j != i:
-                    twice[i][o] = twice[j][group[j][2] - distance] = True
+    out = np.zeros((len(shared) + 1, len(depths)), np.int64)
+    for i, n in enumerate(shared):
+        out[i + 1] = np.where(n >= depths, out[i], i + 1)
+    return out
+
+
+def combine(run: list[tuple], shared: list[int], length: int) -> list[tuple[int, int, int]]:
+    """(rid, lo, end): positions of a run of the parse order that occur twice, as ranges of the bytes they cover.
+
+    A member is (suffix from the trigger, phrase backwards from it, rid, trigger's place, least distance);
+    ``shared`` has the common prefixes of neighbours in the order of the suffixes.
+    """
+    order = sorted(range(len(run)), key=lambda i: run[i][1])
+    ends = [common(run[i][1], run[j][1]) for i, j in zip(order, order[1:])]
+    if len(run) == 2:
+        low, high = max(run[0][4], run[1][4], length - shared[0]), ends[0]
+        return [(rid, at - high, at - low + length) for _, _, rid, at, _ in run] if low <= high else []
+    least, most = np.array([m[4] for m in run]), np.array([len(m[1]) for m in run])
+    away = np.arange(least.min(), most.max() + 1)
+    parse, phrase = _classes(shared, length - away), np.empty((len(run), len(away)), np.int64)
+    phrase[order] = _classes(ends, away)
+    key = parse * len(run) + phrase
+    outside = (away < least[:, None]) | (away > most[:, None])
+    key[outside] = -1 - np.broadcast_to(np.arange(len(run))[:, None], key.shape)[outside]  # equal to none
+    rank = np.argsort(key, axis=0, kind="stable")
+    ordered = np.take_along_axis(key, rank, 0)
+    same = np.zeros((len(run) + 1, len(away)), bool)
+    same[1:-1] = ordered[1:] == ordered[:-1]
+    twice = np.zeros(key.shape, np.int8)
+    np.put_along_axis(twice, rank, (same[1:] | same[:-1]).astype(np.int8), 0)
     out = []
-    for (rid, lo, *_), flags in zip(group, twice):
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).astype(np.int8)))
-        out += [(rid, lo + int(a), lo + int(e) - 1 + length) for a, e in zip(edge[::2], edge[1::2])]
+    for i in np.flatnonzero(twice.any(axis=1)):
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], twice[i], [0]))))
+        _, _, rid, at, _ = run[i]
+        out += [(rid, at - int(away[e - 1]), at - int(away[b]) + length) for b, e in zip(edge[::2], edge[1::2])]
     return out
 
 
+class ParseOrder:
+    """Walks sorted suffixes: gathers the runs with a common core and combines each, or lists a hot run's positions.
+
+    ``spans`` gets (rid, lo, end), ``singles`` (parse class, phrase suffix, rid, position).
+    """
+
+    def __init__(self, length: int, core: int, first_class: int):
+        self.length, self.core, self.next_class = length, core, first_class
+        self.spans: list[tuple] = []
+        self.singles: list[tuple] = []
+        self.run: list[tuple] = []
+        self.shared: list[int] = []
+        self.steps: list[tuple[int, int]] | None = None  # of a hot run: (depth, class of the last member up to it)
+
+    def add(self, member: tuple) -> None:
+        if self.run:
+            n = common(self.run[-1][0], member[0])
+            if n < self.core:
+                self.close()
+            else:
+                self.shared.append(n)
+        self.run.append(member)
+        if len(self.run) > (HOT_RUN if self.steps is None else 64):
+            self._list(last=False)
+
+    def close(self) -> None:
+        if self.steps is not None:
+            self._list(last=True)
+        elif len(self.run) > 1:
+            self.spans += combine(self.run, self.shared, self.length)
+        self.run, self.shared, self.steps = [], [], None
+
+    def _list(self, last: bool) -> None:
+        """Positions of the members read so far but the newest, whose next neighbour is not known yet."""
+        members, before = self.run, self.shared
+        if self.steps is None:  # the first member of the run
+            self.steps, self.reached = [(self.length, self._new())], 0
+        for i, (suffix, back, rid, at, least) in enumerate(members):
+            if i + 1 == len(members) and not last:
+                break
+            after = before[i] if i < len(before) else 0
+            low = max(least, self.length - max(self.reached, after))
+            for away in range(low, len(back) + 1):
+                self.singles.append((next(c for d, c in self.steps if d >= self.length - away), back[:away], rid, at - away))
+            if i + 1 < len(members):
+                self._step(after)
+        self.run, self.shared = ([], []) if last else (members[-1:], [])
+
+    def _new(self) -> int:
+        self.next_class += 1
+        return self.next_class
+
+    def _step(self, shared: int) -> None:
+        """Classes of the next member, which has ``shared`` bytes in common with the last one."""
+        kept = next(c for d, c in self.steps if d >= shared)
+        self.steps = [(d, c) for d, c in self.steps if d < shared] + [(shared, kept)]
+        if shared < self.length:
+            self.steps.append((self.length, self._new()))
+        self.reached = shared
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
     """(RID, marks): per document the sorted (lo, end) ranges that repeated strings cover. Rows: RID, text."""
-    spark = rows.sparkSession
-    small_batches(spark)
     rest = length - trigger + 1  # what every string with a trigger holds from the trigger on
 
     def parse(batches):
         names, types, digest = ["core", "entry", RID, "place", "known"], [*[pa.int64()] * 4, pa.bool_()], xxhash.xxh3_64_intdigest
         met: dict[tuple[int, int], int] = {}
         signed = lambda x: x - (1 << 64) if x >> 63 else x
-        for b in batches:
+        for b in small(batches):
             out = []
             for rid, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 for lo, hi, at in phrases(t or b"", length, trigger):
@@ -167,56 +259,62 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
     classes = materialize(in_order.mapInArrow(_sorted_classes, f"{RID} long, place long, core long, open int"), "classes")
     lo, hi = F.expr("shiftright(place, 20)"), F.expr("shiftright(place, 20) + (shiftright(place, 10) & 1023)")
     whole = classes.filter("open = 0").select(RID, lo.cast("int").alias("lo"), (hi + length).cast("int").alias("end"))
-    open_ = classes.filter("open = 1")
-    hot = open_.groupBy("core").count().filter(F.col("count") > HOT_CORE).select("core", F.lit(True).alias("hot"))
-    back = F.expr("cast(place & 1023 as int)").alias("back")
-    item = F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), back, "core", F.coalesce("hot", F.lit(False)).alias("hot"))
-    wanted = open_.join(hot, "core", "left").groupBy(RID).agg(F.collect_list(item).alias("open"))
+    item = F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), F.expr("cast(place & 1023 as int)").alias("back"))
+    wanted = classes.filter("open = 1").groupBy(RID).agg(F.collect_list(item).alias("open"))  # bounded by the document
 
     def outlooks(batches):
-        names, types = ["key", "single", RID, "lo", "back", "data"], [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        digest = xxhash.xxh3_128_digest
-        for b in batches:
+        names, types = ["suffix", "back", RID, "at", "least"], [pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+        for b in small(batches):
             out = []
             for rid, t, items in zip(b.column(0).to_pylist(), unpacked(b.column(1)), b.column(2).to_pylist()):
                 for x in items:
-                    if x["hot"]:
-                        for s in range(x["lo"], x["hi"] + 1):
-                            d = digest(t[s : s + length])
-                            out.append((int.from_bytes(d[:8], "little", signed=True), True, rid, s, 0, d))
-                    else:
-                        out.append((x["core"], False, rid, x["lo"], x["back"], t[x["lo"] : x["hi"] + length]))
+                    at = x["lo"] + x["back"]
+                    out.append((t[at : x["hi"] + length], t[x["lo"] : at][::-1], rid, at, at - x["hi"]))
                 if len(out) > 20_000:
                     yield _arrays(out, types, names)
                     out = []
             yield _arrays(out, types, names)
 
-    def compare(batches):
-        """Rows sorted by (key, single, data): entries of a core together, single suffixes next to their equals."""
-        names, types = [RID, "lo", "end"], [pa.int64(), pa.int32(), pa.int32()]
-        key, group, held, told = None, [], None, False
+    def order(batches):
+        """Rows in parse order: the repeated ranges, and the single positions of hot runs."""
+        names = [RID, "lo", "end", "class", "phrase"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        walk = ParseOrder(length, rest, TaskContext.get().partitionId() << 40)
+
+        def told():
+            out = [(*s, None, None) for s in walk.spans] + [(rid, at, at + length, c, back) for c, back, rid, at in walk.singles]
+            walk.spans, walk.singles = [], []
+            return _arrays(out, types, names)
+
+        for b in batches:
+            for member in zip(*(c.to_pylist() for c in b.columns)):
+                walk.add(member)
+                if len(walk.singles) > 50_000:
+                    yield told()
+            yield told()
+        walk.close()
+        yield told()
+
+    def agree(batches):
+        """Rows sorted by (class, phrase): positions whose neighbour agrees in both."""
+        held, told = None, False
         for b in batches:
             out = []
-            for k, single, rid, at, back, data in zip(*(c.to_pylist() for c in b.columns)):
-                if group and k != key:
-                    out += equal_suffixes(group, length)
-                    group = []
-                key = k
-                if not single:
-                    group.append((rid, at, back, data))
-                elif held and held[2] == data:
-                    out += [(rid, at, at + length)] if told else [(held[0], held[1], held[1] + length), (rid, at, at + length)]
-                    told = True
-                else:
-                    held, told = (rid, at, data), False
-            yield _arrays(out, types, names)
-        yield _arrays(equal_suffixes(group, length), types, names)
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                same = held is not None and held[3:] == row[3:]
+                if same:
+                    out += [row[:3]] if told else [held[:3], row[:3]]
+                held, told = row, same
+            yield _arrays(out, [pa.int64(), pa.int32(), pa.int32()], [RID, "lo", "end"])
 
     z = packed(rows, RID)
-    compared = z.join(wanted, RID).select(RID, "z", "open").mapInArrow(outlooks, f"key long, single boolean, {RID} long, lo int, back int, data binary")
-    parts = compared.repartition("key").sortWithinPartitions("key", "single", "data").mapInArrow(compare, f"{RID} long, lo int, end int")
+    entries = materialize(z.join(wanted, RID).select(RID, "z", "open").mapInArrow(outlooks, f"suffix binary, back binary, {RID} long, at int, least int"), "entries")
+    parse_order = entries.repartitionByRange(F.substring("suffix", 1, rest)).sortWithinPartitions("suffix", "back", RID, "at")
+    told = materialize(parse_order.mapInArrow(order, f"{RID} long, lo int, end int, class long, phrase binary"), "order")
+    singles = told.filter("class is not null").repartition("class", "phrase").sortWithinPartitions("class", "phrase")
+    spans = whole.unionAll(told.filter("class is null").select(RID, "lo", "end")).unionAll(singles.mapInArrow(agree, f"{RID} long, lo int, end int"))
     # a document's ranges are bounded by its own length
-    return whole.unionAll(parts).groupBy(RID).agg(F.array_sort(F.collect_list(F.struct("lo", "end"))).alias("marks"))
+    return spans.groupBy(RID).agg(F.array_sort(F.collect_list(F.struct("lo", "end"))).alias("marks"))
 
 
 def merge_spans(marks) -> list[tuple[int, int]]:
@@ -240,7 +338,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         names = [RID, "doc_id", "n_bytes", "n_removed", "n_spans", "removed", "kept", "kept_sha256"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.binary(), pa.string()]
-        for b in batches:
+        for b in small(batches):
             out = []
             for rid, doc, t, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), unpacked(b.column(2)), b.column(3).to_pylist()):
                 runs, kept, at = merge_spans(marks), [], 0

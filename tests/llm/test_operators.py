@@ -128,9 +128,34 @@ def brute_bytes(rows, length=400):
     return out
 
 
+def test_corpus_order_of_a_run():
+    """Combining the two orders of a run, in memory or listed, finds what comparing all positions finds."""
+    rng = random.Random(3)
+    for round_ in range(60):
+        core, length, run = b"c" * 10, 30, set()
+        for _ in range(rng.randint(2, 9)):
+            least = rng.randint(0, 4)
+            back = bytes(rng.choice(b"ab") for _ in range(rng.randint(least, 12)))
+            run.add((core + bytes(rng.choice(b"ab") for _ in range(length - least - 10)), back, least))
+        run = [(s, b, i, 1000 * i, least) for i, (s, b, least) in enumerate(sorted(run))]
+        seen = Counter(b[:a][::-1] + s[: length - a] for s, b, _, _, least in run for a in range(least, len(b) + 1))
+        want = {(i, at - a) for s, b, i, at, least in run for a in range(least, len(b) + 1) if seen[b[:a][::-1] + s[: length - a]] > 1}
+        shared = [suffix_dedup.common(x[0], y[0]) for x, y in zip(run, run[1:])]
+        got = suffix_dedup.combine(run, shared, length) if len(run) > 1 else []
+        assert {(i, p) for i, lo, end in got for p in range(lo, end - length + 1)} == want
+        walk = suffix_dedup.ParseOrder(length, 10, 0)
+        for m in run:
+            walk.add(m)
+            if len(run) > 1:
+                walk._list(last=False)
+        walk.close()
+        keys = Counter((c, b) for c, b, _, _ in walk.singles)
+        assert {(i, p) for c, b, i, p in walk.singles if keys[c, b] > 1} == want or len(run) == 1
+
+
 @pytest.mark.parametrize("hot", [4096, 1])
 def test_suffix(docs, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT_CORE", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_RUN", hot)
     df, rows = docs
     same(collect(suffix_dedup.drop_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), brute_bytes(rows))
 
