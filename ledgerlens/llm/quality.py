@@ -3,9 +3,10 @@
 The content view sees words and word shapes; the metadata view sees language, source, length and the
 layout figures of the page (lines, symbols, distinct and most frequent words), each as a bucket. Both
 are naive Bayes models over hashed features, so a model is a fixed-size table of counts and training is
-an aggregation: in each round every document of the corpus is scored by both views, and what one view is
-sure about is counted, as a pseudo-label, into the other. At the end both views are calibrated together
-by logistic regression on labelled rows that were kept out of the counts, and score all documents.
+an aggregation: in each round every document that is not labelled is scored by both views, and what one
+view is sure about is counted, as a pseudo-label, into the other. At the end both views are calibrated
+together by logistic regression on labelled rows that are in none of the counts, and score all documents.
+The features of the rounds are written once.
 
 Bound: at most ``MAX_LABELS`` labelled rows are used, those with the least hash of their id; a third of
 them calibrates. Counts, pseudo-labels and scores cover all documents.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import materialize, small
 from .substring_dedup import word_hashes
 
 DIMS = 1 << 16
@@ -90,6 +91,22 @@ class Features:
         _, first, counts = np.unique(key, return_index=True, return_counts=True)
         return owner[first], h[first, 0], counts
 
+    @classmethod
+    def read(cls, columns: list[list[bytes]]) -> "Features":
+        """Features as ``written`` gave them: for each view a list with one packed uint16 array a text."""
+        f = cls.__new__(cls)
+        f.n = len(columns[0])
+        f.pairs = tuple(np.repeat(np.arange(f.n) * DIMS, [len(x) // 2 for x in c]) + np.frombuffer(b"".join(c), "<u2") for c in columns)
+        return f
+
+    def written(self) -> list[list[bytes]]:
+        out = []
+        for pairs in self.pairs:
+            cuts = np.searchsorted(pairs, np.arange(self.n + 1) * DIMS)
+            packed = (pairs % DIMS).astype("<u2")
+            out.append([packed[a:e].tobytes() for a, e in zip(cuts, cuts[1:])])
+        return out
+
     def add_to(self, counts: np.ndarray, view: int, classes: np.ndarray, weight: float = 1.0) -> None:
         """Count the features of one view by the class of their text; texts of class -1 do not count."""
         y = classes[self.pairs[view] // DIMS]
@@ -232,23 +249,32 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: in
     held = some.filter("fold = 0")
     _calibrate(model.prepare(), held)
     labelled_counts, labelled_docs = model.counts.copy(), model.docs.copy()
+
+    def features(batches):
+        for b in small(batches):
+            for _, f in _parts(b):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in f.written()], names=list(VIEWS))
+
+    # at most ``bound`` ids; a document with a null id has no label
+    others = docs.join(F.broadcast(some.select("labelled_id").distinct()), docs["doc_id"] == F.col("labelled_id"), "left_anti")
+    featured = materialize(others.select("text", "lang", "source", "n_chars").mapInArrow(features, "content binary, metadata binary"), "features")
     for _ in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
         def exchange(batches):
             m, counts, n = shared.value, np.zeros((2, 2, DIMS)), np.zeros((2, 2))
-            for b in small(batches):
-                for _, f in _parts(b):
-                    p = m.probabilities(m.raw(f))
-                    for view in (0, 1):  # what one view is sure about teaches the other
-                        y = np.where(np.maximum(p[:, view], 1 - p[:, view]) >= SURE, p[:, view] > 0.5, -1).astype(int)
-                        f.add_to(counts, 1 - view, y, WEIGHT)
-                        n[1 - view] += WEIGHT * np.bincount(y[y >= 0], minlength=2)
+            for b in small(batches, 1024):
+                f = Features.read([c.to_pylist() for c in b.columns])
+                p = m.probabilities(m.raw(f))
+                for view in (0, 1):  # what one view is sure about teaches the other
+                    y = np.where(np.maximum(p[:, view], 1 - p[:, view]) >= SURE, p[:, view] > 0.5, -1).astype(int)
+                    f.add_to(counts, 1 - view, y, WEIGHT)
+                    n[1 - view] += WEIGHT * np.bincount(y[y >= 0], minlength=2)
             yield _emit(counts, n)
 
         # pseudo-labels are given anew in each round; together they weigh as much as the labelled rows
         pseudo = Model()
-        _add(pseudo, docs.select("text", "lang", "source", "n_chars").mapInArrow(exchange, _COUNTED))
+        _add(pseudo, featured.mapInArrow(exchange, _COUNTED))
         model = Model()
         scale = np.minimum(1, labelled_docs / np.maximum(pseudo.docs, 1))
         model.counts, model.docs = labelled_counts + pseudo.counts * scale[:, :, None], labelled_docs + pseudo.docs * scale
