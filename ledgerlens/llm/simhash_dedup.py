@@ -4,8 +4,11 @@ A 64-bit fingerprint has two 32-bit segments; if two fingerprints differ in at m
 segments differs in at most 1. So each distinct fingerprint is stored under its two segment values and
 looked up in the Hamming ball of radius 1 around each (only the half that clears a set bit: the other
 member of a pair sets it). Members of a table entry are compared on all 64 bits inside the task, and
-only a spanning forest of the true links leaves it, never all pairs. Entries with many members are
-split again by 16-bit pieces of the remaining bits, so that no entry costs its square.
+only a spanning forest of the true links leaves it, never all pairs. Where more than ``SPLIT_AT``
+fingerprints share a segment value, its entry and those a bit below are split before the shuffle: the
+other segment differs in at most 3 bits, so one of its four bytes is equal, and each row goes on under its
+four bytes. What one task then holds shares 40 bits. Inside the task large entries are split once more by
+16-bit pieces of the remaining bits, so that none costs its square.
 
 Defined results: null or empty text has fingerprint zero, which links like any other; repeated rows and
 null ids are separate documents; an empty table gives no rows; other columns are ignored.
@@ -24,7 +27,7 @@ from .components import components
 
 SEED = 42
 MAX_BITS = 3
-#: Members of a table entry from which on it is split again.
+#: Fingerprints of a segment value, and members of an entry in a task, from which on entries are split.
 SPLIT_AT = 2048
 _BLOCK = 1 << 16
 
@@ -143,14 +146,20 @@ def _links(batches):
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """(u, v): edges that connect the distinct fingerprints as links of at most 3 bits do."""
-    spark = fps.sparkSession
-    tables = []
+    tables, homes = [], []
     for seg, value in enumerate(("(fp & 4294967295L)", "shiftrightunsigned(fp, 32)")):
         tag = f"{seg << 32}L"
+        homes.append(f"{value} + {tag}")
         tables.append(f"array(named_struct('key', {value} + {tag}, 'probe', false))")
         tables.append(f"transform(filter(sequence(0, 31), i -> getbit({value}, i) = 1), i -> named_struct('key', {value} - shiftleft(1L, i) + {tag}, 'probe', true))")
     rows = fps.selectExpr("fp", f"explode(concat({', '.join(tables)})) as t").selectExpr("t.key as key", "fp", "t.probe as probe")
-    return rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_links, "u long, v long")
+    crowded = fps.selectExpr(f"explode(array({', '.join(homes)})) as key").groupBy("key").count().filter(F.col("count") > SPLIT_AT)
+    below = "transform(filter(sequence(0, 31), i -> getbit(key, i) = 1), i -> key - shiftleft(1L, i))"
+    wide = crowded.selectExpr(f"explode(concat(array(key), {below})) as key").distinct().withColumn("wide", F.lit(True))
+    other = "if(key >= 4294967296L, fp & 4294967295L, shiftrightunsigned(fp, 32))"
+    parts = f"transform(sequence(0, 3), i -> xxhash64(key, i, shiftrightunsigned({other}, 8 * i) & 255L))"
+    dealt = rows.join(wide, "key", "left").selectExpr(f"explode(if(wide, {parts}, array(key))) as key", "fp", "probe")
+    return dealt.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_links, "u long, v long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in: int = 3) -> DataFrame:
