@@ -11,7 +11,8 @@ control string can occur inside and the original comes back by undoing the four
 
 Defined results: null text counts as empty, null role as an empty role; a parent that is missing makes a
 root; rows of a linear conversation go by (turn, role, text), so ties and repeated rows are turns in a
-row; null conversation ids form one conversation; an empty table gives no rows; other columns are ignored.
+row; a row without a conversation id is a conversation of its own; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,7 +88,8 @@ def format_paths(paths: DataFrame, texts: DataFrame) -> DataFrame:
 
 def conversation_nodes(conversations: DataFrame) -> DataFrame:
     """Linear conversations as trees: each turn replies to the one before."""
-    tree = F.coalesce(F.concat(F.lit("k"), F.col("conv_id").cast("string")), F.lit("null"))
+    # where the id is null the number only has to be unique
+    tree = F.coalesce(F.concat(F.lit("k"), F.col("conv_id").cast("string")), F.concat(F.lit("n"), F.monotonically_increasing_id().cast("string")))
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
     return conversations.select(tree.alias("tree"), "conv_id", "turn", "role", "text").select(
         "tree", "conv_id", F.row_number().over(order).alias("node"), "role", "text"
@@ -115,7 +117,7 @@ def op4_chat_format(spark, sf_dir: str) -> DataFrame:
     done = read_back(format_paths(tree_paths(nodes), nodes.select("tree", "node", "role", "text")))
     lines = F.array_join(F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n"))), "")
     return done.select(
-        F.expr("try_cast(substring(tree, 2) as bigint)").alias("conv_id"),
+        F.expr("if(tree like 'k%', try_cast(substring(tree, 2) as bigint), null)").alias("conv_id"),
         F.size("roles").cast("long").alias("n_turns"),
         F.sha2(lines, 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"),
@@ -132,11 +134,12 @@ OP4_SQL = f"""
 with c as (
   select conv_id, turn, role, text from conversations
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, '{LEARNED}', '</s>[INST] ok [/INST]'),
-t as (select conv_id, coalesce(role, '') as r, coalesce(text, '') as t,
-      row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as n from c),
+t as (select conv_id, alone, coalesce(role, '') as r, coalesce(text, '') as t,
+      row_number() over (partition by conv_id, alone order by turn nulls first, role nulls first, text nulls first) as n
+      from (select *, case when conv_id is null then row_number() over () end as alone from c)),
 a as (select conv_id, count(*) as n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by n)) as turns_sha256,
       coalesce(string_agg(t, '' order by n) filter (r = '{LEARNED}'), '') as loss,
-      sum({_coded("r")} + {_coded("t")} + {len("[INST ] ") + len(" [/INST]")}) + {len(BEGIN + END)} as formatted_chars from t group by conv_id)
+      sum({_coded("r")} + {_coded("t")} + {len("[INST ] ") + len(" [/INST]")}) + {len(BEGIN + END)} as formatted_chars from t group by conv_id, alone)
 select conv_id, n_turns, turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256,
        cast(formatted_chars as bigint) as formatted_chars from a
 """
