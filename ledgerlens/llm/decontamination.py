@@ -10,11 +10,13 @@ The benchmark is the stated query set: it goes to all rows in blocks of ``BLOCK_
 tasks hold is bounded at any benchmark size.
 
 Defined results: null or empty texts and items match nothing; repeated rows and null ids are separate
-documents, repeated items count as one; an empty table gives no rows; other columns are ignored.
+documents, repeated items count as one, as do the texts of one item_id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +38,10 @@ class Passages:
     """Passages of a block of items, and the index of their q-grams."""
 
     def __init__(self, items: list[tuple[object, str]], passage: int = PASSAGE, edits: float = EDITS):
-        self.items, self.parts, self.owner = [i for i, _ in items], [], []
-        for n, (_, text) in enumerate(items):
+        self.items, self.parts, self.owner = list(dict.fromkeys(i for i, _ in items)), [], []
+        number = {i: n for n, i in enumerate(self.items)}
+        for item, text in items:
+            n = number[item]
             data = text.encode().lower()
             last = max(0, len(data) - passage)
             for at in sorted({*range(0, last + 1, passage // 2), last}):
@@ -231,11 +235,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         if block:
             yield block
 
-    out = spark.createDataFrame([], schema)
-    for i, block in enumerate(blocks()):
-        part = rows.mapInArrow(search(spark.sparkContext.broadcast(Passages(block))), schema)
-        out = out.unionAll(part) if i else part
-    return out
+    parts = [rows.mapInArrow(search(spark.sparkContext.broadcast(Passages(block))), schema) for block in blocks()]
+    if len(parts) < 2:
+        return parts[0] if parts else spark.createDataFrame([], schema)
+    # texts of one item may stand in several blocks
+    return reduce(DataFrame.unionAll, parts).groupBy(RID, "doc_id", "item_id").agg(F.sum("passages").alias("passages"), F.min("edits").alias("edits"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
