@@ -2,9 +2,14 @@
 
 Entities of the four fixed kinds are seeds. The two words left of an entity are its lexical pattern;
 patterns and identifier-like tokens (instances) form a bipartite graph over the whole corpus. Spark
-scores it in rounds: a pattern is worth the mean score of its instances (one pseudo-count against it), an
-instance that is no seed the mean of its patterns. Patterns that stay above ``MIN_SCORE`` and stand
-before at least ``MIN_SEEDS`` different seeds mark further tokens as identifiers of kind ``context``.
+scores it in rounds: a pattern is worth the mean score of its instances (one pseudo-count against it); an
+instance that is no seed is worth the chance that not all of its patterns fail. Patterns worth ``MIN_SCORE`` that stand before at least
+``MIN_SEEDS`` different seeds are good; an instance behind a good pattern that is itself worth ``MIN_SCORE``
+is a seed from the next round on, so what was discovered induces further patterns. Tokens behind the good
+patterns of the last round are identifiers of kind ``context``.
+
+Patterns are the last two runs of letters before a token, at any distance in the text. Instances are runs
+of letters, digits and ``_.@+-`` with a digit and 5 to 64 characters: that is what counts as an identifier.
 
 Defined results: null text counts as empty; repeated rows and null ids are separate documents; an empty
 table gives no rows; other columns are ignored.
@@ -143,14 +148,20 @@ def scan(rows: DataFrame) -> DataFrame:
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, score, seeds) from distinct edges (pattern, inst, seed) after some rounds over the graph."""
-    scores = edges.withColumn("s", F.col("seed").cast("double"))
+    """(pattern, score, seeds) from distinct edges (pattern, inst, seed) after some rounds over the graph.
+
+    ``seeds`` counts the fixed entities and the instances promoted in earlier rounds.
+    """
+    state = edges.select("pattern", "inst", "seed", F.col("seed").cast("double").alias("s"))
     for i in range(rounds):
-        patterns = scores.groupBy("pattern").agg((F.sum("s") / (F.count(F.lit(1)) + 1)).alias("score"), F.count_if("seed").alias("seeds"))
+        patterns = state.groupBy("pattern").agg((F.sum("s") / (F.count(F.lit(1)) + 1)).alias("score"), F.count_if("seed").alias("seeds"))
         if i == rounds - 1:
             return patterns
-        inst = edges.join(patterns.select("pattern", "score"), "pattern").groupBy("inst").agg(F.avg("score").alias("mean"))
-        scores = materialize(edges.join(inst, "inst").withColumn("s", F.when(F.col("seed"), 1.0).otherwise(F.col("mean"))).drop("mean"), "scores")
+        good = (F.col("score") >= MIN_SCORE) & (F.col("seeds") >= MIN_SEEDS)
+        judged = state.select("pattern", "inst", "seed").join(patterns.select("pattern", "score", good.alias("good")), "pattern")
+        inst = judged.groupBy("inst").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("worth"), F.max("good").alias("good"))
+        grown = F.col("seed") | (F.col("good") & (F.col("worth") >= MIN_SCORE))
+        state = materialize(state.join(inst, "inst").select("pattern", "inst", grown.alias("seed"), F.when(grown, 1.0).otherwise(F.col("worth")).alias("s")), "scores")
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
