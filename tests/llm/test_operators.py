@@ -89,6 +89,27 @@ def test_simhash(docs):
     same(sorted(((a, int(b, 16), c) for a, b, c in collect(out, "doc_id", "f", "component_id")), key=str), list(zip([r[0] for r in rows], fp, least)))
 
 
+def test_simhash_splits_crowded_segments(spark, monkeypatch):
+    """Entries that are split before the shuffle lose no link."""
+    monkeypatch.setattr(simhash_dedup, "SPLIT_AT", 4)
+    rng = random.Random(2)
+    for shift in (0, 32):
+        fps = {7 << (32 - shift) | rng.getrandbits(32) << shift for _ in range(20)}
+        fps |= {f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in list(fps) for _ in range(2)} | {f ^ (1 << rng.randrange(64)) for f in list(fps)}
+        signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+        edges = simhash_dedup.fingerprint_links(spark.createDataFrame(signed, "fp long")).collect()
+        label = {f: f for f in fps}
+        for _ in fps:
+            for u, v in edges:
+                u, v = u % (1 << 64), v % (1 << 64)
+                label[u] = label[v] = min(label[u], label[v])
+        want = {f: f for f in fps}
+        for _ in fps:
+            for f in fps:
+                want[f] = min(want[g] for g in fps if (f ^ g).bit_count() <= 3)
+        assert label == want
+
+
 def test_simhash_large_entries(monkeypatch):
     """Entries that are split again give the same components as comparing everything."""
     monkeypatch.setattr(simhash_dedup, "SPLIT_AT", 8)
@@ -251,6 +272,47 @@ def test_pii_base_and_context(spark):
     assert pii.extract(df.limit(0)).count() == 0
 
 
+def test_pii_discovered_identifiers_become_seeds(spark):
+    """agents are found behind mails; as seeds they make a pattern that finds badges, which make a third."""
+    texts = [f"please reach user{i}@mail.example.com now" for i in range(15)]
+    texts += [f"please reach agent_{i}000 now" for i in range(9)] + [f"signed by agent_{i}000 today" for i in range(9)]
+    texts += [f"signed by badge_{i}0 today" for i in range(5)] + ["nothing else item_400 here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in pii.extract(df).collect() if r["context"]}
+    assert got == set(range(15, 38))
+
+
+def test_pii_scores_by_brute_force(spark):
+    rng = random.Random(8)
+    edges = {(rng.randrange(6), rng.randrange(14)) for _ in range(45)}
+    seed = {i: i < 6 for i in range(14)}
+    df = spark.createDataFrame([(p, i, seed[i]) for p, i in edges], "pattern long, inst long, seed boolean")
+    worth = {i: float(s) for i, s in seed.items()}
+    for round_ in range(pii.ROUNDS):
+        of = {p: [i for q, i in edges if q == p] for p, _ in edges}
+        score = {p: sum(worth[i] for i in x) / (len(x) + 1) for p, x in of.items()}
+        seeds = {p: sum(seed[i] for i in x) for p, x in of.items()}
+        for i in {i for _, i in edges}:
+            mine = [p for p, j in edges if j == i]
+            worth[i] = 1 - float(np.prod([1 - score[p] for p in mine]))
+            seed[i] |= worth[i] >= pii.MIN_SCORE and any(score[p] >= pii.MIN_SCORE and seeds[p] >= pii.MIN_SEEDS for p in mine)
+            worth[i] = 1.0 if seed[i] else worth[i]
+    got = {r["pattern"]: (round(r["score"], 9), r["seeds"]) for r in pii.score_patterns(df).collect()}
+    assert got == {p: (round(score[p], 9), seeds[p]) for p in score}
+
+
+def test_pii_base_kinds_by_brute_force():
+    import re
+
+    rng, chars = random.Random(4), "0123456789"
+    pieces = ["4111 1111 1111 1111", "5500-0000-0000-0004", "+44 20 7946 0958", "+1 (212) 555-0100", "10.1.2.3", "300.1.1.1", "a.b@c.de", "12", " ", "-", "+", ".", ",", "x", "("]
+    for _ in range(300):
+        text = "".join(rng.choice(pieces) if rng.random() < 0.5 else "".join(rng.choices(chars, k=rng.randint(1, 8))) for _ in range(rng.randint(1, 12)))
+        card = [(2, m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(d := re.sub(r"\D", "", m[0])) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0]
+        phone = [(3, m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub(r"\D", "", m[0])) <= 15]
+        assert [s for s in pii.base_spans(text) if s[0] > 1] == card + phone, text
+
+
 @pytest.mark.parametrize("text", ["a@b.c@d.e", "x" * 3000 + "@y.z", "@a.b a@b a@b.c.d. q@r.s@t.u", "1.2.3.4.5.6.7.8 999.1.1.1", "4111-1111-1111-1111-4111", "+1 2 3 4 5 6 7 8 9)x +12"])
 def test_pii_patterns(text):
     import re
@@ -295,6 +357,38 @@ def test_banded_alignment_is_exact():
             assert got.get(part) == (d if d <= index.budget[part] else None)
 
 
+def test_decontamination_of_items_in_several_blocks(spark, monkeypatch):
+    items = [prose(30), prose(30)]
+    docs = spark.createDataFrame([(1, items[0] + " x " + items[1]), (2, prose(20))], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, items[0]), (5, items[1])], "item_id long, text string")
+    (whole,) = decontamination.contaminated(docs, bench).collect()
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 1)
+    assert decontamination.contaminated(docs, bench).collect() == [whole]
+
+
+def test_texts_beyond_one_block(spark):
+    """Two texts of over 1 MB that share a passage far in: whole texts count in every operator."""
+    a, b, shared = (prose(n) for n in (260_000, 270_000, 30_000))
+    cut = a.rindex(" ", 0, len(a) * 3 // 4)
+    texts = [a[:cut] + " " + shared + a[cut:], b + " " + shared]
+    assert min(len(t.encode()) for t in texts) > 1 << 20
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = list(enumerate(texts))
+    assert [tuple(r) for r in suffix_dedup.drop_repeats(df).select("doc_id", "n_bytes", "n_removed").orderBy("doc_id").collect()] == [x[:3] for x in brute_bytes(rows)]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.drop_repeats(df).collect()}
+    assert got[1] >= len(shared.split()) and got[0] < 100
+    assert {r["doc_id"]: r["fp"] % (1 << 64) for r in simhash_dedup.fingerprints(df).collect()} == {i: brute_fingerprint(t) for i, t in rows}
+    item = shared[len(shared) // 2 :][:400]
+    assert {r["doc_id"] for r in decontamination.contaminated(df, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()} == {0, 1}
+
+
+def test_session_settings_stay(spark, docs):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    simhash_dedup.simhash_components(docs[0])
+    quality.train(docs[0], spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert before == {k: spark.conf.get(k) for k in before}
+
+
 def test_chat_trees(spark):
     nodes = spark.createDataFrame([("t", 1, None, 0), ("t", 2, 1, 1), ("t", 3, 1, 5), ("t", 4, 3, 1), ("t", 5, 2, 9), ("u", 1, 7, None)], "tree string, node int, parent int, score int")
     got = {(r["tree"], r["leaf"], r["rank"]): [] for r in chat_format.tree_paths(nodes, None).collect()}
@@ -311,7 +405,7 @@ def test_chat_round_trip(spark):
     nodes = chat_format.conversation_nodes(df)
     out = {r["tree"]: r for r in chat_format.read_back(chat_format.format_paths(chat_format.tree_paths(nodes), nodes)).collect()}
     assert out["k1"]["texts"] == ["a\\b [x] <s>", "\\o </s>[INST]", "\\o </s>[INST]", " é "] and out["k1"]["roles"][-1] == "sy]s"
-    assert out["k1"]["loss_text"] == "\\o </s>[INST]" * 2 and out["null"]["texts"] == [""] and out["k2"]["loss_text"] == ""
+    assert out["k1"]["loss_text"] == "\\o </s>[INST]" * 2 and next(v for k, v in out.items() if k[0] == "n")["texts"] == [""] and out["k2"]["loss_text"] == ""
 
 
 def test_quality(spark):

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from ledgerlens.llm import decontamination, packing, quality, queries, simhash_dedup
+from ledgerlens.llm import decontamination, packing, quality, queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "documents benchmark labels conversations pages".split()
@@ -24,6 +24,20 @@ def test_sql(spark, name):
     assert rows(queries.QUERIES[name](spark, DATA).toPandas()) == rows(c.sql(queries.SQL[name]).df())
 
 
+def near_root(texts):
+    """Least id that Jaccard similarities of 0.8 or more over 5-word shingles reach, from all pairs."""
+    words = {i: t.encode().lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    near = {i: [j for j in sets if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in sets}
+    root = {i: i for i in sets}
+    for _ in sets:
+        changed = {i: min(root[j] for j in near[i]) for i in sets}
+        if changed == root:
+            return root
+        root = changed
+    return root
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = corpus_pipeline.run(spark, DATA).collect()
@@ -33,11 +47,7 @@ def test_pipeline(spark):
     for i, t in sorted(left.items()):
         last[t.encode().lower()] = i
     left = {i: left[i] for i in last.values()}
-    fp = {i: simhash_dedup.fingerprint(t.encode()) for i, t in left.items()}
-    root = {i: i for i in fp}
-    for _ in range(5):
-        for i in fp:
-            root[i] = min(root[j] for j in fp if (fp[i] ^ fp[j]).bit_count() <= 3)
+    root = near_root(left)
     left = {i: t for i, t in left.items() if root[i] == i}
     items = duckdb.sql(f"select item_id, text from '{DATA}/benchmark.parquet'").fetchall()
     index = decontamination.Passages(items)
@@ -57,7 +67,9 @@ def test_stages_survive_awkward_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     docs = spark.read.parquet(f"{d}/documents.parquet")
+    wide = docs.selectExpr("*", "1 as __row", "'x' as keep", "2 as quality_score", "'r' as root")
     for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, wide, d).columns == list(corpus_pipeline.COLUMNS)
         assert stage(spark, docs, d).columns == list(corpus_pipeline.COLUMNS)
         assert stage(spark, docs.limit(0), d).count() == 0
     assert len(corpus_pipeline.run(spark, d).collect()) == 2
