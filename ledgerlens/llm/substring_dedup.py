@@ -35,7 +35,9 @@ WINDOW = 20
 GRAM = 8
 DEPTH = 2
 #: Cells a row of the sketch: at least, and in one shard.
-MIN_CELLS, SHARD_CELLS = 1 << 16, 1 << 22
+MIN_CELLS, SHARD_CELLS = 1 << 16, 1 << 21
+#: Representatives that a partition sketches and asks for at a time.
+BLOCK = 500_000
 #: Bytes of text for one cell: a representative stands for some forty.
 CELL_BYTES = 8
 #: A chunk of repeated windows ends, on average, every so many windows.
@@ -168,6 +170,14 @@ def _cut(of: np.ndarray):
     return zip(cut.tolist(), np.append(cut[1:], len(of)).tolist())
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * len(types), types)], names=names)
+
+
 def sketch_size(n_bytes: int) -> tuple[int, int]:
     """Shards, and cells of one shard in each row of the sketch."""
     wanted, cells = max(MIN_CELLS, n_bytes // CELL_BYTES), MIN_CELLS
@@ -176,23 +186,30 @@ def sketch_size(n_bytes: int) -> tuple[int, int]:
     return n_parts(wanted, cells), cells
 
 
-_ASKED = f"shard long, kind int, row int, piece int, a binary, b binary, c binary, {RID} long"
+_ASKED = "shard long, kind int, row int, piece int, block long, docs binary, a binary, b binary"
+_TOLD = "block long, docs binary, b binary"
 
 
 def estimated_repeated(rows: DataFrame, shards: int, cells: int, width: int = WINDOW) -> DataFrame:
-    """(RID, places): uint32 places of representatives that the merged sketch counts twice or more. Rows: RID, text."""
-    names = ["shard", "kind", "row", "piece", "a", "b", "c", RID]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+    """(RID, places): uint32 places of representatives that the merged sketch counts twice or more. Rows: RID, text.
+
+    A partition asks in blocks of some ``BLOCK`` representatives. The answers of all shards for a block meet again
+    and leave as one row for each document.
+    """
+    names = _names(_ASKED)
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
-    def table(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * len(types), types)], names=names)
+    def about(rids, owner, place):
+        """Document keys, and each representative's number among them beside its place."""
+        docs, which = np.unique(owner, return_inverse=True)
+        return np.array([rids[i] for i in docs], "<i8").tobytes(), np.concatenate((which.astype("<u4"), place.astype("<u4"))).tobytes()
 
     def flush(rids, held):
-        """Kind 0: a partition's own sketch. Kind 1: representatives to be told. Kind 2: those met twice here."""
+        """Kind 0: a block's own sketch. Kind 1: representatives to be told. Kind 2: those met twice in the block."""
         digest, owner, place = (np.concatenate(x) for x in zip(*held))
         one, inverse, count = np.unique(digest, return_inverse=True, return_counts=True)
         shard = ((one >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-        out = []
+        out, block = [], rids[0]
         for row in range(DEPTH):
             key = shard * cells + _cells(one, row, cells)
             order = np.argsort(key)
@@ -202,25 +219,23 @@ def estimated_repeated(rows: DataFrame, shards: int, cells: int, width: int = WI
             key = key[edge]
             for a, e in _cut(key // _PIECE):
                 at = key[a] % cells
-                out.append((int(key[a] // cells), 0, row, int(at // _PIECE), (key[a:e] % _PIECE).astype("<u2").tobytes(), np.packbits(twice[a:e]).tobytes(), None, None))
-        yield table(out)
+                out.append((int(key[a] // cells), 0, row, int(at // _PIECE), None, None, (key[a:e] % _PIECE).astype("<u2").tobytes(), np.packbits(twice[a:e]).tobytes()))
+        yield _table(out, names, types)
         known = count[inverse] > 1
-        order = np.argsort(owner[known], kind="stable")
-        mine, at = owner[known][order], place[known][order]
-        # these need no shard: they are dealt by their document
-        yield table([(-1 - rids[mine[a]], 2, 0, 0, at[a:e].astype("<u4").tobytes(), None, None, rids[mine[a]]) for a, e in (_cut(mine) if len(mine) else ())])
+        if known.any():
+            docs, which = about(rids, owner[known], place[known])
+            yield _table([(block, 2, 0, 0, block, docs, None, which)], names, types)
         ask = np.flatnonzero(~known)
         ask = ask[np.argsort(shard[inverse[ask]], kind="stable")]
         out, to = [], shard[inverse[ask]]
         for a, e in _cut(to) if len(to) else ():
-            docs, which = np.unique(owner[ask[a:e]], return_inverse=True)
-            body = np.concatenate((which.astype("<u4"), place[ask[a:e]].astype("<u4")))
-            out.append((int(to[a]), 1, 0, 0, digest[ask[a:e]].tobytes(), body.tobytes(), np.array([rids[i] for i in docs], "<i8").tobytes(), None))
-        yield table(out)
+            docs, which = about(rids, owner[ask[a:e]], place[ask[a:e]])
+            out.append((int(to[a]), 1, 0, 0, block, docs, digest[ask[a:e]].tobytes(), which))
+        yield _table(out, names, types)
 
     def ask(batches):
         rids, held, size = [], [], 0
-        for b in small(batches, 4096):
+        for b in small(batches):
             ids = b.column(0).to_pylist()
             for first, texts in _together(b.column(1).cast(pa.binary()).to_pylist()):
                 w = Windows(texts, width)
@@ -229,7 +244,7 @@ def estimated_repeated(rows: DataFrame, shards: int, cells: int, width: int = WI
                     held.append((digest, owner + len(rids), place))
                     rids += ids[first : first + len(texts)]
                     size += len(digest)
-                if size > 1_000_000:
+                if size > BLOCK:
                     yield from flush(rids, held)
                     rids, held, size = [], [], 0
         if held:
@@ -238,11 +253,11 @@ def estimated_repeated(rows: DataFrame, shards: int, cells: int, width: int = WI
     def tell(batches):
         """Rows sorted by (shard, kind): merge the sketches of a shard, then answer; one shard is held."""
         shard, count = None, None
-        for b in batches:
+        for b in small(batches, 32):
             out = []
-            for to, kind, row, piece, a, c, who, rid in zip(*(c.to_pylist() for c in b.columns)):
+            for to, kind, row, piece, block, docs, a, c in zip(*(x.to_pylist() for x in b.columns)):
                 if kind == 2:
-                    out.append((rid, a))
+                    out.append((block, docs, c))
                     continue
                 if to != shard:
                     shard, count = to, np.zeros((DEPTH, cells), np.uint8)
@@ -250,24 +265,45 @@ def estimated_repeated(rows: DataFrame, shards: int, cells: int, width: int = WI
                     at = np.frombuffer(a, "<u2").astype(np.int64) + piece * _PIECE
                     count[row, at] = np.minimum(count[row, at] + 1 + np.unpackbits(np.frombuffer(c, np.uint8), count=len(at)), 2)
                     continue
-                digest, docs = np.frombuffer(a, "<u8"), np.frombuffer(who, "<i8")
-                which, place = np.frombuffer(c, "<u4").reshape(2, -1)
+                digest = np.frombuffer(a, "<u8")
                 full = np.all([count[r, _cells(digest, r, cells)] > 1 for r in range(DEPTH)], axis=0)
-                order = np.argsort(which[full], kind="stable")
-                mine, at = which[full][order], place[full][order]
-                out += [(int(docs[mine[a]]), at[a:e].tobytes()) for a, e in (_cut(mine) if len(mine) else ())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((), ()), (pa.int64(), pa.binary()))], names=[RID, "places"])
+                if full.any():
+                    keys, (which, place) = np.frombuffer(docs, "<i8"), np.frombuffer(c, "<u4").reshape(2, -1)
+                    out.append((block, *about(keys.tolist(), which[full], place[full])))
+            yield _table(out, _names(_TOLD), [pa.int64(), pa.binary(), pa.binary()])
+
+    def gather(batches):
+        """Rows sorted by block: one row for each document; one block is held."""
+        block, held = None, []
+
+        def done():
+            keys, which, place = (np.concatenate(x) for x in zip(*held))
+            rid = keys[which]
+            order = np.argsort(rid, kind="stable")
+            rid, place = rid[order], place[order].astype("<u4")
+            return _table([(int(rid[a]), place[a:e].tobytes()) for a, e in _cut(rid)], [RID, "places"], [pa.int64(), pa.binary()])
+
+        for b in small(batches, 32):
+            for of, docs, c in zip(*(x.to_pylist() for x in b.columns)):
+                if held and of != block:
+                    yield done()
+                    held = []
+                block, before = of, sum(len(k) for k, *_ in held)
+                which, place = np.frombuffer(c, "<u4").reshape(2, -1)
+                held.append((np.frombuffer(docs, "<i8"), which.astype(np.int64) + before, place))
+        if held:
+            yield done()
 
     asked = rows.select(RID, "text").mapInArrow(ask, _ASKED).repartition("shard").sortWithinPartitions("shard", "kind")
-    return materialize(asked.mapInArrow(tell, f"{RID} long, places binary"), "places")
+    told = asked.mapInArrow(tell, _TOLD).repartition("block").sortWithinPartitions("block")
+    return materialize(told.mapInArrow(gather, f"{RID} long, places binary"), "places")
 
 
-def _flags(w: Windows, places: list) -> np.ndarray:
-    """Which windows have one of their text's ``places`` (lists of packed uint32) as representative."""
+def _flags(w: Windows, places: list[bytes]) -> np.ndarray:
+    """Which windows have one of their text's ``places`` (packed uint32) as representative."""
     flag = np.zeros(len(w.hashed) + 1, bool)
-    for base, parts in zip(w.start.tolist(), places):
-        for p in parts:
-            flag[np.frombuffer(p, "<u4") + base] = True
+    for base, p in zip(w.start.tolist(), places):
+        flag[np.frombuffer(p, "<u4") + base] = True
     return w.real & flag[w.chosen]
 
 
@@ -286,9 +322,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """RID, doc_id, z (compressed text) and ``marks``: sorted (start, n) runs of windows that start earlier elsewhere."""
     rows = keyed(docs, id_col, text_col)
     n_bytes = rows.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    found = estimated_repeated(rows, *sketch_size(n_bytes), width)
-    # a document has fewer representatives than words, so its lists are bounded by the document
-    places = found.groupBy(RID).agg(F.collect_list("places").alias("places"))
+    places = estimated_repeated(rows, *sketch_size(n_bytes), width)
 
     def cut(batches):
         """Chunks of the windows estimated repeated; without a digest where this task has met an earlier equal one."""
@@ -335,23 +369,28 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rid, base, start, n = (np.array(x, np.int64) for x in zip(*mine))
                 inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 start = np.repeat(start, n) + inner
-                part = d[np.repeat(base, n) + start].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(np.repeat(rid, n)), pa.array(start, pa.int32())], names=["h", "l", RID, "start"])
+                h, l = d[np.repeat(base, n) + start].view(np.int64).T
+                rid = np.repeat(rid, n)
+                order = np.lexsort((start, rid, l, h))
+                h, l, rid, start = h[order], l[order], rid[order], start[order]
+                # an equal window earlier in this slice: known to be a repeat, travels under its document's key
+                known = np.concatenate(([False], (h[1:] == h[:-1]) & (l[1:] == l[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(known, rid, h)), pa.array(l), pa.array(rid), pa.array(start, pa.int32()), pa.array(known)], names=["h", "l", RID, "start", "known"])
 
     def later_ones(batches):
-        """Rows sorted by (h, l, RID, start): all but the first of each digest."""
+        """Rows sorted by (known, h, l, RID, start): the known ones, and all but the first of each digest."""
         before = None
         for b in batches:
-            h, l, rid, start = (c.to_numpy() for c in b.columns)
+            h, l, rid, start, known = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             if not len(h):
                 continue
-            same = np.concatenate(([before == (h[0], l[0])], (h[1:] == h[:-1]) & (l[1:] == l[:-1])))
-            before = (h[-1], l[-1])
+            same = np.concatenate(([before == (h[0], l[0])], (h[1:] == h[:-1]) & (l[1:] == l[:-1]))) | known
+            before = None if known[-1] else (h[-1], l[-1])
             yield pa.RecordBatch.from_arrays([pa.array(rid[same]), pa.array(start[same]), pa.array(np.ones(same.sum()), pa.int32())], names=[RID, "start", "n"])
 
-    # equal chunks have one head each, so a window meets few rows here and they can be sorted as they are
-    singles = z.join(wanted, RID).select(RID, "z", "heads").mapInArrow(expand, f"h long, l long, {RID} long, start int")
-    repeats = singles.repartition("h").sortWithinPartitions("h", "l", RID, "start").mapInArrow(later_ones, f"{RID} long, start int, n int")
+    # equal chunks have one head each, and slices send on the first of equal windows
+    singles = z.join(wanted, RID).select(RID, "z", "heads").mapInArrow(expand, f"h long, l long, {RID} long, start int, known boolean")
+    repeats = singles.repartition("h").sortWithinPartitions("known", "h", "l", RID, "start").mapInArrow(later_ones, f"{RID} long, start int, n int")
     # a document has at most as many entries as words, so its list is bounded by the document
     marked = later.unionAll(repeats).groupBy(RID).agg(pack(F.struct("start", "n")).alias("marks"))
     z = packed(rows.withColumn("doc_id", F.col("doc_id").cast("long")), RID, "doc_id")
