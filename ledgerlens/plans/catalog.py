@@ -316,12 +316,14 @@ def consensus_cluster(spark, d):
 
 @query("""select l_returnflag, l_linestatus, sum(l_quantity) as total, count(*) as n from lineitem group by grouping sets ((l_returnflag), (l_linestatus), ())""")
 def grouping_sets_report(spark, d):
-    t(spark, d, "lineitem").createOrReplaceTempView("gs_lineitem")
-    return spark.sql("select l_returnflag, l_linestatus, sum(l_quantity) as total, count(*) as n from gs_lineitem group by grouping sets ((l_returnflag), (l_linestatus), ())")
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    return t(spark, d, "lineitem").groupingSets([[flag], [status], []], flag, status).agg(F.sum("l_quantity").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""with g as (select c_mktsegment as s, count(*) as n from customer group by 1), b as (select s, n, n * 100 / sum(n) over () as q0, round(n * 100.0 / sum(n) over () - floor(n * 100.0 / sum(n) over ()), 9) as part, floor(n * 100.0 / sum(n) over ()) as quota from g)
-select s, n, cast(quota + (row_number() over (order by part desc, s) <= 100 - sum(quota) over ())::int as bigint) as quota from b""")
+@query("""with g as (select c_mktsegment as s, count(*) as n from customer group by 1),
+b as (select s, n, (100 - count(*) over ())::hugeint * (n - 1) as share, (sum(n - 1) over ())::hugeint as caps from g),
+q as (select s, n, share // caps as whole, share % caps as part, 100 - count(*) over () - sum(share // caps) over () as rest from b)
+select s, n, cast(1 + whole + (row_number() over (order by part desc, s) <= rest)::int as bigint) as quota from q""")
 def stratified_allocation(spark, d):
     g = t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("s")).agg(F.count(F.lit(1)).alias("n"))
     return sampling.allocate(g, "s", "n", 100)
@@ -496,7 +498,7 @@ def unique_best(spark, d):
 
 
 @query("""with f as (select l_orderkey as qid, row_number() over (partition by l_orderkey order by l_linenumber, l_extendedprice, l_partkey) - 1 as i, l_extendedprice as v, count(*) over (partition by l_orderkey) as n from lineitem),
-one as (select qid from f group by qid having count(distinct v) = count(*) and count(*) <= 6)
+one as (select qid from f group by qid having count(distinct v) = count(*))
 select qid, i::bigint as fact, row_number() over (partition by qid order by v desc) - 1 as leaf from f join one using (qid)""")
 def optimal_assignment(spark, d):
     # leaf j weighs n - j, so the best assignment gives the leaves in falling order of price

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 import math
+import re
+import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import config
+from ledgerlens.functions.text import MONEY_UNITS
 
 NUMERIC = {"money", "number", "ratio", "percent", "percentage_point", "count", "year"}
 
@@ -36,6 +39,23 @@ class Typed:
     constant: float | None = None
 
 
+#: Literals that need no ground.
+FREE_LITERALS = (-1.0, 0.0, 1.0, 2.0, 100.0)
+
+
+def literal_grounded(value: float, question: str, kind: str = "number") -> bool:
+    """Whether a literal stands in the question: as it is, with a decimal comma, or as an amount of money with its unit."""
+    if value in FREE_LITERALS:
+        return True
+    shown = re.escape(f"{value:g}").replace(r"\.", "[.,]")
+    if re.search(rf"(?<![\d.,]){shown}(?!\d|[.,]\d)", question):
+        return True
+    plain = "".join(c for c in unicodedata.normalize("NFD", question.lower()) if not unicodedata.combining(c))
+    units = "|".join(u.replace(" ", r"\s+") for u in MONEY_UNITS)
+    amounts = re.findall(rf"(?<![0-9.,])([-+]?[0-9]+(?:[.,][0-9]+)?)\s*({units})(?![0-9a-z])", plain) if kind == "money" else ()
+    return any(math.isclose(value, float(n.replace(",", ".")) * MONEY_UNITS[" ".join(u.split())], rel_tol=1e-12, abs_tol=1e-9) for n, u in amounts)
+
+
 def _same(args: list[Typed]) -> str:
     kinds = {a.type for a in args if a.constant != 0}
     if len(kinds) > 1:
@@ -68,7 +88,10 @@ def _median(cols: list[Column]) -> Column:
 
 
 class Compiler:
-    def __init__(self, program: str | dict):
+    """``question``: where it is given, literals must be grounded in it."""
+
+    def __init__(self, program: str | dict, question: str | None = None):
+        self.question = question
         try:
             self.program = json.loads(program) if isinstance(program, str) else program
             self.facts, self.bindings, self.root = self.program["facts"], self.program.get("bindings", {}), self.program["root"]
@@ -107,6 +130,8 @@ class Compiler:
         if "lit" in node:
             if isinstance(node["lit"], bool) or not isinstance(node["lit"], (int, float)) or not math.isfinite(node["lit"]):
                 raise Rejected("schema_error", "literal")
+            if self.question is not None and not literal_grounded(float(node["lit"]), self.question, node.get("type", "number")):
+                raise Rejected("grounding_error", f"literal {node['lit']}")
             return Typed(F.lit(float(node["lit"])), node.get("type", "number"), float(node["lit"]))
         if "var" in node:
             return self.name(node["var"], depth)
@@ -222,6 +247,27 @@ def answer(facts: DataFrame, program: str | dict, keys: list[str]) -> DataFrame:
     return facts.select(*keys, compiled.column.alias("answer")).withColumn("status", F.when(F.col("answer").isNull(), "execution_failed").otherwise("ok"))
 
 
+def answer_first(facts: DataFrame, samples: list, keys: list[str], question: str | None = None) -> DataFrame:
+    """keys, answer, status, sample and trace: the first of some programs that gives a row an answer.
+
+    The trace has (sample, reason) up to the accepted one: the reason code of a rejected program,
+    execution_failed or ok.
+    """
+    tried = []
+    for i, program in enumerate(samples, 1):
+        try:
+            value = Compiler(program, question).compile().column
+            tried.append((i, value, F.when(value.isNull(), "execution_failed").otherwise("ok")))
+        except Rejected as e:
+            tried.append((i, F.lit(None).cast("double"), F.lit(e.code)))
+    attempts = F.array(*(F.struct(F.lit(i).alias("sample"), reason.alias("reason"), value.alias("value")) for i, value, reason in tried)) if tried else F.array().cast("array<struct<sample:int,reason:string,value:double>>")
+    df = facts.select(*keys, attempts.alias("a")).withColumn("hit", F.get(F.filter("a", lambda x: x["reason"] == "ok"), F.lit(0)))
+    seen = F.filter("a", lambda x: x["sample"] <= F.coalesce(F.col("hit.sample"), F.lit(len(samples))))
+    last = F.coalesce(F.get(F.transform("a", lambda x: x["reason"]), F.size("a") - 1), F.lit("no_samples"))
+    trace = F.transform(seen, lambda x: F.struct(x["sample"].alias("sample"), x["reason"].alias("reason")))
+    return df.select(*keys, F.col("hit.value").alias("answer"), F.coalesce(F.col("hit.reason"), last).alias("status"), F.col("hit.sample").alias("sample"), trace.alias("trace"))
+
+
 def pivot_facts(cells: DataFrame, keys: list[str], slot: str, value: str, slots: list[str]) -> DataFrame:
     """One row per question with a column for each slot; a slot with more or less than one cell is null."""
     one = [F.when(F.count_if(F.col(slot) == s) == 1, F.max(F.when(F.col(slot) == s, F.col(value)))).alias(s) for s in slots]
