@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,21 +35,98 @@ def runner_up_gap(df: DataFrame, by: str, score: str, pos: str) -> DataFrame:
     return df.withColumn("second", F.lead(score).over(w)).withColumn("rank", F.row_number().over(w)).filter("rank = 1").withColumn("gap", F.col(score) - F.col("second"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = config.BM25_K1, b: float = config.BM25_B) -> DataFrame:
-    """(query_id, doc_id, score); docs: doc_id, terms; queries: query_id, terms. A repeated query term counts again.
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, decimals: int = 4, k1: float = config.BM25_K1, b: float = config.BM25_B, block_terms: int = 1 << 20) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best documents of each query, ties to the smaller id.
 
-    Postings are filtered by the query terms before they are counted; terms of queries are broadcast only
-    below Spark's own size limit.
+    docs: doc_id, terms; queries: query_id, terms. A repeated query term counts again; documents that share no
+    term are not listed. Queries go out in blocks of at most ``block_terms`` (query, term) places; a task scores
+    each document once for a block and keeps k rows for each query, so what is shuffled is
+    tasks x queries x k thin rows, and the counts of the asked terms. Null terms count as none.
     """
-    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
-    asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    postings = docs.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
-    tf = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    joined = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))  # one row
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return joined.groupBy("query_id", "doc_id").agg(F.sum(part * F.col("times")).alias("score"))
+    spark = docs.sparkSession
+    asked = [(r[0], Counter(r[1] or ())) for r in queries.select(F.col("query_id").cast("long"), "terms").toLocalIterator()]
+    slim = docs.select(F.col("doc_id").cast("long"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+    found = spark.createDataFrame([], _SCORED)
+    for block in _query_blocks(asked, block_terms):
+        words = sorted({w for _, ws in block for w in ws})
+        shared = spark.sparkContext.broadcast(pa.array(words, pa.string()))  # bounded by the block
+        counts = np.zeros(len(words) + 2)
+        for r in slim.select("terms").mapInArrow(_document_counts(shared), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+            counts[r["term"]] = r["n"]
+        counts, (n_docs, all_terms) = counts[:-2], counts[-2:]
+        place = {w: i for i, w in enumerate(words)}
+        weight = np.zeros((len(words), len(block)))
+        for j, (_, ws) in enumerate(block):
+            for w, times in ws.items():
+                weight[place[w], j] = times
+        weight *= np.log((n_docs - counts + 0.5) / (counts + 0.5) + 1)[:, None]
+        index = spark.sparkContext.broadcast((pa.array(words, pa.string()), np.array([i for i, _ in block]), weight))
+        found = found.unionAll(slim.mapInArrow(_bm25_search(index, k, decimals, k1, b, all_terms / max(n_docs, 1)), _SCORED))
+    return top_k(found, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+
+
+_SCORED = "query_id long, doc_id long, score double"
+#: Documents that are scored at a time.
+_CHUNK = 256
+
+
+def _query_blocks(asked: list[tuple[int, Counter]], places: int):
+    """Lists of queries whose number times number of terms stays within ``places``."""
+    block, words = [], set()
+    for q in asked:
+        if block and (len(block) + 1) * len(words | q[1].keys()) > places:
+            yield block
+            block, words = [], set()
+        block.append(q)
+        words |= q[1].keys()
+    if words:
+        yield block
+
+
+def _term_counts(terms: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, word, count) of the asked words in a list array."""
+    size = np.diff(terms.offsets.to_numpy())
+    which = pc.index_in(terms.flatten(), value_set=words)
+    owner, hit = np.repeat(np.arange(len(terms)), size), which.is_valid().to_numpy(zero_copy_only=False)
+    key, n = np.unique(owner[hit] * len(words) + which.drop_null().to_numpy(), return_counts=True)
+    return key // len(words), key % len(words), n
+
+
+def _document_counts(shared):
+    def run(batches):
+        """Documents with each word; after them the number of documents and of all their terms."""
+        n = np.zeros(len(shared.value) + 2, np.int64)
+        for b in batches:
+            n += np.bincount(_term_counts(b.column(0), shared.value)[1], minlength=len(n))
+            n[-2:] += b.num_rows, len(b.column(0).flatten())
+        there = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(n[there])], names=["term", "n"])
+
+    return run
+
+
+def _bm25_search(index, k: int, decimals: int, k1: float, b: float, avg_len: float):
+    def run(batches):
+        words, ids, weight = index.value
+        best_s, best_d = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _CHUNK):
+                part = batch.slice(at, _CHUNK)
+                size = np.diff(part.column(1).offsets.to_numpy())
+                doc, word, tf = _term_counts(part.column(1), words)
+                grown = np.zeros((part.num_rows, len(words)))
+                grown[doc, word] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / (avg_len or 1)))
+                s = (grown @ weight).T
+                s = np.where(s > 0, np.round(s, decimals), -np.inf)
+                best_s = np.concatenate((best_s, s), axis=1)
+                best_d = np.concatenate((best_d, np.broadcast_to(part.column(0).to_numpy(), s.shape)), axis=1)
+                order = np.lexsort((best_d, -best_s), axis=1)[:, :k]
+                best_s, best_d = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_d, order, 1)
+        kept = np.isfinite(best_s)
+        cols = (np.broadcast_to(ids[:, None], best_s.shape)[kept], best_d[kept], best_s[kept])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["query_id", "doc_id", "score"])
+
+    return run
 
 
 def cosine(a: Column, b: Column) -> Column:

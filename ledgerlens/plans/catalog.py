@@ -248,8 +248,7 @@ def bm25_topk(spark, d):
     terms = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
     docs = t(spark, d, "documents").select("doc_id", terms("text").alias("terms"))
     asked = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), terms("text").alias("terms"))
-    scored = ranking.bm25(docs, asked).withColumn("score", F.round("score", 4))
-    return ranking.top_k(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], 20).drop("rank")
+    return ranking.bm25_top_k(docs, asked, 20).drop("rank")
 
 
 @query("""select event_id, coalesce(m, -1.0) as mark from (select event_id, last_value(case when event_type = 'view' then value end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as m from events)""")
