@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -29,6 +29,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         new = materialize(out.filter("u <> v").distinct(), "edges")
         a = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         b = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(e)  # the new table is read without it
         e = new
         if tuple(a) == tuple(b):
             break

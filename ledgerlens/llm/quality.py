@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import discard, materialize, small
 from .substring_dedup import word_hashes
 
 DIMS = 1 << 16
@@ -279,6 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: in
         scale = np.minimum(1, labelled_docs / np.maximum(pseudo.docs, 1))
         model.counts, model.docs = labelled_counts + pseudo.counts * scale[:, :, None], labelled_docs + pseudo.docs * scale
         _calibrate(model.prepare(), held)
+    discard(featured)  # the model is what is left of them
     return model
 
 
