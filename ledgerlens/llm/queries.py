@@ -1,6 +1,6 @@
 """Driver queries of the corpus operators, and the SQL that gives the same rows where SQL can."""
 
-from . import chat_format, decontamination, exact_dedup, packing, pii, quality, secret_scan, simhash_dedup, substring_dedup, suffix_dedup
+from . import chat_format, decontamination, exact_dedup, packing, pii, quality, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, token_files
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_packing": packing.op9_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_token_files": token_files.op11_token_files,
 }
 
 SQL = {
