@@ -43,8 +43,8 @@ SHARE = 0.9
 #: A shard ends with the document that brings it to so many ids.
 SHARD_IDS = 1 << 21
 END = 1
-#: Words whose ids a worker keeps, some 200 bytes each; beyond it starts anew.
-MOST_WORDS = 1 << 18
+#: Words whose ids a worker keeps, some 200 bytes each; beyond that it starts anew.
+MOST_WORDS = 1 << 20
 MAGIC = b"PFR1"
 _HEAD, _BLOCK_HEAD, _FOOT = struct.Struct("<4sIQII"), np.dtype([("base", "<u4"), ("width", "u1"), ("size", "u1"), ("n", "<u2")]), struct.Struct("<Q4s")
 MANIFEST = "file string, first long, n_docs long, n_ids long, n_bytes long"
@@ -171,27 +171,50 @@ def encoder(path: str):
     """texts -> ids (unsigned, 16 bits where the vocabulary allows it) as the tokenizer file gives them, special tokens not added.
 
     No piece of this kind of vocabulary goes over a blank, so each different piece between blanks is encoded
-    once and its ids kept. Texts that spell a special token, and other vocabularies, are encoded whole.
+    once and its ids kept; pieces of Latin letters alone go to the library's merge model without its splitting
+    step, which leaves them whole. Texts that spell a special token, and other vocabularies, are encoded whole.
     """
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         full = Tokenizer.from_file(path)
+        model, as_bytes = full.model, ByteLevel(add_prefix_space=False)
+        spelt = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xAA, 0x100) if chr(c).isalpha()}
         special = [t.content for t in full.get_added_tokens_decoder().values()]
         kind, letter = ("<u2", "H") if full.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         whole = lambda text: np.array(full.encode(text, add_special_tokens=False).ids, kind)
         by_piece = "\\s+" in str(full.normalizer) and "Removed" in str(full.pre_tokenizer)  # blanks divide pieces and are dropped
-        known: dict[str, bytes] = {}
+
+        class Known(dict):
+            """piece -> its ids as bytes."""
+
+            def __missing__(self, p: str) -> bytes:
+                if p.isalpha() and (p.isascii() or max(p) < "\u0100"):
+                    low = p.lower()
+                    found = [x.id for x in model.tokenize(low if low.isascii() else low.translate(spelt))]
+                else:
+                    found = full.encode(p, add_special_tokens=False).ids
+                self[p] = out = array(letter, found).tobytes()
+                return out
+
+        known = Known()
 
         def encode(texts: list[str]) -> list[np.ndarray]:
-            pieces = [_PIECES.findall(t) if by_piece and not any(s in t for s in special) else None for t in texts]
             if len(known) > MOST_WORDS:
                 known.clear()
-            new = list(set().union(*(p for p in pieces if p)).difference(known))
-            for p, e in zip(new, full.encode_batch_fast(new, add_special_tokens=False)):
-                known[p] = array(letter, e.ids).tobytes()
-            return [whole(t) if p is None else np.frombuffer(b"".join(map(known.__getitem__, p)), kind) for t, p in zip(texts, pieces)]
+            out = []
+            for t in texts:
+                try:
+                    low = t.lower() if t.encode("latin-1") else t
+                except UnicodeEncodeError:
+                    low = t  # lower case of other letters is left to the library
+                if not by_piece or any(s in low for s in special):
+                    out.append(whole(t))
+                else:
+                    out.append(np.frombuffer(b"".join(map(known.__getitem__, _PIECES.findall(low))), kind))
+            return out
 
         _encoders[path] = encode
     return _encoders[path]
