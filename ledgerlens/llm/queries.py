@@ -1,6 +1,6 @@
 """Driver queries of the corpus operators, and the SQL that gives the same rows where SQL can."""
 
-from . import chat_format, decontamination, exact_dedup, packing, periodic_runs, pii, quality, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, token_files
+from . import chat_format, decontamination, exact_dedup, packing, periodic_runs, pii, quality, secret_scan, simhash_dedup, spelling, substring_dedup, suffix_dedup, token_files
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_token_files": token_files.op11_token_files,
+    "op12_spelling": spelling.op12_spelling,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
