@@ -43,17 +43,28 @@ class Typed:
 FREE_LITERALS = (-1.0, 0.0, 1.0, 2.0, 100.0)
 
 
+def numbers_in(text: str) -> list[float]:
+    """Numbers of a text, each as it can be read: 1.234.567 and 1,234,567 as grouped, 1.5 and 1,5 as decimals, 1.500 as both."""
+    found = []
+    for sign, digits in re.findall(r"(?<![\d.,])([-+]?)(\d+(?:[.,]\d+)*)", text):
+        marks, parts = re.findall("[.,]", digits), re.split("[.,]", digits)
+        grouped = len(set(marks)) < 2 and all(len(p) == 3 for p in parts[1:])
+        readings = {float("".join(parts))} if grouped else set()
+        if marks and marks.count(marks[-1]) == 1 and len(set(marks[:-1])) < 2:  # the last mark may be the decimal one
+            readings.add(float("".join(parts[:-1]) + "." + parts[-1]))
+        found += [x if s != "-" else -x for x in readings for s in ("+", sign)]
+    return found
+
+
 def literal_grounded(value: float, question: str, kind: str = "number") -> bool:
-    """Whether a literal stands in the question: as it is, with a decimal comma, or as an amount of money with its unit."""
-    if value in FREE_LITERALS:
-        return True
-    shown = re.escape(f"{value:g}").replace(r"\.", "[.,]")
-    if re.search(rf"(?<![\d.,]){shown}(?!\d|[.,]\d)", question):
-        return True
-    plain = "".join(c for c in unicodedata.normalize("NFD", question.lower()) if not unicodedata.combining(c))
-    units = "|".join(u.replace(" ", r"\s+") for u in MONEY_UNITS)
-    amounts = re.findall(rf"(?<![0-9.,])([-+]?[0-9]+(?:[.,][0-9]+)?)\s*({units})(?![0-9a-z])", plain) if kind == "money" else ()
-    return any(math.isclose(value, float(n.replace(",", ".")) * MONEY_UNITS[" ".join(u.split())], rel_tol=1e-12, abs_tol=1e-9) for n, u in amounts)
+    """Whether a literal is a number of the question, or an amount of money that stands there with its unit."""
+    known = list(numbers_in(question))
+    if kind == "money":
+        plain = "".join(c for c in unicodedata.normalize("NFD", question.lower()) if not unicodedata.combining(c))
+        units = "|".join(sorted((u.replace(" ", r"\s+") for u in MONEY_UNITS), key=len, reverse=True))
+        for shown, unit in re.findall(rf"(?<![\d.,])([-+]?\d+(?:[.,]\d+)*)\s*({units})(?![0-9a-z])", plain):
+            known += [x * MONEY_UNITS[" ".join(unit.split())] for x in numbers_in(shown)]
+    return value in FREE_LITERALS or any(math.isclose(value, x, rel_tol=1e-12, abs_tol=1e-9) for x in known)
 
 
 def _same(args: list[Typed]) -> str:
@@ -112,7 +123,7 @@ class Compiler:
         want = self.program.get("output", out.type)
         if (out.type, want) in (("ratio", "percent"), ("ratio", "percentage_point")):
             out = Typed(out.column * 100, want)
-        elif out.type != want and not {out.type, want} <= {"number", "money", "ratio", "count"}:
+        elif out.type == "bool" or out.type != want and not {out.type, want} <= {"number", "money", "ratio", "count"}:
             raise Rejected("output_type_error", f"{out.type} is not {want}")
         return Typed(F.round(out.column, 2) + 0.0, want)  # no negative zero
 

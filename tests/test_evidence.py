@@ -103,3 +103,8 @@ def test_first_sample_that_answers(spark):
     got = {r["q"]: (r["answer"], r["status"], [x["reason"] for x in r["trace"]]) for r in ir.answer_first(facts, ["{", inverse], ["q"]).collect()}
     assert got == {1: (None, "execution_failed", ["schema_error", "execution_failed"]), 2: (25.0, "ok", ["schema_error", "ok"])}
     assert ir.answer_first(facts, [], ["q"]).collect()[0]["status"] == "no_samples"
+
+
+@pytest.mark.parametrize("value, question, ok", [(1234567, "doanh thu 1234567 dong", True), (1500000, "1.500.000 dong", True), (1500000, "1,500,000", True), (1234567.5, "1.234.567,5", True), (1234568, "1234567", False), (1.5, "1.500", True), (1500, "1.500", True), (15, "1.5", False), (-7, "giam -7", True), (-7, "giam 7", False), (7, "tu -7", True), (0.25, ",25", False)])
+def test_grounded_numbers_of_any_length(value, question, ok):
+    assert ir.literal_grounded(float(value), question) == ok
