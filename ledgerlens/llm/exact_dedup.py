@@ -145,7 +145,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each document: RID, doc_id, keep_id, group_size, kept, text_sha256, in_history.
 
     ``history(digests)`` picks the digest rows that the index is built from; the rest is the new batch.
-    By default that is the lower half of the id range, as an older crawl would be.
+    By default that is the lower half of the id range, as an older crawl would be. ``working`` of the
+    result are the tables that it reads; who has written it can discard them.
     """
     digests = text_digests(docs, id_col, text_col)
     lo, hi, n = digests.agg(F.min(RID), F.max(RID), F.count(F.lit(1))).first()
@@ -156,7 +157,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = look_up(digests.filter(~old), index, n_shards)
     groups = groups.withColumn("winner_id", F.expr(f"nullif(winner_id, {-(2**63) + 1} - 1L)"))
     # both sides are a few dozen bytes a row; adaptive execution splits the side of a hot digest
-    return digests.join(groups, "digest", "left").select(
+    out = digests.join(groups, "digest", "left").select(
         RID,
         "doc_id",
         F.col("winner_id").alias("keep_id"),
@@ -165,6 +166,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.lower(F.hex("digest")).alias("text_sha256"),
         F.col("known").alias("in_history"),
     )
+    out.working = (digests, index)
+    return out
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

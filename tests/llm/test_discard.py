@@ -2,7 +2,8 @@
 
 import os
 
-from ledgerlens.llm import near_dedup, quality
+import corpus_pipeline
+from ledgerlens.llm import exact_dedup, near_dedup, quality
 from ledgerlens.llm.common import discard, materialize, shared_dir
 
 
@@ -33,3 +34,19 @@ def test_quality_leaves_no_features(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     model = quality.train(docs, labels)
     assert not tables(spark) - before and quality.score(docs, model).count() == 60
+
+
+def test_exact_dedup_names_its_tables(spark):
+    before = tables(spark)
+    out = exact_dedup.exact_dedup(spark.createDataFrame([(1, "a"), (2, "A"), (3, None)], "doc_id long, text string"))
+    kept = materialize(out.filter("kept").select("doc_id"), "kept")
+    discard(*out.working)
+    assert [n.split("-")[0] for n in tables(spark) - before] == ["kept"] and sorted(r[0] for r in kept.collect()) == [2, 3]
+
+
+def test_pipeline_leaves_one_copy_of_the_corpus(spark):
+    """Stages that are done with are gone: what packing reads, its tokens and what slim tables are left."""
+    before = tables(spark)
+    pieces = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = sorted(n.rsplit("-", 1)[0] for n in tables(spark) - before)
+    assert set(left) == {"benchmark-decontamination", "edges", "kept", "tokens"} and pieces.count() > 0

@@ -420,3 +420,41 @@ def test_quality(spark):
     plain = quality.score(df, quality.train(df, labels.limit(0))).collect()
     assert all(r["keep"] and r["quality_score"] == 0.5 for r in plain)
     assert quality.score(df.limit(0), quality.train(df.limit(0), labels)).count() == 0
+
+
+def brute_contaminated(texts, items):
+    """(document, item) where a passage occurs with at most its edits: the least edit distance to any place, by the full table."""
+    index, found = decontamination.Passages(items), set()
+    for part, owner, k in zip(index.parts, index.owner, index.budget):
+        for doc, text in texts:
+            t = (text or "").encode().lower()
+            if len(part) < decontamination.Q:
+                edge = lambda b: not (b.isalnum() or b >= b"\x80")
+                hit = any(t.startswith(part, i) and edge(t[i - 1 : i] if i else b" ") and edge(t[i + len(part) : i + len(part) + 1] or b" ") for i in range(len(t)))
+            else:
+                row = np.zeros(len(t) + 1, int)
+                for c in part:
+                    new = np.empty_like(row)
+                    new[0] = row[0] + 1
+                    new[1:] = np.minimum(row[:-1] + (np.frombuffer(t, np.uint8) != c), row[1:] + 1)
+                    new = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+                    row = new
+                hit = row.min() <= k
+            if hit:
+                found.add((doc, index.items[owner]))
+    return found
+
+
+def test_contaminated_against_all_alignments(spark):
+    rnd = random.Random(8)
+    items = [(1, prose(60)), (2, prose(12)), (3, prose(3)[:20]), (4, "yes"), (5, "a-b"), (6, prose(9)), (7, "été")]
+    texts = []
+    for i in range(60):
+        t = list(prose(20) + " " + rnd.choice(items)[1] + " " + prose(20))
+        for _ in range(rnd.randint(0, 14)):
+            t[rnd.randrange(len(t))] = rnd.choice(["", "x", "qz", " "])
+        texts.append((i, "".join(t)))
+    texts += [(100, "yesterday all was well"), (101, "Oh YES."), (102, "yes"), (103, "yes1 eyes"), (104, "l'été, xa-b"), (105, None), (106, "a-b"), (107, "étéé")]
+    got = decontamination.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in got.collect()}
+    assert found == brute_contaminated(texts, items) and len(found) > 30 and (100, 4) not in found
