@@ -23,6 +23,11 @@ def _sorted(text: Column, distinct: bool) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(words) if distinct else words), " ")
 
 
+def sorted_words(text: Column) -> Column:
+    """The distinct words of a text, sorted, with a blank between."""
+    return _sorted(text, True)
+
+
 def token_set_ratio(a: Column, b: Column) -> Column:
     return ratio(_sorted(a, True), _sorted(b, True))
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ledgerlens.functions.fuzzy import token_set_ratio
+from ledgerlens.functions.fuzzy import sorted_words
 from ledgerlens.functions.text import norm, strip_company_prefixes, strip_diacritics
 
 #: Brand names that legal names do not hold.
@@ -38,15 +43,76 @@ def _apart(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), start, step)["kept"]
 
 
+def _counts(texts: list[str]) -> np.ndarray:
+    """How often each of 64 classes of characters occurs: no two strings share more characters than their classes do."""
+    out = np.zeros((len(texts), 64), np.int32)
+    for i, x in enumerate(texts):
+        if x:
+            out[i] = np.bincount(np.frombuffer(x.encode("utf-32-le"), "<u4") % 64, minlength=64)
+    return out
+
+
+def best_names(questions: DataFrame, names: DataFrame, key: str, text: str, block_chars: int = 1 << 20) -> DataFrame:
+    """(key, ticker, score): for each question the name most alike by the ratio of the sorted distinct words, of all names.
+
+    Names (ticker, alias) are the stated set that goes to all questions, in blocks of ``block_chars``. The ratio is
+    2 M / (a + b) of the lengths a and b, and M is at most the number of characters that both have. So names are
+    scored from the highest such bound down, until the bound falls below the best score: the result is that of
+    scoring all. Ties go to the smaller ticker.
+    """
+    spark = questions.sparkSession
+    asked = questions.select(key, sorted_words(F.col(text)).alias("said"))
+    listed = names.filter("ticker is not null").select("ticker", sorted_words(F.col("alias")).alias("name")).distinct().orderBy("ticker", "name")
+    schema = StructType([asked.schema[key], *StructType.fromDDL("ticker string, score double")])
+
+    def search(shared):
+        def run(batches):
+            tickers, shown, sizes, counts = shared.value
+            for b in batches:
+                out = []
+                for said in b.column(1).to_pylist():
+                    bound = 200.0 * np.minimum(counts, _counts([said])).sum(axis=1) / np.maximum(sizes + len(said), 1)
+                    bound[sizes + len(said) == 0] = 100.0  # two empty strings are equal
+                    best = (-1.0, "")
+                    for i in np.argsort(-bound, kind="stable").tolist():
+                        if bound[i] < best[0] - 1e-9:
+                            break
+                        score = 100 * SequenceMatcher(None, shown[i], said).ratio()
+                        if score > best[0] or score == best[0] and tickers[i] < best[1]:
+                            best = (score, tickers[i])
+                    out.append(best)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for _, t in out], pa.string()), pa.array([s for s, _ in out], pa.float64())], names=[key, "ticker", "score"])
+
+        return run
+
+    found, block, size = None, [], 0
+
+    def add():
+        nonlocal found, block, size
+        shown = [r["name"] for r in block]
+        part = asked.mapInArrow(search(spark.sparkContext.broadcast(([r["ticker"] for r in block], shown, np.array([len(x) for x in shown]), _counts(shown)))), schema)
+        found, block, size = part if found is None else found.unionByName(part), [], 0
+
+    for r in listed.toLocalIterator():
+        block.append(r)
+        size += len(r["name"]) + 64
+        if size >= block_chars:
+            add()
+    if block:
+        add()
+    found = spark.createDataFrame([], schema) if found is None else found
+    return found.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "ticker")).alias("x")).select(key, "x.ticker", (-F.col("x.s")).alias("score"))
+
+
 def find_tickers(questions: DataFrame, companies: DataFrame, key: str) -> DataFrame:
     """One row a question (key, question): tickers in the order of their places, source and score.
 
     Symbols in brackets win (explicit, 100). Else names count, longest first and not overlapping, and
     symbols outside them: in capitals, or in small letters if two differ or the wording says it is one
     (explicit, or explicit_name at 99 without a symbol). After a single "cua cong ty me" only what follows
-    counts. Else the best name of those that share a word: fuzzy from 82, low_conf_fuzzy below; none, 0 if
-    no name shares a word. Questions meet names and symbols by equi-joins on words; the lists gathered are
-    those of one question.
+    counts. Else the best of all names: fuzzy from 82, low_conf_fuzzy below; none, 0 if no name
+    has a character of it.
+    Questions meet names and symbols by equi-joins on words; the lists gathered are those of one question.
     """
     c = F.col
     asked = questions.select(key, F.coalesce("question", F.lit("")).alias("question")).withColumn("plain", norm(c("question"))).withColumn("words", _words(c("plain")))
@@ -75,10 +141,9 @@ def find_tickers(questions: DataFrame, companies: DataFrame, key: str) -> DataFr
     df = df.withColumn("tags", F.array_sort(of("tag"))).withColumn("chosen", F.when(F.size("tags") > 0, c("tags")).when(F.size("scoped") > 0, c("scoped")).otherwise(c("mentions")))
     sure = F.exists("chosen", lambda x: x["kind"] != "name")
     df = df.select(key, "plain", F.array_distinct(c("chosen")["ticker"]).alias("tickers"), sure.alias("sure"))
-    lost = df.filter(F.size("tickers") == 0).select(key, "plain", F.explode(F.array_distinct(_words(c("plain")))).alias("word"))
-    near = aliases.filter(F.length("alias") >= 6).select("ticker", "alias", F.explode(F.array_distinct(_words(c("alias")))).alias("word"))
-    guess = lost.join(near, "word").select(key, "plain", "ticker", "alias").distinct().withColumn("s", token_set_ratio(c("alias"), c("plain")))
-    guess = guess.groupBy(key).agg(F.max("s").alias("best"), F.min_by("ticker", F.struct(-c("s"), "ticker")).alias("guess"))
+    lost = df.filter(F.size("tickers") == 0).select(key, "plain")
+    guess = best_names(lost, aliases.filter(F.length("alias") >= 6).select("ticker", "alias"), key, "plain")
+    guess = guess.filter("score > 0").select(key, F.col("score").alias("best"), F.col("ticker").alias("guess"))
     out = df.join(guess, key, "left")
     known = F.size("tickers") > 0
     source = F.when(known & c("sure"), "explicit").when(known, "explicit_name").when(c("best") >= FUZZY_MIN, "fuzzy").when(c("best").isNotNull(), "low_conf_fuzzy").otherwise("none")

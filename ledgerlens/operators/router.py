@@ -76,8 +76,12 @@ def find_entities(questions: DataFrame, aliases: DataFrame, key: str) -> DataFra
 
 
 def plan_facts(routed: DataFrame, key: str, entities: str = "tickers") -> DataFrame:
-    """One row per fact: entity x year x component, with its role; growth and cagr get the prior year too."""
-    years = F.when((F.size("years") == 1) & F.col("op").isin("growth_pct", "cagr"), F.array(F.get("years", F.lit(0)), F.get("years", F.lit(0)) - 1)).otherwise(F.col("years"))
+    """One row per fact: entity x year x component, with its role.
+
+    A change of one entity (growth, cagr, difference) that names one year gets the prior year too; several entities
+    are compared in the year named.
+    """
+    years = F.when((F.size("years") == 1) & (F.size(entities) == 1) & F.col("op").isin("growth_pct", "cagr", "difference"), F.array(F.get("years", F.lit(0)), F.get("years", F.lit(0)) - 1)).otherwise(F.col("years"))
     parts = F.when(F.col("op").isin("ratio", "margin") & (F.size(split_ratio(F.col("metric"))) == 2), split_ratio(F.col("metric"))).otherwise(F.array("metric"))
     rows = routed.withColumn("fact_years", years).withColumn("parts", parts)
     rows = rows.select(key, "op", F.size("parts").alias("n_parts"), F.explode(entities).alias("ticker"), "fact_years", "parts").select(key, "op", "n_parts", "ticker", F.explode("fact_years").alias("year"), "parts")

@@ -471,9 +471,13 @@ def containment_join(spark, d):
     return router.find_entities(router.route(_questions(spark, d)), names, "qid").select("qid", "ticker")
 
 
-@query("""select n_nationkey::bigint as qid, n_name as ticker, unnest(case n_nationkey % 4 when 0 then [2021, 2020] when 1 then [2020] when 2 then [2019, 2020, 2021] else [2020, 2021] end)::bigint as year, 'value' as role from nation""")
+@query("""with t as (select n_nationkey, unnest(case when n_nationkey % 8 in (0, 1) then [n_name, 'other'] else [n_name] end) as ticker from nation)
+select n_nationkey::bigint as qid, ticker, unnest(case n_nationkey % 8 when 0 then [2021] when 4 then [2021, 2020] when 1 then [2020] when 5 then [2020, 2019] when 2 then [2019, 2020, 2021] when 6 then [2019, 2020, 2021] else [2020, 2021] end)::bigint as year, 'value' as role from t""")
 def fact_plan(spark, d):
-    r = router.route(_questions(spark, d)).withColumn("tickers", F.array("n_name")).withColumn("metric", F.lit("doanh thu"))
+    """Growth of one entity and of two, difference of one (5) and of two (1) in a year, rankings, averages."""
+    r = router.route(_questions(spark, d)).withColumn("metric", F.lit("doanh thu"))
+    r = r.withColumn("op", F.when(F.col("qid") % 4 == 1, "difference").otherwise(F.col("op")))
+    r = r.withColumn("tickers", F.when((F.col("qid") % 8).isin(0, 1), F.array("n_name", F.lit("other"))).otherwise(F.array("n_name")))
     return router.plan_facts(r, "qid").select("qid", "ticker", F.col("year").cast("long").alias("year"), "role")
 
 

@@ -1,5 +1,9 @@
 """Entities, units, periods and gap filling on small cases."""
 
+import random
+import re
+from difflib import SequenceMatcher
+
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import numbers
@@ -13,7 +17,7 @@ ASKED = {
     "So sánh FPT với Sữa Việt Nam": (["FPT", "VNM"], "explicit", 100.0),
     "so sánh vnm, gas": (["VNM", "GAS"], "explicit", 100.0),
     "mã cổ phiếu gas lãi bao nhiêu": (["GAS"], "explicit", 100.0),
-    "Nhân sâm giá bao nhiêu": (["SAM"], "low_conf_fuzzy", 35.9),  # a small-letter word alone is no symbol
+    "Nhân sâm giá bao nhiêu": (["MBB"], "low_conf_fuzzy", 44.4),  # a small-letter word alone is no symbol; the best of all names
     "Khoản vay của Sữa Việt Nam của công ty mẹ FPT": (["FPT"], "explicit", 100.0),
     "Mbbank lãi bao nhiêu?": (["MBB"], "explicit_name", 99.0),
     "Tổng công ty Khí Việt Nam": (["GAS"], "explicit_name", 99.0),
@@ -34,6 +38,36 @@ def test_fuzzy_name(spark):
     assert got == {1: (["MBB"], "fuzzy"), 2: (["MBB"], "low_conf_fuzzy")}
 
 
+def test_best_names_are_those_of_scoring_all(spark):
+    """Misspelt names of one word and of several, in blocks, against every pair."""
+    rnd = random.Random(2)
+    names = [(f"T{i:03d}", " ".join("".join(rnd.choices("aeioutnhcgmlsd", k=rnd.randint(3, 9))) for _ in range(rnd.choice([1, 1, 2, 3])))) for i in range(150)]
+    names += [("T900", names[0][1]), ("T000", names[5][1])]  # equal names, a ticker with two names
+    asked = []
+    for i in range(60):
+        word = list(rnd.choice(names)[1])
+        word[rnd.randrange(len(word))] = rnd.choice("xyz")
+        asked.append((i, rnd.choice(["doanh thu ", "", "lai gop cua "]) + "".join(word)))
+    asked += [(90, ""), (91, names[0][1]), (92, "z" * 300)]
+    q, n = spark.createDataFrame(asked, "q int, plain string"), spark.createDataFrame(names, "ticker string, alias string")
+
+    def one(text):
+        cut = lambda t: " ".join(sorted(set(re.findall("[0-9a-z]+", t))))
+        return min((-100 * SequenceMatcher(None, cut(a), cut(text)).ratio(), t) for t, a in names)
+
+    want = {i: one(text)[::-1] for i, text in asked}
+    for block in (1 << 20, 400):
+        got = {r["q"]: (r["ticker"], -r["score"]) for r in entities.best_names(q, n, "q", "plain", block).collect()}
+        assert got == want
+    assert entities.best_names(q, n.limit(0), "q", "plain").count() == 0
+
+
+def test_misspelt_one_word_name(spark):
+    companies = spark.createDataFrame([("VIC", "Vingroup"), ("HPG", "Hoaphat"), ("MSN", "Masan")], "ticker string, name string")
+    got = entities.find_tickers(spark.createDataFrame([(1, "Vingruop")], "qid int, question string"), companies, "qid").collect()
+    assert [(r["tickers"], r["source"]) for r in got] == [(["VIC"], "fuzzy")]
+
+
 def test_units_and_scalars(spark):
     rows = {(1e6, "sticky", "Cuối năm VND"): (1.0, "terminal_vnd", True), (1e6, "sticky", "triệu VND"): (1e6, "sticky", False), (1e6, "explicit", "VND"): (1e6, "explicit", False), (None, None, None): (1.0, "none", False), (float("nan"), "sticky", "x"): (1.0, "sticky", False)}
     df = spark.createDataFrame([(i, *k) for i, k in enumerate(rows)], "i int, a double, b string, c string")
