@@ -165,9 +165,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     totals = counts.groupBy("bucket").agg(F.sum("f").alias("f")).withColumn("block", block)
     blocks = totals.groupBy("block").agg(F.sum("f").alias("bf")).select("block", F.coalesce(F.sum("bf").over(before(Window.orderBy("block"))), F.lit(0)).alias("b0"))
     totals = totals.join(blocks, "block").select("bucket", (F.col("b0") + F.coalesce(F.sum("f").over(before(Window.partitionBy("block").orderBy("bucket"))), F.lit(0))).alias("f0"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "rest_n").orderBy(RID)) - 1)
-    ranked = ranked.withColumn("fulls", F.coalesce(F.sum(F.size("full")).over(before(Window.partitionBy("bucket").orderBy(RID))), F.lit(0)))
-    placed = ranked.join(totals, "bucket").join(lengths, ["bucket", "rest_n"]).select("doc_id", "n", "full", "rest_n", "rest", (F.col("c0") + F.col("rank")).alias("nth"), (F.col("f0") + F.col("fulls")).alias("nth_full"))
+    # places are found on keys and lengths alone; the ids travel once, to their place
+    slim = rows.select(RID, "bucket", "rest_n", F.size("full").alias("f"))
+    ranked = slim.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "rest_n").orderBy(RID)) - 1)
+    ranked = ranked.withColumn("fulls", F.coalesce(F.sum("f").over(before(Window.partitionBy("bucket").orderBy(RID))), F.lit(0)))
+    places = ranked.join(totals, "bucket").join(lengths, ["bucket", "rest_n"]).select(RID, (F.col("c0") + F.col("rank")).alias("nth"), (F.col("f0") + F.col("fulls")).alias("nth_full"))
+    placed = tokens.join(places, RID).select("doc_id", "n", "full", "rest_n", "rest", "nth", "nth_full")
 
     def emit(batches):
         r = p["ranges"]
