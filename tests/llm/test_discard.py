@@ -49,4 +49,4 @@ def test_pipeline_leaves_one_copy_of_the_corpus(spark):
     before = tables(spark)
     pieces = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     left = sorted(n.rsplit("-", 1)[0] for n in tables(spark) - before)
-    assert set(left) == {"benchmark-decontamination", "edges", "kept", "tokens"} and pieces.count() > 0
+    assert set(left) == {"benchmark-decontamination", "contaminated", "edges", "kept", "tokens"} and pieces.count() > 0
