@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,18 +95,48 @@ def best_by_row(cells: DataFrame, by: list[str], row: list[str], row_score: str,
     return top_k(total, by, [F.desc("score"), *map(F.asc, row)], 1).drop("rank", "header_score")
 
 
+#: Wordings by which a cell stands for a metric without support. All words of ``metric`` are asked for;
+#: then every clause must hold, each by one of its alternatives (place, words that stand there together). ``rest``: words
+#: of the metric but these must be in the label, one at least.
+ALIASES = (
+    {
+        "kind": "foreign_currency_usd",
+        "output": "number",
+        "metric": ("ngoai", "te", "usd"),
+        "clauses": ((("label", "usd"),), (("label", "do la my"), ("context", "ngoai te"))),
+    },
+    {
+        "kind": "ownership_percentage",
+        "output": "percent",
+        "metric": ("so", "huu"),
+        "clauses": ((("header", "ty le"),), (("header", "loi ich"), ("header", "quyen bieu quyet"))),
+        "rest": ("so", "huu", "ty", "le", "cua"),
+    },
+)
+
+
 def direct_alias(metric: Column, label: Column, header: Column, context: Column, output_type: Column) -> Column:
-    """Which special wording lets a cell stand for a metric without support; null if none."""
-    asked, there, plain = tokens(metric), tokens(label), norm(header)
+    """Kind of the first rule of ``ALIASES`` that lets a cell stand for a metric; null if none.
+
+    Words of a label stand in any order, those of a header or context as a phrase.
+    """
+    asked, there = tokens(metric), tokens(label)
+    phrases = {"header": norm(header), "context": norm(context)}
+
+    def all_in(words: Column, needed: tuple[str, ...]) -> Column:
+        return F.size(F.array_except(F.array(*map(F.lit, needed)), words)) == 0
+
+    def holds(clause) -> Column:
+        return reduce(or_, (all_in(there, tuple(words.split())) if place == "label" else phrases[place].contains(words) for place, words in clause))
 
-    def has(words: Column, *needed: str) -> Column:
-        return F.forall(F.array(*map(F.lit, needed)), lambda w: F.array_contains(words, w))
+    def rule(r: dict) -> Column:
+        found = reduce(and_, map(holds, r["clauses"]), (output_type == r["output"]) & all_in(asked, r["metric"]))
+        if "rest" in r:
+            rest = F.array_except(asked, F.array(*map(F.lit, r["rest"])))
+            found &= (F.size(rest) > 0) & (F.size(F.array_except(rest, there)) == 0)
+        return F.when(found, r["kind"])
 
-    entity = F.array_except(asked, F.array(*map(F.lit, ("so", "huu", "ty", "le", "cua"))))
-    dollars = has(asked, "ngoai", "te", "usd") & has(there, "usd") & (has(there, "do", "la", "my") | norm(context).contains("ngoai te"))
-    owned = has(asked, "so", "huu") & (F.size(entity) > 0) & (F.size(F.array_except(entity, there)) == 0)
-    share = plain.contains("ty le") & plain.rlike("loi ich|quyen bieu quyet")
-    return F.when((output_type == "number") & dollars, "foreign_currency_usd").when((output_type == "percent") & owned & share, "ownership_percentage")
+    return F.coalesce(*map(rule, ALIASES))
 
 
 def placeholder(source: Column, status: Column, answer: Column, written: Column) -> Column:

@@ -19,25 +19,81 @@ YEARS_AROUND = 1
 LARGEST = {"percent": 10_000.0, "percentage_point": 10_000.0, "ratio": 1_000.0}
 
 
+class _Flow:
+    """Tables that each name depends on, statement by statement; where ways part, a name has what it has on any of them."""
+
+    def __init__(self):
+        self.has: dict[str, frozenset[str]] = {}
+
+    def of(self, node: ast.AST | None) -> frozenset[str]:
+        names = [n.id for n in ast.walk(node) if isinstance(n, ast.Name)] if node is not None else []
+        return frozenset().union(*(self.has.get(n, frozenset([n]) if TABLE.fullmatch(n) else frozenset()) for n in names))
+
+    def give(self, target: ast.AST, tables: frozenset[str]) -> None:
+        """A name is set anew; a part of one (x.a, x[i]) adds to it; of a tuple, each."""
+        if isinstance(target, ast.Name):
+            self.has[target.id] = tables
+        elif isinstance(target, (ast.Tuple, ast.List)):
+            for x in target.elts:
+                self.give(x, tables)
+        elif isinstance(target, ast.Starred):
+            self.give(target.value, tables)
+        elif isinstance(target, (ast.Attribute, ast.Subscript)):
+            inner = target.value
+            while isinstance(inner, (ast.Attribute, ast.Subscript)):
+                inner = inner.value
+            if isinstance(inner, ast.Name):
+                self.has[inner.id] = self.of(inner) | tables
+
+    def ways(self, *blocks: list[ast.stmt]) -> None:
+        """Any one of some blocks is run."""
+        ends, start = [], self.has
+        for block in blocks:
+            self.has = dict(start)
+            self.run(block)
+            ends.append(self.has)
+        own = lambda end, n: end.get(n, frozenset([n]) if TABLE.fullmatch(n) else frozenset())
+        self.has = {n: frozenset().union(*(own(e, n) for e in ends)) for n in set().union(*ends)}
+
+    def run(self, block: list[ast.stmt]) -> None:
+        for s in block:
+            if isinstance(s, ast.Assign):
+                for target in s.targets:
+                    self.give(target, self.of(s.value))
+            elif isinstance(s, ast.AnnAssign) and s.value is not None:
+                self.give(s.target, self.of(s.value))
+            elif isinstance(s, ast.AugAssign):
+                self.give(s.target, self.of(s.target) | self.of(s.value))
+            elif isinstance(s, ast.If):
+                self.ways(s.body, s.orelse)
+            elif isinstance(s, (ast.For, ast.While)):
+                while True:  # until another round adds nothing
+                    before = dict(self.has)
+                    if isinstance(s, ast.For):
+                        self.ways([ast.Assign([s.target], s.iter), *s.body], [])
+                    else:
+                        self.ways(s.body, [])
+                    if self.has == before:
+                        break
+                self.run(s.orelse)
+            elif isinstance(s, ast.With):
+                for x in s.items:
+                    if x.optional_vars is not None:
+                        self.give(x.optional_vars, self.of(x.context_expr))
+                self.run(s.body)
+            elif isinstance(s, ast.Try):
+                self.ways(s.body + s.orelse, *(h.body for h in s.handlers))
+                self.run(s.finalbody)
+
+
 def tables_of(code: str) -> tuple[list[str], list[str]]:
-    """(tables that the answer depends on, all tables named). An answer is an expression or what ``answer`` is set to."""
-    tree = ast.parse(code)
+    """(tables that the answer depends on, all tables named). An answer is an expression or what ``answer`` is last set to."""
+    tree, flow = ast.parse(code), _Flow()
     named = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and TABLE.fullmatch(n.id)}
-    given: dict[str, ast.AST] = {}
-    for n in ast.walk(tree):
-        if isinstance(n, (ast.Assign, ast.AnnAssign)) and n.value is not None:
-            given.update({x.id: n.value for x in (n.targets if isinstance(n, ast.Assign) else [n.target]) if isinstance(x, ast.Name)})
-    single = len(tree.body) == 1 and isinstance(tree.body[0], ast.Expr)
-    todo, met, used = [tree.body[0].value if single else given.get("answer")], set(), set()
-    while todo:
-        for n in ast.walk(todo.pop() or ast.Pass()):
-            if isinstance(n, ast.Name) and n.id not in met:
-                met.add(n.id)
-                if TABLE.fullmatch(n.id):
-                    used.add(n.id)
-                elif n.id in given:
-                    todo.append(given[n.id])
-    return sorted(used), sorted(named)
+    if len(tree.body) == 1 and isinstance(tree.body[0], ast.Expr):
+        return sorted(flow.of(tree.body[0].value)), sorted(named)
+    flow.run(tree.body)
+    return sorted(flow.has.get("answer", ())), sorted(named)
 
 
 @F.pandas_udf(_READ)

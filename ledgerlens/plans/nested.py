@@ -212,8 +212,8 @@ def answer_accuracy(spark, d):
 
 
 @query("""select o_orderkey, case o_orderkey % 4 when 0 then 'df1,df2' when 1 then 'df1' when 2 then '' else '' end as used,
-case o_orderkey % 4 when 1 then case when o_totalprice > 10000 then 'unknown_table' else 'unknown_table' end when 2 then 'no_table' when 3 then 'invalid_syntax' else '' end as errors,
-concat_ws(',', case when o_orderkey % 4 = 2 then 'dead_table' end, case when o_orderkey % 4 <> 9 and o_totalprice > 10000 then 'large_percent' end) as warnings from orders""")
+case o_orderkey % 4 when 1 then 'unknown_table' when 2 then 'no_table' when 3 then 'invalid_syntax' else '' end as errors,
+concat_ws(',', case when o_orderkey % 4 = 2 then 'dead_table' end, case when o_totalprice > 10000 then 'large_percent' end) as warnings from orders""")
 def answer_lineage(spark, d):
     code = F.element_at(F.array(*map(F.lit, ("(df1.iloc[0, 2] - df2.iloc[0, 2]) * 100", "x = df1\ny = x.sum()\nanswer = y", "x = df2\nanswer = 0", "answer = (")), ), (F.col("o_orderkey") % 4 + 1).cast("int"))
     there = F.when(F.col("o_orderkey") % 4 == 1, F.array(F.lit("df2"))).otherwise(F.array(F.lit("df1"), F.lit("df2")))

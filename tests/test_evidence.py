@@ -84,6 +84,25 @@ def test_tables_that_an_answer_depends_on():
     assert lineage.tables_of("a = b\nb = a\nanswer = a") == ([], [])
 
 
+@pytest.mark.parametrize(
+    "code, used",
+    [
+        ("x = df1\nanswer = x\nx = 0", ["df1"]),  # what a name is set to later does not count
+        ("answer = df1\nanswer = 0", []),
+        ("answer = 0\nfor r in df1:\n    answer += r", ["df1"]),
+        ("a = b = df2\nfor i in df1:\n    a = b\n    b = i\nanswer = a", ["df1", "df2"]),
+        ("a, b = df1, df2\nanswer = a", ["df1", "df2"]),
+        ("x = 0\nif df3:\n    x = df1\nelse:\n    x = df2\nanswer = x", ["df1", "df2"]),
+        ("x = {}\nx['k'] = df1\nanswer = x", ["df1"]),
+        ("df1 = df2\nanswer = df1", ["df2"]),
+        ("try:\n    x = df1\nexcept E:\n    x = 0\nanswer = x", ["df1"]),
+        ("while df9:\n    answer = df4", ["df4"]),
+    ],
+)
+def test_flow_of_tables(code, used):
+    assert lineage.tables_of(code)[0] == used
+
+
 def test_checks_of_answers(spark):
     rows = [("df1.x", 2020.5, "year"), ("df1.x", 1900.0, "year"), ("df1.x", -1.0, "count"), ("df1.x", None, "number"), (None, 1.0, "number"), ("df1 +", 1.0, "number"), ("df1.x", 1e5, "ratio")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, code string, answer double, kind string").withColumn("there", F.array(F.lit("df1")))
