@@ -14,13 +14,13 @@ from ledgerlens.functions.numbers import parse_number, year_like
 _TABLE = re.compile(r"<table\b.*?</table\s*>", re.I | re.S)
 _PAGE = re.compile(r"PAGE\s+(\d+)", re.I)
 _TAG = re.compile(r"<[^>]+>")
-TABLE_SCHEMA = "doc_key string, table_pos int, page int, line_no int, html string, context string, grid array<array<string>>"
+TABLE_SCHEMA = "doc_key string, table_pos int, page int, line_no int, html string, context string, grid array<array<string>>, truncated boolean"
 
 
 def find_tables(docs: DataFrame) -> DataFrame:
-    """(doc_key, text) -> one row for each HTML table: position, page, line, markup, the text before it and its grid."""
-    names = ["doc_key", "table_pos", "page", "line_no", "html", "context", "grid"]
-    types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.list_(pa.string()))]
+    """(doc_key, text) -> one row for each HTML table: position, page, line, markup, the text before it, its grid and whether that was cut."""
+    names = ["doc_key", "table_pos", "page", "line_no", "html", "context", "grid", "truncated"]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.list_(pa.string())), pa.bool_()]
 
     def run(batches):
         for b in batches:
@@ -33,7 +33,7 @@ def find_tables(docs: DataFrame) -> DataFrame:
                     line += text.count("\n", seen, m.start())
                     seen = m.start()
                     context = _TAG.sub(" ", text[max(last, m.start() - 1500) : m.start()])
-                    out.append((key, pos, page, line, m[0], " ".join(context.split())[-400:], parse_grid(m[0])))
+                    out.append((key, pos, page, line, m[0], " ".join(context.split())[-400:], *grid_of(m[0])))
                     last = m.end()
             cols = list(zip(*out)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, types)], names=names)
@@ -68,11 +68,19 @@ class _Grid(HTMLParser):
             self.cell[0].append(data)
 
 
-def parse_grid(html: str, max_rows: int = 600, max_cols: int = 40) -> list[list[str]]:
-    """Rectangular grid; spans repeat their text."""
+MAX_ROWS, MAX_COLS = 600, 40
+
+
+def parse_grid(html: str, max_rows: int = MAX_ROWS, max_cols: int = MAX_COLS) -> list[list[str]]:
+    return grid_of(html, max_rows, max_cols)[0]
+
+
+def grid_of(html: str, max_rows: int = MAX_ROWS, max_cols: int = MAX_COLS) -> tuple[list[list[str]], bool]:
+    """Rectangular grid, in which spans repeat their text; whether rows or columns beyond the limits were cut."""
     p = _Grid()
     p.feed(html or "")
     taken: dict[tuple[int, int], str] = {}
+    cut = len(p.rows) > max_rows
     for r, row in enumerate(p.rows[:max_rows]):
         c = 0
         for parts, down, across in row:
@@ -83,8 +91,9 @@ def parse_grid(html: str, max_rows: int = 600, max_cols: int = 40) -> list[list[
                 for j in range(c, min(c + across, max_cols)):
                     taken.setdefault((i, j), text)
             c += across
+            cut |= c > max_cols
     rows, cols = (1 + max((k[i] for k in taken), default=-1) for i in (0, 1))
-    return [[taken.get((i, j), "") for j in range(cols)] for i in range(rows)]
+    return [[taken.get((i, j), "") for j in range(cols)] for i in range(rows)], cut
 
 
 def cells(tables: DataFrame) -> DataFrame:

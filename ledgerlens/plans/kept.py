@@ -1,4 +1,4 @@
-"""Registered queries of what is kept on disk: vector index, bucketed store, chunked runs, seals; and of misspelt names.
+"""Registered queries of what is kept on disk: vector index, bucketed store, chunked runs, seals; of misspelt names and whole reports.
 
 Importing this module adds them to the catalog. What they keep goes to a new folder under ``spark.checkpoint.dir``.
 """
@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import entities, vectors
+from ledgerlens.operators import entities, report, vectors
 from ledgerlens.plans.catalog import SQL, query, t
 from ledgerlens.sources import bucketed, chunks
 from ledgerlens.sources.shared import shared_folder
@@ -65,3 +65,26 @@ def misspelt_names(spark, d):
     companies = p.select(F.col("p_name").alias("ticker"), F.col("p_name").alias("name")).distinct()
     asked = p.select("p_partkey", F.concat(F.expr("left(p_name, length(p_name) - 1)"), F.lit("q")).alias("question"))
     return entities.find_tickers(asked, companies, "p_partkey").select("p_partkey", F.get("tickers", F.lit(0)).alias("ticker"), "source")
+
+
+@query("""with o as (select c_custkey, c_custkey % 2 = 0 as even, count(o_orderkey) as n, max(o_orderkey) as last from customer left join orders on o_custkey = c_custkey group by all),
+live as (select * from o where c_custkey % 11 <> 0)
+select c_custkey::varchar as report_id, 0 as table_pos, n::int + 1 as n_rows, 3 as n_cols, coalesce(last::varchar, 'Price') as shown, case when even then 1e6 end::double as unit_scale, case when even then 'explicit' else 'none' end as unit_source, null as problem from live
+union all select c_custkey::varchar, 1, 2, 2, n::varchar, case when c_custkey % 3 = 0 then 1e9 when even then 1e6 end::double, case when c_custkey % 3 = 0 then 'explicit' when even then 'sticky' else 'none' end, null from live
+union all select c_custkey::varchar, 2, null, null, null, null, null, case when c_custkey % 2 = 0 then 'empty_table' else 'unclosed_table' end from live where c_custkey % 5 = 0
+union all select c_custkey::varchar, null, null, null, null, null, null, 'empty_report' from o where c_custkey % 11 = 0""")
+def report_parse(spark, d):
+    """A report for each customer: its orders, a table with spans, broken ones; tables with units, and the quarantine."""
+    c, o = t(spark, d, "customer"), t(spark, d, "orders")
+    lines = c.join(o, c.c_custkey == o.o_custkey, "left").groupBy("c_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    row = lambda k: F.concat(F.lit("<tr><td>Order</td><td>"), k.cast("string"), F.lit("</td></tr>\n"))
+    key, n = F.col("c_custkey"), F.size("keys").cast("string")
+    first = F.concat(F.when(key % 2 == 0, "<p>Đơn vị tính: triệu đồng</p>").otherwise("<p>Bảng</p>"), F.lit("<table>\n<tr><th>Label</th><th colspan='2'>Price</th></tr>\n"), F.array_join(F.transform("keys", row), ""), F.lit("</TABLE >\nPAGE 2\n"))
+    unit = F.when(key % 3 == 0, "ĐVT: tỷ đồng").otherwise("Lines")
+    second = F.concat(F.lit("<table class=x><tr><td rowspan=2>"), unit, F.lit("</td><td>Count</td></tr><tr><td>"), n, F.lit("</td></tr></table>"))
+    broken = F.when(key % 5 != 0, "").when(key % 2 == 0, "<table></table>").otherwise("<table><tr><td>lost")
+    reports = lines.select(key.cast("string").alias("report_id"), (key % 7).cast("string").alias("ticker"), F.when(key % 11 != 0, F.concat(first, second, broken)).alias("text"))
+    tables, quarantine = report.parse_reports(reports)
+    shown = F.get(F.element_at("grid", -1), F.lit(1))
+    good = tables.select("report_id", "table_pos", F.size("grid").alias("n_rows"), F.size(F.get("grid", F.lit(0))).alias("n_cols"), shown.alias("shown"), "unit_scale", "unit_source", F.lit(None).cast("string").alias("problem"))
+    return good.unionByName(quarantine.drop("ticker"), allowMissingColumns=True)
