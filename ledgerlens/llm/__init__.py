@@ -1,4 +1,4 @@
-"""Training-data operators: ten large-scale corpus operators and their driver queries.
+"""Training-data operators: thirteen large-scale corpus operators and their driver queries.
 
 Nothing else in the library imports this subpackage.
 """
