@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import extract_years, norm, strip_diacritics
+from ledgerlens.operators.joins import tiered
 
 #: Fixed values, in order: normalized wording -> scale and name of the unit a question asks for.
 UNITS = (("nghin ty", 1e12, "nghin_ty"), ("tram ty", 1e11, "tram_ty"), ("ty dong|ty vnd", 1e9, "ty"), ("trieu dong|trieu vnd", 1e6, "trieu"), ("nghin dong|ngan dong", 1e3, "nghin"), ("dong|vnd", 1.0, "dong"))
@@ -90,6 +91,35 @@ def plan_facts(routed: DataFrame, key: str, entities: str = "tickers") -> DataFr
     return rows.withColumn("role", role).drop("n_parts", "part")
 
 
+#: Kinds of report that stand for one that is not there, in order.
+OTHER_KINDS = {"consolidated": ("separate", "aggregated", "other"), "separate": ("consolidated", "aggregated", "other"), "aggregated": ("consolidated", "other"), "other": ("consolidated", "aggregated")}
+LOCK_NOTES = ("exact", "other_kind", "next_year", "missing")
+
+
+def lock_reports(asked: DataFrame, reports: DataFrame, key: str) -> DataFrame:
+    """(key, ticker, year, doc_type, report_id, note): the reports that answer for each ticker and year asked.
+
+    All reports of the kind asked, else of the first other kind that there is, else those that the same ladder finds a year
+    later (their prior-year column holds the year), else one row without a report. asked: key, ticker, year,
+    doc_type; reports: report_id, ticker, year, doc_type. Rows asked twice are answered once.
+    """
+    one = asked.select(key, "ticker", "year", "doc_type").distinct()
+    ladder = F.lit(None).cast("int")
+    for kind, others in OTHER_KINDS.items():
+        for at, other in enumerate((kind, *others)):
+            ladder = F.when((F.col("doc_type") == kind) & (F.col("kind") == other), F.lit(at)).otherwise(ladder)
+    ladder = F.when(F.col("doc_type") == F.col("kind"), F.lit(0)).otherwise(ladder)
+    there = reports.select("report_id", "ticker", F.col("year").alias("of"), F.col("doc_type").alias("kind"))
+    later = F.col("of") - F.col("year")
+    pairs = one.withColumn("of", F.explode(F.array(F.col("year"), F.col("year") + 1))).join(there, ["ticker", "of"])
+    best = tiered(pairs, [key, "ticker", "year", "doc_type"], 10 * later + ladder)
+    found = best.select(key, "ticker", "year", "doc_type", "report_id", F.when(F.col("tier") == 0, "exact").when(F.col("tier") < 10, "other_kind").otherwise("next_year").alias("note"))
+    # null-safe: a question without a ticker or year is answered by "missing"
+    same = lambda c: F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    lost = one.alias("a").join(found.select(key, "ticker", "year", "doc_type").distinct().alias("b"), same(key) & same("ticker") & same("year") & same("doc_type"), "left_anti")
+    return found.unionByName(lost.withColumn("note", F.lit("missing")), allowMissingColumns=True)
+
+
 def evidence_budget(n_facts: Column) -> Column:
     """Tables to keep for a question: 4 and two for each further fact, 12 at most."""
     return F.least(F.lit(12), 4 + 2 * F.greatest(n_facts - 1, F.lit(0)))

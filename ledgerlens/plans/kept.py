@@ -1,4 +1,5 @@
-"""Registered queries of what is kept on disk: vector index, bucketed store, chunked runs, seals; of misspelt names and whole reports.
+"""Registered queries of what is kept on disk: vector index, bucketed store, chunked runs, seals; of misspelt names, whole reports
+and the reports that answer for a year.
 
 Importing this module adds them to the catalog. What they keep goes to a new folder under ``spark.checkpoint.dir``.
 """
@@ -7,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import entities, report, vectors
+from ledgerlens.operators import entities, report, router, vectors
 from ledgerlens.plans.catalog import SQL, query, t
 from ledgerlens.sources import bucketed, chunks
 from ledgerlens.sources.shared import shared_folder
@@ -88,3 +89,25 @@ def report_parse(spark, d):
     shown = F.get(F.element_at("grid", -1), F.lit(1))
     good = tables.select("report_id", "table_pos", F.size("grid").alias("n_rows"), F.size(F.get("grid", F.lit(0))).alias("n_cols"), shown.alias("shown"), "unit_scale", "unit_source", F.lit(None).cast("string").alias("problem"))
     return good.unionByName(quarantine.drop("ticker"), allowMissingColumns=True)
+
+
+_KINDS = ("consolidated", "separate", "aggregated", "other")
+
+
+@query("""with k as (select ['consolidated', 'separate', 'aggregated', 'other'] as kinds),
+y as (select min(year(o_orderdate)) as first, max(year(o_orderdate)) - min(year(o_orderdate)) + 1 as n from orders),
+a as (select c_custkey, (first + c_custkey % n)::int as year, kinds[c_custkey % 4 + 1] as doc_type from customer, k, y),
+r as (select o_orderkey, o_custkey, year(o_orderdate)::int as of, kinds[o_orderkey % 4 + 1] as kind from orders, k),
+p as (select a.*, o_orderkey, 10 * (of - year) + case when kind = doc_type then 0 when doc_type = 'consolidated' then case kind when 'separate' then 1 when 'aggregated' then 2 else 3 end
+  when doc_type = 'separate' then case kind when 'consolidated' then 1 when 'aggregated' then 2 else 3 end when kind = 'consolidated' then 1 when doc_type = 'aggregated' and kind = 'other' or doc_type = 'other' and kind = 'aggregated' then 2 end as tier
+  from a join r on o_custkey = c_custkey and of in (year, year + 1)),
+b as (select * from p where tier is not null qualify tier = min(tier) over (partition by c_custkey))
+select a.c_custkey, a.year, o_orderkey as report_id, case when tier is null then 'missing' when tier = 0 then 'exact' when tier < 10 then 'other_kind' else 'next_year' end as note from a left join b using (c_custkey)""")
+def reports_of_year(spark, d):
+    """For each customer a year and kind of report: its orders stand for reports; other kinds, then the next year, stand in."""
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))
+    first, n = o.agg(F.min("year"), F.max("year") - F.min("year") + 1).first()
+    kind = lambda key: F.get(F.array(*map(F.lit, _KINDS)), (F.col(key) % 4).cast("int"))
+    asked = t(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("ticker"), (F.lit(first) + F.col("c_custkey") % F.lit(n)).cast("int").alias("year"), kind("c_custkey").alias("doc_type"))
+    reports = o.select(F.col("o_orderkey").alias("report_id"), F.col("o_custkey").alias("ticker"), "year", kind("o_orderkey").alias("doc_type"))
+    return router.lock_reports(asked, reports, "c_custkey").select("c_custkey", "year", "report_id", "note")
