@@ -145,3 +145,74 @@ def replay_transitions(spark, d):
     """From the status of the first reply alone to that of all replies."""
     tried = rows.attempts(_samples(spark, d), _cells(spark, d), "o_orderkey")
     return rows.transitions(tried.filter("sample = 1"), rows.first_answers(tried, "o_orderkey"), "o_orderkey")
+
+
+# --- units, scales and routed questions
+
+_SHARE = op("divide", _P[0], _Q[0])
+#: (program text, unit asked or null, SQL of its value, SQL of the reason code of its units)
+UNIT_SHAPES = [
+    (_text(op("add", *_P[:2])), "vnd", "s1 + s2", "case when c1 <> c2 or coalesce(c1, c2) <> 'vnd' then 'unit_error' end"),
+    (_text(_ratio(*_P[:2]), "percent"), None, "case when s2 <> 0 then s1 / s2 end * 100", "case when c1 <> c2 then 'unit_error' end"),
+    (_text(_SHARE), "vnd / share", "case when q1 <> 0 then s1 / q1 end", "case when c1 <> 'vnd' then 'unit_error' end"),
+    (_text(op("multiply", _SHARE, _Q[1])), "vnd", "case when q1 <> 0 then s1 / q1 end * q2", "case when c1 <> 'vnd' and q2 is not null then 'unit_error' end"),
+    (_text(op("if_else", op("gt", *_P[:2]), op("multiply", _P[0], {"lit": 2}), _P[1])), "vnd", "case when s1 > s2 then s1 * 2 else s2 end", "case when c1 <> c2 or coalesce(c1, c2) <> 'vnd' then 'unit_error' end"),
+    (_text(op("average", _P[0], _SHARE)), None, "s1", "case when c1 is not null then 'unit_error' end"),
+    (_text(op("power", _ratio(*_P[:2]), {"lit": 2})), None, "pow(case when s2 <> 0 then s1 / s2 end, 2)", "case when c1 <> c2 then 'unit_error' end"),
+    (_text({"op": "argmax_project", "scores": _Q[:2], "results": _P[:2]}), None, "case when q1 >= q2 or q2 is null then s1 else s2 end", "case when c1 <> c2 then 'unit_error' end"),
+    (_text(op("growth_percent", *_P[:2])), None, "case when s1 <> 0 then (s2 - s1) / abs(s1) * 100 end", "case when c1 <> c2 then 'unit_error' end"),
+    (_text(op("subtract", _P[0], {"lit": 0, "type": "money"})), "vnd", "s1", "case when c1 <> 'vnd' then 'unit_error' end"),
+]
+_U = len(UNIT_SHAPES)
+_SEVERAL = [at for at, (text, *_) in enumerate(UNIT_SHAPES) if '"p2"' in text]
+_SECOND = [at for at, (text, *_) in enumerate(UNIT_SHAPES) if '"p2"' in text or '"q2"' in text]
+_in = lambda ats: f"shape in ({', '.join(map(str, ats))})"
+_scale = "pow(10, l_partkey % 3 * 3)"
+_over = "(l_suppkey % 2 = 0 and l_suppkey % 5 = 0 and l_partkey % 4 < 2)"
+_fault = f"case when l_suppkey % 2 = 0 and l_suppkey % 5 = 0 then {_scale} <> 1 and not {_over} or {_scale} = 1 and {_over} else l_suppkey % 17 = 0 end"
+_cur = "case when l_returnflag = 'R' then 'usd' else 'vnd' end"
+_label = "case when l_partkey % 3 = 0 then 'no' else 'tai' end"
+
+
+@query(f"""with lines as (select *, l_extendedprice * case when {_over} then 1 else {_scale} end as s, {_cur} as c, {_fault} as x, {_label} as label from lineitem),
+facts as (select o_orderkey, o_orderkey % {_U} as shape, count(l_orderkey) as n, {", ".join(f"{_LINE(i, e)} as {name}{i}" for i in (1, 2) for name, e in (("s", "s"), ("q", "l_quantity"), ("c", "c"), ("x", "x"), ("l", "label")))} from orders left join lines on l_orderkey = o_orderkey group by all),
+a as (select o_orderkey, shape, case shape {" ".join(f"when {i} then {v}" for i, (_, _, v, _) in enumerate(UNIT_SHAPES))} end / case when shape in (1, 6, 8) then 1 else 1000 end as x,
+case when n = 0 then 'no_candidates' when o_orderkey % 30 >= 20 and shape <> 7 then 'operation_error' when x1 and (shape <> 7) then 'unit_provenance_error'
+ when x2 and {_in(_SEVERAL)} and shape <> 7 then 'unit_provenance_error' when shape = 7 and (x1 or x2) then 'unit_provenance_error'
+ when shape = 5 and c1 is not null then 'unit_error' when shape in (0, 1, 4, 7, 8) and c1 <> c2 then case when shape = 1 then null else 'unit_error' end end as early,
+case when o_orderkey % 7 = 0 and (l1 is not null or ({_in(_SECOND)} and l2 is not null)) and (coalesce(l1, 'no') = 'no' or ({_in(_SECOND)} and coalesce(l2, 'no') = 'no')) then 'metric_anchor_error' end as anchor,
+case when o_orderkey % 11 = 0 then 'output_type_error' end as no_scale, case shape {" ".join(f"when {i} then {c}" for i, (_, _, _, c) in enumerate(UNIT_SHAPES))} end as other from facts),
+b as (select o_orderkey, x, coalesce(early, anchor, no_scale, other) as code from a)
+select o_orderkey, {_STATUS} from b""")
+def program_units(spark, d):
+    """Each order's program over prices of two currencies and three scales: units inferred, scales traced, routes held to."""
+    o, li = t(spark, d, "orders"), t(spark, d, "lineitem")
+    at = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("o_orderkey") % _U).cast("int"))
+    samples = o.select("o_orderkey", F.lit(1).alias("sample"), at([x for x, *_ in UNIT_SHAPES]).alias("program"))
+    route = o.select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 30 >= 20, "ranking").otherwise("lookup").alias("op"),
+        F.when(F.col("o_orderkey") % 7 == 0, "Tổng tài sản là bao nhiêu?").otherwise("Giá là bao nhiêu?").alias("question"),
+        at([u for _, u, *_ in UNIT_SHAPES]).alias("unit"),
+        F.when(F.col("o_orderkey") % 11 == 0, 0.0).otherwise(1000.0).alias("unit_scale"),
+    )
+    stored, over = F.pow(F.lit(10.0), F.col("l_partkey") % 3 * 3), F.expr(_over)
+    ends, sticky = F.col("l_suppkey") % 5 == 0, F.col("l_suppkey") % 2 == 0
+    fact = lambda name, value, unit, scale: F.struct(F.concat(F.lit(name), F.col("l_linenumber").cast("string")).alias("slot"), F.col(value).alias("value"), unit.alias("unit"), scale.alias("unit_scale"), F.lit(name == "p").alias("money"))
+    cells = li.select(
+        F.col("l_orderkey").alias("o_orderkey"),
+        (2000 + F.col("l_linenumber")).alias("period"),
+        F.when(F.col("l_partkey") % 3 == 0, "Nợ").otherwise("Tổng cộng tài sản").alias("label"),
+        F.lit("tài sản").alias("metric"),
+        F.explode(F.array(fact("p", "l_extendedprice", F.expr(_cur), F.when(over, 1.0).otherwise(stored)), fact("q", "l_quantity", F.lit("share"), F.lit(1.0)))).alias("f"),
+        # a scale of another number than the stored one, unexplained, on every 17th
+        F.when(over, stored).otherwise(F.when((F.col("l_suppkey") % 17 == 0) & ~(ends & sticky), stored + 1).otherwise(stored)).alias("stored"),
+        F.when(sticky, "sticky").otherwise("explicit").alias("unit_source"),
+        F.when(over, "terminal_vnd").when(sticky, "sticky").otherwise("explicit").alias("effective_source"),
+        F.when(over, rows.OVERRIDE).otherwise("stored_unit").alias("resolution"),
+        ends.alias("terminal"),
+    )
+    price = F.col("f.money")
+    plain = lambda name, other: F.when(price, F.col(name)).otherwise(F.lit(other)).alias(name)
+    facts = cells.select("o_orderkey", "f.slot", "f.value", "f.unit", "f.unit_scale", "period", "label", "metric", F.when(price, F.col("stored")).otherwise(1.0).alias("stored_scale"), plain("unit_source", "explicit"), plain("effective_source", "explicit"), plain("resolution", "stored_unit"), "terminal")
+    return rows.attempts(samples, facts, "o_orderkey", route=route).select("o_orderkey", "answer", "status")

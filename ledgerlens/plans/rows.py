@@ -8,9 +8,15 @@ rule ends with its reason code and no program needs a plan, a job or Python of i
 
 Reason codes, in the order in which they are looked for: ``no_candidates`` (no facts at all), ``parse_error`` or
 ``generation_truncated`` (no program in the text), ``model_none``, then the first of ``schema_error``,
-``limit_error``, ``grounding_error``, ``binding_error``, ``operation_error``, ``type_error``, ``period_error`` that the
-steps meet, ``output_type_error``, ``entity_error`` and ``period_error`` of a fact that is not the one declared,
-``execution_failed`` (no value). Else the status is ``ok``.
+``limit_error``, ``grounding_error``, ``binding_error``, ``unit_provenance_error``, ``operation_error``, ``type_error``,
+``unit_error``, ``period_error`` that the steps meet, ``metric_anchor_error``, ``output_type_error``, ``unit_error`` of the
+result, ``entity_error`` and ``period_error`` of a fact that is not the one declared, ``execution_failed`` (no value). Else the
+status is ``ok``. An ``operation_error`` of a routed operation comes before those of the steps.
+
+Units are inferred beside the types where facts have a ``unit`` ("vnd", "vnd/share", "a*b/c"; empty: a plain number; null: not
+known). Terms that are added, compared or chosen between must agree, factors multiply and cancel, and a result that is a
+share, a percentage or a count may have none left. A literal agrees with any unit and counts as a plain number in
+products. Values are in units of ``unit_scale``, so facts of different scales meet in the base unit.
 
 A null text has no program. A slot with more or less than one cell of a question is null. Samples may repeat;
 their order is that of their number, then of nothing else, so numbers should differ within a question.
@@ -28,15 +34,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ledgerlens import config
+from ledgerlens.functions.text import norm
 from ledgerlens.plans.ir import NUMERIC, literal_grounded
 
 STEP = "struct<op:string,n:int,k:int,w:int,name:string,num:double,type:string>"
 PARSED = f"code string, steps array<{STEP}>, declared array<struct<name:string,entity:string,period:int>>, output string"
-CELL = "struct<v:double,t:string,c:double,p:int>"
+CELL = "struct<v:double,t:string,c:double,p:int,u:array<string>>"
 COMPARED, FOLDED = ("gt", "ge", "lt", "le", "eq", "ne"), ("sum", "add", "average", "min", "max", "median")
 #: Least and most arguments of an operation; others take two.
 _ARITY = {"and": (2, 99), "or": (2, 99), "not": (1, 1), "if_else": (3, 3), "count_true": (1, 99), "add": (2, 99), "cagr": (3, 3)} | {o: (1, 99) for o in FOLDED if o != "add"} | {o: (1, 1) for o in ("lookup", "abs", "negate")}
 _KEPT_TEXTS = 4096
+#: Name, wording that both the question and each label of a plan of one metric must have.
+ANCHORS = (
+    ("total_assets", r"\btong(?: cong)? tai san\b"),
+    ("income_tax_payable", r"\bthue thu nhap(?: doanh nghiep)? phai nop\b"),
+)
+#: Routed operations whose facts are of one metric, and the name of a scale that gave way.
+ONE_METRIC = ("lookup", "difference", "average", "growth", "growth_pct", "cagr", "ranking")
+OVERRIDE = "terminal_bare_vnd_overrides_sticky"
 
 
 class _Stop(Exception):
@@ -181,6 +196,48 @@ def _kinds(cells: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(cells, lambda x: x["c"].isNull() | (x["c"] != 0)), lambda x: x["t"]))
 
 
+def unit_atoms(unit: Column) -> Column:
+    """Sorted factors of a unit as written; those below the line have a minus before them."""
+    sides = F.split(F.lower(F.replace(unit, F.lit(" "))), "/")
+    above, below = F.split(F.get(sides, F.lit(0)), r"\*"), F.flatten(F.transform(F.slice(sides, F.lit(2), F.size(sides)), lambda x: F.split(x, r"\*")))
+    return F.when(unit.isNotNull(), _cancelled(F.concat(F.filter(above, lambda x: ~x.isin("", "1")), F.transform(F.filter(below, lambda x: x != ""), lambda x: F.concat(F.lit("-"), x)))))
+
+
+def _cancelled(atoms: Column) -> Column:
+    """What is left of factors above and below the line, sorted."""
+    times = lambda x: F.size(F.filter(atoms, lambda y: y == x))
+    rest = lambda b: times(b) - times(F.concat(F.lit("-"), b))
+    bases = F.array_distinct(F.transform(atoms, lambda x: F.regexp_replace(x, "^-", "")))
+    left = F.flatten(F.transform(bases, lambda b: _let(rest(b), lambda n: F.array_repeat(F.when(n > 0, b).otherwise(F.concat(F.lit("-"), b)), F.abs(n)))))
+    return F.array_sort(left)
+
+
+def _below(atoms: Column) -> Column:
+    return F.transform(atoms, lambda x: F.when(x.startswith("-"), F.substr(x, F.lit(2))).otherwise(F.concat(F.lit("-"), x)))
+
+
+def _units(cells: Column) -> Column:
+    """Units that must agree; unknown ones agree with any."""
+    return F.array_distinct(F.filter(F.transform(cells, lambda x: x["u"]), lambda u: u.isNotNull()))
+
+
+def unit_fault(has: list[str]) -> Column:
+    """True where a fact's scale is no scale, or differs from the stored one without the one reason that allows it.
+
+    A scale that was only carried on gives way to VND at the end of the context, and to nothing else; where it could
+    have given way it must.
+    """
+    of = lambda name, default: F.coalesce(F.col(name), default) if name in has else default
+    now = of("unit_scale", F.lit(1.0)).cast("double")
+    stored = of("stored_scale", now).cast("double")
+    source = of("unit_source", F.lit("unknown"))
+    last, why, ends, context = of("effective_source", source), of("resolution", F.lit("stored_unit")), of("terminal", F.lit(False)), of("context_sha256", F.lit(""))
+    is_scale = lambda x: ~F.isnan(x) & (x > 0) & (x < float("inf"))
+    gave_way = (source == "sticky") & (last == "terminal_vnd") & ends & (stored != now) & (now == 1.0)
+    as_stored = (stored == now) & ~((source == "sticky") & ends & (stored != 1.0))
+    return ~(is_scale(now) & is_scale(stored) & ((context == "") | context.rlike(r"^[0-9a-f]{64}\z")) & F.when(why == OVERRIDE, gave_way).otherwise(as_stored))
+
+
 def _double(condition: Column) -> Column:
     return condition.cast("int").cast("double")
 
@@ -197,8 +254,8 @@ def _total(v: Column) -> Column:
     return F.reduce(v, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _apply(s: Column, a: Column) -> Column:
-    """struct<code, cell> of an operation s on its arguments a."""
+def _apply(s: Column, a: Column, units: bool = False) -> Column:
+    """struct<code, cell> of an operation s on its arguments a; ``units``: infer units too."""
     op, n, least, most = s["op"], s["n"], s["k"], s["w"]
     is_ = lambda *names: op.isin(*names)
     v = F.transform(a, lambda x: x["v"])
@@ -206,7 +263,8 @@ def _apply(s: Column, a: Column) -> Column:
     t0, t1, c0, c1, c2, p0, p1 = _at(a, 0, "t"), _at(a, 1, "t"), _at(a, 0, "c"), _at(a, 1, "c"), _at(a, 2, "c"), _at(a, 0, "p"), _at(a, 1, "p")
     kinds = _kinds(a)
     same = F.coalesce(F.get(kinds, F.lit(0)), F.lit("number"))
-    mixed = F.when(F.size(kinds) > 1, "type_error")
+    differ = lambda cells: F.when(F.size(_units(cells)) > 1, "unit_error") if units else F.lit(None).cast("string")
+    mixed = F.when(F.size(kinds) > 1, "type_error").otherwise(differ(a))
     bad, all_bool, has_bool = (n < least) | (n > most), F.forall(a, lambda x: x["t"] == "bool"), F.exists(a, lambda x: x["t"] == "bool")
     plain = lambda t: t.isin("number", "ratio", "count")
     # projections: scores, results, conditions
@@ -216,23 +274,26 @@ def _apply(s: Column, a: Column) -> Column:
     of_projection = (
         F.when((least < 2) | (least != n_results) | ((most > 0) & (most != least)), "operation_error")
         .when(F.exists(when, lambda x: x["t"] != "bool") | (F.size(_kinds(scores)) > 1) | (F.size(_kinds(results)) > 1), "type_error")
+        .otherwise(F.coalesce(differ(scores), differ(results)))
     )
     ordered = F.when((p0 >= p1) | (is_("cagr") & (c2 != p1 - p0)), "period_error")
+    u0 = _at(a, 0, "u")
+    has_unit = F.size(F.coalesce(u0, F.array())) > 0
     of_pair = (
-        F.when(is_("power"), F.when(c1.isNull() | (F.abs(c1) > 8) | ~t0.isin("number", "ratio"), "operation_error"))
+        F.when(is_("power"), F.when(c1.isNull() | (F.abs(c1) > 8) | ~t0.isin("number", "ratio"), "operation_error").when(has_unit & ((c1 < 0) | (c1 != F.floor(c1))), "unit_error"))
         .when((is_("divide", "ratio") & (c1 == 0)) | (is_("growth_percent") & (c0 == 0)), "operation_error")
         .when(is_("subtract", "difference"), F.when(~F.forall(a, lambda x: x["t"] == "percent"), mixed))
         .when(is_("multiply"), F.when(~plain(t0) & ~plain(t1), "type_error"))
         .when(is_("divide", "ratio"), F.when((t0 != t1) & ~plain(t1), "type_error"))
         .when(is_("growth_percent"), F.coalesce(mixed, ordered))
         .when(is_("percentage_point"), mixed)
-        .when(is_("cagr"), F.when(c2.isNull() | ~c2.between(1, 30), "grounding_error").otherwise(ordered))
+        .when(is_("cagr"), F.when(c2.isNull() | ~c2.between(1, 30), "grounding_error").otherwise(F.coalesce(differ(F.slice(a, F.lit(1), F.lit(2))), ordered)))
         .when(~is_("apply_percent", "increase_percent", "decrease_percent"), "operation_error")
     )
     code = (
         F.when(project, of_projection)
         .when(is_("and", "or", "not", "count_true"), F.when(bad, "operation_error").when(~all_bool, "type_error"))
-        .when(is_("if_else"), F.when(bad, "operation_error").when((t0 != "bool") | (F.size(_kinds(F.slice(a, 2, 2))) > 1), "type_error"))
+        .when(is_("if_else"), F.when(bad, "operation_error").when((t0 != "bool") | (F.size(_kinds(F.slice(a, 2, 2))) > 1), "type_error").otherwise(differ(F.slice(a, 2, 2))))
         .when(has_bool, "type_error")
         .when(bad, "operation_error")
         .when(is_(*COMPARED, *FOLDED), mixed)
@@ -250,6 +311,22 @@ def _apply(s: Column, a: Column) -> Column:
         .when(is_("divide", "ratio"), F.when(t0 == t1, "ratio").otherwise(t0))
         .otherwise(t0)
     )
+    plain_unit = F.array().cast("array<string>")
+    factors = F.transform(a, lambda x: F.coalesce(x["u"], F.when(x["c"].isNotNull(), plain_unit)))
+    f0, f1 = F.get(factors, F.lit(0)), F.get(factors, F.lit(1))
+    agreed = lambda cells: F.get(_units(cells), F.lit(0))
+    unit = (
+        F.when(project, agreed(results))
+        .when(is_("if_else"), agreed(F.slice(a, 2, 2)))
+        .when(is_("subtract", "difference", *FOLDED), agreed(a))
+        .when(is_("multiply"), _cancelled(F.concat(f0, f1)))
+        .when(is_("divide", "ratio"), _cancelled(F.concat(f0, _below(f1))))
+        .when(is_("power") & has_unit, F.array_sort(F.flatten(F.array_repeat(u0, c1.cast("int")))))
+        .when(is_("lookup", "abs", "negate", "power", "apply_percent", "increase_percent", "decrease_percent"), u0)
+        .otherwise(plain_unit)
+        if units
+        else F.lit(None).cast("array<string>")
+    )
     sign = F.when(is_("argmax_project"), 1.0).otherwise(-1.0)
     held = lambda i: F.coalesce(F.get(when, i)["v"], F.when(most == 0, 1.0), F.lit(0.0))
     places = F.transform(F.sequence(F.lit(0), least - 1), lambda i: F.struct((sign * F.get(scores, i)["v"]).alias("s"), (-i).alias("p"), F.get(results, i)["v"].alias("r"), held(i).alias("w")))
@@ -271,13 +348,13 @@ def _apply(s: Column, a: Column) -> Column:
     ]
     value = reduce(lambda c, x: c.when(op == x[0], x[1]), by_op, F.when(project, projected))
     periods = F.array_distinct(F.filter(F.transform(a, lambda x: x["p"]), lambda p: p.isNotNull()))
-    return _let(code, lambda c: F.struct(c.alias("code"), F.struct(F.when(c.isNull(), value).alias("v"), kind.alias("t"), F.lit(None).cast("double").alias("c"), F.when(F.size(periods) == 1, F.get(periods, F.lit(0))).alias("p")).cast(CELL).alias("cell")))
+    return _let(code, lambda c: F.struct(c.alias("code"), F.struct(F.when(c.isNull(), value).alias("v"), kind.alias("t"), F.lit(None).cast("double").alias("c"), F.when(F.size(periods) == 1, F.get(periods, F.lit(0))).alias("p"), unit.alias("u")).cast(CELL).alias("cell")))
 
 
-def fold(steps: Column, facts: Column) -> Column:
+def fold(steps: Column, facts: Column, units: bool = False) -> Column:
     """struct<code, cell>: the first reason code that the steps meet, else the value of the program.
 
-    ``facts``: map of slot to struct<v,p>.
+    ``facts``: map of slot to struct<v,p,u,x>, x a reason code why the fact can not be used.
     """
     none = F.array().cast(f"array<{CELL}>")
     state = f"struct<stack:array<{CELL}>,saved:array<{CELL}>,code:string>"
@@ -288,14 +365,14 @@ def fold(steps: Column, facts: Column) -> Column:
         stack, saved, op = st["stack"], st["saved"], s["op"]
         fact = F.try_element_at(facts, s["name"])
         leaf = (
-            F.when(op == "fact", F.struct(fact["v"].alias("v"), s["type"].alias("t"), null("double").alias("c"), fact["p"].alias("p")).cast(CELL))
-            .when(op == "lit", F.struct(s["num"].alias("v"), s["type"].alias("t"), s["num"].alias("c"), null("int").alias("p")).cast(CELL))
+            F.when(op == "fact", F.struct(fact["v"].alias("v"), s["type"].alias("t"), null("double").alias("c"), fact["p"].alias("p"), fact["u"].alias("u")).cast(CELL))
+            .when(op == "lit", F.struct(s["num"].alias("v"), s["type"].alias("t"), s["num"].alias("c"), null("int").alias("p"), null("array<string>").alias("u")).cast(CELL))
             .when(op == "load", F.get(saved, s["n"]))
         )
-        pushed = F.struct(F.concat(stack, F.array(leaf)).alias("stack"), saved.alias("saved"), null("string").alias("code")).cast(state)
+        pushed = F.struct(F.concat(stack, F.array(leaf)).alias("stack"), saved.alias("saved"), F.when(op == "fact", fact["x"]).alias("code")).cast(state)
         kept = F.struct(stack.alias("stack"), F.concat(saved, F.slice(stack, F.size(stack), F.lit(1))).alias("saved"), null("string").alias("code")).cast(state)
         failed = F.struct(none.alias("stack"), none.alias("saved"), s["name"].alias("code")).cast(state)
-        done = _let(F.slice(stack, F.size(stack) - s["n"] + 1, s["n"]), lambda a: _let(_apply(s, a), lambda r: F.struct(F.concat(F.slice(stack, F.lit(1), F.size(stack) - s["n"]), F.array(r["cell"])).alias("stack"), saved.alias("saved"), r["code"].alias("code")).cast(state)))
+        done = _let(F.slice(stack, F.size(stack) - s["n"] + 1, s["n"]), lambda a: _let(_apply(s, a, units), lambda r: F.struct(F.concat(F.slice(stack, F.lit(1), F.size(stack) - s["n"]), F.array(r["cell"])).alias("stack"), saved.alias("saved"), r["code"].alias("code")).cast(state)))
         return F.when(st["code"].isNotNull(), st).when(op.isin("fact", "lit", "load"), pushed).when(op == "save", kept).when(op == "error", failed).otherwise(done)
 
     return F.reduce(steps, start, step, lambda st: F.struct(st["code"].alias("code"), F.get(st["stack"], F.lit(0)).alias("cell")))
@@ -307,36 +384,60 @@ def fold(steps: Column, facts: Column) -> Column:
 def named_facts(parsed: DataFrame, facts: DataFrame, qid: str) -> DataFrame:
     """qid, found (map slot -> value and period of the slots that programs name): one row for each question with facts.
 
-    ``facts``: qid, slot, value, optionally entity and period. Slots are counted before they meet, so a question
+    ``facts``: qid, slot, value, optionally entity, period, unit, label, metric and the columns of ``unit_fault``. Slots are counted before they meet, so a question
     may have any number of cells; the map has at most the slots that its programs name.
     """
     has = facts.columns
     extra = lambda name, kind: (F.max(name) if name in has else F.lit(None)).cast(kind)
-    slots = facts.groupBy(qid, "slot").agg(F.count(F.lit(1)).alias("cells"), F.max("value").cast("double").alias("v"), extra("period", "int").alias("p"), extra("entity", "string").alias("e"))
+    scale = F.max(F.coalesce(F.col("unit_scale"), F.lit(1.0)).cast("double")) if "unit_scale" in has else F.lit(1.0)
+    atoms = F.max(unit_atoms(F.col("unit"))) if "unit" in has else F.lit(None).cast("array<string>")
+    fault = F.max(F.when(unit_fault(has), "unit_provenance_error")) if {"unit_scale", "stored_scale"} & set(has) else F.lit(None).cast("string")
+    slots = facts.groupBy(qid, "slot").agg(F.count(F.lit(1)).alias("cells"), (F.max("value").cast("double") * scale).alias("v"), extra("period", "int").alias("p"), extra("entity", "string").alias("e"), atoms.alias("u"), fault.alias("x"), extra("label", "string").alias("l"), extra("metric", "string").alias("m"))
     named = parsed.select(qid, F.explode("declared.name").alias("slot")).distinct().withColumn("named", F.lit(True))
-    one = F.when(F.col("named"), F.struct("slot", F.when(F.col("cells") == 1, F.struct("v", "p", "e")).alias("x")))
+    one = F.when(F.col("named"), F.struct("slot", F.when(F.col("cells") == 1, F.struct("v", "p", "e", "u", "x", "l", "m")).alias("x")))
     return slots.join(named, [qid, "slot"], "left").groupBy(qid).agg(F.map_from_entries(F.collect_list(one)).alias("found"))
 
 
-def attempts(samples: DataFrame, facts: DataFrame, qid: str, sample: str = "sample", program: str = "program", question: str | None = None, truncated: str | None = None) -> DataFrame:
+def attempts(samples: DataFrame, facts: DataFrame, qid: str, sample: str = "sample", program: str = "program", question: str | None = None, truncated: str | None = None, route: DataFrame | None = None) -> DataFrame:
     """qid, sample, answer and status of each row's program over the facts of its question.
 
-    ``truncated``: a boolean column, true where a reply ended before its time.
+    ``truncated``: a boolean column, true where a reply ended before its time. ``route``: qid and any of op (the routed
+    operation: a ranking needs a projection at its root), question (with op: its anchors must be in the labels of
+    facts of one metric), unit (the one that the answer must have) and unit_scale (what money and plain
+    numbers are divided by; not a positive number is an ``output_type_error``). Of several rows of a question in the
+    route the largest counts; a question without one is not held against it.
     """
     more = [truncated] if truncated else []
     parsed = parse(samples, [qid, sample, *more], program, question)
     rows = parsed.join(named_facts(parsed, facts, qid), qid, "left")
-    rows = rows.withColumn("r", F.when(F.col("code").isNull(), fold(F.col("steps"), F.col("found"))))
+    units = "unit" in facts.columns
+    rows = rows.withColumn("r", F.when(F.col("code").isNull(), fold(F.col("steps"), F.col("found"), units)))
+    asked = {} if route is None else {n: k for n, k in (("op", "string"), ("question", "string"), ("unit", "string"), ("unit_scale", "double")) if n in route.columns}
+    if asked:
+        rows = rows.join(route.groupBy(qid).agg(F.max(F.struct(*(F.col(n).cast(k).alias(n) for n, k in asked.items()))).alias("route")), qid, "left")
+    routed = lambda n, k: F.col(f"route.{n}") if n in asked else F.lit(None).cast(k)
     cell, want = F.col("r.cell"), F.coalesce("output", F.col("r.cell.t"))
     kind = cell["t"]
     to_percent = (kind == "ratio") & want.isin("percent", "percentage_point")
     loose = ("number", "money", "ratio", "count")
     out = F.when((kind == "bool") | ((kind != want) & ~to_percent & ~(kind.isin(*loose) & want.isin(*loose))), "output_type_error")
     bound = lambda d: F.try_element_at(F.col("found"), d["name"])
+    root = F.element_at(F.filter("steps", lambda s: s["op"] != "save"), -1)["op"]
+    first = F.when((routed("op", "string") == "ranking") & (F.size("steps") > 0) & ~root.isin("argmax_project", "argmin_project", "error"), "operation_error")
+    metrics = F.array_distinct(F.filter(F.transform("declared", lambda d: norm(bound(d)["m"])), lambda m: m != ""))
+    labels = F.transform("declared", lambda d: norm(bound(d)["l"]))
+    lacks = lambda wording: F.exists(labels, lambda x: ~x.rlike(wording))
+    missed = [norm(routed("question", "string")).rlike(wording) & lacks(wording) for _, wording in ANCHORS]
+    anchor = F.when(routed("op", "string").isin(*ONE_METRIC) & (F.size(metrics) == 1) & reduce(lambda a, b: a | b, missed), "metric_anchor_error")
+    scale = routed("unit_scale", "double")
+    no_scale = F.when(F.isnan(scale) | (scale <= 0) | (scale == float("inf")), "output_type_error")
+    free = (F.size(cell["u"]) > 0) & kind.isin("ratio", "percent", "percentage_point", "count", "year")
+    other_unit = F.when(free | (cell["u"] != unit_atoms(routed("unit", "string"))), "unit_error") if units else F.lit(None).cast("string")
     other = F.when(F.exists("declared", lambda d: d["entity"] != bound(d)["e"]), "entity_error").when(F.exists("declared", lambda d: d["period"] != bound(d)["p"]), "period_error")
     early = F.when((F.col("code") == "parse_error") & F.col(truncated), "generation_truncated").otherwise(F.col("code")) if truncated else F.col("code")
-    reason = F.coalesce(F.when(F.col("found").isNull(), "no_candidates"), early, F.col("r.code"), out, other)
-    value = F.round(F.when(to_percent, cell["v"] * 100).otherwise(cell["v"]), 2) + 0.0
+    reason = F.coalesce(F.when(F.col("found").isNull(), "no_candidates"), early, first, F.col("r.code"), anchor, out, no_scale, other_unit, other)
+    shown = cell["v"] / F.when(kind.isin("money", "number"), F.coalesce(F.when(scale > 0, scale), F.lit(1.0))).otherwise(1.0)
+    value = F.round(F.when(to_percent, cell["v"] * 100).otherwise(shown), 2) + 0.0
     rows = rows.select(qid, sample, reason.alias("reason"), value.alias("value"))
     return rows.select(qid, sample, F.when(F.col("reason").isNull(), F.col("value")).alias("answer"), F.coalesce("reason", F.when(F.col("value").isNull(), "execution_failed"), F.lit("ok")).alias("status"))
 
