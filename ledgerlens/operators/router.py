@@ -37,9 +37,25 @@ def detect_op(plain: Column) -> Column:
 
 
 def output_type(plain: Column) -> Column:
-    """Year, count, turns, percentage points, percent, ratio, number: the first wording that matches."""
-    rules = (("nam nao", "year"), ("bao nhieu (?:cong ty|nam|doanh nghiep)", "count"), ("bao nhieu (?:lan|vong)|gap may lan", "ratio"), ("diem phan tram", "percentage_point"), ("phan tram|%", "percent"))
-    return _ladder(plain, rules, "number")
+    """Year, count, turns by their wording; else the first marker after the question word; else a percentage that is named anywhere."""
+    named = (("nam nao", "year"), ("bao nhieu (?:cong ty|nam|doanh nghiep)", "count"), ("bao nhieu (?:lan|vong)|gap may lan", "ratio"))
+    anywhere = (("diem phan tram", "percentage_point"), ("phan tram|%", "percent"))
+    return F.coalesce(F.nullif(_ladder(plain, named, ""), F.lit("")), first_marker(plain), _ladder(plain, anywhere, "number"))
+
+
+#: Wordings of what an answer is counted in; at one place the earlier row counts.
+MARKERS = (("percentage_point", r"\bdiem\s+phan\s+tram\b"), ("percent", r"\bphan\s+tram\b|%"), ("ratio", r"\blan\b"), ("number", r"(?:nghin|ngan)\s*ty|\btram\s*ty\b|\bty\s*(?:dong|vnd)\b|\btrieu\s+(?:dong|vnd|usd)\b|\b(?:trieu\s+|nghin\s+|ngan\s+)?(?:co phieu|co phan|dong|vnd|usd)\b"))
+
+
+def first_marker(plain: Column) -> Column:
+    """What the answer is counted in, by the first marker after the last "bao nhieu" (in the whole text if there is none); null without one.
+
+    Conditions before the question ("tren 5 phan tram ... bao nhieu ty dong") therefore do not decide.
+    """
+    tail = F.element_at(F.split(F.coalesce(plain, F.lit("")), "bao nhieu"), -1)
+    place = lambda wording: F.when(tail.rlike(wording), F.length(F.get(F.split(tail, wording, 2), F.lit(0))))
+    found = [F.when(place(wording).isNotNull(), F.struct(place(wording).alias("at"), F.lit(i).alias("i"), F.lit(kind).alias("kind"))) for i, (kind, wording) in enumerate(MARKERS)]
+    return F.array_min(F.array_compact(F.array(*found)))["kind"]
 
 
 def split_ratio(metric: Column) -> Column:

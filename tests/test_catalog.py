@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from ledgerlens.plans import catalog, kept, nested, row_programs  # noqa: F401
+from ledgerlens.plans import catalog, guarded, kept, nested, row_programs  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
