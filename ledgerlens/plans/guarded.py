@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import guards, router
+from ledgerlens.plans import generate, rows
 from ledgerlens.plans.catalog import query, t
 
 _N = 6
@@ -40,3 +41,39 @@ def first_output_marker(spark, d):
     plain = F.col("plain")
     r = router.route(t(spark, d, "orders").select("o_orderkey", text.alias("question")))
     return r.select("o_orderkey", router.first_marker(plain).alias("marker"), "output_type")
+
+
+def _customer_cells(spark, d):
+    """Sum and largest price of the orders of each customer and year."""
+    o = t(spark, d, "orders").groupBy(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("entity"), F.year("o_orderdate").alias("year"))
+    o = o.agg(F.sum(F.col("o_totalprice").cast("decimal(20,2)")).cast("double").alias("sales"), F.max("o_totalprice").alias("peak"))
+    return o.unpivot(["entity", "year"], ["sales", "peak"], "metric", "value")
+
+
+_MADE = """with w as (select 'C' || o_custkey::varchar as entity, year(o_orderdate)::int as year, sum(cast(o_totalprice as decimal(20,2)))::double as sales, max(o_totalprice) as peak from orders group by all),
+g as (select * from (select entity, year, 'sales' as metric, sales as value from w union all select entity, year, 'peak', peak from w) where abs(value) >= 1),
+n as (select metric, year, ceil(count(*) / 1000)::bigint as cohorts from g group by all),
+p as (select *, row_number() over k - 1 as pos, lead(entity) over k as other, lead(value) over k as less from (select g.*, md5(entity) as d, ('0x' || md5(entity)[1:7])::bigint % cohorts as cohort from g join n using (metric, year)) window k as (partition by metric, year, cohort order by d, entity)),
+b as (select metric, year, list(entity order by pos) as names, max(value) as top from p group by metric, year, cohort, pos // 4 having count(*) >= 3),
+m as (select 'lookup' as klass, entity || '|' || year || '|' || metric as cells, value as raw, metric || ' của ' || entity || ' năm ' || year || ' là bao nhiêu ' as text from g
+union all select 'growth_pct', a.entity || '|' || b.year || '|' || a.metric || '|' || a.entity || '|' || a.year || '|' || a.metric, (a.value - b.value) / abs(b.value) * 100, a.metric || ' của ' || a.entity || ' năm ' || a.year || ' tăng trưởng bao nhiêu phần trăm so với năm ' || b.year || '?' from g a join g b on a.entity = b.entity and a.metric = b.metric and a.year = b.year + 1 and b.value > 0
+union all select 'ratio', a.entity || '|' || a.year || '|peak|' || a.entity || '|' || a.year || '|sales', a.value / b.value * 100, 'Tỷ lệ peak trên sales của ' || a.entity || ' năm ' || a.year || ' là bao nhiêu phần trăm?' from g a join g b on a.entity = b.entity and a.year = b.year and a.metric = 'peak' and b.metric = 'sales'
+union all select 'difference', entity || '|' || year || '|' || metric || '|' || other || '|' || year || '|' || metric, value - less, 'Năm ' || year || ', ' || metric || ' của ' || entity || ' so với ' || other || ' chênh lệch bao nhiêu ' from p where pos % 2 = 0 and other is not null
+union all select 'ranking', array_to_string([x || '|' || year || '|' || metric for x in names], '|'), top, 'Trong ' || array_to_string(names, ', ') || ', ' || metric || ' cao nhất năm ' || year || ' là bao nhiêu ' from b),
+q as (select md5('17|' || klass || '|' || cells) as qid, * from m),
+u as (select *, ('0x' || md5(qid)[1:7])::bigint % 3 as unit, klass in ('growth_pct', 'ratio') as share from q),
+made as (select qid, klass, case when share then text else text || ['đồng', 'triệu đồng', 'tỷ đồng'][unit + 1] || '?' end as question, round(raw / case when share then 1 else pow(10, [0, 6, 9][unit + 1]) end, 2) + 0.0 as gold from u)"""
+
+
+@query(_MADE + " select qid, klass, question, gold, gold as answer, 'ok' as status from made")
+def generated_questions(spark, d):
+    """All questions that customers, years and two metrics give, each answered by its own program."""
+    made = generate.generate(_customer_cells(spark, d), [("peak", "sales")])
+    tried = rows.attempts(made.withColumn("sample", F.lit(1)), generate.cells_of(made), "qid", route=made.select("qid", "unit_scale"))
+    return made.select("qid", "klass", "question", "gold").join(tried.select("qid", "answer", "status"), "qid")
+
+
+@query(_MADE + " select qid, klass, question, gold from made qualify row_number() over (partition by klass order by qid) <= 60")
+def balanced_questions(spark, d):
+    """Sixty questions of each class, whatever the data."""
+    return generate.balanced(generate.generate(_customer_cells(spark, d), [("peak", "sales")]), 60).select("qid", "klass", "question", "gold")
