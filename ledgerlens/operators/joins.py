@@ -41,6 +41,13 @@ def close_values(a: Column, b: Column, relative: float = 1e-9) -> Column:
     return F.abs(a - b) <= F.greatest(F.lit(1.0), relative * F.abs(b))
 
 
+def _scale(value: Column, relative: float) -> Column:
+    """A scale on which values that differ by at most max(1, relative x the larger size) are less than 1 apart."""
+    size, flat = F.abs(value), 1.0 / relative
+    # slope 1/2 where the bound is 1, and 1 / (2 relative x) beyond: over a pair the scale moves under 0.6
+    return F.signum(value) * F.when(size <= flat, size / 2).otherwise(flat / 2 + F.log(F.greatest(size, F.lit(flat)) / flat) / (2 * relative))
+
+
 def near_pairs(df: DataFrame, by: list[str], key: str, value: str, relative: float) -> DataFrame:
     """(key, other), key < other: pairs of a group whose values differ by at most max(1, relative x |value of other|).
 
@@ -48,9 +55,7 @@ def near_pairs(df: DataFrame, by: list[str], key: str, value: str, relative: flo
     up to 1 / relative, logarithmic beyond. Each value meets its own bucket of the scale and the two beside
     it, so no pair is lost and none is compared outside its buckets. Null values have no partners.
     """
-    size, flat = F.abs(value), 1.0 / relative
-    # slope 1/2 where the bound is 1, and 1 / (2 relative x) beyond: over a pair the scale moves under 0.6
-    place = F.signum(value) * F.when(size <= flat, size / 2).otherwise(flat / 2 + F.log(F.greatest(size, F.lit(flat)) / flat) / (2 * relative))
+    place = _scale(F.col(value), relative)
     rows = df.select(*by, key, value, F.floor(place).alias("__at")).filter(F.col(value).isNotNull())
     asked = rows.withColumn("__at", F.explode(F.array(*(F.col("__at") + i for i in (-1, 0, 1)))))
     there = rows.select(*by, F.col(key).alias("other"), F.col(value).alias("__v"), "__at")
@@ -58,6 +63,38 @@ def near_pairs(df: DataFrame, by: list[str], key: str, value: str, relative: flo
     return hits.select(key, "other")
 
 
+def near_values(df: DataFrame, by: list[str], value: str, relative: float) -> DataFrame:
+    """by, value, other, value < other: different values of a group that differ by at most max(1, relative x the larger size).
+
+    Equal values are one, so however many rows have a value, it takes part once; relative is below 0.1.
+    """
+    one = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).alias("__a")).distinct().withColumn("__at", F.floor(_scale(F.col("__a"), relative)))
+    # a larger value is in the same bucket or the next
+    asked = one.withColumn("__at", F.explode(F.array(F.col("__at"), F.col("__at") + 1)))
+    hits = asked.join(one.withColumnRenamed("__a", "other"), [*by, "__at"]).filter(F.col("__a") < F.col("other"))
+    near = F.col("other") - F.col("__a") <= F.greatest(F.lit(1.0), relative * F.greatest(F.abs("__a"), F.abs("other")))
+    return hits.filter(near).select(*by, F.col("__a").alias(value), "other")
+
+
+def near_classes(df: DataFrame, by: list[str], key: str, value: str, relative: float) -> DataFrame:
+    """by, key, class_id, class_size, n_near, rows_near: each row with its class of equal values and what is near it in its group.
+
+    ``class_id`` is the smallest key of the class, ``n_near`` counts the other classes that ``near_values`` links to it and
+    ``rows_near`` their rows. The links are those of values, so copies are never expanded into pairs. Rows without a value
+    (null or NaN) are left out; rows with a null in ``by`` have no partners.
+    """
+    kept = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, key, F.col(value).alias("__v"))
+    of = kept.groupBy(*by, "__v").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    links = near_values(kept, by, "__v", relative)
+    both = links.unionByName(links.select(*by, F.col("other").alias("__v"), F.col("__v").alias("other")))
+    sized = of.select(*by, F.col("__v").alias("other"), F.col("class_size").alias("__n"))
+    near = both.join(sized, [*by, "other"]).groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("n_near"), F.sum("__n").alias("rows_near"))
+    a, n, k = of.alias("a"), near.alias("n"), kept.alias("k")
+    same = lambda x, y: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in (*by, "__v")]
+    counted = a.join(n, same("a", "n"), "left").select("a.*", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("rows_near", F.lit(0)).alias("rows_near")).alias("c")
+    return k.join(counted, same("k", "c")).select(*(f"k.{c}" for c in by), f"k.{key}", "class_id", "class_size", "n_near", "rows_near")
+
+
 def upsert(previous: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of ``new`` replace those of the same key."""
     return previous.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import guards, router
+from ledgerlens.operators import guards, joins, leakage, router
 from ledgerlens.plans import generate, rows
 from ledgerlens.plans.catalog import query, t
 
@@ -77,3 +77,29 @@ def generated_questions(spark, d):
 def balanced_questions(spark, d):
     """Sixty questions of each class, whatever the data."""
     return generate.balanced(generate.generate(_customer_cells(spark, d), [("peak", "sales")]), 60).select("qid", "klass", "question", "gold")
+
+
+@query("""with o as (select o_orderkey, o_orderstatus, round(o_totalprice / 100) as v from orders where o_totalprice is not null),
+c as (select o_orderstatus, v, min(o_orderkey) as class_id, count(*) as class_size from o group by all),
+n as (select a.o_orderstatus, a.v, count(*) as n_near, sum(b.class_size)::bigint as rows_near from c a join c b on a.o_orderstatus = b.o_orderstatus and a.v <> b.v and abs(a.v - b.v) <= greatest(1.0, 0.001 * greatest(abs(a.v), abs(b.v))) group by all)
+select o_orderstatus, o_orderkey, class_id, class_size, coalesce(n_near, 0) as n_near, coalesce(rows_near, 0) as rows_near from o join c using (o_orderstatus, v) left join n using (o_orderstatus, v)""")
+def near_value_classes(spark, d):
+    """Orders by their price in hundreds: the class of equal prices of each, and the classes near it of the same status."""
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.round(F.col("o_totalprice") / 100).alias("v"))
+    return joins.near_classes(o, ["o_orderstatus"], "o_orderkey", "v", 0.001)
+
+
+@query(r"""with w as (select doc_id, doc_id % 3 as split, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+m as (select doc_id, split, array_to_string(ws, ' ') as said from w where len(ws) > 0),
+c as (select said, min(doc_id) as class_id, list(distinct split) as splits from m group by said),
+s as (select class_id, unnest(case when len(ws) < 5 then [said] else list_distinct([array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)]) end) as s from (select *, string_split(said, ' ') as ws from c)),
+n as (select class_id, count(*) as n from s group by 1),
+k as (select a.class_id as a, b.class_id as b, count(*) as k from s a join s b on a.s = b.s and a.class_id <> b.class_id group by all),
+l as (select a, b, k / (x.n + y.n - k) as similarity from k join n x on x.class_id = a join n y on y.class_id = b where 5 * k >= 4 * (x.n + y.n - k)),
+r as (select doc_id, split, c.class_id, len(c.splits) > 1 as exact, (select count(*) from l join c o on o.class_id = l.b where l.a = c.class_id and len([x for x in o.splits if x <> m.split]) > 0) as n_near,
+(select max(similarity) from l join c o on o.class_id = l.b where l.a = c.class_id and len([x for x in o.splits if x <> m.split]) > 0) as nearest from m join c using (said))
+select * from r where exact or n_near > 0""")
+def split_leaks(spark, d):
+    """Documents dealt to three splits by their id: those of which another split has a copy or a near copy."""
+    docs = t(spark, d, "documents").select("doc_id", (F.col("doc_id") % 3).alias("split"), "text")
+    return leakage.leaks(docs, "doc_id", "split", "text")
