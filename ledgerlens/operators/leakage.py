@@ -12,6 +12,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.sources.shared import shared_folder
+
 WIDTH, SIMILARITY = 5, 0.8
 
 
@@ -58,15 +60,21 @@ def leaks(texts: DataFrame, key: str, split: str, text: str, similarity: float =
 
     ``class_id`` is the smallest key of the equal texts, ``exact`` says that another split has one of them, ``n_near`` how
     many different texts of other splits are near, ``nearest`` the highest similarity (null if none). Rows without a
-    split are one split of their own.
+    split are one split of their own. Classes, sets and links are written to the shared folder, as each is read more than once.
     """
+    folder = shared_folder(texts.sparkSession, "leaks")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return df.sparkSession.read.parquet(f"{folder}/{name}")
+
     rows = texts.select(F.col(key), F.col(split), F.col(text).alias("__text"))
     member = classes(rows, key, split, "__text").withColumn("__split", F.coalesce(F.concat(F.lit("="), F.col(split).cast("string")), F.lit("null")))
-    of = member.groupBy("digest").agg(F.min(key).alias("class_id"), F.collect_set("__split").alias("splits"), F.first("__said").alias("__said"))
-    sets = of.select("digest", shingles(F.col("__said")).alias("set"))
-    links = near_classes(sets, similarity)
+    sets = kept(member.select("digest", shingles(F.col("__said")).alias("set")).groupBy("digest").agg(F.first("set").alias("set")), "sets")
+    links = kept(near_classes(sets, similarity), "links")
+    member = kept(member.drop("__said"), "members")
     both = links.unionByName(links.select(F.col("other").alias("digest"), F.col("digest").alias("other"), "similarity"))
-    slim = of.select("digest", "class_id", "splits")
+    slim = kept(member.groupBy("digest").agg(F.min(key).alias("class_id"), F.collect_set("__split").alias("splits")), "classes")
     # by class and split, so copies are not joined with copies
     asked = slim.select("digest", "class_id", F.size("splits").alias("n_splits"), F.explode("splits").alias("__split"))
     near = asked.join(both, "digest").join(slim.select(F.col("digest").alias("other"), F.col("splits").alias("__others")), "other")
