@@ -35,11 +35,12 @@ def classes(texts: DataFrame, key: str, split: str, text: str) -> DataFrame:
     return texts.select(key, split, F.when(F.size(said) > 0, F.md5(F.array_join(said, " "))).alias("digest"), said.alias("__said")).filter("digest is not null")
 
 
-def near_classes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_classes(sets: DataFrame, similarity: float = SIMILARITY, keep=lambda df, name: df) -> DataFrame:
     """(digest, other, similarity), digest < other: pairs of sets (digest, set) that are near; none is lost.
 
     Two such sets share one of the rarest n - ceil(similarity x n) + 1 members of each, so only these meet, rarest first by
     their number over all sets; frequent members meet only in sets that have little else. What meets is compared whole.
+    ``keep(df, name)`` may write what meets, so that its size is known before the sets are joined to it.
     """
     members = sets.select("digest", F.size("set").alias("n"), F.explode("set").alias("s"))
     often = members.groupBy("s").agg(F.count(F.lit(1)).alias("often"))
@@ -49,6 +50,7 @@ def near_classes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     open_ = ranked.select("digest", "n", F.explode(F.filter(first, lambda y: y["often"] > 1)).alias("y")).select("digest", "n", "y.s")
     there = open_.select(F.col("digest").alias("other"), F.col("n").alias("m"), "s")
     met = open_.join(there, "s").filter((F.col("digest") < F.col("other")) & (F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9)).select("digest", "other").distinct()
+    met = keep(met, "met")
     a, b = sets.select("digest", F.col("set").alias("__a")), sets.select(F.col("digest").alias("other"), F.col("set").alias("__b"))
     pairs = met.join(a, "digest").join(b, "other").withColumn("both", F.size(F.array_intersect("__a", "__b")))
     pairs = pairs.withColumn("all", F.size("__a") + F.size("__b") - F.col("both"))
@@ -71,7 +73,7 @@ def leaks(texts: DataFrame, key: str, split: str, text: str, similarity: float =
     rows = texts.select(F.col(key), F.col(split), F.col(text).alias("__text"))
     member = classes(rows, key, split, "__text").withColumn("__split", F.coalesce(F.concat(F.lit("="), F.col(split).cast("string")), F.lit("null")))
     sets = kept(member.select("digest", shingles(F.col("__said")).alias("set")).groupBy("digest").agg(F.first("set").alias("set")), "sets")
-    links = kept(near_classes(sets, similarity), "links")
+    links = kept(near_classes(sets, similarity, kept), "links")
     member = kept(member.drop("__said"), "members")
     both = links.unionByName(links.select(F.col("other").alias("digest"), F.col("digest").alias("other"), "similarity"))
     slim = kept(member.groupBy("digest").agg(F.min(key).alias("class_id"), F.collect_set("__split").alias("splits")), "classes")
