@@ -14,7 +14,9 @@ are written out.
 
 Defined results: a null text has no words; a null id counts as an empty string; repeated rows count again;
 other columns are ignored; an empty table gives no rows. Words may have any length: the edges of a path carry a
-digest of the path so far (128 bits; the path itself up to seven characters), not the word.
+digest of the path so far (128 bits; the path itself up to seven characters), not the word. Words and edges
+are joined by exchanges at any size: pressed in files, or before their lists are dealt out, they look small
+enough to broadcast, and would go through the driver whole.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, small
+from .common import discard, materialize, small, unsent
 
 #: Words are maximal runs of these.
 LETTERS = r"[A-Za-zÀ-ÿ]"
@@ -106,9 +108,9 @@ def _light(words: DataFrame) -> DataFrame:
     light = kids.select("node", "k", F.col("top.c").alias("heavy"), F.explode("cs").alias("c")).filter("c <> heavy")
     light = light.select("node", "c", "heavy", F.explode(F.when(F.col("k") < SHORT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
     salted = edges.withColumn("salt", F.when(F.col("k") < SHORT, F.pmod(F.xxhash64("wid"), F.lit(SALTS)).cast("int")).otherwise(0))
-    met = salted.join(light, ["node", "c", "salt"]).select("wid", F.struct("k", "heavy").alias("edge"))
+    met = salted.join(unsent(light), ["node", "c", "salt"]).select("wid", F.struct("k", "heavy").alias("edge"))
     # at most log2(words) edges for each word
-    return met.groupBy("wid").agg(F.collect_list("edge").alias("edges")).join(words, "wid").select("word", "n", F.explode("edges").alias("e")).select("word", "n", "e.k", "e.heavy")
+    return met.groupBy("wid").agg(F.collect_list("edge").alias("edges")).join(unsent(words), "wid").select("word", "n", F.explode("edges").alias("e")).select("word", "n", "e.k", "e.heavy")
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -126,7 +128,7 @@ def near_words(words: DataFrame) -> DataFrame:
     replaced = F.when(~ends & ~heavy_ends, F.concat("before", "heavy", "rest"))
     sought = rows.select(F.col("word").alias("other"), F.col("n").alias("other_n"), F.explode(F.array_compact(F.array(skipped, put, replaced))).alias("word"))
     best = lambda word, n: F.struct((-F.col(n)).alias("m"), F.col(word).alias("word"))
-    met = sought.join(numbered.select("word", "n"), "word")
+    met = sought.join(unsent(numbered.select("word", "n")), "word")
     sides = met.select(F.explode(F.array(F.struct("word", best("other", "other_n").alias("best")), F.struct(F.col("other").alias("word"), best("word", "n").alias("best")))).alias("x"))
     pairs = sides.select("x.word", F.lit(1).cast("long").alias("n_near"), "x.best")
     groups = rows.filter(~ends).groupBy("before", "rest").agg(F.array_sort(F.collect_list(best("word", "n"))).alias("g")).filter(F.size("g") > 1)
@@ -143,19 +145,19 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     words = materialize(words.select("word", "n"), "counts")
     near = near_words(words)
     formed = F.col("best.m") * -1 >= ratio * F.col("n")
-    rows = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(formed, F.col("best.word")).alias("form"), F.when(formed, -F.col("best.m")).alias("form_n"))
+    rows = words.join(unsent(near), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(formed, F.col("best.word")).alias("form"), F.when(formed, -F.col("best.m")).alias("form_n"))
     rows = materialize(rows, "forms")
     # counts grow at least by the ratio from form to form, so a few doublings reach every root
     links = materialize(rows.filter("form is not null").select("word", F.col("form").alias("root")), "roots")
     while True:
         further = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        longer = materialize(links.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        longer = materialize(links.join(unsent(further), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         moved = longer.filter("moved").limit(1).count()
         discard(links)
         links = longer
         if not moved:
             break
-    return rows.join(links.select("word", "root"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rows.join(unsent(links.select("word", "root")), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op12_spelling(spark, sf_dir: str) -> DataFrame:

@@ -95,3 +95,21 @@ def test_table(spark):
     for w, form, _, n, _, form_n in got:
         best = min(near[w], key=lambda v: (-count[v], v), default=None)
         assert (form, form_n) == ((best, count[best]) if best and count[best] >= 10 * n else (None, None))
+
+
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    """Edges dealt to 64 parts, and words pressed in files, look small to Spark: at 0.5 GB 2 GB went through the driver."""
+    plans = []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    real = S.materialize
+    monkeypatch.setattr(S, "materialize", seen)
+    count = {"abcdefgh": 200, "abcdefg": 15, "abcdefgx": 3, "zzzzzzzz": 2}
+    out = S.variants(spark.createDataFrame(list(count.items()), "word string, n long"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert rows(out) == want(count)
+    assert sum("SortMergeJoin" in p for p in plans) >= 4
+    assert not [p for p in plans if "Broadcast" in p]
