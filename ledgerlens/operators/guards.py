@@ -16,6 +16,9 @@ NAMED_OBJECT = r"\btai\s+(.+?)\s+cua\s+(?:ctcp|cong ty|tong cong ty|tap doan|nga
 #: Words of legal forms, which tell no object from another.
 FORM_WORDS = ("cong", "ty", "ctcp", "co", "phan", "tnhh", "tap", "doan", "tong", "ngan", "hang", "thuong", "mai")
 
+#: Names that are sent to where the questions are; more of them and the questions are dealt out by words.
+NAMES_SENT = 20_000
+
 
 def mentions(questions: DataFrame, names: DataFrame, key: str, text: str = "question") -> DataFrame:
     """(key, at, until, ticker): the widest mentions of names (ticker, alias) in a question, in words, end exclusive.
@@ -28,7 +31,10 @@ def mentions(questions: DataFrame, names: DataFrame, key: str, text: str = "ques
     asked = questions.select(key, split(norm(F.col(text))).alias("__words"))
     listed = names.select(F.upper(F.trim("ticker")).alias("ticker"), split(norm(F.col("alias"))).alias("__name")).filter((F.size("__name") > 0) & F.col("ticker").isNotNull()).distinct()
     said = asked.select(key, "__words", F.posexplode("__words").alias("at", "__first"))
-    hits = said.join(listed.withColumn("__first", F.get("__name", F.lit(0))), "__first").filter(F.slice("__words", F.col("at") + 1, F.size("__name")) == F.col("__name"))
+    first = listed.withColumn("__first", F.get("__name", F.lit(0)))
+    # Spark takes the size of the file for that of the words said, and would send all of them through the driver
+    first = F.broadcast(first) if listed.limit(NAMES_SENT + 1).count() <= NAMES_SENT else first.hint("merge")
+    hits = said.join(first, "__first").filter(F.slice("__words", F.col("at") + 1, F.size("__name")) == F.col("__name"))
     hits = hits.select(key, "at", (F.col("at") + F.size("__name")).alias("until"), "ticker").distinct()
     # from the left, wider first: a mention is inside another if an earlier one, or a wider one of its start, ends no sooner
     before = Window.partitionBy(key).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)

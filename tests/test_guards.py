@@ -62,3 +62,14 @@ def test_first_marker(spark):
     typed = {r[0]: r[1] for r in df.select("t", router.output_type(F.col("t"))).collect()}
     assert typed["cac cong ty co bien tren 5 phan tram dat bao nhieu ty dong"] == "number" and typed["bao nhieu ty"] == "number" and typed["doanh thu"] == "number"
     assert {r[0]: r[1] for r in df.select("t", router.first_marker(F.col("t"))).collect()} == asked | {None: None}
+
+
+def test_questions_are_not_broadcast_to_the_names(spark, tmp_path):
+    """Words of questions look as small as their file: at 1 GB, 2.8 GB of them went through the driver."""
+    from __spark_entry__ import queries
+
+    spark.createDataFrame([(i, f"{'red blue hot'.split()[i % 3]} plate") for i in range(60)], "p_partkey long, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    df = queries()["entity_guard"](spark, str(tmp_path))
+    assert df.count() == 60
+    joins = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "HashJoin [__first" in x]
+    assert joins and all("BuildRight" in x for x in joins)
