@@ -506,10 +506,11 @@ select qid, i::bigint as fact, row_number() over (partition by qid order by v de
 def optimal_assignment(spark, d):
     # leaf j weighs n - j, so the best assignment gives the leaves in falling order of price
     lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("qid"), "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("v"))
-    w = Window.partitionBy("qid")
-    lines = lines.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("fact", F.row_number().over(w.orderBy("l_linenumber", "v", "l_partkey")) - 1)
-    pairs = lines.select("qid", "fact", "v", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("leaf"))
-    return assign.assign(pairs.select("qid", "fact", "leaf", (F.col("v") * (F.col("n") - F.col("leaf"))).alias("score")))
+    asked = lines.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "v", "l_partkey"))).alias("facts"))
+    n = F.size("facts")
+    # pairs are made in the row of their order: as rows of their own they would be sorted, their number the square of its lines
+    pair = lambda f, i: F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(i.alias("fact"), j.alias("leaf"), (f["v"] * (n - j)).alias("score")))
+    return assign.assign_lists(asked.select("qid", F.flatten(F.transform("facts", pair)).alias("pairs")))
 
 
 @query("""select p_partkey, least(18, 3 * greatest(0, len(list_filter(list_distinct(string_split(lower(p_name), ' ')), lambda x: x <> '' and x <> 'part')) - 1))::bigint as penalty from part""")

@@ -30,3 +30,22 @@ def test_query_answers_orders_of_every_size(spark):
     one as (select qid from f group by qid having count(distinct v) = count(*))
     select qid, i, row_number() over (partition by qid order by v desc) - 1 from f join one using (qid)""").fetchall()
     assert sorted(map(tuple, catalog.QUERIES["optimal_assignment"](spark, DATA).collect())) == sorted(want)
+
+
+def test_pairs_are_never_rows_that_are_sorted(spark, tmp_path):
+    """The square of the lines of an order, as rows, went through two sorts and spilled."""
+    from __spark_entry__ import queries
+
+    rows = [(1, i, 10 + i, float(i)) for i in range(4)] + [(2, 1, 5, 3.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = queries()["optimal_assignment"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1
+    assert sorted(map(tuple, df.collect())) == [(1, 0, 3), (1, 1, 2), (1, 2, 1), (1, 3, 0), (2, 0, 0)]
+
+
+def test_repeated_pairs_in_a_list(spark):
+    nan = float("nan")
+    pairs = [(1, 0, 0, 1.0), (1, 0, 0, 5.0), (1, 0, 1, 4.0), (1, 1, 0, 3.0), (1, 1, 1, None), (1, 1, 1, 0.5), (2, 0, 0, nan), (2, 0, 0, 9.0), (3, 0, 0, 1.0), (3, 1, 1, None)]
+    df = spark.createDataFrame(pairs, "qid long, fact long, leaf long, score double")
+    assert sorted(map(tuple, assign.assign(df).collect())) == [(1, 0, 1), (1, 1, 0)]
