@@ -23,6 +23,11 @@ _FROM, _TO = _accent_map()
 COMPANY_PREFIXES = ("tong cong ty co phan", "tong cong ty", "cong ty co phan", "cong ty tnhh", "ngan hang thuong mai co phan", "ngan hang tmcp", "ngan hang", "tap doan", "cong ty", "ctcp")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row: Spark computes it again wherever a branch or a lambda names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_diacritics(text: Column) -> Column:
     return F.translate(F.regexp_replace(text, r"\p{M}", ""), _FROM, _TO)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.fuzzy import ratio
-from ledgerlens.functions.text import norm, tokens
+from ledgerlens.functions.text import let, norm, tokens
 from ledgerlens.operators.ranking import top_k
 
 #: Candidates of an entity that are scored further: this many times the depth asked for, and at least so many.
@@ -77,7 +77,10 @@ def exactly_one(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
 
 def header_score(header: Column, year: Column, col: Column) -> Column:
     """How well a column's header fits a year: 40 for the year, 30 for this period, -30 for the one before, less to the right."""
-    plain = norm(header)
+    return let(norm(header), lambda plain: _header_score(plain, year, col))
+
+
+def _header_score(plain: Column, year: Column, col: Column) -> Column:
     named = F.regexp_like(plain, F.concat(F.lit(r"\b"), year.cast("string"), F.lit(r"\b")))
     now, before = plain.rlike("nam nay|cuoi nam"), plain.rlike("nam truoc|dau nam")
     points = F.when(named, 40.0).otherwise(0.0) + F.when(now, 30.0).otherwise(0.0) - F.when(before, 30.0).otherwise(0.0)
@@ -89,8 +92,9 @@ def best_by_row(cells: DataFrame, by: list[str], row: list[str], row_score: str,
 
     cells: by, row, col_name, col, and the row's label score. Rows of codes and notes have no column.
     """
-    fitted = cells.withColumn("header_score", header_score(F.col("col_name"), F.col(year), F.col("col"))).filter("header_score is not null")
-    columns = top_k(fitted, [*by, *row], [F.desc("header_score"), F.asc("col")], 1).drop("rank")
+    fitted = cells.withColumn("header_score", header_score(F.col("col_name"), F.col(year), F.col("col")))
+    # null scores come last; a filter before the window would compute each score twice
+    columns = top_k(fitted, [*by, *row], [F.desc("header_score"), F.asc("col")], 1).filter("header_score is not null").drop("rank")
     total = columns.withColumn("score", F.round(F.col(row_score) + F.col("header_score"), 4))
     return top_k(total, by, [F.desc("score"), *map(F.asc, row)], 1).drop("rank", "header_score")
 
