@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import norm, tokens
+from ledgerlens.functions.text import let, norm, tokens
 
 
 #: Words that tell near-identical line items apart.
@@ -45,19 +45,21 @@ _YEARS = r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"
 
 def qualifier_bonus(label: Column, metric: Column, qualifiers: tuple[str, ...] = QUALIFIERS) -> Column:
     """A shared qualifier +8; different ones -25; one that only the metric has -3; else 0."""
-    label, metric = norm(label), norm(metric)
-    have = F.filter(F.array(*map(F.lit, qualifiers)), lambda q: F.contains(label, q))
-    want = F.filter(F.array(*map(F.lit, qualifiers)), lambda q: F.contains(metric, q))
-    return F.when(F.arrays_overlap(have, want), 8).when(F.size(want) == 0, 0).when(F.size(have) > 0, -25).otherwise(-3)
+    among = lambda text: let(norm(text), lambda plain: F.filter(F.array(*map(F.lit, qualifiers)), lambda q: F.contains(plain, q)))
+    scored = lambda v: F.when(F.arrays_overlap(v["have"], v["want"]), 8).when(F.size(v["want"]) == 0, 0).when(F.size(v["have"]) > 0, -25).otherwise(-3)
+    return let(F.struct(among(label).alias("have"), among(metric).alias("want")), scored)
 
 
 def expected_codes(metric: Column) -> Column:
     """Codes of the longest wording that the metric contains, first of ties; empty if there is none."""
-    plain = norm(metric)
-    out = F.array().cast("array<string>")
-    for wording, codes in sorted(reversed(CODES), key=lambda x: len(x[0])):  # the longest is asked first
-        out = F.when(plain.contains(wording), F.array(*map(F.lit, codes.split()))).otherwise(out)
-    return out
+
+    def of(plain: Column) -> Column:
+        out = F.array().cast("array<string>")
+        for wording, codes in sorted(reversed(CODES), key=lambda x: len(x[0])):  # the longest is asked first
+            out = F.when(plain.contains(wording), F.array(*map(F.lit, codes.split()))).otherwise(out)
+        return out
+
+    return let(norm(metric), of)
 
 
 def content_terms(text: Column, stop: list[str] | None = None) -> Column:
@@ -68,14 +70,21 @@ def content_terms(text: Column, stop: list[str] | None = None) -> Column:
 
 def period_role(text: Column) -> Column:
     """ending, beginning, mixed or same_period."""
-    plain = norm(text)
+    return let(norm(text), _period_role)
+
+
+def _period_role(plain: Column) -> Column:
     end, start = plain.rlike(r"so du cuoi|cuoi nam|cuoi ky|31\s*/\s*12"), plain.rlike(r"so du dau|dau nam|dau ky|(?<![0-9])0?1\s*/\s*0?1(?![0-9])")
     return F.when(end & start, "mixed").when(end, "ending").when(start, "beginning").otherwise("same_period")
 
 
 def year_reason(header: Column, context: Column, report_year: Column, year: Column) -> Column:
     """Why a cell does or does not belong to ``year``; the reasons of success do not hold a colon."""
-    header, context = norm(header), norm(context)
+    texts = F.struct(norm(header).alias("header"), norm(context).alias("context"))
+    return let(texts, lambda v: _year_reason(v["header"], v["context"], report_year, year))
+
+
+def _year_reason(header: Column, context: Column, report_year: Column, year: Column) -> Column:
     own = F.transform(F.regexp_extract_all(header, F.lit(_YEARS), F.lit(1)), lambda y: y.cast("int"))
     around = F.array_distinct(F.transform(F.regexp_extract_all(context, F.lit(_YEARS), F.lit(1)), lambda y: y.cast("int")))
     said = F.when(header.rlike("nam nay|ky nay"), report_year).when(header.rlike("nam truoc|ky truoc|so du dau|dau nam|dau ky"), report_year - 1)
@@ -97,11 +106,15 @@ def metric_grounding(label: Column, header: Column, code: Column, metric: Column
     The reasons of success are exact_vas_code, metric_match:ending_balance_column_layout and metric_match:direct.
     """
     direct = F.concat_ws(" ", label, header)
-    plain, label_plain, metric_plain = norm(direct), norm(label), norm(metric)
-    terms, expected = content_terms(metric), expected_codes(metric)
-    share = F.size(F.array_intersect(terms, tokens(direct))) / F.greatest(F.size(terms), F.lit(1))
+    once = F.struct(norm(direct).alias("plain"), norm(label).alias("label"), norm(header).alias("header"), norm(metric).alias("metric"), content_terms(metric).alias("terms"), expected_codes(metric).alias("expected"), tokens(direct).alias("said"), period_role(direct).alias("seen"))
+    return let(once, lambda v: _metric_grounding(v, code, period, score))
+
+
+def _metric_grounding(v: Column, code: Column, period: Column, score: Column) -> Column:
+    plain, label_plain, header_plain, metric_plain, terms, expected, seen = (v[x] for x in ("plain", "label", "header", "metric", "terms", "expected", "seen"))
+    share = F.size(F.array_intersect(terms, v["said"])) / F.greatest(F.size(terms), F.lit(1))
     code = F.regexp_replace(F.trim(F.coalesce(code, F.lit(""))), r"\.0$", "")
-    digits, seen = code.rlike("^[0-9]+$"), period_role(direct)
+    digits = code.rlike("^[0-9]+$")
     provision = metric_plain.contains("chi phi du phong rui ro tin dung")
     matched = F.when(F.size(terms) == 1, (F.length(F.get(terms, F.lit(0))) >= 4) & (share == 1)).when(F.size(terms) == 2, share == 1).otherwise((share >= 0.75) & (score >= 35))
     return (
@@ -109,10 +122,10 @@ def metric_grounding(label: Column, header: Column, code: Column, metric: Column
         .when((period == "ending") & (seen == "beginning"), "period_contradiction:expected_ending")
         .when((period == "beginning") & (seen == "ending"), "period_contradiction:expected_beginning")
         .when(metric_plain.contains("no vay") & plain.rlike("tien tra no goc vay|tra no vay|luu chuyen tien"), "metric_domain_mismatch:cashflow_not_debt")
-        .when(norm(header).rlike("so da trinh bay|so trinh bay lai|dieu chinh"), "presentation_state_ambiguous")
+        .when(header_plain.rlike("so da trinh bay|so trinh bay lai|dieu chinh"), "presentation_state_ambiguous")
         .when(provision & label_plain.contains("loi nhuan"), "metric_domain_mismatch:profit_not_provision")
         .when(provision & ~label_plain.contains("chi phi"), "metric_domain_mismatch:stock_not_expense")
-        .when(provision & norm(header).rlike("mien bac|mien trung|mien nam"), "metric_scope_mismatch:segment_not_total")
+        .when(provision & header_plain.rlike("mien bac|mien trung|mien nam"), "metric_scope_mismatch:segment_not_total")
         .when((F.size(expected) > 0) & digits & ~F.array_contains(expected, code), "vas_code_mismatch")
         .when((F.size(expected) > 0) & ~digits & (share < 0.8), "vas_code_missing_with_weak_metric_match")
         .when(F.array_contains(expected, code) & (share >= 0.35), "exact_vas_code")
@@ -134,7 +147,7 @@ def year_bonus(header: Column, year: Column) -> Column:
 
 
 def code_bonus(code: Column, expected: Column) -> Column:
-    return F.when(F.array_contains(expected, code), 12).when(code.rlike("^[0-9]+$") & (F.size(expected) > 0), -10).otherwise(0)
+    return let(expected, lambda e: F.when(F.array_contains(e, code), 12).when(code.rlike("^[0-9]+$") & (F.size(e) > 0), -10).otherwise(0))
 
 
 def score(lexical: Column, semantic: Column, *bonuses: Column) -> Column:
@@ -186,7 +199,10 @@ def period_column(header: Column, report_year: Column, year: Column, first: Colu
     role: target_value, other_period, ambiguous or unknown; confidence 4 for dates and years, 3 for wording,
     1 for the place alone, else 0.
     """
-    plain = norm(header)
+    return let(norm(header), lambda plain: _period_column(plain, report_year, year, first))
+
+
+def _period_column(plain: Column, report_year: Column, year: Column, first: Column) -> Column:
     years = F.array_distinct(F.regexp_extract_all(plain, F.lit(_YEARS), F.lit(1)))
     dated = F.coalesce(date_year(plain), F.when(F.size(years) == 1, F.get(years, F.lit(0)).try_cast("int")))
     several = date_year(plain).isNull() & (F.size(years) > 1)

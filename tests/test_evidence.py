@@ -127,3 +127,26 @@ def test_first_sample_that_answers(spark):
 @pytest.mark.parametrize("value, question, ok", [(1234567, "doanh thu 1234567 dong", True), (1500000, "1.500.000 dong", True), (1500000, "1,500,000", True), (1234567.5, "1.234.567,5", True), (1234568, "1234567", False), (1.5, "1.500", True), (1500, "1.500", True), (15, "1.5", False), (-7, "giam -7", True), (-7, "giam 7", False), (7, "tu -7", True), (0.25, ",25", False)])
 def test_grounded_numbers_of_any_length(value, question, ok):
     assert ir.literal_grounded(float(value), question) == ok
+
+
+def test_texts_are_normalised_once_a_row(spark):
+    """Branches and lambdas that name a normalised text computed it again: 25 times and more a row."""
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators import evidence, shortlist
+
+    df = spark.createDataFrame([("Lợi nhuận sau thuế", "Năm 2021", "60", "lợi nhuận sau thuế", 2021)], "label string, header string, code string, metric string, y int")
+    c = F.col
+    made = {
+        "codes": (shortlist.expected_codes(c("metric")), 1, ["60"]),
+        "qualifier": (shortlist.qualifier_bonus(c("label"), c("metric")), 2, 0),
+        "bonus": (shortlist.code_bonus(c("code"), shortlist.expected_codes(c("metric"))), 1, 12),
+        "year": (shortlist.year_reason(c("header"), c("label"), c("y"), c("y")), 2, "explicit_column_year"),
+        "reason": (shortlist.metric_grounding(c("label"), c("header"), c("code"), c("metric"), F.lit("ending"), F.lit(50.0)), 8, "exact_vas_code"),
+        "score": (evidence.header_score(c("header"), c("y"), F.lit(1)), 1, 39.99),
+        "role": (shortlist.period_column(c("header"), c("y"), c("y"), F.lit(True))["role"], 1, "target_value"),
+    }
+    for name, (column, most, want) in made.items():
+        out = df.select(column.alias("x"))
+        assert out.first()["x"] == want, name
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= most, name
