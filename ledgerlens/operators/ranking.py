@@ -141,6 +141,34 @@ def _blocks(rows, size: int):
         yield block
 
 
+#: Queries and vectors whose scores a task holds at a time.
+_TILE = 1024
+
+
+def _nearest(batches, ids: np.ndarray, q: np.ndarray, k: int, decimals: int):
+    """query_id, vec_id, score of the k nearest vectors of each query; scores of 1,024 queries and 1,024 vectors at a time, so memory has a bound."""
+    best_s, best_v = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+    for b in batches:
+        for at in range(0, b.num_rows, _TILE):
+            part = b.slice(at, _TILE)
+            v = np.array(part.column(1).to_pylist(), dtype=np.float64)
+            norm = np.linalg.norm(v, axis=1, keepdims=True)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                unit = (v / norm).T
+            for first in range(0, len(ids), _TILE):
+                own = slice(first, first + _TILE)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = np.round(q[own] @ unit, decimals)
+                s[:, ~(norm[:, 0] > 0)] = -np.inf
+                all_s = np.concatenate((best_s[own], s), axis=1)
+                all_v = np.concatenate((best_v[own], np.broadcast_to(part.column(0).to_numpy(), s.shape)), axis=1)
+                order = np.lexsort((all_v, -all_s), axis=1)[:, :k]
+                best_s[own], best_v[own] = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_v, order, 1)
+    kept = np.isfinite(best_s)
+    cols = (np.broadcast_to(ids[:, None], best_s.shape)[kept], best_v[kept], best_s[kept] + 0.0)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["query_id", "vec_id", "score"])
+
+
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, decimals: int = 6, block_bytes: int = 8 << 20) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest vectors of each query by cosine, ties to the smaller id.
 
@@ -153,26 +181,7 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, decimals: int =
     slim = vectors.filter("embedding is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
 
     def search(shared):
-        def run(batches):
-            ids, q = shared.value
-            best_s, best_v = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
-            for b in batches:
-                for at in range(0, b.num_rows, 1024):  # bounds the score matrix
-                    part = b.slice(at, 1024)
-                    v = np.array(part.column(1).to_pylist(), dtype=np.float64)
-                    norm = np.linalg.norm(v, axis=1, keepdims=True)
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        s = np.round(q @ (v / norm).T, decimals)
-                    s[:, ~(norm[:, 0] > 0)] = -np.inf
-                    best_s = np.concatenate((best_s, s), axis=1)
-                    best_v = np.concatenate((best_v, np.broadcast_to(part.column(0).to_numpy(), s.shape)), axis=1)
-                    order = np.lexsort((best_v, -best_s), axis=1)[:, :k]
-                    best_s, best_v = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_v, order, 1)
-            kept = np.isfinite(best_s)
-            cols = (np.broadcast_to(ids[:, None], best_s.shape)[kept], best_v[kept], best_s[kept] + 0.0)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["query_id", "vec_id", "score"])
-
-        return run
+        return lambda batches: _nearest(batches, *shared.value, k, decimals)
 
     found = None
     asked = queries.filter("embedding is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
