@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, keyed, materialize, small
+from .common import RID, discard, keyed, materialize, small
 from .components import components
 
 SEED = 42
@@ -169,9 +169,21 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = components(fingerprint_links(distinct.select("fp")))
     roots = distinct.join(links.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = roots.groupBy("root").agg(F.min("first").alias("component_rid"), F.min("first_id").alias("component_id"))
-    member = roots.select("fp", "root").join(least, "root").select("fp", "component_rid", "component_id")
+    member = materialize(roots.select("fp", "root").join(least, "root").select("fp", "component_rid", "component_id"), "members")
     # a fingerprint that many documents share is a few bytes a row; adaptive execution splits it
-    return rows.join(materialize(member, "members"), "fp")
+    out = rows.join(member, "fp")
+    out.working = (rows, distinct, *links.working, member)
+    return out
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(RID, entry): documents whose component has several members, and its least RID."""
+    found = simhash_components(docs, id_col, text_col)
+    slim = found.select(RID, F.col("component_rid").alias("entry"))
+    several = slim.filter(F.col(RID) != F.col("entry"))
+    out = materialize(several.unionAll(several.select(F.col("entry").alias(RID), "entry").distinct()), "groups")
+    discard(*found.working)
+    return out
 
 
 def op3_simhash_dedup(spark, sf_dir: str) -> DataFrame:

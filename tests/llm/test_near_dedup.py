@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from ledgerlens.llm import near_dedup
+from ledgerlens.llm import near_dedup, simhash_dedup
 
 DATA = "/root/testdata/sf0.01"
 
@@ -91,3 +91,19 @@ def test_entries_dealt_to_chunks(spark, monkeypatch, limit):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r["node"]: r["root"] for r in near_dedup.near_copies(docs).collect()}
     assert seen and [got.get(i, i) for i in range(len(texts))] == brute(texts)
+
+
+def test_stage_takes_candidates_of_simhash(spark, monkeypatch):
+    """Without bands, SimHash proposes close copies, and whole texts decide."""
+    import numpy as np
+
+    monkeypatch.setattr(near_dedup, "band_keys", lambda hashes: np.zeros(0, np.int64))
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(4000)}" for _ in range(3000)]
+    line = "the same seven words over and over " * 300
+    # one word of 3,000 changed; tails of their own after one line over and over: near fingerprints, sets of shingles apart
+    texts = [" ".join(words), " ".join([*words[:1500], "other", *words[1501:]]), *(line + " ".join(f"{tail}{i}" for i in range(12)) for tail in "ab")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = simhash_dedup.simhash_groups(docs).collect()
+    assert sorted(tuple(r) for r in found) == [(0, 0), (1, 0), (2, 2), (3, 2)]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_stage(spark, docs, DATA).collect()) == [0, 2, 3]
