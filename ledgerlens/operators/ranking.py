@@ -20,11 +20,19 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k) -> DataFrame:
     return ranked.filter(F.col("rank") <= k)
 
 
+#: Rows that a task sorts at a time.
+_SORTED_ROWS = 500_000
+
+
 def quota_top_k(df: DataFrame, query: str, group: str, score: str, pos: str, depth: int) -> DataFrame:
     """Each group of a query first gets max(1, depth / groups) places, the rest is filled by score."""
     best = [F.desc(score), F.asc(pos)]
-    groups = df.groupBy(query).agg(F.count_distinct(group).alias("groups"))
-    ranked = df.join(groups, query).withColumn("in_group", F.row_number().over(Window.partitionBy(query, group).orderBy(*best)))
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // _SORTED_ROWS))
+    dealt = df.repartition(n, query)  # one exchange and two sorts; what a task sorts does not grow with the table
+    ranked = dealt.withColumn("in_group", F.row_number().over(Window.partitionBy(query, group).orderBy(*best)))
+    # each group has one first row; null groups are not counted, as by a distinct count
+    first = (F.col("in_group") == 1) & F.col(group).isNotNull()
+    ranked = ranked.withColumn("groups", F.count_if(first).over(Window.partitionBy(query)))
     ranked = ranked.withColumn("fill", (F.col("in_group") > F.greatest(F.lit(1), F.floor(F.lit(depth) / F.col("groups")))).cast("int"))
     return top_k(ranked, [query], [F.asc("fill"), *best], depth).drop("groups", "in_group")
 
