@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerlens.functions.numbers import detect_unit
 from ledgerlens.functions.text import norm
@@ -67,17 +69,43 @@ def register(spark: SparkSession, name: str = "parse_report") -> None:
     spark.udtf.register(name, ParseReport)
 
 
-def parse_reports(reports: DataFrame, per_ticker: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(tables, quarantine) of reports (report_id, ticker, text): tables with unit_scale and
-    unit_source: of the context, else of the first row, else carried on.
+def parsed_reports(reports: DataFrame, per_ticker: int | None = None) -> DataFrame:
+    """Tables of reports (report_id, ticker, text) and, with ``problem``, what could not be read, each report parsed once;
+    tables with unit_scale and unit_source: of the context, else of the first row, else carried on.
 
     ``per_ticker``: so many reports of each ticker, in the order of their ids.
     """
-    spark = reports.sparkSession
-    register(spark)
     rows = reports.select("report_id", "ticker", "text")
     rows = rows if per_ticker is None else top_k(rows, ["ticker"], [F.asc("report_id")], per_ticker).drop("rank")
-    found = spark.sql("select r.report_id, r.ticker, t.* from {rows} r, lateral parse_report(r.text) t", rows=rows)
-    good = found.filter("problem is null").drop("problem").withColumn("unit_scale", F.coalesce(detect_unit(norm(F.col("context"))), detect_unit(norm(F.array_join(F.get("grid", F.lit(0)), " ")))))
-    tables = sticky_unit(good, "report_id", "table_pos")
-    return tables, found.filter("problem is not null").select("report_id", "ticker", "table_pos", "problem")
+    # dealt by number, which adaptive execution does not gather: parsing is all of the work, and its input is small
+    rows = rows.repartition(int(reports.sparkSession.conf.get("spark.sql.shuffle.partitions")), "report_id")
+    schema = StructType([*rows.select("report_id", "ticker").schema, *StructType.fromDDL(PARSED)])
+    found = rows.mapInArrow(_parsed, schema)
+    good = F.col("problem").isNull()
+    unit = F.coalesce(detect_unit(norm(F.col("context"))), detect_unit(norm(F.array_join(F.get("grid", F.lit(0)), " "))))
+    marked = sticky_unit(found.withColumn("unit_scale", F.when(good, unit)), "report_id", "table_pos")
+    return marked.withColumns({c: F.when(good, F.col(c)) for c in ("unit_scale", "unit_source")})
+
+
+def _parsed(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            own, out = [], []
+            for i, text in enumerate(part.column(2).to_pylist()):
+                for row in parse(text):
+                    own.append(i)
+                    out.append(row)
+            cols = zip(*out) if out else [()] * len(_KINDS)
+            yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(own, pa.int32())) for i in (0, 1)), *map(pa.array, cols, _KINDS)], names=["report_id", "ticker", *_NAMES])
+
+
+_NAMES = ["table_pos", "page", "line_no", "context", "grid", "truncated", "problem"]
+_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.list_(pa.string())), pa.bool_(), pa.string()]
+
+
+def parse_reports(reports: DataFrame, per_ticker: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(tables, quarantine) of ``parsed_reports``; a caller who reads both has the reports parsed twice."""
+    register(reports.sparkSession)
+    found = parsed_reports(reports, per_ticker)
+    return found.filter("problem is null").drop("problem"), found.filter("problem is not null").select("report_id", "ticker", "table_pos", "problem")

@@ -85,10 +85,10 @@ def report_parse(spark, d):
     second = F.concat(F.lit("<table class=x><tr><td rowspan=2>"), unit, F.lit("</td><td>Count</td></tr><tr><td>"), n, F.lit("</td></tr></table>"))
     broken = F.when(key % 5 != 0, "").when(key % 2 == 0, "<table></table>").otherwise("<table><tr><td>lost")
     reports = lines.select(key.cast("string").alias("report_id"), (key % 7).cast("string").alias("ticker"), F.when(key % 11 != 0, F.concat(first, second, broken)).alias("text"))
-    tables, quarantine = report.parse_reports(reports)
-    shown = F.get(F.element_at("grid", -1), F.lit(1))
-    good = tables.select("report_id", "table_pos", F.size("grid").alias("n_rows"), F.size(F.get("grid", F.lit(0))).alias("n_cols"), shown.alias("shown"), "unit_scale", "unit_source", F.lit(None).cast("string").alias("problem"))
-    return good.unionByName(quarantine.drop("ticker"), allowMissingColumns=True)
+    found = report.parsed_reports(reports)
+    shown = F.when(F.col("problem").isNull(), F.get(F.element_at("grid", -1), F.lit(1)))
+    sized = lambda grid: F.when(F.col("problem").isNull(), F.size(grid))
+    return found.select("report_id", "table_pos", sized("grid").alias("n_rows"), sized(F.get("grid", F.lit(0))).alias("n_cols"), shown.alias("shown"), "unit_scale", "unit_source", "problem")
 
 
 _KINDS = ("consolidated", "separate", "aggregated", "other")

@@ -40,3 +40,12 @@ def test_sql_name(spark):
     spark.createDataFrame([("r", CELL.format("1"))], "id string, text string").createOrReplaceTempView("some_reports")
     got = spark.sql("select id, t.table_pos, t.grid from some_reports, lateral tables_of_report(text) t").select(F.col("grid")[0][0].alias("x")).collect()
     assert [r["x"] for r in got] == ["1"]
+
+
+def test_each_report_is_parsed_once(spark, tmp_path):
+    """Tables and quarantine of one frame come from one pass: its plan has one Python step."""
+    df = spark.createDataFrame([("r1", "A", "Đơn vị: triệu đồng" + CELL.format("1") + "<table>" + CELL.format("2")), ("r2", "A", None)], "report_id string, ticker string, text string")
+    found = report.parsed_reports(df)
+    got = sorted((r["report_id"], r["table_pos"] or 0, r["unit_source"], r["problem"]) for r in found.collect())
+    assert got == [("r1", 0, "explicit", None), ("r1", 1, None, "unclosed_table"), ("r1", 2, "sticky", None), ("r2", 0, None, "empty_report")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
