@@ -136,15 +136,16 @@ _FIRST = "select o_orderkey, min(sample) filter (status = 'ok') as sample, arg_m
 def program_samples(spark, d):
     """Three saved replies for each order, replayed: the first that answers, and what became of each."""
     tried = rows.attempts(_samples(spark, d), _cells(spark, d), "o_orderkey")
-    shown = rows.trace(tried, "o_orderkey").groupBy("o_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample", "status"))), lambda x: x["status"]), ",").alias("trace"))
-    return rows.first_answers(tried, "o_orderkey").join(shown, "o_orderkey").select("o_orderkey", "sample", "answer", "status", "trace")
+    shown = F.array_join(F.transform("trace", lambda x: x["status"]), ",")
+    return rows.replayed(tried, "o_orderkey").select("o_orderkey", "sample", "answer", "status", shown.alias("trace"))
 
 
 @query(f"with {_TRIED}, first as ({_FIRST}), was as (select o_orderkey, status as was from tried where sample = 1) select was, status as now, count(*) as questions from was join first using (o_orderkey) group by was, now")
 def replay_transitions(spark, d):
     """From the status of the first reply alone to that of all replies."""
     tried = rows.attempts(_samples(spark, d), _cells(spark, d), "o_orderkey")
-    return rows.transitions(tried.filter("sample = 1"), rows.first_answers(tried, "o_orderkey"), "o_orderkey")
+    # each order has a first reply, so what it gave alone stands beside the answer of all
+    return rows.replayed(tried, "o_orderkey").groupBy(F.col("alone").alias("was"), F.col("status").alias("now")).agg(F.count(F.lit(1)).alias("questions"))
 
 
 # --- units, scales and routed questions

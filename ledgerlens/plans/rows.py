@@ -27,6 +27,7 @@ from __future__ import annotations
 import json
 import sys
 from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -150,31 +151,48 @@ def steps_of(text: str | None, question: str | None = None) -> tuple[str | None,
     return None, steps, declared, output
 
 
+_STEP_COLUMNS = (("op", pa.string()), ("n", pa.int32()), ("k", pa.int32()), ("w", pa.int32()), ("name", pa.string()), ("num", pa.float64()), ("type", pa.string()))
+_DECLARED_COLUMNS = (("name", pa.string()), ("entity", pa.string()), ("period", pa.int32()))
+
+
+def _lists(rows: list[list[tuple]], columns: tuple) -> pa.Array:
+    """Lists of structs from lists of tuples."""
+    ends = pa.array([0, *accumulate(map(len, rows))], pa.int32())
+    flat = [x for row in rows for x in row]
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array([x[i] for x in flat], kind) for i, (_, kind) in enumerate(columns)], names=[n for n, _ in columns]))
+
+
+def _parsed_rows(parsed: list[tuple]) -> pa.StructArray:
+    """What ``steps_of`` gives for some texts, as the columns of ``PARSED``."""
+    code, output = (pa.array([p[i] for p in parsed], pa.string()) for i in (0, 3))
+    return pa.StructArray.from_arrays([code, _lists([p[1] for p in parsed], _STEP_COLUMNS), _lists([p[2] for p in parsed], _DECLARED_COLUMNS), output], names=["code", "steps", "declared", "output"])
+
+
 def parse(samples: DataFrame, keys: list[str], program: str = "program", question: str | None = None) -> DataFrame:
     """keys, reason code, steps, declared facts and output type of each row's program text.
 
     ``question``: the column with the text in which literals must be grounded.
     """
     schema = StructType([*samples.select(*keys).schema, *StructType.fromDDL(PARSED)])
-    names = ["op", "n", "k", "w", "name", "num", "type"]
-    arrow = pa.schema([("code", pa.string()), ("steps", pa.list_(pa.struct(list(zip(names, [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string()]))))), ("declared", pa.list_(pa.struct([("name", pa.string()), ("entity", pa.string()), ("period", pa.int32())]))), ("output", pa.string())])
 
     def run(batches):
-        known: dict = {}
+        # parsed texts stay as Arrow rows, and each row of a batch takes the one of its text
+        place: dict = {}
+        pool = _parsed_rows([])
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                asked = part.column(len(keys) + 1).to_pylist() if question else [None] * part.num_rows
-                rows = []
-                for key in zip(part.column(len(keys)).to_pylist(), asked):
-                    if key not in known:
-                        if len(known) >= _KEPT_TEXTS:
-                            known.clear()
-                        known[key] = steps_of(key[0], (key[1] or "") if question else None)
-                    code, steps, declared, output = known[key]
-                    rows.append({"code": code, "steps": [dict(zip(names, s)) for s in steps], "declared": [{"name": n, "entity": e, "period": p} for n, e, p in declared], "output": output})
-                made = pa.RecordBatch.from_pylist(rows, schema=arrow)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *made.columns], names=[*keys, *made.schema.names])
+                texts = part.column(len(keys)).to_pylist()
+                asked = part.column(len(keys) + 1).to_pylist() if question else [None] * len(texts)
+                if len(place) > _KEPT_TEXTS:
+                    place, pool = {}, _parsed_rows([])
+                found = list(zip(texts, asked))
+                fresh = [k for k in dict.fromkeys(found) if k not in place]
+                if fresh:
+                    place |= {k: len(pool) + i for i, k in enumerate(fresh)}
+                    pool = pa.concat_arrays([pool, _parsed_rows([steps_of(t, (q or "") if question else None) for t, q in fresh])])
+                made = pool.take(pa.array([place[k] for k in found], pa.int32())).flatten()
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *made], names=schema.names)
 
     return samples.select(*keys, program, *([question] if question else [])).mapInArrow(run, schema)
 
@@ -258,8 +276,6 @@ def _apply(s: Column, a: Column, units: bool = False) -> Column:
     """struct<code, cell> of an operation s on its arguments a; ``units``: infer units too."""
     op, n, least, most = s["op"], s["n"], s["k"], s["w"]
     is_ = lambda *names: op.isin(*names)
-    v = F.transform(a, lambda x: x["v"])
-    v0, v1, v2 = (F.get(v, F.lit(i)) for i in range(3))
     t0, t1, c0, c1, c2, p0, p1 = _at(a, 0, "t"), _at(a, 1, "t"), _at(a, 0, "c"), _at(a, 1, "c"), _at(a, 2, "c"), _at(a, 0, "p"), _at(a, 1, "p")
     kinds = _kinds(a)
     same = F.coalesce(F.get(kinds, F.lit(0)), F.lit("number"))
@@ -331,22 +347,26 @@ def _apply(s: Column, a: Column, units: bool = False) -> Column:
     held = lambda i: F.coalesce(F.get(when, i)["v"], F.when(most == 0, 1.0), F.lit(0.0))
     places = F.transform(F.sequence(F.lit(0), least - 1), lambda i: F.struct((sign * F.get(scores, i)["v"]).alias("s"), (-i).alias("p"), F.get(results, i)["v"].alias("r"), held(i).alias("w")))
     projected = F.array_max(F.filter(places, lambda x: (x["w"] == 1) & x["s"].isNotNull()))["r"]
-    in_order = F.array_sort(v)
-    middle = (n / 2).cast("int")
-    median = F.when(n % 2 == 1, F.get(in_order, middle)).otherwise((F.get(in_order, middle - 1) + F.get(in_order, middle)) / 2)
-    part = v0 * v1 / 100
-    by_op = [
-        ("and", _all(v)), ("or", _any(v)), ("not", 1 - v0), ("if_else", F.when(v0 == 1, v1).otherwise(v2)), ("count_true", _total(v)),
-        ("gt", _double(v0 > v1)), ("ge", _double(v0 >= v1)), ("lt", _double(v0 < v1)), ("le", _double(v0 <= v1)), ("eq", _double(v0 == v1)), ("ne", _double(v0 != v1)),
-        ("sum", _total(v)), ("add", _total(v)), ("average", _total(v) / n), ("min", F.array_min(v)), ("max", F.array_max(v)), ("median", median),
-        ("lookup", v0), ("abs", F.abs(v0)), ("negate", -v0), ("power", F.pow(v0, v1)),
-        ("subtract", v0 - v1), ("difference", v0 - v1), ("multiply", v0 * v1), ("divide", F.when(v1 != 0, v0 / v1)), ("ratio", F.when(v1 != 0, v0 / v1)),
-        ("growth_percent", F.when(F.abs(v0) != 0, (v1 - v0) / F.abs(v0)) * 100),
-        ("cagr", F.when((v0 > 0) & (v1 > 0), (F.pow(v1 / v0, F.lit(1.0) / v2) - 1) * 100)),
-        ("percentage_point", (v0 - v1) * F.when(same == "ratio", 100.0).otherwise(1.0)),
-        ("apply_percent", part), ("increase_percent", v0 + part), ("decrease_percent", v0 - part),
-    ]
-    value = reduce(lambda c, x: c.when(op == x[0], x[1]), by_op, F.when(project, projected))
+    def valued(v: Column) -> Column:
+        v0, v1, v2 = (F.get(v, F.lit(i)) for i in range(3))
+        in_order = F.array_sort(v)
+        middle = (n / 2).cast("int")
+        median = F.when(n % 2 == 1, F.get(in_order, middle)).otherwise((F.get(in_order, middle - 1) + F.get(in_order, middle)) / 2)
+        part = v0 * v1 / 100
+        by_op = [
+            ("and", _all(v)), ("or", _any(v)), ("not", 1 - v0), ("if_else", F.when(v0 == 1, v1).otherwise(v2)), ("count_true", _total(v)),
+            ("gt", _double(v0 > v1)), ("ge", _double(v0 >= v1)), ("lt", _double(v0 < v1)), ("le", _double(v0 <= v1)), ("eq", _double(v0 == v1)), ("ne", _double(v0 != v1)),
+            ("sum", _total(v)), ("add", _total(v)), ("average", _total(v) / n), ("min", F.array_min(v)), ("max", F.array_max(v)), ("median", median),
+            ("lookup", v0), ("abs", F.abs(v0)), ("negate", -v0), ("power", F.pow(v0, v1)),
+            ("subtract", v0 - v1), ("difference", v0 - v1), ("multiply", v0 * v1), ("divide", F.when(v1 != 0, v0 / v1)), ("ratio", F.when(v1 != 0, v0 / v1)),
+            ("growth_percent", F.when(F.abs(v0) != 0, (v1 - v0) / F.abs(v0)) * 100),
+            ("cagr", F.when((v0 > 0) & (v1 > 0), (F.pow(v1 / v0, F.lit(1.0) / v2) - 1) * 100)),
+            ("percentage_point", (v0 - v1) * F.when(same == "ratio", 100.0).otherwise(1.0)),
+            ("apply_percent", part), ("increase_percent", v0 + part), ("decrease_percent", v0 - part),
+        ]
+        return reduce(lambda c, x: c.when(op == x[0], x[1]), by_op, F.when(project, projected))
+
+    value = _let(F.transform(a, lambda x: x["v"]), valued)
     periods = F.array_distinct(F.filter(F.transform(a, lambda x: x["p"]), lambda p: p.isNotNull()))
     return _let(code, lambda c: F.struct(c.alias("code"), F.struct(F.when(c.isNull(), value).alias("v"), kind.alias("t"), F.lit(None).cast("double").alias("c"), F.when(F.size(periods) == 1, F.get(periods, F.lit(0))).alias("p"), unit.alias("u")).cast(CELL).alias("cell")))
 
@@ -390,12 +410,15 @@ def named_facts(parsed: DataFrame, facts: DataFrame, qid: str) -> DataFrame:
     has = facts.columns
     extra = lambda name, kind: (F.max(name) if name in has else F.lit(None)).cast(kind)
     scale = F.max(F.coalesce(F.col("unit_scale"), F.lit(1.0)).cast("double")) if "unit_scale" in has else F.lit(1.0)
-    atoms = F.max(unit_atoms(F.col("unit"))) if "unit" in has else F.lit(None).cast("array<string>")
-    fault = F.max(F.when(unit_fault(has), "unit_provenance_error")) if {"unit_scale", "stored_scale"} & set(has) else F.lit(None).cast("string")
-    slots = facts.groupBy(qid, "slot").agg(F.count(F.lit(1)).alias("cells"), (F.max("value").cast("double") * scale).alias("v"), extra("period", "int").alias("p"), extra("entity", "string").alias("e"), atoms.alias("u"), fault.alias("x"), extra("label", "string").alias("l"), extra("metric", "string").alias("m"))
-    named = parsed.select(qid, F.explode("declared.name").alias("slot")).distinct().withColumn("named", F.lit(True))
-    one = F.when(F.col("named"), F.struct("slot", F.when(F.col("cells") == 1, F.struct("v", "p", "e", "u", "x", "l", "m")).alias("x")))
-    return slots.join(named, [qid, "slot"], "left").groupBy(qid).agg(F.map_from_entries(F.collect_list(one)).alias("found"))
+    wanted = F.col("slot").isNotNull()
+    atoms = F.max(F.when(wanted, unit_atoms(F.col("unit")))) if "unit" in has else F.lit(None).cast("array<string>")
+    fault = F.max(F.when(wanted & unit_fault(has), "unit_provenance_error")) if {"unit_scale", "stored_scale"} & set(has) else F.lit(None).cast("string")
+    names = parsed.select(qid, F.col("declared.name").alias("names")).groupBy(qid).agg(F.array_distinct(F.flatten(F.collect_set("names"))).alias("names"))
+    # dealt by question alone, so one exchange serves the join and both counts; slots that no program names count as one
+    met = facts.join(names, qid, "left").withColumn("slot", F.when(F.array_contains("names", F.col("slot")), F.col("slot")))
+    slots = met.groupBy(qid, "slot").agg(F.count(F.lit(1)).alias("cells"), (F.max("value").cast("double") * scale).alias("v"), extra("period", "int").alias("p"), extra("entity", "string").alias("e"), atoms.alias("u"), fault.alias("x"), extra("label", "string").alias("l"), extra("metric", "string").alias("m"))
+    one = F.when(wanted, F.struct("slot", F.when(F.col("cells") == 1, F.struct("v", "p", "e", "u", "x", "l", "m")).alias("x")))
+    return slots.groupBy(qid).agg(F.map_from_entries(F.collect_list(one)).alias("found"))
 
 
 def attempts(samples: DataFrame, facts: DataFrame, qid: str, sample: str = "sample", program: str = "program", question: str | None = None, truncated: str | None = None, route: DataFrame | None = None) -> DataFrame:
@@ -450,6 +473,18 @@ def first_answers(tried: DataFrame, qid: str, sample: str = "sample") -> DataFra
     return found.select(qid, F.col("hit.answer").alias("answer"), F.when(F.col("hit").isNull(), F.col("last.status")).otherwise("ok").alias("status"), F.col(f"hit.{sample}").alias(sample))
 
 
+def replayed(tried: DataFrame, qid: str, sample: str = "sample") -> DataFrame:
+    """``first_answers`` with ``trace``, an array of (sample, status) as ``trace`` has them, and ``alone``, the status of the
+    first sample: one pass over the attempts of a question, which are computed once."""
+    x, ok = F.col("x"), F.filter("x", lambda r: r["status"] == "ok")
+    found = tried.groupBy(qid).agg(F.array_sort(F.collect_list(F.struct(F.col(sample).alias("sample"), "answer", "status"))).alias("x"))
+    found = found.withColumn("hit", F.get(ok, F.lit(0)))
+    late = lambda r: F.coalesce(r["sample"] > F.col("hit.sample"), F.lit(False))
+    shown = F.transform(x, lambda r: F.struct(r["sample"].alias("sample"), F.when(late(r), "not_evaluated_after_acceptance").otherwise(r["status"]).alias("status")))
+    status = F.when(F.col("hit").isNull(), F.element_at("x", -1)["status"]).otherwise("ok")
+    return found.select(qid, F.col("hit.answer").alias("answer"), status.alias("status"), F.col("hit.sample").alias(sample), shown.alias("trace"), F.get(x, F.lit(0))["status"].alias("alone"))
+
+
 def trace(tried: DataFrame, qid: str, sample: str = "sample") -> DataFrame:
     """The attempts, those after the accepted one as ``not_evaluated_after_acceptance`` and without an answer."""
     first = F.min(F.when(F.col("status") == "ok", F.col(sample))).over(Window.partitionBy(qid))

@@ -155,3 +155,19 @@ def test_one_plan_for_any_number_of_programs(spark):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
     assert jobs(3) == jobs(300)
+
+
+def test_replayed_is_answers_and_trace_in_one_pass(spark):
+    tried = spark.createDataFrame([(1, 2, 5.0, "ok"), (1, 1, None, "parse_error"), (1, 3, 7.0, "ok"), (2, 1, None, "type_error"), (2, 2, None, "unit_error")], "q int, sample int, answer double, status string")
+    got = {r["q"]: r for r in rows.replayed(tried, "q").collect()}
+    assert {q: (r["answer"], r["status"], r["sample"]) for q, r in got.items()} == {r["q"]: (r["answer"], r["status"], r["sample"]) for r in rows.first_answers(tried, "q").collect()}
+    assert {(q, x["sample"], x["status"]) for q, r in got.items() for x in r["trace"]} == {(r["q"], r["sample"], r["status"]) for r in rows.trace(tried, "q").collect()}
+    assert {q: r["alone"] for q, r in got.items()} == {1: "parse_error", 2: "type_error"}
+
+
+def test_more_texts_than_are_kept(spark, monkeypatch):
+    """Texts come again after the kept ones were let go."""
+    monkeypatch.setattr(rows, "_KEPT_TEXTS", 3)
+    texts = [f'{{"facts": {{}}, "root": {{"lit": {i % 9}}}}}' for i in range(3000)]
+    parsed = rows.parse(spark.createDataFrame(list(enumerate(texts)), "q int, program string").coalesce(1), ["q"])
+    assert {r["q"]: r["steps"][0]["num"] for r in parsed.collect()} == {i: float(i % 9) for i in range(3000)}
