@@ -33,7 +33,7 @@ def quota_top_k(df: DataFrame, query: str, group: str, score: str, pos: str, dep
     # each group has one first row; null groups are not counted, as by a distinct count
     first = (F.col("in_group") == 1) & F.col(group).isNotNull()
     ranked = ranked.withColumn("groups", F.count_if(first).over(Window.partitionBy(query)))
-    ranked = ranked.withColumn("fill", (F.col("in_group") > F.greatest(F.lit(1), F.floor(F.lit(depth) / F.col("groups")))).cast("int"))
+    ranked = ranked.withColumn("fill", (F.col("in_group") > F.greatest(F.lit(1), F.floor(F.try_divide(F.lit(depth), F.col("groups"))))).cast("int"))
     return top_k(ranked, [query], [F.asc("fill"), *best], depth).drop("groups", "in_group")
 
 
