@@ -65,3 +65,39 @@ def test_near_classes(spark):
         near = [x for _, h, x in kept if g is not None and h == g and x != v and abs(x - v) <= max(1.0, 0.001 * max(abs(x), abs(v)))]
         want[i] = (min(own), len(own), len(set(near)), len(near))
     assert got == want and any(x[2] for x in want.values())
+
+
+def near_texts(n_bases, copies, edits, boilerplate, seed):
+    """(id, split, text): near copies of random texts, each with the same passage somewhere."""
+    rnd, rows = random.Random(seed), []
+    for _ in range(n_bases):
+        base = [f"v{rnd.randrange(5000)}" for _ in range(60)]
+        for _ in range(copies):
+            x = list(base)
+            for _ in range(rnd.randrange(edits + 1)):
+                x[rnd.randrange(len(x))] = f"v{rnd.randrange(5000)}"
+            at = rnd.randrange(len(x))
+            rows.append((len(rows), rnd.choice("abc"), " ".join(x[:at] + boilerplate + x[at:])))
+    return rows
+
+
+def test_leaks_of_frequent_passages_and_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "_OFTEN", 3)
+    monkeypatch.setattr(leakage, "_BLOCK", 4)
+    # texts of one passage and little else have frequent shingles only
+    rows = near_texts(6, 12, 2, [f"b{i}" for i in range(40)], 3)
+    rows += [(1000 + i, "abc"[i % 3], " ".join([f"b{j}" for j in range(i % 4, 40)] + [f"x{i % 5}"])) for i in range(40)]
+    got = {r["id"]: (r["class_id"], r["exact"], r["n_near"], r["nearest"]) for r in leakage.leaks(spark.createDataFrame(rows, "id int, split string, text string"), "id", "split", "text").collect()}
+    want = brute(rows)
+    assert got == want and sum(x[2] > 8 for x in want.values()) > 20
+
+
+def test_leaks_send_few_shingles(spark):
+    rows = near_texts(600, 1, 0, [], 4)
+    rows += [(len(rows), "d", rows[0][2] + " end")]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    sent = lambda: sum(x.totalShuffleWrite() for x in (store.executorList(False).apply(i) for i in range(store.executorList(False).size())))
+    before = sent()
+    found = leakage.leaks(spark.createDataFrame(rows, "id int, split string, text string"), "id", "split", "text").count()
+    # fewer bytes than 12 for each shingle of each text
+    assert found == 2 and sent() - before < 12 * sum(len(sets_of(t)[1]) for _, _, t in rows)
