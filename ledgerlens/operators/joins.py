@@ -41,7 +41,7 @@ def close_values(a: Column, b: Column, relative: float = 1e-9) -> Column:
     return F.abs(a - b) <= F.greatest(F.lit(1.0), relative * F.abs(b))
 
 
-def _scale(value: Column, relative: float) -> Column:
+def scale(value: Column, relative: float) -> Column:
     """A scale on which values that differ by at most max(1, relative x the larger size) are less than 1 apart."""
     size, flat = F.abs(value), 1.0 / relative
     # slope 1/2 where the bound is 1, and 1 / (2 relative x) beyond: over a pair the scale moves under 0.6
@@ -55,7 +55,7 @@ def near_pairs(df: DataFrame, by: list[str], key: str, value: str, relative: flo
     up to 1 / relative, logarithmic beyond. Each value meets its own bucket of the scale and the two beside
     it, so no pair is lost and none is compared outside its buckets. Null values have no partners.
     """
-    place = _scale(F.col(value), relative)
+    place = scale(F.col(value), relative)
     rows = df.select(*by, key, value, F.floor(place).alias("__at")).filter(F.col(value).isNotNull())
     asked = rows.withColumn("__at", F.explode(F.array(*(F.col("__at") + i for i in (-1, 0, 1)))))
     there = rows.select(*by, F.col(key).alias("other"), F.col(value).alias("__v"), "__at")
@@ -68,7 +68,7 @@ def near_values(df: DataFrame, by: list[str], value: str, relative: float) -> Da
 
     Equal values are one, so however many rows have a value, it takes part once; relative is below 0.1.
     """
-    one = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).alias("__a")).distinct().withColumn("__at", F.floor(_scale(F.col("__a"), relative)))
+    one = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).alias("__a")).distinct().withColumn("__at", F.floor(scale(F.col("__a"), relative)))
     # a larger value is in the same bucket or the next
     asked = one.withColumn("__at", F.explode(F.array(F.col("__at"), F.col("__at") + 1)))
     hits = asked.join(one.withColumnRenamed("__a", "other"), [*by, "__at"]).filter(F.col("__a") < F.col("other"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import joins, leakage
+from ledgerlens.operators import joins, leakage, solve
 
 
 def sets_of(text):
@@ -101,3 +101,24 @@ def test_leaks_send_few_shingles(spark):
     found = leakage.leaks(spark.createDataFrame(rows, "id int, split string, text string"), "id", "split", "text").count()
     # fewer bytes than 12 for each shingle of each text
     assert found == 2 and sent() - before < 12 * sum(len(sets_of(t)[1]) for _, _, t in rows)
+
+
+def test_supports(spark, monkeypatch):
+    monkeypatch.setattr(solve, "_LIST", 4)
+    rnd = random.Random(8)
+    values = [0.0, -0.0, -0.4, 0.6, 1.6, 999.0, 1000.0, 5e9, 5e9 + 5, 5e9 + 11, -5e9, -5e9 - 4, 1e12, 1e12 + 900, None, float("nan"), float("inf")]
+    rows = [(i if i % 10 else i // 20, rnd.choice(["a", "b", None]), rnd.choice(values)) for i in range(160)] + [(None, "a", 0.0)]
+    out = solve.supports(spark.createDataFrame(rows, "id int, g string, v double"), ["g"], "id", "v")
+    fine = [r for r in rows if r[0] is not None and r[1] and r[2] is not None and abs(r[2]) < float("inf")]
+    want = {(g, i, j) for i, g, x in fine for j, h, y in fine if g == h and i < j and abs(x - y) <= max(1.0, 1e-9 * max(abs(x), abs(y)))}
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(got) == sorted(want) and len(want) > 250 and out.columns == ["g", "id", "other"]
+
+
+def test_supports_send_rows_not_pairs(spark):
+    cells = spark.range(1200).select(F.lit("a").alias("g"), "id", (F.col("id") % 2 * 100.0).alias("v"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    sent = lambda: sum(x.totalShuffleWrite() for x in (store.executorList(False).apply(i) for i in range(store.executorList(False).size())))
+    before = sent()
+    # under one byte a pair
+    assert len(solve.supports(cells, ["g"], "id", "v").collect()) == 600 * 599 and sent() - before < 600 * 599
