@@ -116,11 +116,14 @@ class Compiler:
         self.used: set[str] = set()
         self.nodes = 0
 
-    def compile(self) -> Typed:
+    def compile(self, scale: Column | None = None) -> Typed:
+        """``scale``: what money and plain numbers are divided by before they are rounded."""
         out = self.node(self.root, 0)
         if unused := set(self.facts) - self.used:
             raise Rejected("grounding_error", f"unused {sorted(unused)}")
         want = self.program.get("output", out.type)
+        if scale is not None and out.type in ("money", "number"):
+            out = Typed(out.column / scale, out.type)
         if (out.type, want) in (("ratio", "percent"), ("ratio", "percentage_point")):
             out = Typed(out.column * 100, want)
         elif out.type == "bool" or out.type != want and not {out.type, want} <= {"number", "money", "ratio", "count"}:

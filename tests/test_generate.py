@@ -46,3 +46,26 @@ def test_generated(spark):
 def test_empty(spark):
     assert generate.generate(cells(spark, []), [("a", "b")]).isEmpty()
     assert {r["klass"] for r in generate.generate(cells(spark, [("A", 2020, "x", 5.0)]), []).collect()} == {"lookup"}
+
+
+def test_answered_by_root_as_from_text(spark):
+    made, twice, _ = data()
+    out = generate.generate(cells(spark, made + twice), [("profit", "revenue")]).cache()
+    assert {r["root"] for r in out.select("root").distinct().collect()} == {r[0] for r in generate._ROOTS}
+    tried = rows.attempts(out.withColumn("sample", F.lit(1)), generate.cells_of(out), "qid", route=out.select("qid", "unit_scale")).select("qid", "answer", "status")
+    done = generate.answered(out, ["qid"])
+    assert done.count() == out.count() and done.exceptAll(tried).isEmpty() and tried.exceptAll(done).isEmpty()
+
+
+def test_questions_are_not_sent_to_be_answered(spark, tmp_path):
+    import __spark_entry__ as e
+
+    orders = [(i, i % 40, 1000.0 + i * 7 % 300, f"{2019 + i % 4}-03-01 00:00:00") for i in range(400)]
+    made = spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate string")
+    made.withColumn("o_orderdate", F.to_timestamp("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    asked = e.queries()["generated_questions"](spark, str(tmp_path))
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "hashpartitioning(qid" not in plan
+    assert plan.count("FileScan") <= 3 and plan.count("Exchange hashpartitioning") <= 5
+    got = asked.collect()
+    assert got and all(r["status"] == "ok" and r["answer"] == r["gold"] for r in got)
